@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import saved
+from lodestrata.runtime import ship
 
 BUCKETS = 128
 #: Penalties: a bucket's step of 1, 2 or 3 quartiles; a step of the length's code; a step of a ratio's code.
@@ -112,6 +113,7 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     its own next. Documents are dealt to ranges of ids in one shuffle; the first row of each range is sent
     along with the range before it, so that only as many rows as ranges travel twice.
     """
+    ship(docs.sparkSession)
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cuts = _bounds(d, parts)

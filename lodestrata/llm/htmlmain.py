@@ -19,6 +19,8 @@ from statistics import fmean, pstdev
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lodestrata.runtime import ship
+
 #: Elements whose text is never part of an article.
 BARRED = frozenset("script style noscript template nav header footer aside form menu dialog iframe svg math button select option textarea input label object canvas head title".split())
 #: Of these nothing inside is markup.
@@ -153,6 +155,7 @@ def _map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (its code points) of each page."""
+    ship(pages.sparkSession)
     p = pages.select("page_id", "url", "html")
     kinds = dict(p.dtypes)
     return p.mapInArrow(_map, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

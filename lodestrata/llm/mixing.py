@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.llm.common import n_words_of, saved
+from lodestrata.runtime import ship
 
 #: Weights of the sources in code point order, repeating; the mix's size as a share of all words; the most that a source may be repeated.
 WEIGHTS, SHARE, REPEATS = (3, 1, 2), 1.5, 2
@@ -128,6 +129,7 @@ class Mix:
     """A mix of documents: `sources`, `placed` (each row's place in its source's stream) and `slots` (shard, source_id, slot, block)."""
 
     def __init__(self, docs: DataFrame, block: int = BLOCK, seed: int = 11, shard_slots: int = SHARD_SLOTS):
+        ship(docs.sparkSession)
         self.block = block
         rows = saved(docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), n_words_of(F.col("text").cast("string")).alias("size")), "sizes")
         n = rows.count()

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import saved
+from lodestrata.runtime import ship
 
 SEQUENCE, END = 2048, 0
 #: Pieces on an island; populations of an island; packings in each; generations; generations between migrations.
@@ -108,6 +109,7 @@ def pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
+    ship(docs.sparkSession)
     d = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return d.mapInArrow(lambda it: _cut(it, path), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
@@ -215,9 +217,18 @@ def _island(table: pa.Table, last: bool) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["rid", "length", "island", "bin", "offset", "done"])
 
 
+def _last_island(table: pa.Table) -> pa.Table:
+    return _island(table, True)
+
+
+def _middle_island(table: pa.Table) -> pa.Table:
+    return _island(table, False)
+
+
 def packed(cut: DataFrame) -> DataFrame:
     """pieces with sequence_id and offset added."""
     schema = "rid long, length long, island long, bin long, offset long, done boolean"
+    ship(cut.sparkSession)
     cut = saved(cut.withColumn("rid", F.monotonically_increasing_id()), "pieces")
     full = cut.where(F.col("length") >= SEQUENCE).select("rid", F.col("rid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     left = cut.where(F.col("length") < SEQUENCE).select("rid", "length")
@@ -227,7 +238,7 @@ def packed(cut: DataFrame) -> DataFrame:
         islands = max(1, -(-n // ISLAND))
         last = islands == 1 or k == ROUNDS - 1 or (was is not None and n > 0.9 * was)
         dealt = left.withColumn("island", F.pmod(F.xxhash64("rid", F.lit(k)), F.lit(islands)))
-        done = saved(dealt.groupBy("island").applyInArrow(lambda t, last=last: _island(t, last), schema), "islands")
+        done = saved(dealt.groupBy("island").applyInArrow(_last_island if last else _middle_island, schema), "islands")
         # the highest bit, the round, the island and the bin make a number that no other sequence has
         code = F.lit(1 << 62) + F.lit(k).cast("long") * (1 << 58) + F.col("island") * (1 << 16) + F.col("bin")
         found.append(done.where("done").select("rid", code.alias("sequence_id"), "offset"))
