@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import fingerprint, htmlmain, mixing, packing, pii, quality
+from lodestrata.llm import fingerprint, htmlmain, mixing, packing, pii, quality, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,9 +35,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op10(_table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op4(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_pii": op2_pii,
+    "op4_warc": op4_warc,
     "op6_fingerprints": op6_fingerprints,
     "op8_html_extraction": op8_html_extraction,
     "op9_mixing": op9_mixing,
@@ -45,4 +50,5 @@ QUERIES = {
 }
 ORACLE = {
     "op1_quality_rules": quality.OP1_SQL,
+    "op4_warc": warc.OP4_SQL,
 }
