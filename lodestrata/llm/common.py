@@ -65,6 +65,35 @@ def _at_exit() -> None:
             _written.clear()
 
 
+#: Buckets of row hashes that are sent to every task; of a larger set of rows all buckets are sent.
+BUCKETS = 1 << 20
+#: Names of the two hashes that stand for a whole row.
+ROW = ("_row1", "_row2")
+
+
+def with_row_hash(docs: DataFrame) -> DataFrame:
+    """docs with two hashes over all its columns, by which a row is found again."""
+    return docs.withColumns({ROW[0]: F.xxhash64(*docs.columns), ROW[1]: F.hash(*docs.columns)})
+
+
+def without(docs: DataFrame, gone: DataFrame, once: DataFrame | None = None) -> DataFrame:
+    """docs without the rows whose hashes stand in gone; of rows whose hashes stand in once, one stays.
+
+    Most texts are not shuffled: a bounded set of hash buckets goes to every task, and only rows in one of
+    them are joined.
+    """
+    d = with_row_hash(docs)
+    place = F.pmod(F.col(ROW[0]), F.lit(BUCKETS)).alias("_bucket")
+    asked = gone.select(place) if once is None else gone.select(place).union(once.select(place))
+    asked = F.broadcast(asked.distinct())
+    d = d.withColumn("_bucket", place)
+    rest = d.join(asked, "_bucket", "left_semi").join(gone.select(*ROW).distinct(), list(ROW), "left_anti")
+    if once is not None:
+        one = once.select(*ROW).distinct()
+        rest = rest.join(one, list(ROW), "left_anti").unionByName(rest.join(one, list(ROW), "left_semi").dropDuplicates(list(ROW)))
+    return d.join(asked, "_bucket", "left_anti").unionByName(rest).select(*docs.columns)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root the smallest node reached.
 

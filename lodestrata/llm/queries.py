@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import fingerprint, htmlmain, mixing, packing, pii, quality, warc
+from lodestrata.llm import fingerprint, htmlmain, langid, mixing, ngramjoin, packing, pii, quality, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,10 +39,20 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op4(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op3(_table(spark, sf_dir, "documents"))
+
+
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_pii": op2_pii,
+    "op3_language_id": op3_language_id,
     "op4_warc": op4_warc,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_fingerprints": op6_fingerprints,
     "op8_html_extraction": op8_html_extraction,
     "op9_mixing": op9_mixing,
