@@ -1,30 +1,10 @@
-"""Query id -> callable, and query id -> the same in SQL."""
+"""Query id -> callable, and query id -> the same in SQL.
 
-from __future__ import annotations
-
-from lodestrata.operators import telemetry as t
-from lodestrata.sources.adapters import duck, view
-
-QUERIES = {}
-ORACLE = {}
+Each module of the package `lodestrata.checks` registers the queries of one family.
+"""
 
+from __future__ import annotations
 
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE[name] = sql
-        return f
-
-    return add
-
+from lodestrata.checks import ORACLE, QUERIES
 
-@query("d10_tool_audit", duck("tool_calls") + """
-SELECT tool, count(*) AS n_calls, CAST(sum(tokens_returned) AS BIGINT) AS returned, CAST(sum(tokens_would_be) AS BIGINT) AS would_be,
-       count(*) FILTER (savings_category = 'none') AS none_calls, count(*) FILTER (session_cache_hit) AS cache_hit_calls,
-       CAST(greatest(0, sum(tokens_would_be) - sum(tokens_returned)) AS BIGINT) AS saved,
-       CAST(CASE WHEN sum(tokens_would_be) > 0 THEN floor((1 - sum(tokens_returned) / sum(tokens_would_be)) * 100 + 0.5) ELSE 0 END AS BIGINT) AS reduction_pct,
-       count(*) >= 5 AND CASE WHEN sum(tokens_would_be) > 0 THEN floor((1 - sum(tokens_returned) / sum(tokens_would_be)) * 100 + 0.5) ELSE 0 END < 20 AS low_value
-FROM tool_calls GROUP BY tool""")
-def d10(spark, sf):
-    return t.tool_audit(view(spark, sf, "tool_calls"))
+__all__ = ["ORACLE", "QUERIES"]

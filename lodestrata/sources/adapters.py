@@ -14,29 +14,65 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 #: Function spellings that differ: {name} in a view's text -> (Spark, DuckDB).
 DIALECT = {
     "K": ("CAST(get_json_object(props, '$.k') AS BIGINT)", "CAST(json_extract_string(props, '$.k') AS BIGINT)"),
-    "TSMS": ("CAST(unix_millis(CAST(ts AS TIMESTAMP)) AS BIGINT)", "CAST(epoch_ms(ts) AS BIGINT)"),
+    "TSMS": ("CAST(unix_millis(CAST(ts AS TIMESTAMP)) AS BIGINT)", "CAST(epoch_us(ts) // 1000 AS BIGINT)"),
     "STR": ("STRING", "VARCHAR"),
-    "MTIME": ("CAST(unix_millis(CAST(o_orderdate AS TIMESTAMP)) AS BIGINT)", "CAST(epoch_ms(o_orderdate) AS BIGINT)"),
+    "MTIME": ("CAST(unix_millis(CAST(o_orderdate AS TIMESTAMP)) AS BIGINT)", "CAST(epoch_us(o_orderdate) // 1000 AS BIGINT)"),
 }
 
 VIEWS = {
     "tool_calls": """
-        SELECT event_id, {TSMS} AS ts, CAST(user_id AS {STR}) AS session_id, event_type AS tool,
-               concat('f', CAST(event_id % 97 AS {STR})) AS path,
+        SELECT event_id, {TSMS} AS ts, CAST(user_id AS {STR}) AS session_id,
+               CASE {K} % 10 WHEN 0 THEN 'smart_read' WHEN 1 THEN 'read_symbol' WHEN 2 THEN 'find_usages' WHEN 3 THEN 'outline'
+                    WHEN 4 THEN 'smart_diff' WHEN 5 THEN 'test_summary' WHEN 6 THEN 'read_for_edit' WHEN 7 THEN 'code_audit'
+                    WHEN 8 THEN 'project_overview' ELSE 'read_range' END AS tool,
+               CASE WHEN event_id % 13 = 0 THEN NULL ELSE concat('f', CAST(event_id % 97 AS {STR})) END AS path,
                CAST(floor(value) AS BIGINT) AS tokens_returned, {K} * 10 AS tokens_would_be,
-               CASE {K} % 4 WHEN 0 THEN 'compression' WHEN 1 THEN 'cache' WHEN 2 THEN 'dedup' ELSE 'none' END AS savings_category,
-               {K} % 5 = 0 AS session_cache_hit, {K} % 7 = 0 AS delegated
+               CASE {K} % 5 WHEN 0 THEN 'compression' WHEN 1 THEN 'cache' WHEN 2 THEN 'dedup' WHEN 3 THEN 'none' ELSE NULL END AS savings_category,
+               {K} % 6 = 0 AS session_cache_hit, {K} % 7 = 0 AS delegated
         FROM events""",
     "hook_events": """
         SELECT event_id, {TSMS} AS ts, CAST(user_id AS {STR}) AS session_id,
                CASE WHEN {K} % 6 = 0 THEN NULL ELSE concat('agent', CAST({K} % 3 AS {STR})) END AS agent_type,
-               CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN 'task' WHEN {K} % 3 = 0 THEN 'denied' ELSE 'allowed' END AS event,
+               CASE WHEN event_id % 5 = 0 THEN 'task' WHEN event_id % 3 = 0 THEN 'denied' ELSE 'allowed' END AS event,
                concat('f', CAST(event_id % 97 AS {STR})) AS file, {K} * 10 AS est_tokens, CAST(floor(value) AS BIGINT) AS summary_tokens,
                greatest(0, {K} * 10 - CAST(floor(value) AS BIGINT)) AS saved_tokens,
                concat('sub', CAST({K} % 4 AS {STR})) AS subagent_type,
-               CASE WHEN {K} % 8 = 0 THEN '' WHEN {K} % 2 = 0 THEN concat('sub', CAST({K} % 4 AS {STR})) ELSE concat('sub', CAST(({K} + 1) % 4 AS {STR})) END AS matched_tp_agent,
-               concat('wf', CAST({K} % 9 AS {STR})) AS workflow_id, value > 400 AS over_budget
+               CASE WHEN {K} % 8 = 0 THEN '' WHEN {K} % 2 = 0 THEN concat('sub', CAST({K} % 4 AS {STR})) ELSE concat('sub', CAST(({K} + 1) % 4 AS {STR})) END AS matched_agent,
+               CASE WHEN {K} % 10 = 9 THEN NULL ELSE concat('wf', CAST({K} % 9 AS {STR})) END AS workflow_id,
+               value > 400 AS over_budget, concat('code', CAST({K} % 14 AS {STR})) AS code, concat('hook', CAST({K} % 3 AS {STR})) AS hook, {K} AS k
         FROM events""",
+    "log_files": """
+        SELECT o_orderkey AS id, {MTIME} AS mtime, CAST(floor(o_totalprice) AS BIGINT) AS size FROM orders""",
+    "files": """
+        SELECT doc_id, concat(source, '/', lang, '/doc_', CAST(doc_id AS {STR}), '.txt') AS path, lang AS language, text AS content FROM documents""",
+    "refs": """
+        SELECT symbol, path, line, CASE WHEN rn = 1 THEN 'definition' WHEN flag = 'A' THEN 'import' ELSE 'usage' END AS section, flag
+        FROM (SELECT concat('s', CAST(l_partkey AS {STR})) AS symbol, concat('src', CAST(l_orderkey % 7 AS {STR}), '/o', CAST(l_orderkey AS {STR}), CASE l_orderkey % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' ELSE '.go' END) AS path,
+                     l_linenumber AS line, min(l_returnflag) AS flag,
+                     row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS rn
+              FROM lineitem GROUP BY l_partkey, l_orderkey, l_linenumber) r""",
+    "module_deps": """
+        SELECT module, dep, n, CASE WHEN n % 2 = 0 THEN 'api' ELSE 'impl' END AS kind
+        FROM (SELECT c_nationkey AS module, s_nationkey AS dep, count(*) AS n,
+                     row_number() OVER (PARTITION BY c_nationkey ORDER BY count(*) DESC, s_nationkey) AS rn
+              FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+              WHERE c_nationkey <> s_nationkey GROUP BY c_nationkey, s_nationkey) e WHERE rn <= 2""",
+    "commits": """
+        SELECT o_orderkey AS id, concat('c', CAST(o_orderkey AS {STR})) AS hash, concat('dev', CAST(o_custkey % 50 AS {STR})) AS author, CAST(o_orderdate AS DATE) AS day,
+               concat(CASE o_orderkey % 23 WHEN 0 THEN 'feat: new ' WHEN 1 THEN 'fix(core): ' WHEN 2 THEN 'refactor! split ' WHEN 3 THEN 'docs: ' WHEN 4 THEN 'tests: more '
+                        WHEN 5 THEN 'chore: ' WHEN 6 THEN 'style: ' WHEN 7 THEN 'perf: ' WHEN 8 THEN 'v1.2 ' WHEN 9 THEN 'A Hotfix for ' WHEN 10 THEN 'update coverage of '
+                        WHEN 11 THEN 'rename ' WHEN 12 THEN 'Readme ' WHEN 13 THEN 'implement ' WHEN 14 THEN 'lint ' WHEN 15 THEN 'optimizing ' WHEN 16 THEN 'faster ' WHEN 17 THEN 'fast '
+                        WHEN 18 THEN 'bump ' WHEN 19 THEN 'CI ' WHEN 20 THEN 'prefix ' WHEN 21 THEN 'feature' ELSE 'misc ' END, o_orderpriority) AS message
+        FROM orders""",
+    "numstat": """
+        SELECT l_orderkey AS id, concat('p', CAST(l_partkey % 40 AS {STR})) AS path, CASE WHEN l_returnflag = 'R' THEN '-' ELSE CAST(CAST(l_quantity AS BIGINT) AS {STR}) END AS ins,
+               CASE WHEN l_returnflag = 'R' THEN '-' ELSE CAST(l_linenumber AS {STR}) END AS del FROM lineitem""",
+    "symbols": """
+        SELECT l_orderkey AS path, concat('sym', CAST(l_partkey % 5 AS {STR})) AS name, l_linenumber * 10 AS start_line, l_linenumber * 10 + CAST(l_quantity AS INT) % 17 AS end_line
+        FROM lineitem WHERE l_returnflag = 'N'""",
+    "hunks": """
+        SELECT l_orderkey AS path, l_linenumber * 10 + l_partkey % 9 AS new_start, CAST(l_quantity AS BIGINT) % 6 AS new_count, l_tax > 0.03 AS has_added, l_discount > 0.05 AS has_removed
+        FROM lineitem WHERE l_returnflag <> 'N'""",
 }
 
 
