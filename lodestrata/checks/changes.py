@@ -1 +1,57 @@
-"""Queries."""
+"""Queries over diffs, commits and test results."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodestrata.checks.registry import query
+from lodestrata.operators import changes as c
+from lodestrata.sources.adapters import duck, table, view
+
+CLASS_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(message), '^{p}[:(!\\s]') THEN '{n}'" for p, n in c.PREFIXES.items()) + " WHEN regexp_matches(lower(message), '^v?[0-9]+\\.[0-9]+') THEN 'feat' " + " ".join(f"WHEN regexp_matches(lower(message), '\\b({p})\\b') THEN '{n}'" for p, n in c.KEYWORDS.items()) + " ELSE 'other' END"
+TOTALS = "t AS (SELECT id, CAST(sum(coalesce(try_cast(ins AS BIGINT), 0)) AS BIGINT) AS insertions, CAST(sum(coalesce(try_cast(del AS BIGINT), 0)) AS BIGINT) AS deletions, count(DISTINCT path) AS n_files, array_to_string(list_sort(list(DISTINCT path))[1:3], ',') AS files FROM numstat GROUP BY id)"
+
+DIFFS = [
+    (1, "diff --git a/src/a.ts b/src/a.ts\nindex 1..2 100644\n--- a/src/a.ts\n+++ b/src/a.ts\n@@ -18,9 +18,10 @@ f\n x\n-old\n+new\n+more\n@@ -40 +41 @@\n-a\n+b"),
+    (2, "diff --git a/n.py b/n.py\nnew file mode 100644\n--- /dev/null\n+++ b/n.py\n@@ -0,0 +1,2 @@\n+x\n+y\ndiff --git a/o.png b/o.png\nBinary files a/o.png and b/o.png differ\ndiff --git a/p b/q\nrename from p\nrename to q"),
+    (3, "diff --git a/d b/d\ndeleted file mode 100644\n--- a/d\n+++ /dev/null\n@@ -1,2 +0,0 @@\n-x\n-y"),
+    (4, ""),
+]
+
+
+def _parsed(spark):
+    d = spark.createDataFrame(DIFFS, "diff_id int, raw string")
+    return c.parse_diff(d.select("diff_id", F.posexplode(F.split("raw", "\n", -1)).alias("line_no", "text")))
+
+
+RUNS = [
+    (1, "npx vitest run", " Tests  2 failed | 11 passed | 1 skipped (14)", 1), (2, "npx jest", "Tests:       2 failed, 11 passed, 13 total", 1), (3, "pytest -q", "=== 3 passed, 1 skipped in 0.12s ===", 0),
+    (4, "vendor/bin/phpunit", "OK (7 tests, 9 assertions)", 0), (5, "phpunit", "Tests: 9, Assertions: 20, Failures: 2, Skipped: 1.", 1), (6, "go test ./...", "--- PASS: TestA (0.00s)\n--- FAIL: TestB (0.00s)\n    --- SKIP: TestC", 1),
+    (7, "go test", "ok  \tpkg/a\t0.1s\nFAIL\tpkg/b", 1), (8, "node --test", "# tests 4\n# pass 3\n# fail 1\n# skipped 0", 1), (9, "cargo test", "test result: ok. 5 passed; 0 failed; 2 ignored", 0), (10, "make check", "4 passing\n1 failing", 1), (11, "./run", "boom", 2), (12, "./x", "", 0),
+]
+
+query("c07_commit_class", duck("commits") + f" SELECT hash, {CLASS_SQL} AS category FROM commits")(lambda s, d: view(s, d, "commits").select("hash", c.commit_class(F.col("message")).alias("category")))
+query("c06_numstat_totals", duck("numstat") + f", {TOTALS} SELECT * FROM t")(lambda s, d: c.numstat_totals(view(s, d, "numstat")))
+query("c08_log_summary", duck("commits", "numstat") + f", {TOTALS} SELECT {CLASS_SQL} AS category, count(*) AS n, CAST(coalesce(sum(insertions), 0) AS BIGINT) AS insertions, CAST(coalesce(sum(deletions), 0) AS BIGINT) AS deletions FROM commits LEFT JOIN t USING (id) GROUP BY 1")(lambda s, d: c.log_summary(view(s, d, "commits"), c.numstat_totals(view(s, d, "numstat"))))
+query("c08_top_authors", duck("commits") + " SELECT author, count(*) AS n FROM commits GROUP BY author ORDER BY n DESC, author LIMIT 5")(lambda s, d: c.top_authors(view(s, d, "commits")))
+query("t22_log_window", duck("commits") + f" SELECT hash, day, {CLASS_SQL} AS category FROM commits ORDER BY day DESC, hash LIMIT 10")(lambda s, d: view(s, d, "commits").select("hash", "day", c.commit_class(F.col("message")).alias("category")).orderBy(F.desc("day"), "hash").limit(10))
+query("c01_file_diffs", """SELECT * FROM (VALUES (1, 1::BIGINT, 'src/a.ts', 3::BIGINT, 2::BIGINT, false, false, false, NULL), (2, 1, 'n.py', 2, 0, true, false, false, NULL), (2, 2, 'o.png', 0, 0, false, false, true, NULL), (2, 3, 'q', 0, 0, false, false, false, 'p'), (3, 1, 'd', 0, 2, false, true, false, NULL))
+t(diff_id, file_no, path, added, removed, is_new, is_deleted, is_binary, old_path)""")(lambda s, d: c.file_diffs(_parsed(s)))
+query("c01_hunks", """SELECT * FROM (VALUES (1, 'src/a.ts', 1::BIGINT, 18::BIGINT, 10::BIGINT, 2::BIGINT, 1::BIGINT), (1, 'src/a.ts', 2, 41, 1, 1, 1), (2, 'n.py', 1, 1, 2, 2, 0), (3, 'd', 1, 0, 0, 0, 2)) t(diff_id, path, hunk_no, new_start, new_count, added, removed)""")(lambda s, d: c.hunks(_parsed(s)))
+query("c03_affected_symbols", duck("symbols", "hunks") + """, h AS (SELECT *, CASE WHEN new_count > 0 THEN new_start + new_count - 1 ELSE new_start END AS new_end FROM hunks), f AS (SELECT path, bool_or(has_added) AS a, bool_or(has_removed) AS r FROM hunks GROUP BY path)
+SELECT s.path, s.name, min(h.new_start) AS first_hunk, any_value(CASE WHEN a AND NOT r THEN 'ADDED' WHEN r AND NOT a THEN 'REMOVED' ELSE 'MODIFIED' END) AS change
+FROM symbols s JOIN h ON h.path = s.path AND h.new_start <= s.end_line AND h.new_end >= s.start_line JOIN f ON f.path = s.path GROUP BY s.path, s.name""")(lambda s, d: c.affected_symbols(view(s, d, "hunks"), view(s, d, "symbols")))
+query("c04_regions", duck("hunks") + " SELECT path, new_start, new_count FROM hunks WHERE path % 10 = 0 AND new_start <= 30 AND greatest(new_start, new_start + new_count - 1) >= 20")(lambda s, d: c.regions(view(s, d, "hunks"), view(s, d, "hunks").where("path % 10 = 0").select("path", F.lit(20).alias("start"), F.lit(30).alias("end")).distinct()))
+query("c05_multiset_diff", """WITH l AS (SELECT doc_id, source AS path, unnest(string_split(text, chr(10))) AS text FROM documents), a AS (SELECT path, text, count(*) AS was FROM l WHERE doc_id % 3 <> 0 GROUP BY ALL), b AS (SELECT path, text, count(*) AS now FROM l WHERE doc_id % 3 <> 1 GROUP BY ALL)
+SELECT path, text, coalesce(now, 0) - coalesce(was, 0) AS change FROM a FULL JOIN b USING (path, text) WHERE coalesce(now, 0) <> coalesce(was, 0)""")(lambda s, d: _snapshots(s, d))
+
+
+def _snapshots(spark, sf):
+    ls = table(spark, sf, "documents").select("doc_id", F.col("source").alias("path"), F.explode(F.split("text", "\n", -1)).alias("text"))
+    return c.multiset_diff(ls.where("doc_id % 3 <> 0"), ls.where("doc_id % 3 <> 1"))
+
+
+query("j14_name_delta", duck("symbols") + """, a AS (SELECT DISTINCT path, name FROM symbols WHERE start_line < 40), b AS (SELECT DISTINCT path, name FROM symbols WHERE start_line > 20)
+SELECT path, name, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'unchanged' END AS change FROM a FULL JOIN b USING (path, name)""")(lambda s, d: c.name_delta(view(s, d, "symbols").where("start_line < 40"), view(s, d, "symbols").where("start_line > 20")))
+query("u01_test_counts", """SELECT * FROM (VALUES (1, 'vitest', 11::BIGINT, 2::BIGINT, 1::BIGINT, 14::BIGINT), (2, 'jest', 11, 2, 0, 13), (3, 'pytest', 3, 0, 1, 4), (4, 'phpunit', 7, 0, 0, 7), (5, 'phpunit', 7, 2, 1, 10), (6, 'go', 1, 1, 1, 3), (7, 'go', 1, 1, 0, 2),
+(8, 'node', 3, 1, 0, 4), (9, 'cargo', 5, 0, 2, 7), (10, 'generic', 4, 1, 0, 5), (11, 'generic', 0, 1, 0, 1), (12, 'generic', 0, 0, 0, 0)) t(id, runner, passed, failed, skipped, total)""")(lambda s, d: c.test_counts(s.createDataFrame(RUNS, "id int, command string, output string, exit_code int")))
