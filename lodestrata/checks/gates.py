@@ -1 +1,52 @@
-"""Queries."""
+"""Queries of the rule gates."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodestrata.checks.registry import query
+from lodestrata.operators import gates as g
+from lodestrata.sources.adapters import duck, table, view
+
+query("f08_policy_advice", duck("tool_calls") + """, r AS (SELECT *, tool IN ('smart_read', 'read_range', 'read_symbol') AS f, sum(CASE WHEN tool IN ('smart_read', 'read_range', 'read_symbol') THEN 1 ELSE 0 END) OVER w AS fulls, count(*) OVER w AS n, sum(tokens_returned) OVER w AS total
+FROM tool_calls WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)), a AS (SELECT event_id, CASE WHEN f AND fulls >= 10 THEN 'full_reads' WHEN tokens_returned > 2000 THEN 'large' WHEN f AND tokens_returned > 400 THEN 'expensive' WHEN n % 15 = 0 THEN 'many_calls' WHEN total > 8000 AND n % 5 = 0 THEN 'many_tokens' END AS advice FROM r)
+SELECT * FROM a WHERE advice IS NOT NULL""")(lambda s, d: g.policy_advice(view(s, d, "tool_calls")))
+
+
+@query("f09_cheaper", """WITH c AS (SELECT event_id AS id, ['smart_read','read_symbol','smart_read_many','read_range','outline'][event_id % 5 + 1] AS tool, event_id % 2 = 0 AS in_context, event_id % 3 = 0 AS edited, event_id % 7 < 4 AS symbol_known, event_id % 400 AS n_lines, event_id % 130 AS asked FROM events),
+p AS (SELECT *, CASE WHEN tool IN ('smart_read', 'read_symbol') AND in_context AND edited THEN 'read_diff' WHEN tool = 'smart_read' AND symbol_known AND n_lines > 50 THEN 'read_symbol' WHEN tool = 'smart_read_many' AND in_context THEN 'read_diff' WHEN tool = 'read_range' AND asked > 60 AND symbol_known THEN 'read_symbol' END AS plan FROM c)
+SELECT id, plan, CASE WHEN plan IS NULL THEN NULL WHEN tool IN ('smart_read', 'read_symbol') AND in_context AND edited OR tool = 'smart_read_many' THEN greatest(20, floor(0.1::DOUBLE * n_lines + 0.5)::BIGINT) WHEN tool = 'smart_read' THEN floor(0.15::DOUBLE * n_lines + 0.5)::BIGINT ELSE floor(0.4::DOUBLE * asked + 0.5)::BIGINT END AS lines FROM p""")
+def f09(spark, sf):
+    e = F.col("event_id")
+    tools = F.array(*map(F.lit, ["smart_read", "read_symbol", "smart_read_many", "read_range", "outline"]))
+    c = table(spark, sf, "events").select(e.alias("id"), F.get(tools, (e % 5).cast("int")).alias("tool"), (e % 2 == 0).alias("in_context"), (e % 3 == 0).alias("edited"), (e % 7 < 4).alias("symbol_known"), (e % 400).alias("n_lines"), (e % 130).alias("asked"))
+    return g.cheaper(c)
+
+
+@query("p23_read_span", """SELECT event_id, CASE WHEN event_id % 5 = 0 AND event_id % 3 = 0 THEN event_id ELSE greatest(0, least(coalesce(CASE WHEN event_id % 5 <> 0 THEN event_id % 300 END, 2000), event_id - coalesce(CASE WHEN event_id % 3 <> 0 THEN event_id % 700 END, 0))) END AS span FROM events""")
+def p23(spark, sf):
+    e = F.col("event_id")
+    return table(spark, sf, "events").select("event_id", g.read_span(F.when(e % 5 != 0, e % 300), F.when(e % 3 != 0, e % 700), e).alias("span"))
+
+
+query("p24_large_output", "SELECT doc_id, length(text) >= 8000 AS large FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", g.large_output(F.col("text")).alias("large")))
+query("p19_search_gate", "SELECT * FROM (VALUES (1, 'advise'), (2, 'deny'), (3, 'deny'), (4, 'allow'), (5, 'allow'), (6, 'allow'), (7, 'deny'), (8, 'allow'), (9, 'advise')) t(id, gate)")(lambda s, d: s.createDataFrame([(1, "TODO|FIXME", "deny"), (2, "getUser", "deny"), (3, "my_name", "deny"), (4, "foo.*bar", "deny"), (5, "getUser", "advisory"), (6, "abc", "deny"), (7, "MAXLEN", "deny"), (8, "plain", "deny"), (9, "(todo | hack)", "advisory")], "id int, p string, m string").select("id", g.search_gate(F.col("p"), F.col("m")).alias("gate")))
+COMMANDS = [
+    (1, "grep -rn foo .", "deny"), (2, "grep -rn -m 5 foo .", "allow"), (3, "find / -name x", "deny"), (4, "find / -maxdepth 2", "allow"), (5, "cat src/a.ts", "deny"), (6, "cat src/a.ts | wc -l", "allow"), (7, "cat notes.md", "allow"),
+    (8, "sed -n 1,5p a.py", "deny"), (9, "sed -i s/a/b/ a.py", "allow"), (10, "head -n 400 a.py", "deny"), (11, "head -n 40 a.py", "allow"), (12, "git log", "deny"), (13, "git log -n 5", "allow"), (14, "git diff", "deny"), (15, "git diff HEAD~1", "allow"),
+    (16, "pytest -q", "advise"), (17, "bash -c 'grep -r x .'", "deny"), (18, "bash -c 'pytest'", "allow"), (19, "ls", "allow"),
+]
+query("p20_command_gate", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{g_}')" for i, _, g_ in COMMANDS) + ") t(id, gate)")(lambda s, d: s.createDataFrame([c[:2] for c in COMMANDS], "id int, c string").select("id", g.command_gate(F.col("c")).alias("gate")))
+
+
+@query("p21_edit_gate", "SELECT event_id, CASE WHEN event_id % 11 = 0 OR event_id % 2 = 0 OR event_id % 5 = 0 OR event_id % 3 = 0 OR NOT event_id % 4 IN (0, 1, 2) THEN 'allow' WHEN event_id % 7 < 3 THEN 'deny' ELSE 'advise' END AS gate FROM events")
+def p21(spark, sf):
+    e = F.col("event_id")
+    tool = F.get(F.array(*map(F.lit, ["Edit", "MultiEdit", "Write", "Read"])), (e % 4).cast("int"))
+    return table(spark, sf, "events").select("event_id", g.edit_gate(tool, e % 2 != 0, e % 5 != 0, e % 11 == 0, e % 3 == 0, F.when(e % 7 < 3, "deny").otherwise("advisory")).alias("gate"))
+
+
+query("p22_task_gate", duck("hook_events") + " SELECT event_id, CASE WHEN k % 9 = 0 OR NOT (matched_agent <> '' AND matched_agent <> subagent_type) THEN 'allow' WHEN k % 2 = 1 THEN 'deny' ELSE 'advise' END AS gate FROM hook_events")(lambda s, d: view(s, d, "hook_events").select("event_id", g.task_gate(F.col("k") % 9 == 0, F.col("matched_agent"), F.col("subagent_type"), F.when(F.col("k") % 2 == 1, "deny").otherwise("advisory")).alias("gate")))
+query("p18_inside", "SELECT * FROM (VALUES (1, true), (2, true), (3, false), (4, false), (5, true), (6, false)) t(id, ok)")(lambda s, d: s.createDataFrame([(1, "/r/a"), (2, "/r"), (3, "/r/../x"), (4, "/rx/a"), (5, "/r/b/../c"), (6, "/etc/passwd")], "id int, p string").select("id", g.inside(F.col("p"), "/r").alias("ok")))
+AGENTS = [("reviewer", ["review the diff"], ["review", "diff", "quality"], ["write"]), ("finder", ["find usages"], ["find", "usage", "search"], []), ("tester", [], ["test", "coverage"], ["review"])]
+query("f19_agent_match", "SELECT * FROM (VALUES (1, 'reviewer', 'high'), (2, 'finder', 'low'), (3, NULL, NULL), (4, 'tester', 'low'), (5, 'finder', 'low')) t(id, agent, level)")(lambda s, d: g.agent_scores(s.createDataFrame([(1, "Please review the diff"), (2, "search it"), (3, "nothing"), (4, "more coverage"), (5, "find a test")], "id int, description string"), s.createDataFrame(AGENTS, "name string, quoted array<string>, keywords array<string>, negative array<string>")))
