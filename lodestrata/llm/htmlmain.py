@@ -43,6 +43,8 @@ ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 PUNCT = re.compile(r"[.,;:!?…]")
 SPACE = re.compile(r"[ \t\n\r\f\v]+")
+#: Elements that hold a container's text just as its paragraphs do.
+PARAGRAPHS = frozenset("h1 h2 h3 h4 h5 h6 li blockquote pre figcaption dt dd td th".split())
 #: Weights of neighbouring paths in smoothing.
 KERNEL = (0.25, 0.5, 0.25)
 
@@ -121,8 +123,8 @@ def main_text(page: str | None) -> str:
     found = [b for b in blocks(page or "") if not b[2]]
     if not found:
         return ""
-    # a path is told apart by its containers: paragraphs, headings and lists under one container are one path's nodes
-    lead = [tuple(x for x in path if x.partition(".")[0] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre", "td", "th", "tr", "tbody", "table", "figure", "figcaption", "dl", "dt", "dd") or "." in x) for path, _, _ in found]
+    # headings, list items, quotes and the like count as paragraphs of their container's path
+    lead = [tuple("p" if x in PARAGRAPHS else x for x in path) for path, _, _ in found]
     order = list(dict.fromkeys(lead))
     size, marks, nodes = dict.fromkeys(order, 0), dict.fromkeys(order, 0), dict.fromkeys(order, 0)
     for path, (_, text, _) in zip(lead, found, strict=True):
