@@ -40,6 +40,8 @@ PERCENT = 80
 CHUNK, NODES_CHUNK, BUCKETS = 8192, 1024, 1 << 20
 #: Shingles of a candidate component that one task verifies; larger ones are cut into blocks of as many.
 BLOCK = 4_000_000
+#: A class of more than one row in so many is sent to every task.
+HOT = 4096
 _U = np.uint64
 
 
@@ -122,33 +124,60 @@ def _blobs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordB
         yield from out(sets, keys)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(class, number of its hashes in this part that another class holds too)."""
-    names = ["short", "shared"]
-    toks, owns = [], []
+def _shared(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """For each part that classes are dealt to: classes, and how many of their hashes in this part another class holds too."""
+    toks, owns, classes, counts = [], [], [], []
     for b in batches:
         for t, o, c in zip(*(b.column(x).to_pylist() for x in ("tokens", "owners", "classes")), strict=True):
-            classes = np.frombuffer(c, np.int64)
-            if not t:
-                yield pa.RecordBatch.from_arrays([pa.array(classes), pa.array(np.frombuffer(o, np.int32).astype(np.int64))], names)
-                continue
-            toks.append(np.frombuffer(t, np.uint32))
-            owns.append(classes[np.frombuffer(o, np.uint16)])
-    if not toks:
-        return
-    tok, own = np.concatenate(toks), np.concatenate(owns)
-    del toks, owns
-    order = np.lexsort((own, tok))
-    tok, own = tok[order], own[order]
-    new = np.concatenate(([True], (tok[1:] != tok[:-1]) | (own[1:] != own[:-1])))
-    tok, own = tok[new], own[new]
-    begin = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
-    size = np.diff(np.append(begin, len(tok)))
-    known = np.repeat((size > 1) | (own[begin] == 0), size) | (own == 0)
-    marked = np.repeat(np.logical_or.reduceat(own == 0, begin), size)
-    classes, n = np.unique(own[(known | marked) & (own != 0)], return_counts=True)
-    if len(classes):
-        yield pa.RecordBatch.from_arrays([pa.array(classes), pa.array(n.astype(np.int64))], names)
+            named = np.frombuffer(c, np.int64)
+            if t:
+                toks.append(np.frombuffer(t, np.uint32))
+                owns.append(named[np.frombuffer(o, np.uint16)])
+            else:
+                classes.append(named)
+                counts.append(np.frombuffer(o, np.int32).astype(np.int64))
+    if toks:
+        tok, own = np.concatenate(toks), np.concatenate(owns)
+        del toks, owns
+        order = np.lexsort((own, tok))
+        tok, own = tok[order], own[order]
+        new = np.concatenate(([True], (tok[1:] != tok[:-1]) | (own[1:] != own[:-1])))
+        tok, own = tok[new], own[new]
+        begin = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
+        size = np.diff(np.append(begin, len(tok)))
+        known = np.repeat((size > 1) | np.logical_or.reduceat(own == 0, begin), size)
+        got, n = np.unique(own[known & (own != 0)], return_counts=True)
+        classes.append(got)
+        counts.append(n.astype(np.int64))
+    if classes:
+        yield from _dealt(*_added(classes, counts), parts)
+
+
+def _added(classes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    every, inv = np.unique(np.concatenate(classes), return_inverse=True)
+    return every, np.bincount(inv, weights=np.concatenate(counts), minlength=len(every)).astype(np.int64)
+
+
+def _dealt(classes: np.ndarray, counts: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """A row of packed arrays for each part, not one for each class: a class has shingles in every part."""
+    part = mixed(classes.view(_U)) % _U(parts)
+    order = np.argsort(part, kind="stable")
+    classes, counts = classes[order], counts[order]
+    cut = np.searchsorted(part[order], np.arange(parts + 1).astype(_U))
+    rows = [(p, classes[a:z].tobytes(), counts[a:z].tobytes()) for p, (a, z) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if z > a]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "classes", "counts"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per class the sum of its counts."""
+    classes, counts = [], []
+    for b in batches:
+        classes += [np.frombuffer(c, np.int64) for c in b.column("classes").to_pylist()]
+        counts += [np.frombuffer(c, np.int64) for c in b.column("counts").to_pylist()]
+    if classes:
+        c, n = _added(classes, counts)
+        yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n)], ["short", "shared"])
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,7 +378,8 @@ def join_classes(docs: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame
     rows = saved(kept.mapInArrow(_rows, "doc_id long, " + "".join(f"{c} long, " for c in keep) + "n long, chosen long, key binary, short long"), "rows")
     classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("chosen").alias("chosen"), F.first("short").alias("short"))
     blobs = d.mapInArrow(lambda it: _blobs(it, parts), "part int, tokens binary, owners binary, classes binary")
-    shared = blobs.repartitionById(parts, F.col("part")).mapInArrow(_shared, "short long, shared long").groupBy("short").agg(F.sum("shared").alias("shared"))
+    shared = blobs.repartitionById(parts, F.col("part")).mapInArrow(lambda it: _shared(it, parts), "part int, classes binary, counts binary")
+    shared = shared.repartitionById(parts, F.col("part")).mapInArrow(_summed, "short long, shared long")
     alive = classes.join(shared, "short", "left").where("coalesce(shared, 0) >= chosen - n div 5")
     alive = saved(alive.select("key", "doc_id"), "alive")
     # texts of survivors: by a bucket of their id first, of which there is a fixed number
@@ -389,10 +419,14 @@ def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """
     rows, groups = join_classes(docs, keep)
     cols = ["doc_id", F.col("n").alias("n_shingles"), "component_id", *keep]
-    own = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("own"))
-    own = own.join(groups, "key", "left").select("key", F.least("own", "component").alias("component_id"))
-    with_words = rows.where("n > 0").join(own, "key").select(cols)
-    return with_words.unionByName(rows.where("n = 0").withColumn("component_id", F.col("doc_id")).select(cols))
+    some = rows.where("n > 0")
+    own = some.groupBy("key").agg(F.min("doc_id").alias("own"), F.count("*").alias("copies"))
+    own = saved(own.join(groups, "key", "left").select("key", "copies", F.least("own", "component").alias("component_id")), "classes")
+    # classes that hold at least one row in HOT are HOT at most: these go to every task, the others' rows to their key's
+    hot = F.broadcast(own.where(F.col("copies") * HOT >= max(1, rows.count())).select("key", "component_id"))
+    often = some.join(hot, "key").select(cols)
+    seldom = some.join(hot, "key", "left_anti").join(own, "key").select(cols)
+    return often.unionByName(seldom).unionByName(rows.where("n = 0").withColumn("component_id", F.col("doc_id")).select(cols))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
