@@ -12,7 +12,6 @@ from pyspark.sql.window import Window
 
 from lodestrata.functions.exprs import js_round, saved_pct
 
-_SAVED = F.greatest(F.lit(0), F.col("tokens_would_be") - F.col("tokens_returned"))
 DAY_MS = 86_400_000
 #: Intent of each tool; every other tool is for reading.
 INTENTS = {
@@ -25,13 +24,18 @@ INTENTS = {
 }
 
 
+def _saved() -> Column:
+    """What a call saved; a call that returned more than a plain read saved nothing."""
+    return F.greatest(F.lit(0), F.col("tokens_would_be") - F.col("tokens_returned"))
+
+
 def session_totals(calls: DataFrame) -> DataFrame:
     g = calls.agg(F.count("*").alias("n_calls"), F.sum("tokens_returned").alias("returned"), F.sum("tokens_would_be").alias("would_be"))
     return g.withColumn("saved", F.col("would_be") - F.col("returned")).withColumn("saved_pct", saved_pct(F.col("returned"), F.col("would_be")))
 
 
 def by_tool(calls: DataFrame) -> DataFrame:
-    g = calls.groupBy("tool").agg(F.count("*").alias("n_calls"), F.sum("tokens_returned").alias("returned"), F.sum(_SAVED).alias("saved"), F.sum("tokens_would_be").alias("would_be"))
+    g = calls.groupBy("tool").agg(F.count("*").alias("n_calls"), F.sum("tokens_returned").alias("returned"), F.sum(_saved()).alias("saved"), F.sum("tokens_would_be").alias("would_be"))
     return g.withColumn("reduction_pct", saved_pct(F.col("returned"), F.col("would_be")))
 
 
@@ -41,13 +45,13 @@ def top(df: DataFrame, metric: str, tie: str, k: int) -> DataFrame:
 
 
 def by_file(calls: DataFrame, k: int = 3) -> DataFrame:
-    g = calls.where("path is not null and path <> ''").groupBy("path").agg(F.sum(_SAVED).alias("saved"))
+    g = calls.where("path is not null and path <> ''").groupBy("path").agg(F.sum(_saved()).alias("saved"))
     return top(g, "saved", "path", k)
 
 
 def cache_hits(calls: DataFrame) -> DataFrame:
     hit = F.coalesce(F.col("session_cache_hit"), F.lit(False))
-    g = calls.agg(F.count("*").alias("n_calls"), F.count_if(hit).alias("hits"), F.coalesce(F.sum(F.when(hit, _SAVED)), F.lit(0)).alias("saved_by_hits"))
+    g = calls.agg(F.count("*").alias("n_calls"), F.count_if(hit).alias("hits"), F.coalesce(F.sum(F.when(hit, _saved())), F.lit(0)).alias("saved_by_hits"))
     return g.withColumn("hit_pct", F.when(F.col("n_calls") > 0, js_round(F.col("hits") / F.col("n_calls") * 100)).otherwise(F.lit(0).cast("long")))
 
 
@@ -56,7 +60,7 @@ def low_value_tools(calls: DataFrame, pct: int = 20, k: int = 5) -> DataFrame:
 
 
 def by_category(calls: DataFrame) -> DataFrame:
-    return calls.groupBy(F.coalesce("savings_category", F.lit("none")).alias("category")).agg(F.count("*").alias("n_calls"), F.sum(_SAVED).alias("saved"))
+    return calls.groupBy(F.coalesce("savings_category", F.lit("none")).alias("category")).agg(F.count("*").alias("n_calls"), F.sum(_saved()).alias("saved"))
 
 
 def by_intent(calls: DataFrame) -> DataFrame:
@@ -208,7 +212,7 @@ def profile_advice(calls: DataFrame, profiles: dict[str, list[str]], least: int
 
 def status_line(events: DataFrame, calls: DataFrame) -> DataFrame:
     """Savings per session from both logs: events as they are, calls clamped each."""
-    one = events.groupBy("session_id").agg(F.sum("saved_tokens").alias("s")).unionByName(calls.groupBy("session_id").agg(F.sum(_SAVED).alias("s")))
+    one = events.groupBy("session_id").agg(F.sum("saved_tokens").alias("s")).unionByName(calls.groupBy("session_id").agg(F.sum(_saved()).alias("s")))
     return one.groupBy("session_id").agg(F.sum("s").alias("saved"))
 
 
