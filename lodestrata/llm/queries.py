@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import fingerprint, htmlmain, langid, mixing, ngramjoin, packing, pii, quality, warc
+from lodestrata.llm import fingerprint, htmlmain, langid, mixing, ngramjoin, packing, paragraphs, pii, quality, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeats(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_pii": op2_pii,
@@ -54,6 +58,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_fingerprints": op6_fingerprints,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_html_extraction": op8_html_extraction,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.llm import fingerprint, htmlmain, langid, mixing, ngramjoin, packing, pii, pii_model, quality, shingles, warc
+from lodestrata.llm import fingerprint, htmlmain, langid, mixing, ngramjoin, packing, paragraphs, pii, pii_model, quality, shingles, warc
 from lodestrata.llm.common import components
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -362,3 +362,43 @@ def test_evolve_beats_or_matches_best_fit():
     assert sorted(i for b in best for i in b) == list(range(300))
     assert all(sum(sizes[i] for i in b) <= packing.SEQUENCE for b in best)
     assert packing.least_bins(sizes) <= len(best) <= len(first)
+
+
+def test_repeated_passages(spark, none):
+    rng = random.Random(7)
+
+    def some(n):
+        return " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+
+    passage, line = some(55), some(60).split()
+    near = [*line[:30], "changed", *line[31:]]
+    rows = [(i, "\n".join(some(rng.randint(5, 80)) for _ in range(3))) for i in range(20)]
+    rows += [(100, some(33) + " " + passage + " " + some(21)), (101, some(7) + "\n" + passage), (102, passage + " " + some(90)), (103, some(9) + "\n" + " ".join(line) + "\n" + some(5)), (104, " ".join(near))]
+    rows += [(105, None), (106, ""), (107, "short " * 3), (None, passage), (108, "again and " * 30), (109, some(80))]
+    rows += [rows[-1]]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(1)).repartition(3)
+    found = {r.doc_id: r for r in paragraphs.repeats(d).collect()}
+    assert set(found) == {100, 101, 102, 103, 104}
+    texts = dict(rows)
+    for i in (100, 101, 102):
+        (a, z), *more = [tuple(map(int, x.split(":"))) for x in found[i].spans.split(",")]
+        assert not more and z - a >= 32 and " ".join(texts[i].split()[a:z]) in passage
+    assert [found[i].n_removed > 0 for i in (100, 101, 102, 103, 104)] == [False, True, True, False, True]
+    assert (found[103].spans, found[104].removed) == ("9:69", "0:60")
+    cut = {r.doc_id: r.text for r in paragraphs.without_repeats(d.where("doc_id >= 100")).collect()}
+    assert cut[100] == texts[100] and cut[104] == "" and len(cut[101].split()) == 7 + 55 - found[101].n_removed
+    assert cut[105] is None and paragraphs.repeats(none).count() == 0
+
+
+def test_any_shared_passage_holds_an_anchored_paragraph():
+    rng = np.random.default_rng(3)
+    n = paragraphs.WORDS + paragraphs.SPREAD
+    for _ in range(200):
+        p = rng.integers(0, 2**63, n).astype(np.uint64)
+        a, b = (np.concatenate([rng.integers(0, 2**63, rng.integers(0, 60)).astype(np.uint64), p, rng.integers(0, 2**63, rng.integers(0, 60)).astype(np.uint64)]) for _ in range(2))
+        assert set(paragraphs.windows(a)[1].tolist()) & set(paragraphs.windows(b)[1].tolist())
+
+
+def test_bands_reach_their_recall():
+    b, r = paragraphs.tuned(0.8, 0.99)
+    assert 1 - (1 - 0.8**r) ** b >= 0.99 and (b, r) == (paragraphs.BANDS, paragraphs.ROWS)
