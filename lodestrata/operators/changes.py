@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Commit classes by prefix, then by whole words, in the order in which they are tried.
+from lodestrata.plans.ranges import overlap_join
+
+#: Commit classes by prefix, then by whole words, in the order in which they are tried.
 PREFIXES = {"feat": "feat", "fix": "fix", "refactor": "refactor", "docs?": "docs", "tests?": "test", "chore": "chore", "style": "style", "perf": "perf"}
 KEYWORDS = {
     "fix|bug|hotfix|patch": "fix",
@@ -83,10 +85,10 @@ def hunks(parsed: DataFrame) -> DataFrame:
 
 
 def affected_symbols(hunks_: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Symbols that a hunk of their file touches. What kind of change it was is judged by all hunks of the file. The path is an equal key, the ranges are a residual."""
+    """Symbols that a hunk of their file touches. What kind of change it was is judged by all hunks of the file."""
     of = hunks_.groupBy("path").agg(F.bool_or("has_added").alias("a"), F.bool_or("has_removed").alias("r"))
     end = F.when(F.col("new_count") > 0, F.col("new_start") + F.col("new_count") - 1).otherwise(F.col("new_start"))
-    hit = symbols.join(hunks_.select("path", "new_start", end.alias("new_end")), "path").where("new_start <= end_line and new_end >= start_line")
+    hit = overlap_join(symbols, hunks_.select("path", "new_start", end.alias("new_end")), ["path"], ("start_line", "end_line"), ("new_start", "new_end"))
     one = hit.groupBy("path", "name").agg(F.min("new_start").alias("first_hunk"))
     kind = F.when(F.col("a") & ~F.col("r"), "ADDED").when(F.col("r") & ~F.col("a"), "REMOVED").otherwise("MODIFIED")
     return one.join(of, "path").select("path", "name", "first_hunk", kind.alias("change"))
@@ -95,7 +97,7 @@ def affected_symbols(hunks_: DataFrame, symbols: DataFrame) -> DataFrame:
 def regions(hunks_: DataFrame, targets: DataFrame) -> DataFrame:
     """Hunks that overlap a target range of their file (start, end)."""
     end = F.greatest(F.col("new_start"), F.col("new_start") + F.col("new_count") - 1)
-    return hunks_.join(targets, "path").where((F.col("new_start") <= F.col("end")) & (end >= F.col("start"))).select("path", "new_start", "new_count")
+    return overlap_join(hunks_.withColumn("new_end", end), targets, ["path"], ("new_start", "new_end"), ("start", "end")).select("path", "new_start", "new_count")
 
 
 def multiset_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -113,7 +115,7 @@ def name_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, ["path", "name"], "full").select("path", "name", F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").otherwise("unchanged").alias("change"))
 
 
-#: Runner by its command; the first that matches.
+#: Runner by its command; the first that matches.
 RUNNERS = {"vitest": "vitest", "jest": "jest", "pytest": "pytest|py\\.test", "phpunit": "phpunit|pest", "go": "\\bgo test", "cargo": "cargo test", "rspec": "rspec", "mocha": "mocha", "node": "node --test"}
 
 

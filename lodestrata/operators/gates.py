@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Tools that read whole files, endings of code, task marks.
 FULL_READS = ("smart_read", "read_range", "read_symbol")
 _CODE = r"\.(ts|tsx|js|jsx|py|go|rs|java|kt|rb|php|c|h|cpp|cs|swift)\b"
 TAGS = ("TODO", "FIXME", "HACK", "XXX", "NOTE", "WARN", "WARNING", "BUG")

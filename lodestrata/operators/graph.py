@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: File endings of each language alias; an unknown alias is taken as an ending itself.
+#: File endings of each language alias; an unknown alias is taken as an ending itself.
 LANGUAGES = {"python": [".py"], "py": [".py"], "typescript": [".ts", ".tsx"], "ts": [".ts", ".tsx"], "go": [".go"], "javascript": [".js", ".jsx"], "rust": [".rs"]}
+#: What the paths of tests look like, and names that are constructors.
 TEST_PATH = r"(^|/)(tests?|__tests__|spec)/|\.(test|spec)\.[^/]+$|_test\.[^/.]+$|(^|/)test_[^/]+$"
 CONSTRUCTORS = ("constructor", "__init__", "__construct", "init", "new")
 

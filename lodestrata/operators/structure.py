@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from lodestrata.runtime import ship
 
-#: Words that look like names of methods and are none.
+#: Words that look like names of methods and are none, lengths, and the patterns of declarations.
 NOT_NAMES = ("if", "for", "while", "switch", "catch", "return", "else", "new", "function", "typeof", "await", "throw", "super")
 SIGNATURE = 120
 #: Lines that a method is taken to have after its first.

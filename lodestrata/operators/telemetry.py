@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from lodestrata.functions.exprs import js_round, saved_pct
 
 DAY_MS = 86_400_000
-#: Intent of each tool; every other tool is for reading.
+#: Intent of each tool; every other tool is for reading.
 INTENTS = {
     "read_for_edit": "edit",
     "smart_diff": "review", "smart_log": "review", "read_diff": "review",
