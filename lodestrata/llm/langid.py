@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import saved
+from lodestrata.llm.shingles import encoded
 from lodestrata.runtime import ship
 
 #: Labelled rows that the text model is fitted on, at most: those of the smallest hashes of their ids.
@@ -41,7 +42,7 @@ LEAST = 0.5
 #: Parts into which the rows of a value are dealt when they look it up.
 SALTS = 8
 #: Bytes hashed at once.
-SLICE = 1 << 21
+SLICE = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -59,10 +60,9 @@ def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     b = np.where(letter, b, np.uint8(32)).astype(np.uint32)
     h = (b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]) * np.uint32(0x9E3779B1)
     bucket = (h >> np.uint32(32 - BITS)).astype(np.intp)
-    ends = np.cumsum([len(t) + 2 for t in texts])
     # a trigram belongs to the text in which its middle byte stands; the blanks between texts keep them apart
-    own = np.searchsorted(ends, np.arange(len(bucket)), side="right")
-    good = letter[1:-1] & (own < len(texts))
+    own = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) + 2 for t in texts])
+    good = letter[1:-1]
     return own[good], bucket[good]
 
 
@@ -96,9 +96,8 @@ class TextModel:
         self.table = np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
         self.table -= self.table.max(0)  # only differences between languages count
 
-    def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def scores(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(tempered log likelihoods, one row per text; number of trigrams)."""
-        raw = [(t or "").encode() for t in texts]
         total, n = np.zeros((len(raw), len(self.langs))), np.zeros(len(raw), np.int64)
         for at, part in _parts(raw):
             own, bucket = trigrams(part)
@@ -124,13 +123,12 @@ def fitted(labelled: DataFrame, text: str = "text", lang: str = "lang", sample:
 
 def _scored(batches: Iterator[pa.RecordBatch], model: TextModel, names: list[str]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        s, n = model.scores(b.column("_text").to_pylist())
-        cols = [b.column(x) for x in names]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(list(s), pa.list_(pa.float64())), pa.array(n, pa.int64())], [*names, "text_log", "n_grams"])
-
-
-def _vector(c: Column, k: int) -> list[Column]:
-    return [c[i] for i in range(k)]
+        at = 0
+        for raw in encoded(b.column("_text")):
+            s, n = model.scores(raw)
+            cols = [b.column(x).slice(at, len(raw)) for x in names]
+            at += len(raw)
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(list(s), pa.list_(pa.float64())), pa.array(n, pa.int64())], [*names, "text_log", "n_grams"])
 
 
 def _sums(k: int, name: str = "p") -> list[Column]:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import ROW, components, saved, with_row_hash, without
-from lodestrata.llm.shingles import mixed, shingle_sets
+from lodestrata.llm.shingles import encoded, mixed, shingle_sets
 from lodestrata.runtime import ship
 
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -40,13 +40,16 @@ PERCENT = 80
 CHUNK, NODES_CHUNK, BUCKETS = 8192, 1024, 1 << 20
 #: Shingles of a candidate component that one task verifies; larger ones are cut into blocks of as many.
 BLOCK = 4_000_000
+#: Shingles that one task counts, and tasks at most: the parts grow with the input where the session's setting does not.
+PART, MOST_PARTS = 4_000_000, 1 << 16
 #: A class of more than one row in so many is sent to every task.
 HOT = 4096
 _U = np.uint64
 
 
 def _sets(b: pa.RecordBatch) -> Iterator[np.ndarray]:
-    return shingle_sets([(t or "").encode() for t in b.column("text").to_pylist()])
+    for texts in encoded(b.column("text")):
+        yield from shingle_sets(texts)
 
 
 def _chosen(s: np.ndarray) -> np.ndarray:
@@ -372,10 +375,12 @@ def _large(members: DataFrame, per: DataFrame) -> DataFrame:
 def join_classes(docs: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, n, key, and keep; groups: key, component): classes with a link have the smallest doc_id of their component's. keep: long columns."""
     spark = ship(docs.sparkSession)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts_for = lambda n: min(MOST_PARTS, max(least, -(-(n or 0) // PART)))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("long").alias(c) for c in keep], F.col("text").cast("string").alias("text"))
     rows = saved(kept.mapInArrow(_rows, "doc_id long, " + "".join(f"{c} long, " for c in keep) + "n long, chosen long, key binary, short long"), "rows")
+    parts = parts_for(rows.agg(F.sum("chosen")).first()[0])
     classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("chosen").alias("chosen"), F.first("short").alias("short"))
     blobs = d.mapInArrow(lambda it: _blobs(it, parts), "part int, tokens binary, owners binary, classes binary")
     shared = blobs.repartitionById(parts, F.col("part")).mapInArrow(lambda it: _shared(it, parts), "part int, classes binary, counts binary")
@@ -387,8 +392,9 @@ def join_classes(docs: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame
     few = d.withColumn("bucket", bucket).join(F.broadcast(alive.select(bucket).distinct()), "bucket", "left_semi").select("text")
     nodes = few.mapInArrow(_nodes, "chunk long, key binary, n long, tokens binary").where("n > 0")
     nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    counts = nodes.select("chunk", "tokens").mapInArrow(lambda it: _chunk_counts(it, parts), "part int, chunk long, tokens binary, counts binary")
-    known = counts.repartitionById(parts, F.col("part")).mapInArrow(_frequencies, "chunk long, tokens binary, df binary")
+    node_parts = parts_for(nodes.agg(F.sum("n")).first()[0])
+    counts = nodes.select("chunk", "tokens").mapInArrow(lambda it: _chunk_counts(it, node_parts), "part int, chunk long, tokens binary, counts binary")
+    known = counts.repartitionById(node_parts, F.col("part")).mapInArrow(_frequencies, "chunk long, tokens binary, df binary")
     pre = nodes.select("chunk", "node", "n", "tokens").groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_prefixes, "node long, n long, weight double, a binary, b binary")
     pre = saved(pre, "prefixes")
     post = pre.select("a", "node", "weight").mapInArrow(_postings, "token long, node long, weight double")

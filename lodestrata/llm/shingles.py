@@ -20,6 +20,18 @@ _BASE, _STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _GAP = re.compile(b"[ \t-\r]")
 
 
+#: Rows of a batch that are turned into Python values at once.
+STEP = 256
+
+
+def encoded(column) -> Iterator[list[bytes]]:
+    """The texts of an Arrow column as UTF-8, a few rows at a time; a null is empty."""
+    import pyarrow as pa
+
+    for at in range(0, len(column), STEP):
+        yield [t or b"" for t in column.slice(at, STEP).cast(pa.binary()).to_pylist()]
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
