@@ -30,8 +30,8 @@ ISLAND, POPULATIONS, SIZE, GENERATIONS, EPOCH = 4096, 2, 4, 12, 4
 #: A bin with at most this many free tokens is well filled.
 SLACK = 8
 ROUNDS = 8
-#: Words that one worker remembers the ids of; beyond it starts anew, which costs time and nothing else.
-REMEMBERED = 3_000_000
+#: Words, and words with their punctuation, that one worker remembers the ids of; beyond it starts anew, which costs time and nothing else.
+REMEMBERED = 600_000
 
 
 class Encoder:
