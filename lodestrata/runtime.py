@@ -12,8 +12,13 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+#: Bytes of an Arrow batch on its way to Python: several copies of it live at once in a worker and beside it.
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Send the package's source to the executors, once per application; they need no installed copy of it."""
+    """Send the package's source to the executors, once per application; they need no installed copy of it. Arrow batches of the session are bounded to BATCH_BYTES."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         here = Path(__file__).parent
