@@ -37,7 +37,9 @@ from lodestrata.runtime import ship
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Documents in a chunk of the count filter, classes in a chunk of the frequencies, buckets of ids that go to every task.
-CHUNK, NODES_CHUNK, BUCKETS = 8192, 1024, 1 << 20
+CHUNK, NODES_CHUNK, BUCKETS = 4096, 1024, 1 << 20
+#: Hashes in a chunk of the count filter, for the memory of its task.
+CHUNK_HASHES = 600_000
 #: Shingles of a candidate component that one task verifies; larger ones are cut into blocks of as many.
 BLOCK = 4_000_000
 #: Shingles that one task counts, and tasks at most: the parts grow with the input where the session's setting does not.
@@ -119,7 +121,7 @@ def _blobs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordB
             sets.append(s)
             keys.append(key)
             held += len(s)
-            if len(sets) >= CHUNK or held >= 2_000_000:
+            if len(sets) >= CHUNK or held >= CHUNK_HASHES:
                 yield from out(sets, keys)
                 sets, keys, held = [], [], 0
                 seen.clear()  # copies in other chunks are told apart by the part that counts

@@ -10,7 +10,7 @@ import numpy as np
 #: Words in a shingle.
 WIDTH = 5
 #: Bytes hashed at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
