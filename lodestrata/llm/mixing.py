@@ -151,11 +151,14 @@ class Mix:
         q = q.withColumn("groups", F.least(F.lit(shards), F.greatest(F.lit(1), F.ceil(F.col("quota") / GROUP_SLOTS))).cast("long"))
         q = q.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
         q = q.select("source_id", "blocks", "quota", "groups", "group", F.lit(shards).cast("long").alias("shards"), F.lit(seed).cast("long").alias("seed"))
-        self.slots = q.repartition("source_id", "group").mapInArrow(_draw, "shard long, source_id long, slot long, block long")
+        # as many tasks as a shuffle has: the rows are few, but not what each makes
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.slots = q.repartition(parts, "source_id", "group").mapInArrow(_draw, "shard long, source_id long, slot long, block long")
 
     def segments(self) -> DataFrame:
         """The parts of documents in each block, with how often the mix takes them: the join by block number."""
-        times = self.slots.groupBy("source_id", "block").agg(F.count("*").alias("times"))
+        # the planner takes the slots for as few as the rows they are made from, and would broadcast them
+        times = self.slots.groupBy("source_id", "block").agg(F.count("*").alias("times")).hint("merge")
         p = self.placed.where("size > 0")
         b = F.lit(self.block)
         p = p.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b))))
