@@ -47,6 +47,8 @@ SPACE = re.compile(r"[ \t\n\r\f\v]+")
 PARAGRAPHS = frozenset("h1 h2 h3 h4 h5 h6 li blockquote pre figcaption dt dd td th".split())
 #: Weights of neighbouring paths in smoothing.
 KERNEL = (0.25, 0.5, 0.25)
+#: Weight of the score of a path through an element that is named as content.
+NAMED = 3.0
 
 
 def _decoded(text: str) -> str:
@@ -137,15 +139,11 @@ def main_text(page: str | None) -> str:
     def smooth(x: list[float]) -> list[float]:
         return [sum(w * x[min(max(i + k, 0), len(x) - 1)] for k, w in zip((-1, 0, 1), KERNEL, strict=True)) for i in range(len(x))]
 
-    fused = [a * b for a, b in zip(smooth(ratio), smooth(dots), strict=True)]
-    named = [any(x.endswith(".+") for x in p) for p in order]
-    if any(named):
-        # a path through an article element outweighs any ratio; paths beside it would need its weight too
-        keep = {p for p, good in zip(order, named, strict=True) if good}
-    else:
-        cut = max(0.2 * max(fused), min(fmean(fused), pstdev(fused)) if len(fused) > 1 else 0.0)
-        own = [a * b for a, b in zip(ratio, dots, strict=True)]  # smoothing must not lift a poor path beside a rich one
-        keep = {p for p, f, o in zip(order, fused, own, strict=True) if f >= cut and o >= 0.1 * max(own)}
+    weight = [NAMED if any(x.endswith(".+") for x in p) else 1.0 for p in order]
+    fused = [a * b * w for a, b, w in zip(smooth(ratio), smooth(dots), weight, strict=True)]
+    cut = max(0.2 * max(fused), min(fmean(fused), pstdev(fused)) if len(fused) > 1 else 0.0)
+    own = [a * b * w for a, b, w in zip(ratio, dots, weight, strict=True)]  # smoothing must not lift a poor path beside a rich one
+    keep = {p for p, f, o in zip(order, fused, own, strict=True) if f >= cut and o >= 0.1 * max(own)}
     return "\n".join(text for path, (_, text, _) in zip(lead, found, strict=True) if path in keep)
 
 

@@ -269,6 +269,14 @@ def test_page_without_article():
     assert htmlmain.main_text(f"<body><ul><li><a>x</a><li>y</ul><div>{body}</div><div>foot</div></body>").count("\n") == 4
 
 
+def test_ratios_decide_inside_a_named_wrapper():
+    body = "".join(f"<p>A long sentence, with commas, and words that go on for a while. Part {i}.</p>" for i in range(5))
+    links = "".join(f"<li><a href='/{i}'>link {i}</a>" for i in range(8))
+    for wrapper in ("div class='main'", "div id='content'", "main", "article"):
+        out = htmlmain.main_text(f"<body><{wrapper}><div><ul>{links}</ul></div><section>{body}</section><div>more</div></{wrapper.split()[0]}></body>")
+        assert out.count("\n") == 4 and "link" not in out and "more" not in out
+
+
 def _targets(size):
     weight = dict(zip(sorted(size, key=lambda s: (s is None, s or "")), [3, 1, 2] * len(size), strict=False))
     out, left = dict.fromkeys(size, 0.0), 1.5 * sum(size.values())
