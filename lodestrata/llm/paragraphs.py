@@ -2,7 +2,8 @@
 
 Two kinds of paragraphs are looked at. Lines of at least WORDS words bear MinHash bands of their
 five-word shingles; the bands are tuned to a recall at the similarity asked for, and lines that collide
-with the first of their bucket are verified by exact Jaccard similarity and clustered by components. And,
+are verified by exact Jaccard similarity and clustered by components: first each with the first of its
+bucket, then, in buckets that this leaves in several clusters, all with all, in blocks. And,
 as a passage may stand in the middle of a line, each text is also cut at anchors that its own words set: of
 any SPREAD neighbouring word pairs the one of the least hash is an anchor, and the WORDS words from each
 anchor on are a paragraph, whose one band is the hash of its words. Any passage of WORDS + SPREAD - 1 words
@@ -31,6 +32,8 @@ from lodestrata.runtime import ship
 #: Words of the shortest paragraph; neighbouring word pairs of which one is an anchor.
 WORDS, SPREAD = 32, 19
 PERCENT, RECALL = 80, 0.99
+#: Lines of a bucket compared with as many others at once; numbers of shingles looked at together.
+BLOCK, COLUMNS = 64, 1 << 13
 _U = np.uint64
 
 
@@ -186,6 +189,91 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of sets share."""
+    out = np.zeros((len(sets), len(sets)))
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    shared = times > 1
+    row, column = row[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for at in range(0, int(shared.sum()), COLUMNS):
+        a, z = np.searchsorted(column, (at, at + COLUMNS))
+        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m[row[a:z], column[a:z] - at] = 1
+        out += m @ m.T
+    return out
+
+
+def _joined(held: list[tuple]) -> list[tuple[int, int]]:
+    """Pairs that are near among lines (set's hash, least and greatest root, block, shingles); of those that connect the same, one."""
+    if min(x[1] for x in held) == max(x[2] for x in held):
+        return []
+    sets = [np.frombuffer(x[4], _U) for x in held]
+    size, block = np.array([len(x) for x in sets]), np.array([x[3] for x in held])
+    common = _common(sets)
+    good = 100 * common >= PERCENT * (size[:, None] + size - common)
+    if block.min() < block.max():
+        good &= block[:, None] != block
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for c, lo, *_ in held:
+        up[top(c)] = top(lo)
+    out = []
+    for i, j in np.argwhere(np.triu(good, 1)).tolist():
+        a, b = top(held[i][0]), top(held[j][0])
+        if a != b:
+            up[a] = b
+            out.append((held[i][0], held[j][0]))
+    return out
+
+
+def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Near pairs (a, b) of each two blocks of a bucket, of which rows come one behind the other."""
+    at, held = None, []
+
+    def out() -> pa.RecordBatch:
+        pairs = np.array(_joined(held) if len(held) > 1 else [], np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    for b in batches:
+        for key, i, j, *row in zip(*(b.column(c).to_pylist() for c in ("key", "i", "j", "c", "lo", "hi", "block", "shingles")), strict=True):
+            if (key, i, j) != at:
+                yield out()
+                at, held = (key, i, j), []
+            held.append(tuple(row))
+    yield out()
+
+
+def _rest(members: DataFrame, sets: DataFrame, near: DataFrame) -> DataFrame | None:
+    """Edges (a, b) between the roots of near and the hashes of sets, for pairs of a bucket that near leaves apart; members: (key, unit, leads)."""
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    c = F.xxhash64("shingles").alias("c")
+    of = sets.select("unit", c).join(near.withColumnRenamed("node", "unit").hint("merge"), "unit", "left").select("unit", "c", F.coalesce("root", "unit").alias("root"))
+    # all have been compared with the first of their bucket; lines of equal sets are compared once
+    mine = saved(members.where("not leads").select("key", "unit").join(of.hint("merge"), "unit").select("key", "c", "root").distinct(), "members")
+    each = mine.groupBy("key", "c").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    apart = each.groupBy("key").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"), F.count("*").alias("size")).where("_lo <> _hi").select("key", "size")
+    apart = saved(apart, "apart")
+    if apart.isEmpty():
+        return None
+    alike = mine.join(apart.hint("merge"), "key", "left_semi").select(F.col("root").alias("a"), F.col("c").alias("b")).distinct()
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    todo = each.join(apart.hint("merge"), "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("c", F.lit(5)), F.col("blocks")).cast("int"))
+    todo = todo.where("size > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    todo = todo.select("key", "c", "lo", "hi", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    asked = todo.select("c").distinct()
+    held = sets.select(c, "shingles").join(asked.hint("merge"), "c", "left_semi").dropDuplicates(["c"])
+    dealt = todo.join(held.hint("merge"), "c").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return alike.union(dealt.select("key", "i", "j", "c", "lo", "hi", "block", "shingles").mapInArrow(_crossed, "a long, b long"))
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Paragraphs of a document in order of their places, merged to spans."""
     names = ["doc_id", "n_spans", "n_repeated", "n_removed", "spans", "removed"]
@@ -244,8 +332,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     pairs = lines.where("a <> b").select("a", "b").distinct()
     pairs = pairs.join(sets.select(F.col("unit").alias("a"), F.col("shingles").alias("s")).hint("merge"), "a").join(sets.select(F.col("unit").alias("b"), F.col("shingles").alias("first_s")).hint("merge"), "b")
     near = components(pairs.select("a", "b", "s", "first_s").mapInArrow(_verified, "a long, b long"))
+    near = saved(near, "near")
+    members = found.where("not whole").select("key", unit("").alias("unit"), (F.struct("doc_id", "start", "n") == F.col("first")).alias("leads"))
     of = lines.select("doc_id", "start", "n", F.col("a").alias("node")).union(lines.select("first.doc_id", "first.start", "first.n", "b")).distinct()
-    of = saved(of.join(near.hint("merge"), "node"), "lines")
+    of = of.join(near.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = _rest(members, sets, near)
+    if rest is not None:
+        of = of.join(components(rest).select(F.col("node").alias("root"), F.col("root").alias("up")).hint("merge"), "root", "left").withColumn("root", F.coalesce("up", "root")).drop("up")
+    of = saved(of, "lines")
     head = of.groupBy("root").agg(F.min(F.struct("doc_id", "start", "n")).alias("first"), F.max("doc_id").alias("hi")).where("first.doc_id <> hi").select("root", "first")
     similar = of.join(head.hint("merge"), "root").select("doc_id", "start", "n", (F.struct("doc_id", "start", "n") != F.col("first")).alias("removed"))
     every = same.unionByName(similar)

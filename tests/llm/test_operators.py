@@ -410,3 +410,29 @@ def test_any_shared_passage_holds_an_anchored_paragraph():
 def test_bands_reach_their_recall():
     b, r = paragraphs.tuned(0.8, 0.99)
     assert 1 - (1 - 0.8**r) ** b >= 0.99 and (b, r) == (paragraphs.BANDS, paragraphs.ROWS)
+
+
+def test_lines_near_to_others_than_the_first_of_their_buckets(spark):
+    rng = random.Random(11)
+
+    def some(n):
+        return [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+
+    line = some(60)
+    rows = []
+    for i in range(200):  # each shares some shingles of the line, and so leads some of its buckets, but is near to none
+        own = list(line)
+        for a in (10, 20, 30, 40):
+            own[rng.randint(a, a + 9)] = some(1)[0]
+        rows.append((i, " ".join(own)))
+    rows += [(500, " ".join(line)), (501, " ".join([*line[:30], "changed", *line[31:]])), (502, " ".join(line[:29] + ["other"] + line[30:]))]
+    found = {r.doc_id: r.removed for r in paragraphs.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert found == {500: "", 501: "0:60", 502: "0:60"}
+
+
+def test_common_counts(monkeypatch):
+    monkeypatch.setattr(paragraphs, "COLUMNS", 7)
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 90, rng.integers(1, 60))).astype(np.uint64) for _ in range(12)]
+    common = paragraphs._common(sets)
+    assert all(common[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(12) for j in range(12) if i != j)
