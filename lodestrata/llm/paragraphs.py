@@ -5,7 +5,7 @@ five-word shingles; the bands are tuned to a recall at the similarity asked for,
 are verified by exact Jaccard similarity and clustered by components: first each with the first of its
 bucket, then, in buckets that this leaves in several clusters, all with all, in blocks. And,
 as a passage may stand in the middle of a line, each text is also cut at anchors that its own words set: of
-any SPREAD neighbouring word pairs the one of the least hash is an anchor, and the WORDS words from each
+any SPREAD neighbouring word pairs the first of the least hash is an anchor, and the WORDS words from each
 anchor on are a paragraph, whose one band is the hash of its words. Any passage of WORDS + SPREAD - 1 words
 or more that two documents share holds such a paragraph whole, wherever it stands.
 
@@ -83,14 +83,15 @@ def _of(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield from texts_words(texts)
 
 
-def _least(x: np.ndarray, width: int) -> np.ndarray:
-    """The least of each `width` neighbouring numbers, by doubling."""
-    out, have = x, 1
+def _least_at(x: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least of each `width` neighbouring numbers, the first of equal ones, by doubling."""
+    at, have = np.arange(len(x)), 1
     while have < width:
         step = min(have, width - have)
-        out = np.minimum(out[: len(out) - step], out[step:])
+        a, b = at[: len(at) - step], at[step:]
+        at = np.where(x[b] < x[a], b, a)
         have += step
-    return out
+    return at
 
 
 def windows(h: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -100,12 +101,9 @@ def windows(h: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, n
         return np.zeros(0, np.int64), np.zeros(0, _U)
     own = np.zeros(n, np.int32) if own is None else own
     pair = mixed(h[:-1] * _U(_STEP) + h[1:])
-    low = _least(pair, SPREAD)
-    inside = own[: len(low)] == own[SPREAD : SPREAD + len(low)]
-    # neighbouring stretches mostly share their least pair: only where it changes its place is looked for
-    fresh = np.concatenate(([True], (low[1:] != low[:-1]) | ~inside[:-1])) & inside
-    at = np.flatnonzero(fresh)
-    at = np.unique(at + pair[at[:, None] + np.arange(SPREAD)].argmin(1))
+    low = _least_at(pair, SPREAD)
+    # neighbouring stretches mostly share their least pair; where it recurs, each stretch has the first in it
+    at = np.unique(low[own[: len(low)] == own[SPREAD : SPREAD + len(low)]])
     at = at[at + WORDS <= n]
     at = at[own[at] == own[at + WORDS - 1]]
     out = np.zeros(len(at), _U)

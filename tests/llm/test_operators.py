@@ -407,6 +407,16 @@ def test_any_shared_passage_holds_an_anchored_paragraph():
         assert set(paragraphs.windows(a)[1].tolist()) & set(paragraphs.windows(b)[1].tolist())
 
 
+def test_shared_passages_of_few_distinct_words():
+    rng = np.random.default_rng(4)
+    some = lambda n: rng.integers(0, 4, n).astype(np.uint64)
+    for _ in range(300):
+        p = some(paragraphs.WORDS + paragraphs.SPREAD - 1)
+        (i, x), (j, y) = (paragraphs.windows(np.concatenate([before, p, some(rng.integers(0, 60))])) for before in (some(rng.integers(0, 60)), some(rng.integers(0, 60))))
+        assert set(x.tolist()) & set(y.tolist())
+    assert max(np.diff(paragraphs.windows(some(2000))[0])) <= paragraphs.SPREAD
+
+
 def test_bands_reach_their_recall():
     b, r = paragraphs.tuned(0.8, 0.99)
     assert 1 - (1 - 0.8**r) ** b >= 0.99 and (b, r) == (paragraphs.BANDS, paragraphs.ROWS)
