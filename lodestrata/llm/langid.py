@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.llm import htmlmain
 from lodestrata.llm.common import saved
 from lodestrata.llm.shingles import encoded
 from lodestrata.runtime import ship
@@ -229,3 +230,19 @@ def op3(docs: DataFrame) -> DataFrame:
     """Documents bear their source in place of a host and a declared language; they have no address."""
     model = fitted(docs)
     return identify(docs, model, host=F.col("source"), declared=F.col("lang"))
+
+
+def _page_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = [htmlmain.main_text(x) for x in b.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), b.column("declared"), pa.array(texts, pa.string())], ["page_id", "url", "declared", "text"])
+
+
+def op3_pages(pages: DataFrame, model: TextModel) -> DataFrame:
+    """Pages by their main text, the language that their markup declares, and the suffix, domain and host of their address."""
+    ship(pages.sparkSession)
+    p = pages.select("page_id", "url", declared_in(F.col("html")).alias("declared"), "html")
+    kinds = dict(p.dtypes)
+    p = p.mapInArrow(_page_texts, f"page_id {kinds['page_id']}, url {kinds['url']}, declared string, text string")
+    host, domain, suffix = address_parts(F.col("url"))
+    return identify(p, model, host=host, domain=domain, suffix=suffix, declared=F.col("declared"), keep=("page_id",))

@@ -43,6 +43,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op3(_table(spark, sf_dir, "documents"))
 
 
+def op3_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op3_pages(_table(spark, sf_dir, "pages"), langid.fitted(_table(spark, sf_dir, "documents")))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_pii": op2_pii,
     "op3_language_id": op3_language_id,
+    "op3_language_id_pages": op3_language_id_pages,
     "op4_warc": op4_warc,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_fingerprints": op6_fingerprints,

@@ -122,6 +122,16 @@ def test_language_host_prior(spark):
     assert by[100].lang_found == "y" and by[100].probability > 0.8
 
 
+def test_language_of_pages(spark):
+    """Text, markup and address are all evidence; of a page that says nothing either way, its address decides."""
+    model = langid.TextModel(["aaa bbb " * 20, "bbb ccc " * 20], ["x", "y"])
+    page = lambda lang, text: f"<html lang='{lang}-XX'><body><article><p>{text}</p></article></body></html>"
+    rows = [(i, f"https://h{i}.site.yy/a", page("y", "ccc " * 30)) for i in range(30)] + [(i, f"https://h{i}.site.xx/a", page("x", "aaa " * 30)) for i in range(30, 60)]
+    rows += [(100, "https://new.other.yy/b", "<p>bbb"), (101, "https://new.other.xx/b", "<p>bbb"), (102, None, page("y", "bbb")), (103, None, page("x", "bbb")), (104, None, None)]
+    by = {r.page_id: r for r in langid.op3_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), model).collect()}
+    assert len(by) == len(rows) and [by[i].lang_found for i in (0, 30, 100, 101, 102, 103, 104)] == ["y", "x", "y", "x", "y", "x", None]
+
+
 def test_archives(spark, tmp_path):
     big = "x" * 1500
     rows = [(1, "http://b.com/1", big), (2, "http://a.com/1", big), (3, None, None), (4, "https://A.com:80/2?q#f", "é\r\n\r\nWARC/1.0\r\n"), (5, "http://a.com/1", big + "!"), (5, "http://a.com/1", big + "!"), (None, "http://c.com", big), (7, "u", "s"), (8, "u", "s")]
