@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm import htmlmain
@@ -33,7 +33,7 @@ from lodestrata.llm.common import saved
 from lodestrata.llm.shingles import encoded
 from lodestrata.runtime import ship
 
-#: Labelled rows that the text model is fitted on, at most: those of the smallest hashes of their ids.
+#: Labelled rows that the text model is fitted on, at most (one of each language at least): of each language those of the smallest hashes of their ids.
 SAMPLE = 1500
 #: Buckets of trigram hashes; weight of a text's evidence for each trigram, and its most.
 BITS, TEMPER, MOST = 14, 0.35, 60.0
@@ -111,14 +111,18 @@ class TextModel:
 
 
 def fitted(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> TextModel:
-    """The text model of at most `sample` rows, those whose ids hash lowest: a bound that no input changes."""
+    """The text model of at most `sample` rows, an equal share of each language's and one at least: those whose ids hash lowest."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l"), F.xxhash64(F.col("doc_id"), F.lit(17)).alias("h"))
-    # about twice as many rows are let through by hash, so that no task sends many; of a long text the model takes what is enough of it
-    share = min(1.0, 2 * sample / max(1, rows.count()))
-    rows = rows.where(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    rows = rows.select(F.substring("t", 1, 4000).alias("t"), "l", "h").orderBy("h", "l", "t").limit(sample).collect()
-    if not rows:
+    counts = {r.l: r["count"] for r in rows.groupBy("l").count().collect()}
+    if not counts:
         return TextModel([""], ["und"])
+    each = max(1, sample // len(counts))
+    # the window sees about twice as many rows of a language as it keeps, and at least ten more, so that hashes seldom leave it fewer
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, (2 * each + 10) / n) * (1 << 40)) + 1)])
+    rows = rows.where(F.pmod("h", F.lit(1 << 40)) < F.element_at(share, F.col("l")))
+    # of a long text the model takes what is enough of it
+    rows = rows.select(F.substring("t", 1, 4000).alias("t"), "l", "h").withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h", "t")))
+    rows = rows.where(F.col("n") <= each).orderBy("l", "n").collect()
     return TextModel([r.t for r in rows], [r.l for r in rows])
 
 

@@ -122,6 +122,12 @@ def test_language_host_prior(spark):
     assert by[100].lang_found == "y" and by[100].probability > 0.8
 
 
+def test_every_language_has_rows_in_the_fitting_sample(spark):
+    d = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2000 == 7, "rare").when(F.col("id") % 2 == 0, "a").otherwise("b").alias("lang"), F.lit("some words").alias("text"))
+    assert langid.fitted(d, sample=30).langs == ["a", "b", "rare"]
+    assert langid.fitted(d.limit(0)).langs == ["und"]
+
+
 def test_language_of_pages(spark):
     """Text, markup and address are all evidence; of a page that says nothing either way, its address decides."""
     model = langid.TextModel(["aaa bbb " * 20, "bbb ccc " * 20], ["x", "y"])
