@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import saved
-from lodestrata.runtime import ship
+from lodestrata.runtime import lean, ship
 
 BUCKETS = 128
 #: Penalties: a bucket's step of 1, 2 or 3 quartiles; a step of the length's code; a step of a ratio's code.
@@ -78,6 +78,7 @@ def _bounds(docs: DataFrame, parts: int) -> list[int]:
     return sorted(set(at or []))
 
 
+@lean
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a range in descending order, and behind them the row that follows the range; each row meets the next."""
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]

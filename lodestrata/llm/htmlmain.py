@@ -19,7 +19,7 @@ from statistics import fmean, pstdev
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestrata.runtime import ship
+from lodestrata.runtime import lean, ship
 
 #: Elements whose text is never part of an article.
 BARRED = frozenset("script style noscript template nav header footer aside form menu dialog iframe svg math button select option textarea input label object canvas head title".split())
@@ -147,6 +147,7 @@ def main_text(page: str | None) -> str:
     return "\n".join(text for path, (_, text, _) in zip(lead, found, strict=True) if path in keep)
 
 
+@lean
 def _map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = [main_text(x) for x in b.column("html").to_pylist()]

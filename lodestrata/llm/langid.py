@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from lodestrata.llm import htmlmain
 from lodestrata.llm.common import saved
 from lodestrata.llm.shingles import encoded
-from lodestrata.runtime import ship
+from lodestrata.runtime import lean, ship
 
 #: Labelled rows that the text model is fitted on, at most (one of each language at least): of each language those of the smallest hashes of their ids.
 SAMPLE = 1500
@@ -126,6 +126,7 @@ def fitted(labelled: DataFrame, text: str = "text", lang: str = "lang", sample:
     return TextModel([r.t for r in rows], [r.l for r in rows])
 
 
+@lean
 def _scored(batches: Iterator[pa.RecordBatch], model: TextModel, names: list[str]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         at = 0
@@ -236,6 +237,7 @@ def op3(docs: DataFrame) -> DataFrame:
     return identify(docs, model, host=F.col("source"), declared=F.col("lang"))
 
 
+@lean
 def _page_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = [htmlmain.main_text(x) for x in b.column("html").to_pylist()]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.llm.common import n_words_of, saved
-from lodestrata.runtime import ship
+from lodestrata.runtime import lean, ship
 
 #: Weights of the sources in code point order, repeating; the mix's size as a share of all words; the most that a source may be repeated.
 WEIGHTS, SHARE, REPEATS = (3, 1, 2), 1.5, 2
@@ -77,6 +77,7 @@ def group_counts(total: int, groups: int, group: int, seed: int) -> tuple[int, i
     return before, total
 
 
+@lean
 def _draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["shard", "source_id", "slot", "block"]
     for b in batches:
@@ -178,6 +179,7 @@ def op9(docs: DataFrame) -> DataFrame:
 _WORD = None
 
 
+@lean
 def _assemble(batches: Iterator[pa.RecordBatch], names: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Rows of a doc_id: first the parts to take of each copy of it in the table, then the copies."""
     import re

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.common import ROW, components, saved, with_row_hash, without
 from lodestrata.llm.shingles import encoded, mixed, shingle_sets
-from lodestrata.runtime import ship
+from lodestrata.runtime import lean, ship
 
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 80
@@ -67,6 +67,7 @@ def _short(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True) or 1
 
 
+@lean
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         kept = [x for x in b.schema.names if x != "text"]
@@ -78,6 +79,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*map(b.column, kept), pa.array(n, pa.int64()), pa.array(chosen, pa.int64()), pa.array(keys, pa.binary()), pa.array([_short(k) for k in keys], pa.int64())], [*kept, "n", "chosen", "key", "short"])
 
 
+@lean
 def _blobs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Per chunk and part: hashes that the chunk's classes hold, and which class; a class of 0 says that two hold it already. Rows without hashes give the counts known inside the chunk."""
     names = ["part", "tokens", "owners", "classes"]
@@ -129,6 +131,7 @@ def _blobs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordB
         yield from out(sets, keys)
 
 
+@lean
 def _shared(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """For each part that classes are dealt to: classes, and how many of their hashes in this part another class holds too."""
     toks, owns, classes, counts = [], [], [], []
@@ -174,6 +177,7 @@ def _dealt(classes: np.ndarray, counts: np.ndarray, parts: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "classes", "counts"])
 
 
+@lean
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per class the sum of its counts."""
     classes, counts = [], []
@@ -185,6 +189,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n)], ["short", "shared"])
 
 
+@lean
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -200,6 +205,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(raw, pa.binary())], ["chunk", "key", "n", "tokens"])
 
 
+@lean
 def _chunk_counts(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Per chunk and part: the chunk's distinct shingles and how many of its classes hold each."""
     names = ["part", "chunk", "tokens", "counts"]
@@ -228,6 +234,7 @@ def _chunk_counts(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.
         yield out(at, sets)
 
 
+@lean
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per chunk: its shingles of this part that two classes or more hold, and by how many."""
     rows = [r for b in batches for r in zip(*(b.column(x).to_pylist() for x in ("chunk", "tokens", "counts")), strict=True)]
@@ -274,6 +281,7 @@ def _prefixes(key, nodes: pa.Table, known: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary()), strict=True)], ["node", "n", "weight", "a", "b"])
 
 
+@lean
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sets = [np.frombuffer(x, np.int64) for x in b.column("a").to_pylist()]
@@ -342,6 +350,7 @@ def _resolve(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
 
 
+@lean
 def _to_centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         hit = []

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import saved
-from lodestrata.runtime import ship
+from lodestrata.runtime import lean, ship
 
 SEQUENCE, END = 2048, 0
 #: Pieces on an island; populations of an island; packings in each; generations; generations between migrations.
@@ -30,8 +30,10 @@ ISLAND, POPULATIONS, SIZE, GENERATIONS, EPOCH = 4096, 2, 4, 12, 4
 #: A bin with at most this many free tokens is well filled.
 SLACK = 8
 ROUNDS = 8
-#: Words, and words with their punctuation, that one worker remembers the ids of; beyond it starts anew, which costs time and nothing else.
-REMEMBERED = 600_000
+#: Characters and ids, in bytes, of the words that one task remembers the ids of, and as many of words with their punctuation; beyond it starts anew, which costs time and nothing else.
+REMEMBERED = 8 << 20
+#: Bytes that an entry takes besides.
+ENTRY = 150
 
 
 class Encoder:
@@ -55,29 +57,40 @@ class Encoder:
         signs = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in plain)}
         token = self.TOKEN.findall
 
-        class Words(dict):
+        class Remembered(dict):
+            held = 0
+
             def __missing__(self, w: str) -> bytes:
-                if len(self) > REMEMBERED:
+                if self.held > REMEMBERED:
                     self.clear()
-                ids = [t.id for t in model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(signs))]
-                self[w] = out = struct.pack(f"<{len(ids)}I", *ids)
+                    self.held = 0
+                self[w] = out = self.made(w)
+                self.held += len(w) + len(out) + ENTRY
                 return out
 
-        words = Words()
+        class Words(Remembered):
+            @staticmethod
+            def made(w: str) -> bytes:
+                ids = [t.id for t in model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(signs))]
+                return struct.pack(f"<{len(ids)}I", *ids)
 
-        class Chunks(dict):
-            def __missing__(self, w: str) -> bytes:
-                if len(self) > REMEMBERED:
-                    self.clear()
-                self[w] = out = b"".join([words[x] for x in token(w)])
-                return out
+        class Chunks(Remembered):
+            @staticmethod
+            def made(w: str) -> bytes:
+                return b"".join([words[x] for x in token(w)])
+
+        words, self.chunks = Words(), Chunks()
+        self.words = words
 
-        self.chunk = Chunks().__getitem__
+    def forget(self) -> None:
+        for x in (self.words, self.chunks):
+            x.clear()
+            x.held = 0
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if self.PLAIN.fullmatch(text) and "<|" not in text:
-            return b"".join(map(self.chunk, text.lower().split()))
+            return b"".join(map(self.chunks.__getitem__, text.lower().split()))
         ids = self.whole.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -85,8 +98,9 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
+@lean
 def _cut(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    # one encoder for the life of a worker, which serves many tasks
+    # one vocabulary for the life of a worker, which serves many tasks
     import lodestrata.llm.packing as here
 
     enc = here._encoders.get(path) or here._encoders.setdefault(path, Encoder(path))
@@ -101,6 +115,7 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatc
                 for col, v in zip(out, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                     col.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (b.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+    enc.forget()
 
 
 def pieces(docs: DataFrame, path: str | None = None) -> DataFrame:

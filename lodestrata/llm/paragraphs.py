@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.common import BUCKETS, components, saved
 from lodestrata.llm.shingles import _STEP, SLICE, WIDTH, _cuts, _words, encoded, mixed
-from lodestrata.runtime import ship
+from lodestrata.runtime import lean, ship
 
 #: Words of the shortest paragraph; neighbouring word pairs of which one is an anchor.
 WORDS, SPREAD = 32, 19
@@ -147,6 +147,7 @@ def line_bands(h: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, size, out
 
 
+@lean
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["key", "doc_id", "start", "n", "whole"]
     for b in batches:
@@ -171,12 +172,14 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], names)
 
 
+@lean
 def _line_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [(d, a, n, s.tobytes()) for d, (h, line) in zip(b.column("doc_id").to_pylist(), _of(b), strict=True) for a, n, s in long_lines(h, line)]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 4, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "start", "n", "shingles"])
 
 
+@lean
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         good = []
@@ -232,6 +235,7 @@ def _joined(held: list[tuple]) -> list[tuple[int, int]]:
     return out
 
 
+@lean
 def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Near pairs (a, b) of each two blocks of a bucket, of which rows come one behind the other."""
     at, held = None, []
@@ -272,6 +276,7 @@ def _rest(members: DataFrame, sets: DataFrame, near: DataFrame) -> DataFrame | N
     return alike.union(dealt.select("key", "i", "j", "c", "lo", "hi", "block", "shingles").mapInArrow(_crossed, "a long, b long"))
 
 
+@lean
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Paragraphs of a document in order of their places, merged to spans."""
     names = ["doc_id", "n_spans", "n_repeated", "n_removed", "spans", "removed"]
@@ -356,6 +361,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     return d.join(asked, "_bucket", "left_anti").select("doc_id", "text").unionByName(hit)
 
 
+@lean
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import re
 

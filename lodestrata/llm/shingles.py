@@ -53,8 +53,10 @@ _tables: dict[str, np.ndarray] = {}
 
 
 def _table(name: str, base: int, n: int) -> np.ndarray:
-    if name not in _tables or len(_tables[name]) < n:
-        _tables[name] = _powers(base, max(n, 2 * SLICE))
+    if n > 2 * SLICE:  # a word longer than a slice; not kept
+        return _powers(base, n)
+    if name not in _tables:
+        _tables[name] = _powers(base, 2 * SLICE)
     return _tables[name][:n]
 
 

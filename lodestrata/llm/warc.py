@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import saved, scratch_path
-from lodestrata.runtime import ship
+from lodestrata.runtime import lean, ship
 
 #: Bytes from which an equal payload is written as a revisit.
 LEAST = 1000
@@ -126,6 +126,7 @@ def _page(urn: str | None) -> int | None:
     return int(got) if got else None
 
 
+@lean
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
@@ -191,6 +192,7 @@ class LoserTree:
             self._play(i)
 
 
+@lean
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A range's rows come run by run, each in its order; they leave merged."""
     tables = [pa.Table.from_batches([b]) for b in batches]
