@@ -17,6 +17,7 @@ from lodestrata.llm.common import words_of
 #: Words in a window; a window found twice or more marks its words as repeated.
 WINDOW = 5
 #: Rule name -> condition for failure over the measurements, in integer arithmetic. A rule's bit is its place here.
+#: Distinct words grow about with the root of all words, so their square is held against these, at any length.
 RULES = {
     "few_words": "n_words < 10",
     "repeated_windows": "100 * n_repeat_words > 20 * n_words",
@@ -25,7 +26,7 @@ RULES = {
     "odd_word_length": "word_chars < 2 * n_words or word_chars > 20 * n_words",
     "shouting": "n_upper > 50 and 2 * n_upper > word_chars",
     "exclaiming": "5 * n_exclaim > n_words",
-    "few_distinct_words": "n_words >= 20 and 100 * n_distinct_words < 5 * n_words and n_words < 2000",
+    "few_distinct_words": "n_words >= 20 and n_distinct_words * n_distinct_words < 4 * n_words",
 }
 
 
