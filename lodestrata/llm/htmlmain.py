@@ -6,11 +6,14 @@ over neighbouring paths in page order, fused by multiplying, weighted by what th
 paths over a threshold hold the content. Everything happens inside one page, so the operator is one map
 over pages: no shuffle, memory bounded by the largest page.
 
-A null or empty page has an empty text. Repeated rows give repeated rows, other columns are ignored.
+A null or empty page has an empty text. Repeated rows give repeated rows, other columns, also of the names that
+the result bears, are ignored, an empty table gives an empty one. Paths of equal scores are judged alike. White space is what
+Unicode calls so, the no-break space included. Memory is bounded by the largest page.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections.abc import Iterator
@@ -22,18 +25,23 @@ from pyspark.sql import DataFrame
 from lodestrata.runtime import lean, ship
 
 #: Elements whose text is never part of an article.
-BARRED = frozenset("script style noscript template nav header footer aside form menu dialog iframe svg math button select option textarea input label object canvas head title".split())
+BARRED = frozenset("script style noscript template nav header footer aside form menu dialog iframe svg button select option textarea input head title".split())
 #: Of these nothing inside is markup.
 RAW = frozenset("script style textarea title noscript iframe template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements inside a block: their tags neither end it nor stand for white space.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img label math mrow mi mn mo msub msup mfrac msqrt mtext semantics".split())
 #: Opening one of these ends an open p.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Of these an open sibling ends when the next one opens, up to the element that holds the list.
 SIBLINGS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",), "option": ("select",)}
-#: Words of class, id and role values that mark menus, notices, adverts and comments.
-NOT_CONTENT = re.compile(
+#: Words of class, id and role values that mark menus, notices, adverts and comments; and words that say nothing beside them.
+NOT_CONTENT = frozenset(
+    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies complementary contentinfo disqus foot footer header masthead menu modal nav navbar navigation"
+    " newsletter notice popup promo related replies reply respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
+)
+NEUTRAL = frozenset("area articles bar block bottom box buttons center container content desktop fixed form global group holder inner item items left link links list main mobile outer overlay page panel posts primary right section secondary site sticky stories text thread top unit wrap wrapper".split())
+CONTENT = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|banner|breadcrumb|breadcrumbs|comment|comments|comment-?list|cookie|cookies|consent|disqus|foot|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|popup|promo|related|replies|respond|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget|complementary|contentinfo|search)(?:$|[\s_-])",
     re.I,
 )
@@ -42,7 +50,7 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<
 ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 PUNCT = re.compile(r"[.,;:!?…]")
-SPACE = re.compile(r"[ \t\n\r\f\v]+")
+SPACE = re.compile(r"\s+")
 #: Elements that hold a container's text just as its paragraphs do.
 PARAGRAPHS = frozenset("h1 h2 h3 h4 h5 h6 li blockquote pre figcaption dt dd td th".split())
 #: Weights of neighbouring paths in smoothing.
@@ -55,6 +63,16 @@ def _decoded(text: str) -> str:
     return html.unescape(text) if "&" in text else text
 
 
+@functools.lru_cache(4096)
+def not_content(said: str) -> bool:
+    """Whether a class, id or role among these is made of words for what is no content: of `ad`, `site-header` and `commentList`, not of `related-work`."""
+    for name in said.split():
+        words = [w for w in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w not in NEUTRAL]
+        if words and NOT_CONTENT.issuperset(words):
+            return True
+    return False
+
+
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
     """(path, text, barred) of each block in page order; the text has its character references decoded and its white space joined."""
     out: list[tuple[tuple[str, ...], str, bool]] = []
@@ -63,7 +81,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
 
     def flush() -> None:
         if parts:
-            text = SPACE.sub(" ", "".join(parts)).strip(" ")
+            text = SPACE.sub(" ", "".join(parts)).strip()
             parts.clear()
             if text:
                 out.append((tuple(x[1] for x in stack), text, bool(stack) and stack[-1][2]))
@@ -113,7 +131,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, bool]]:
         if name in VOID or m[3].endswith("/"):
             continue
         said = " ".join(x or y or z for x, y, z in ATTR.findall(m[3])) if "=" in m[3] else ""
-        bad = name in BARRED or (bool(said) and bool(NOT_CONTENT.search(said))) or (bool(m[3]) and bool(HIDDEN.search(m[3])))
+        bad = name in BARRED or (bool(said) and not_content(said)) or (bool(m[3]) and bool(HIDDEN.search(m[3])))
         label = f"{name}.+" if name in ("article", "main") or (said and CONTENT.search(said)) else f"{name}.{said}" if said else name
         stack.append((name, label, bad or (bool(stack) and stack[-1][2])))
     flush()
