@@ -16,7 +16,9 @@ are joined, not broadcast, and hot values are summed before they are shuffled an
 
 Without letters a document has no text evidence. A document is rejected if it has none, or if no target
 language reaches LEAST of the posterior. Null text: no evidence, rejected. Null declarations, addresses and
-hosts: no evidence of that kind. Rows are judged one by one; repeated rows give repeated rows.
+hosts: no evidence of that kind. Rows are judged one by one; repeated rows give repeated rows. Languages of equal
+probability: the first by name. Columns of any name are ignored, an empty table gives an empty one, and a long text is
+read whole, in parts cut at blanks.
 """
 
 from __future__ import annotations
@@ -35,7 +37,9 @@ from lodestrata.runtime import lean, ship
 
 #: Labelled rows that the text model is fitted on, at most (one of each language at least): of each language those of the smallest hashes of their ids.
 SAMPLE = 1500
-#: Buckets of trigram hashes; weight of a text's evidence for each trigram, and its most.
+#: Tasks that count the sample's trigrams.
+FIT_TASKS = 8
+#: Buckets of trigram hashes; weight of a text's evidence for each trigram; trigrams whose worth of evidence a text has at most, as neighbouring ones repeat each other.
 BITS, TEMPER, MOST = 14, 0.35, 60.0
 #: Documents' worth of the level above that a host, domain or suffix starts with; and of evenness in declarations.
 STRENGTH, EVEN = 10.0, 2.0
@@ -72,8 +76,13 @@ def _parts(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
     i = 0
     while i < len(texts):
         if len(texts[i]) > SLICE:
-            for at in range(0, len(texts[i]), SLICE):
-                yield i, [texts[i][at : at + SLICE]]
+            at = 0
+            while at < len(texts[i]):  # cut where no trigram is lost: each part begins at the last cut's blank, if there is one
+                end = at + SLICE
+                end = max(texts[i].rfind(b" ", at + 1, end), texts[i].rfind(b"\n", at + 1, end)) if end < len(texts[i]) else len(texts[i])
+                end = end if end > at else at + SLICE
+                yield i, [texts[i][at:end]]
+                at = end
             i += 1
             continue
         j, size = i, 0
@@ -84,17 +93,21 @@ def _parts(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         i = j
 
 
+def gram_counts(texts: list[bytes]) -> np.ndarray:
+    """How often each bucket occurs in texts."""
+    out = np.zeros(1 << BITS)
+    for _, part in _parts(texts):
+        out += np.bincount(trigrams(part)[1], minlength=1 << BITS)
+    return out
+
+
 class TextModel:
     """log P(trigram | language), fitted by counting, smoothed by one half."""
 
-    def __init__(self, texts: list[str], langs: list[str]):
-        self.langs = sorted(set(langs))
-        counts = np.full((len(self.langs), 1 << BITS), 0.5)
-        for k, lang in enumerate(self.langs):
-            mine = [(t or "").encode() for t, x in zip(texts, langs, strict=True) if x == lang]
-            for _, part in _parts(mine):
-                counts[k] += np.bincount(trigrams(part)[1], minlength=1 << BITS)
-        self.table = np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
+    def __init__(self, counts: dict[str, np.ndarray]):
+        self.langs = sorted(counts)
+        n = np.array([counts[x] for x in self.langs]) + 0.5
+        self.table = np.log(n / n.sum(1, keepdims=True)).astype(np.float32)
         self.table -= self.table.max(0)  # only differences between languages count
 
     def scores(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -110,20 +123,45 @@ class TextModel:
         return total * scale[:, None], n
 
 
-def fitted(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> TextModel:
-    """The text model of at most `sample` rows, an equal share of each language's and one at least: those whose ids hash lowest."""
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l"), F.xxhash64(F.col("doc_id"), F.lit(17)).alias("h"))
+@lean
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per language, the counts of the task's texts."""
+    sums: dict[str, np.ndarray] = {}
+    for b in batches:
+        at = 0
+        for raw in encoded(b.column("text")):
+            langs = b.column("l").slice(at, len(raw)).to_pylist()
+            at += len(raw)
+            for lang in set(langs):
+                sums[lang] = sums.get(lang, 0) + gram_counts([t for t, x in zip(raw, langs, strict=True) if x == lang])
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([c.tobytes() for c in sums.values()], pa.binary())], ["l", "counts"])
+
+
+def sampled(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> DataFrame:
+    """(l, h, text) of at most `sample` rows, an equal share of each language's and one at least: those whose ids and texts hash lowest; equal rows count once."""
+    t = F.col(text).cast("string")
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(t.alias("text"), F.col(lang).cast("string").alias("l"), F.xxhash64(F.col("doc_id").cast("string"), t).alias("h"))
     counts = {r.l: r["count"] for r in rows.groupBy("l").count().collect()}
     if not counts:
-        return TextModel([""], ["und"])
+        return rows.limit(0)
     each = max(1, sample // len(counts))
-    # the window sees about twice as many rows of a language as it keeps, and at least ten more, so that hashes seldom leave it fewer
+    # the window sees about twice as many hashes of a language as it keeps, and at least ten more, so that they seldom leave it fewer
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, (2 * each + 10) / n) * (1 << 40)) + 1)])
-    rows = rows.where(F.pmod("h", F.lit(1 << 40)) < F.element_at(share, F.col("l")))
-    # of a long text the model takes what is enough of it
-    rows = rows.select(F.substring("t", 1, 4000).alias("t"), "l", "h").withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h", "t")))
-    rows = rows.where(F.col("n") <= each).orderBy("l", "n").collect()
-    return TextModel([r.t for r in rows], [r.l for r in rows])
+    few = rows.where(F.pmod("h", F.lit(1 << 40)) < F.element_at(share, F.col("l")))
+    last = few.select("l", "h").distinct().withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("n") <= each)
+    cuts = last.groupBy("l").agg(F.max("h").alias("cut")).collect()  # one for each language
+    upto = F.create_map(*[F.lit(x) for r in cuts for x in (r.l, r.cut)])
+    return few.where(F.col("h") <= F.element_at(upto, F.col("l"))).dropDuplicates(["l", "h"])
+
+
+def fitted(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> TextModel:
+    """The text model of the sampled rows' whole texts. Their trigrams are counted where they are; the driver adds up arrays of 2^BITS numbers, one for each task and language."""
+    ship(labelled.sparkSession)
+    rows = sampled(labelled, text, lang, sample)
+    sums: dict[str, np.ndarray] = {}
+    for r in rows.select("l", "text").coalesce(FIT_TASKS).mapInArrow(_counted, "l string, counts binary").toLocalIterator():
+        sums[r.l] = sums.get(r.l, 0) + np.frombuffer(r.counts)
+    return TextModel(sums or {"und": np.zeros(1 << BITS)})
 
 
 @lean
