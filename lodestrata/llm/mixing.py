@@ -1,18 +1,24 @@
 """Mixing sources to target weights by drawn blocks.
 
 The words of a source stand in one stream, document behind document, cut into blocks of a fixed length.
-A source gets as many slots as its target asks for. How many of them fall into each output shard is a
-multinomial draw, made by splitting counts in two from the root of a tree, so that any group of shards
-is drawn alone and the same way on every rerun. The j-th slot of a source holds the block that a keyed
-permutation of the source's block numbers has in place j modulo their number: every block comes once
-before any comes again, and without a table of the order. Blocks are joined by (source, block number).
+The output is cut into shards of equal size. Of each shard's slots a source gets the whole part of its
+share for certain; the slots that are left go to the sources by a multinomial draw over the fractions,
+seeded by the shard, so that any shard is drawn alone and the same way on every rerun. What a source gets
+is the sum of what the shards drew. (A draw of all slots would miss the target of a source of 300 blocks by 6 %
+on average; this one misses it by a block or two in one shard, and by about the root of a quarter of the shards in
+many.) The j-th slot of a source holds the block that a keyed permutation of the source's block numbers has in
+place j modulo their number: every block comes once before any comes again, and without a table of the order;
+slots beyond REPEATS of every block stay empty. Blocks are joined by (source, block number).
 
 Null texts have no words. Null sources are one source, ordered last. Rows of one doc_id are told apart
-by their place in the stream. A source without words has a target of 0.
+by their place in the stream. A source without words has a target of 0. An empty table gives an empty one.
+mixture() keeps all columns, whatever their names; of rows equal in doc_id, source and size the texts may change
+places. Memory is bounded by the longest text.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,17 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestrata.llm.common import n_words_of, saved
+from lodestrata.llm.common import fresh, n_words_of, saved
 from lodestrata.runtime import lean, ship
 
 #: Weights of the sources in code point order, repeating; the mix's size as a share of all words; the most that a source may be repeated.
 WEIGHTS, SHARE, REPEATS = (3, 1, 2), 1.5, 2
 #: Words in a block. A source's words come within about a block of its target.
 BLOCK = 64
-#: Slots in an output shard, and slots that one row of the draw may make.
-SHARD_SLOTS, GROUP_SLOTS = 1 << 14, 1 << 18
-#: Documents of one source that one running sum covers; larger sources get more chunks.
-CHUNK_DOCS = 20_000
+#: Slots in an output shard; sources that are drawn together; shards that one running sum covers.
+SHARD_SLOTS, GROUP_SOURCES, CHUNK_SHARDS = 1 << 14, 4096, 4096
 
 
 def _mixed(x: int) -> int:
@@ -58,52 +62,49 @@ def permuted(at: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def split_count(count: int, lo: int, mid: int, hi: int, seed: int) -> int:
-    """How many of count slots over shards lo..hi fall below mid."""
-    rng = np.random.default_rng([seed & (1 << 63) - 1, lo, hi])
-    return int(rng.binomial(count, (mid - lo) / (hi - lo)))
+def shard_counts(shard: int, rest: float, groups: list[float], group: int, fractions: list[float], seed: int) -> np.ndarray:
+    """How many of a shard's drawn slots each source of a group gets: a multinomial draw of groups, and in the group one of its sources.
 
-
-def group_counts(total: int, groups: int, group: int, seed: int) -> tuple[int, int]:
-    """(slots before the group, slots in it) of total slots thrown at equal groups."""
-    lo, hi, before = 0, groups, 0
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        k = split_count(total, lo, mid, hi, seed)
-        if group < mid:
-            total, hi = k, mid
-        else:
-            before, total, lo = before + k, total - k, mid
-    return before, total
+    rest: slots of a shard that are drawn, on average; groups: each group's share of them. Every task that
+    draws for a shard finds the same counts of its groups.
+    """
+    n = int(np.floor((shard + 1) * rest + 1e-9) - np.floor(shard * rest + 1e-9))
+    key = seed & (1 << 63) - 1
+    p = np.array(groups)
+    mine = int(np.random.default_rng([key, shard]).multinomial(n, p / p.sum())[group]) if n and p.sum() > 0 else 0
+    f = np.array(fractions)
+    if not mine or f.sum() <= 0:
+        return np.zeros(len(f), np.int64)
+    return np.random.default_rng([key, shard, group + 1]).multinomial(mine, f / f.sum())
 
 
 @lean
 def _draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(source_id, shard, n) of each shard and group of sources."""
+    for b in batches:
+        for shard, group, ids, share, groups, seed in zip(*(b.column(c).to_pylist() for c in ("shard", "group", "ids", "share", "groups", "seed")), strict=True):
+            whole = np.floor(share)
+            n = whole.astype(np.int64) + shard_counts(shard, sum(groups), groups, group, np.array(share) - whole, seed)
+            got = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[got]), pa.array(np.full(len(got), shard)), pa.array(n[got])], ["source_id", "shard", "n"])
+
+
+@lean
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The block of each slot of a source in a shard."""
     names = ["shard", "source_id", "slot", "block"]
     for b in batches:
-        for sid, blocks, quota, groups, group, shards, seed in zip(*(b.column(c).to_pylist() for c in ("source_id", "blocks", "quota", "groups", "group", "shards", "seed")), strict=True):
-            key = _mixed(seed * 1_000_003 + sid)
-            start, n = group_counts(quota, groups, group, key)
-            first, last = shards * group // groups, shards * (group + 1) // groups
-            if not n:
+        for sid, shard, blocks, start, n, seed in zip(*(b.column(c).to_pylist() for c in ("source_id", "shard", "blocks", "start", "n", "seed")), strict=True):
+            n = min(n, REPEATS * blocks - start)  # nothing is repeated more often
+            if n <= 0:
                 continue
-            # a group of fewer shards than slots draws their counts; else each slot draws its shard
-            rng = np.random.default_rng([key & (1 << 63) - 1, group, 7])
-            width = max(1, last - first)
-            if width <= n:
-                shard = np.repeat(np.arange(first, first + width), rng.multinomial(n, np.full(width, 1 / width)))
-            else:
-                shard = np.sort(rng.integers(first, first + width, n))
             slot = start + np.arange(n)
             epoch, at = slot // blocks, slot % blocks
             block = np.empty(n, np.int64)
             for e in range(int(epoch[0]), int(epoch[-1]) + 1):
                 own = epoch == e
-                block[own] = permuted(at[own], blocks, _mixed(key + e + 1))
-            for i in range(0, n, 1 << 16):
-                part = slice(i, i + (1 << 16))
-                m = len(slot[part])
-                yield pa.RecordBatch.from_arrays([pa.array(shard[part], pa.int64()), pa.array(np.full(m, sid), pa.int64()), pa.array(slot[part], pa.int64()), pa.array(block[part], pa.int64())], names)
+                block[own] = permuted(at[own], blocks, _mixed(_mixed(seed * 1_000_003 + sid) + e + 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard), pa.int64()), pa.array(np.full(n, sid), pa.int64()), pa.array(slot, pa.int64()), pa.array(block, pa.int64())], names)
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -135,26 +136,40 @@ class Mix:
         rows = saved(docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), n_words_of(F.col("text").cast("string")).alias("size")), "sizes")
         n = rows.count()
         self.sources = saved(targets(rows), "sources")
-        chunks = max(8, -(-n // CHUNK_DOCS))
-        r = rows.join(self.sources, rows["source"].eqNullSafe(self.sources["source"])).drop(self.sources["source"])
-        r = r.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
+        chunks = max(8, math.isqrt(n))  # chunks of a source, and rows of one in a chunk, both grow with the root
+        # rows of one id and size are one until they have their places
+        r = rows.groupBy("source", "doc_id", "size").agg(F.count("*").alias("copies"))
+        r = r.join(self.sources, r["source"].eqNullSafe(self.sources["source"])).drop(self.sources["source"])
+        r = r.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size"), F.lit(chunks))).withColumn("words", F.col("size") * F.col("copies"))
         inside = Window.partitionBy("source_id", "chunk").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        per = r.groupBy("source_id", "chunk").agg(F.sum("size").alias("n"))
+        per = r.groupBy("source_id", "chunk").agg(F.sum("words").alias("n"))
         before = Window.partitionBy("source_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
         per = per.select("source_id", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-        r = r.withColumn("start", F.sum("size").over(inside) - F.col("size")).join(per, ["source_id", "chunk"])
-        self.placed = saved(r.select("doc_id", "source", "size", "source_id", "source_size", "target", (F.col("start") + F.col("offset")).cast("long").alias("start")), "placed")
+        r = r.withColumn("start", F.sum("words").over(inside) - F.col("words")).join(per, ["source_id", "chunk"])
+        r = r.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+        self.placed = saved(r.select("doc_id", "source", "size", "source_id", "source_size", "target", (F.col("start") + F.col("offset") + F.col("copy") * F.col("size")).cast("long").alias("start")), "placed")
         q = self.sources.where("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
-        # a quota of whole blocks next to the target, at most REPEATS of each
-        q = q.withColumn("quota", F.least(F.floor(F.col("target") * F.col("blocks") / F.col("source_size") + 0.5).cast("long"), REPEATS * F.col("blocks")))
-        total = q.agg(F.sum("quota")).first()[0] or 0
-        shards = max(1, -(-total // shard_slots))
-        q = q.withColumn("groups", F.least(F.lit(shards), F.greatest(F.lit(1), F.ceil(F.col("quota") / GROUP_SLOTS))).cast("long"))
-        q = q.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
-        q = q.select("source_id", "blocks", "quota", "groups", "group", F.lit(shards).cast("long").alias("shards"), F.lit(seed).cast("long").alias("seed"))
-        # as many tasks as a shuffle has: the rows are few, but not what each makes
+        q = q.withColumn("slots", F.least(F.col("target") * F.col("blocks") / F.col("source_size"), (REPEATS * F.col("blocks")).cast("double")))
+        shards = max(1, -(-int(q.agg(F.sum("slots")).first()[0] or 0) // shard_slots))
+        # each shard gets the whole part of a source's share for certain and draws the rest
+        q = saved(q.select("source_id", "blocks", (F.col("slots") / shards).alias("share"), F.floor(F.col("source_id") / GROUP_SOURCES).cast("int").alias("group")), "shares")
+        g = q.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("source_id", "share"))).alias("s"), F.sum(F.col("share") - F.floor("share")).alias("f"))
+        g = g.select("group", F.col("s.source_id").alias("ids"), F.col("s.share").alias("share"), "f")
+        fractions = [r.f for r in g.select("group", "f").orderBy("group").collect()]  # a number for every GROUP_SOURCES sources
+        g = g.withColumns({"groups": F.array(*[F.lit(float(f)) for f in fractions]).cast("array<double>"), "seed": F.lit(seed).cast("long")})
         parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.slots = q.repartition(parts, "source_id", "group").mapInArrow(_draw, "shard long, source_id long, slot long, block long")
+        g = g.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).repartition(parts, "shard", "group")
+        #: What each shard draws: (source_id, shard, n).
+        self.draws = saved(g.mapInArrow(_draw, "source_id long, shard long, n long"), "draws")
+        # a slot's number in its source: running sums over the shards, in two levels
+        d = self.draws.withColumn("chunk", F.floor(F.col("shard") / CHUNK_SHARDS))
+        inside = Window.partitionBy("source_id", "chunk").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        upto = Window.partitionBy("source_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+        per = d.groupBy("source_id", "chunk").agg(F.sum("n").alias("of")).select("source_id", "chunk", F.coalesce(F.sum("of").over(upto), F.lit(0)).alias("upto"))
+        d = d.withColumn("start", F.sum("n").over(inside) - F.col("n")).join(per, ["source_id", "chunk"]).join(q.select("source_id", "blocks"), "source_id")
+        d = d.select("source_id", "shard", "blocks", (F.col("start") + F.col("upto")).cast("long").alias("start"), "n", F.lit(seed).cast("long").alias("seed"))
+        # as many tasks as a shuffle has: the rows are few, but not what each makes
+        self.slots = d.repartition(parts, "source_id", "shard").mapInArrow(_slots, "shard long, source_id long, slot long, block long")
 
     def segments(self) -> DataFrame:
         """The parts of documents in each block, with how often the mix takes them: the join by block number."""
@@ -176,11 +191,8 @@ def op9(docs: DataFrame) -> DataFrame:
     return full.select(cols).unionByName(none.select(cols))
 
 
-_WORD = None
-
-
 @lean
-def _assemble(batches: Iterator[pa.RecordBatch], names: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _assemble(batches: Iterator[pa.RecordBatch], names: list[str], schema: pa.Schema, size: str, part: str) -> Iterator[pa.RecordBatch]:
     """Rows of a doc_id: first the parts to take of each copy of it in the table, then the copies."""
     import re
 
@@ -190,11 +202,11 @@ def _assemble(batches: Iterator[pa.RecordBatch], names: list[str], schema: pa.Sc
     for b in batches:
         out: list[dict] = []
         for row in b.to_pylist():
-            key = (row["doc_id"], row["source"], row["_size"])
+            key = (row["doc_id"], row["source"], row[size])
             if at != key:
                 waiting, at = {}, key
-            if row["_parts"] is not None:
-                waiting.setdefault(key, []).append(row["_parts"])
+            if row[part] is not None:
+                waiting.setdefault(key, []).append(row[part])
                 continue
             parts = sorted((p["from"], p["to"], p["times"]) for p in (waiting.get(key) or [[]]).pop())
             for copy in range(1, REPEATS + 1):
@@ -208,7 +220,7 @@ def _assemble(batches: Iterator[pa.RecordBatch], names: list[str], schema: pa.Sc
                 if not runs:
                     continue
                 text = row["text"]
-                if runs != [[0, row["_size"]]]:
+                if runs != [[0, row[size]]]:
                     ends = [(m.start(), m.end()) for m in word.finditer(text)]
                     text = "\n".join(text[ends[lo][0] : ends[hi - 1][1]] for lo, hi in runs)
                 new = {n: row[n] for n in names} | {"text": text}
@@ -226,13 +238,13 @@ def mixture(docs: DataFrame) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     mix = Mix(docs)
-    part = F.struct("from", "to", "times")
-    parts = mix.segments().where("times > 0").groupBy("doc_id", "source", "size", "source_id", "start").agg(F.collect_list(part).alias("_parts"))
+    size, part, turn = fresh(docs, "_size", "_parts", "_turn")
+    parts = mix.segments().where("times > 0").groupBy("doc_id", "source", "size", "source_id", "start").agg(F.collect_list(F.struct("from", "to", "times")).alias("held"))
     names = docs.columns
     kind = "array<struct<from:bigint,to:bigint,times:bigint>>"
-    left = parts.select("doc_id", "source", F.col("size").alias("_size"), F.col("_parts").cast(kind), F.lit(0).alias("_turn"))
-    right = docs.withColumn("_size", n_words_of(F.col("text"))).withColumn("_parts", F.lit(None).cast(kind)).withColumn("_turn", F.lit(1))
-    both = left.unionByName(right, allowMissingColumns=True).repartition("doc_id").sortWithinPartitions("doc_id", "source", "_size", "_turn")
+    left = parts.select("doc_id", "source", F.col("size").alias(size), F.col("held").cast(kind).alias(part), F.lit(0).alias(turn))
+    right = docs.withColumns({size: n_words_of(F.col("text")), part: F.lit(None).cast(kind), turn: F.lit(1)})
+    both = left.unionByName(right, allowMissingColumns=True).repartition("doc_id", "source", size).sortWithinPartitions("doc_id", "source", size, turn)
     schema = docs.schema
     arrow = to_arrow_schema(schema)
-    return both.mapInArrow(lambda it: _assemble(it, names, arrow), schema)
+    return both.mapInArrow(lambda it: _assemble(it, names, arrow, size, part), schema)
