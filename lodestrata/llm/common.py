@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -25,9 +26,11 @@ def n_words_of(text: Column) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir; a local one is set only where that is unset."""
+    """The shared folder in spark.checkpoint.dir; where that is unset, a folder of this machine if all of Spark runs on it, else an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
         spark.sparkContext.setCheckpointDir(at)
         at = spark.sparkContext.getCheckpointDir()
@@ -71,27 +74,40 @@ BUCKETS = 1 << 20
 ROW = ("_row1", "_row2")
 
 
-def with_row_hash(docs: DataFrame) -> DataFrame:
-    """docs with two hashes over all its columns, by which a row is found again."""
-    return docs.withColumns({ROW[0]: F.xxhash64(*docs.columns), ROW[1]: F.hash(*docs.columns)})
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df bears."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def row_hashes(docs: DataFrame) -> list[Column]:
+    """Two hashes over all columns of a row, named ROW, by which it is found again. Columns with maps, which Spark does not hash, count as their JSON."""
+    cols = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
+    return [F.xxhash64(*cols).alias(ROW[0]), F.hash(*cols).alias(ROW[1])]
 
 
 def without(docs: DataFrame, gone: DataFrame, once: DataFrame | None = None) -> DataFrame:
     """docs without the rows whose hashes stand in gone; of rows whose hashes stand in once, one stays.
 
     Most texts are not shuffled: a bounded set of hash buckets goes to every task, and only rows in one of
-    them are joined.
+    them are joined. Columns may bear any name: each row travels as one struct.
     """
-    d = with_row_hash(docs)
-    place = F.pmod(F.col(ROW[0]), F.lit(BUCKETS)).alias("_bucket")
+    d = docs.select(*row_hashes(docs), F.struct("*").alias("row"))
+    place = F.pmod(F.col(ROW[0]), F.lit(BUCKETS)).alias("bucket")
     asked = gone.select(place) if once is None else gone.select(place).union(once.select(place))
     asked = F.broadcast(asked.distinct())
-    d = d.withColumn("_bucket", place)
-    rest = d.join(asked, "_bucket", "left_semi").join(gone.select(*ROW).distinct(), list(ROW), "left_anti")
+    d = d.withColumn("bucket", place)
+    rest = d.join(asked, "bucket", "left_semi").join(gone.select(*ROW).distinct(), list(ROW), "left_anti")
     if once is not None:
         one = once.select(*ROW).distinct()
+        # a row may hold a map, by which rows cannot be told apart: one of equal hashes is taken
         rest = rest.join(one, list(ROW), "left_anti").unionByName(rest.join(one, list(ROW), "left_semi").dropDuplicates(list(ROW)))
-    return d.join(asked, "_bucket", "left_anti").unionByName(rest).select(*docs.columns)
+    return d.join(asked, "bucket", "left_anti").unionByName(rest).select("row.*")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

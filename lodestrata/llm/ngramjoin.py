@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import ROW, components, saved, with_row_hash, without
+from lodestrata.llm.common import ROW, components, saved, row_hashes, without
 from lodestrata.llm.shingles import encoded, mixed, shingle_sets
 from lodestrata.runtime import lean, ship
 
@@ -448,7 +448,7 @@ def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of near duplicates: that of the smallest doc_id, of equal rows any. Rows without words or an id stay."""
-    found = saved(near_duplicates(with_row_hash(docs), ROW), "found")
+    found = saved(near_duplicates(docs.select("doc_id", "text", *row_hashes(docs)), ROW), "found")
     found = found.where("n_shingles > 0 and component_id is not null")
     first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", *ROW)).alias("f")).select(*[F.col("f")[c].alias(c) for c in ROW])
     gone = saved(found.select(*ROW).distinct().join(first, list(ROW), "left_anti"), "gone")

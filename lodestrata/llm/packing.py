@@ -15,7 +15,7 @@ import re
 import struct
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,10 +30,34 @@ ISLAND, POPULATIONS, SIZE, GENERATIONS, EPOCH = 4096, 2, 4, 12, 4
 #: A bin with at most this many free tokens is well filled.
 SLACK = 8
 ROUNDS = 8
-#: Characters and ids, in bytes, of the words that one task remembers the ids of, and as many of words with their punctuation; beyond it starts anew, which costs time and nothing else.
-REMEMBERED = 8 << 20
-#: Bytes that an entry takes besides.
-ENTRY = 150
+#: Bytes of each of the two halves of what a task remembers; of one entry besides its word and ids.
+REMEMBERED, ENTRY = 12 << 20, 150
+
+
+class Remembered(dict):
+    """What made says of a word, remembered in two halves: when the new one is full it becomes the old one, of which words still asked for come back."""
+
+    def __init__(self, made: Callable[[str], bytes]):
+        super().__init__()
+        self.made = made
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.old: dict[str, bytes] = {}
+        self.held = 0
+
+    def __missing__(self, w: str) -> bytes:
+        if self.held > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+            self.held = 0
+        out = self.old.get(w)
+        if out is None:
+            out = self.made(w)
+        self[w] = out
+        self.held += len(w) + len(out) + ENTRY
+        return out
 
 
 class Encoder:
@@ -55,42 +79,21 @@ class Encoder:
         # bytes as the printable characters that stand for them in the vocabulary
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         signs = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in plain)}
-        token = self.TOKEN.findall
+        tokens = self.TOKEN.findall
 
-        class Remembered(dict):
-            held = 0
+        def made(w: str) -> bytes:
+            ids: list[int] = []
+            for x in (w,) if w.isalpha() else tokens(w):
+                ids += [t.id for t in model.tokenize(x if x.isascii() else x.encode().decode("latin-1").translate(signs))]
+            return struct.pack(f"<{len(ids)}I", *ids)
 
-            def __missing__(self, w: str) -> bytes:
-                if self.held > REMEMBERED:
-                    self.clear()
-                    self.held = 0
-                self[w] = out = self.made(w)
-                self.held += len(w) + len(out) + ENTRY
-                return out
-
-        class Words(Remembered):
-            @staticmethod
-            def made(w: str) -> bytes:
-                ids = [t.id for t in model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(signs))]
-                return struct.pack(f"<{len(ids)}I", *ids)
-
-        class Chunks(Remembered):
-            @staticmethod
-            def made(w: str) -> bytes:
-                return b"".join([words[x] for x in token(w)])
-
-        words, self.chunks = Words(), Chunks()
-        self.words = words
-
-    def forget(self) -> None:
-        for x in (self.words, self.chunks):
-            x.clear()
-            x.held = 0
+        self.words = Remembered(made)
+        self.of = self.words.__getitem__
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if self.PLAIN.fullmatch(text) and "<|" not in text:
-            return b"".join(map(self.chunks.__getitem__, text.lower().split()))
+            return b"".join(map(self.of, text.lower().split()))
         ids = self.whole.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -115,7 +118,7 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatc
                 for col, v in zip(out, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                     col.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (b.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
-    enc.forget()
+    enc.words.forget()
 
 
 def pieces(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -8,8 +8,9 @@ run as CASE expressions. Nothing is shuffled and nothing leaves the JVM.
 Positions come from splitting a text by the same pattern that extracts the matches: a match starts where
 the pieces and matches before it end. They count code points.
 
-A null or empty text has no spans; repeated rows give repeated rows; other columns are ignored by
-find(), and kept by redact(). A match never crosses a line, and the patterns do not backtrack over long
+A null or empty text has no spans; repeated rows give repeated rows; other columns, of whatever name, are
+kept by redact(). Spans of equal starts are redacted under the shorter one's kind, then under the kind first by
+name. A text's spans are held as arrays, so memory is bounded by the longest text. A match never crosses a line, and the patterns do not backtrack over long
 runs (possessive), so time is near linear in the text.
 """
 
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm import pii_model as M
+from lodestrata.llm.common import fresh
 
 _LOCAL = "A-Za-z0-9._%+-"
 #: kind -> (pattern, what a text must have for it to be tried). A run is tried from its start or from the end of a match only: a later start in it finds nothing that the first does not.
@@ -31,7 +33,7 @@ BASE = {
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: High-recall generators of the other kinds.
 MORE = {
-    "email_alt": (r"[A-Za-z0-9._%+-]{1,64}\x20?[(\[{][aA][tT][)\]}]\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[(\[{][dD][oO][tT][)\]}]\x20?)[A-Za-z0-9-]{1,63}){0,6}", r"[(\[{][aA][tT][)\]}]"),
+    "email_alt": (rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++\x20?[(\[{{][aA][tT][)\]}}]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[{{][dD][oO][tT][)\]}}]\x20?)[A-Za-z0-9-]++)*+", r"[(\[{][aA][tT][)\]}]"),
     "phone_alt": (r"\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])", r"[0-9]\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3}"),
     "ssn": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"[0-9]-[0-9]{2}-[0-9]"),
     "iban": (r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"),
@@ -91,7 +93,8 @@ def with_spans(docs: DataFrame, text: str = "text", to: str = "spans", trees: bo
     """docs with an array of struct(kind, start, end) added, by kind as listed, then start; the end is exclusive."""
     kinds = KINDS if trees else tuple(BASE)
     pats = BASE | MORE
-    d = docs.withColumn("_t", F.coalesce(F.col(text).cast("string"), F.lit("")))
+    # the row travels as one struct, so that its columns may bear any name
+    d = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"))
     none = F.array().cast("array<string>")
     # one scan tells most texts from those that a generator is tried on
     d = d.withColumn("_any", F.col("_t").rlike(r"[0-9@]|[(\[{][aA][tT][)\]}]|[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"))
@@ -135,16 +138,17 @@ def with_spans(docs: DataFrame, text: str = "text", to: str = "spans", trees: bo
 
         # the kind is a feature, so the trees stand in the plan once
         d = d.withColumn("_more", F.concat(*[found(k) for k in MORE]))
-        d = d.withColumn(to, F.when(F.size("_more") > 0, F.concat("_base", bare(F.filter("_more", chosen)))).otherwise(F.col("_base")))
+        spans = F.when(F.size("_more") > 0, F.concat("_base", bare(F.filter("_more", chosen)))).otherwise(F.col("_base"))
     else:
-        d = d.withColumn(to, F.col("_base"))
-    return d.drop("_t", "_any", "_base", "_more", *[f"_{x}_{k}" for k in kinds for x in "cmpskq"])
+        spans = F.col("_base")
+    return d.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c != to], spans.alias(to))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span in the text replaced by its kind in brackets; overlapping spans are joined under the first one's kind."""
-    d = with_spans(docs, text, "_spans")
-    d = d.withColumn("_spans", F.sort_array(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
+    (at,) = fresh(docs, "_spans")
+    d = with_spans(docs, text, at)
+    d = d.withColumn(at, F.sort_array(F.transform(at, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
     t = F.col(text)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
@@ -152,8 +156,8 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         new = F.concat(a["out"], t.substr((a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], new).otherwise(a["out"]).alias("out"))
 
-    cut = F.aggregate("_spans", start, step, lambda a: F.concat(a["out"], t.substr((a["at"] + 1).cast("int"), F.length(t))))
-    return d.withColumn(text, F.when(F.size("_spans") > 0, cut).otherwise(t)).drop("_spans")
+    cut = F.aggregate(at, start, step, lambda a: F.concat(a["out"], t.substr((a["at"] + 1).cast("int"), F.length(t))))
+    return d.withColumn(text, F.when(F.size(at) > 0, cut).otherwise(t)).drop(at)
 
 
 def _listed(spans: Column) -> Column:
@@ -165,4 +169,4 @@ def op2(docs: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     d = d.withColumn("base", base)
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return d.select("doc_id", *[n(k) for k in BASE], F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
+    return d.select("doc_id", *[n(k) for k in BASE], F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"), F.size("spans").cast("long").alias("n_spans"))

@@ -3,6 +3,7 @@
 import collections
 import gzip
 import hashlib
+import math
 import os
 import random
 import re
@@ -102,8 +103,70 @@ def test_pii_trees_hold_out():
         assert sum(a and b for a, b in said) >= 0.6 * sum(b for _, b in said), kind
 
 
+def _model(**texts):
+    return langid.TextModel({k: langid.gram_counts([t.encode()]) for k, t in texts.items()})
+
+
+def _grams(text):
+    """Buckets of a text's trigrams with a letter, one by one."""
+    b = [c + 32 if 65 <= c <= 90 else c for c in (text or "").encode()]
+    b = [32, 32, *[c if 97 <= c <= 122 or c >= 128 else 32 for c in b], 32, 32]
+    return [((b[i - 1] << 16 | b[i] << 8 | b[i + 1]) * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - langid.BITS for i in range(1, len(b) - 1) if b[i] != 32]
+
+
+def _fused(rows, model):
+    """(language, probability) of rows (text, host, declared), by the formulas, in plain Python."""
+    k, logs, ps = len(model.langs), [], []
+    for text, *_ in rows:
+        g = _grams(text)
+        s = [sum(float(model.table[i][x]) for x in g) for i in range(k)]
+        scale = langid.TEMPER * min(1.0, langid.MOST / max(len(g), 1))
+        s = [(v - max(s)) * scale for v in s]
+        logs.append(s)
+        e = [math.exp(v) for v in s]
+        ps.append([v / sum(e) for v in e] if g else None)
+    add = lambda of: [sum(p[i] for p, r in zip(ps, rows, strict=True) if p and of(r)) for i in range(k)]
+    whole = add(lambda r: True)
+    level = [(w + langid.EVEN) / (sum(whole) + k * langid.EVEN) for w in whole]
+    said = add(lambda r: r[2] is not None)
+    values = len({r[2] for r, p in zip(rows, ps, strict=True) if p and r[2] is not None})
+    out = []
+    for (_, host, declared), s, p in zip(rows, logs, ps, strict=True):
+        h = add(lambda r: r[1] == host) if host is not None else [0] * k
+        prior = [(v + langid.STRENGTH * u) / (sum(h) + langid.STRENGTH) for v, u in zip(h, level, strict=True)] if host is not None else level
+        x = [v + math.log(q) for v, q in zip(s, prior, strict=True)]
+        if declared is not None:
+            d = add(lambda r: r[2] == declared)
+            x = [v + math.log((d[i] + langid.EVEN / values) / (said[i] + langid.EVEN)) for i, v in enumerate(x)]
+        e = [math.exp(v - max(x)) for v in x]
+        best = max(range(k), key=lambda i: (e[i], -i))
+        out.append((model.langs[best] if p else None, e[best] / sum(e)))
+    return out
+
+
+def test_language_against_plain_python(spark):
+    rng = random.Random(8)
+    model = _model(de="der die das und ist nicht ein haus " * 3, en="the man and the house of the other one " * 3, fr="le jardin de la maison et les enfants " * 3)
+    words = "der die und nicht haus the man house other le jardin maison enfants 12 !! Ärger ça".split()
+    rows = [(" ".join(rng.choice(words[3 * (i % 5) :]) for _ in range(rng.randint(0, 30))) if i % 11 else None, rng.choice(["h1", "h2", None]), rng.choice(["de", "en", "fr", None])) for i in range(120)]
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, host string, said string")
+    got = {r.doc_id: r for r in langid.identify(d, model, host=F.col("host"), declared=F.col("said")).collect()}
+    for i, (lang, p) in enumerate(_fused(rows, model)):
+        assert got[i].lang_found == lang and (lang is None or abs(got[i].probability - p) < 1e-6)
+        assert got[i].kept == (lang is not None and p >= langid.LEAST)
+
+
+def test_sample_reads_whole_texts(spark):
+    text = "abc " * 5000 + "xyz " * 5000
+    d = spark.createDataFrame([(1, text, "a"), (1, text, "a"), (2, "le " * 90_000, "b")], "doc_id long, text string, lang string")
+    model = langid.fitted(d)
+    want = _model(a=text, b="le " * 90_000)
+    assert model.langs == ["a", "b"] and np.allclose(model.table, want.table, atol=1e-4)
+    assert langid.sampled(d).count() == 2
+
+
 def test_language(spark, docs, none):
-    model = langid.TextModel(["the man and the house of the other one " * 3, "le jardin de la maison et les enfants du roi " * 3], ["en", "fr"])
+    model = _model(en="the man and the house of the other one " * 3, fr="le jardin de la maison et les enfants du roi " * 3)
     rows = langid.identify(docs, model, host=F.col("source"), declared=F.col("lang")).collect()
     by = {r.doc_id: r for r in rows}
     assert len(rows) == len(TEXTS) and by[1].lang_found == "en" and by[6].lang_found == "fr" and by[1].kept
@@ -116,7 +179,7 @@ def test_language(spark, docs, none):
 
 def test_language_host_prior(spark):
     """Of a text that says nothing either way, its host decides."""
-    model = langid.TextModel(["aaa bbb " * 20, "bbb ccc " * 20], ["x", "y"])
+    model = _model(x="aaa bbb " * 20, y="bbb ccc " * 20)
     d = spark.createDataFrame([(i, "ccc " * 30, "h") for i in range(40)] + [(100, "bbb", "h"), (101, "bbb", "other")], "doc_id long, text string, host string")
     by = {r.doc_id: r for r in langid.identify(d, model, host=F.col("host")).collect()}
     assert by[100].lang_found == "y" and by[100].probability > 0.8
@@ -130,7 +193,7 @@ def test_every_language_has_rows_in_the_fitting_sample(spark):
 
 def test_language_of_pages(spark):
     """Text, markup and address are all evidence; of a page that says nothing either way, its address decides."""
-    model = langid.TextModel(["aaa bbb " * 20, "bbb ccc " * 20], ["x", "y"])
+    model = _model(x="aaa bbb " * 20, y="bbb ccc " * 20)
     page = lambda lang, text: f"<html lang='{lang}-XX'><body><article><p>{text}</p></article></body></html>"
     rows = [(i, f"https://h{i}.site.yy/a", page("y", "ccc " * 30)) for i in range(30)] + [(i, f"https://h{i}.site.xx/a", page("x", "aaa " * 30)) for i in range(30, 60)]
     rows += [(100, "https://new.other.yy/b", "<p>bbb"), (101, "https://new.other.xx/b", "<p>bbb"), (102, None, page("y", "bbb")), (103, None, page("x", "bbb")), (104, None, None)]
@@ -293,6 +356,22 @@ def test_ratios_decide_inside_a_named_wrapper():
         assert out.count("\n") == 4 and "link" not in out and "more" not in out
 
 
+def test_names_mark_content_only_as_a_weight():
+    body = "".join(f"<p>A long sentence, with commas, and words that go on for a while. Part {i}.</p>" for i in range(5))
+    inside = "<div class='related-work'><p>Work like this, and other work, has been done before, by many others.</p></div>"
+    assert "Work like this" in htmlmain.main_text(f"<body><nav><a>x</a></nav><article>{body}{inside}</article></body>")
+    out = htmlmain.main_text(f"<body><div id='c1'>{body}</div><div class='post'>six words stand in this block</div></body>")
+    assert out.count("A long sentence") == 5
+    for name in ("ad", "site-header", "commentList", "cookie_notice", "related links"):
+        assert "gone" not in htmlmain.main_text(f"<body><article>{body}</article><div class='{name}'><p>This is gone, with commas, and words, and all that.</p></div></body>")
+    assert htmlmain.main_text(f"<article>{body}<p>a&nbsp;&nbsp;b, &#160;<label>c</label> <math><mi>d</mi></math></p></article>").endswith("\na b, c d")
+
+
+def test_very_long_page():
+    body = "<p>A sentence, with a comma.</p>" * 40_000
+    assert htmlmain.main_text(f"<nav>menu</nav><article>{body}</article>").count("\n") == 39_999
+
+
 def _targets(size):
     weight = dict(zip(sorted(size, key=lambda s: (s is None, s or "")), [3, 1, 2] * len(size), strict=False))
     out, left = dict.fromkeys(size, 0.0), 1.5 * sum(size.values())
@@ -331,8 +410,30 @@ def test_permutations_and_draws():
     for n in (1, 2, 3, 64, 1000):
         p = mixing.permuted(np.arange(n), n, 9)
         assert sorted(p) == list(range(n))
-    parts = [mixing.group_counts(10_000, 7, g, 3) for g in range(7)]
-    assert sum(n for _, n in parts) == 10_000 and [b for b, _ in parts] == list(np.cumsum([0] + [n for _, n in parts])[:-1])
+    # a shard's groups and sources share out what it draws
+    share = [0.4, 0.7, 0.2, 0.9, 0.8]
+    groups = [sum(share[:2]), sum(share[2:])]
+    for shard in range(5):
+        n = sum(mixing.shard_counts(shard, 3.0, groups, g, share[:2] if g == 0 else share[2:], 3).sum() for g in range(2))
+        assert n == 3
+
+
+def test_taken_is_the_sum_of_what_the_shards_draw(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP_SOURCES", 2)
+    d = spark.createDataFrame([(i, " ".join(["w"] * (i % 97 + 5)), "abcde"[i % 5]) for i in range(400)], "doc_id long, text string, source string")
+    taken = {}
+    for slots in (7, 40, 10_000):
+        mix = mixing.Mix(d, block=8, shard_slots=slots)
+        drawn = {r.source_id: r.n for r in mix.draws.groupBy("source_id").agg(F.sum("n").alias("n")).collect()}
+        used = {r.source_id: r.n for r in mix.slots.groupBy("source_id").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("k")).where("n = k").collect()}
+        want = {r.source_id: (r.target, -(-r.source_size // 8), r.source_size) for r in mix.sources.collect()}
+        assert used == {k: min(n, 2 * want[k][1]) for k, n in drawn.items()}
+        shards = mix.draws.agg(F.max("shard")).first()[0] + 1
+        for k, (target, blocks, size) in want.items():
+            assert abs(drawn[k] - target * blocks / size) <= 1 + 4 * (shards / 4) ** 0.5
+        assert mix.slots.groupBy("source_id", "block").count().agg(F.max("count")).first()[0] <= 2
+        taken[slots] = drawn
+    assert taken[7] != taken[10_000]
 
 
 def test_mixture_texts(spark):
