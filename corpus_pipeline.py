@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import langid, mixing, ngramjoin, packing, pii
-from lodestrata.llm.common import ROW, saved, with_row_hash, without
+from lodestrata.llm.common import ROW, saved, row_hashes, without
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which no language can be told go."""
     model = langid.fitted(docs)
-    judged = langid.identify(with_row_hash(docs), model, host=F.col("source"), declared=F.col("lang"), keep=ROW)
+    judged = langid.identify(docs.select("text", "source", "lang", *row_hashes(docs)), model, host=F.col("source"), declared=F.col("lang"), keep=ROW)
     return without(docs, saved(judged.where("not kept").select(*ROW), "rejected"))
 
 
