@@ -1,11 +1,18 @@
 """Best-fit packing by a grouping genetic algorithm.
 
 Documents are tokenized and cut into pieces of at most SEQUENCE tokens. The rest of the problem knows
-only the pieces' lengths. Pieces are dealt at random to islands of a bounded number of pieces. Each island evolves packings,
-whose genes are whole bins: crossover puts well-filled bins of one parent into the other, drops the bins that now
-hold a piece twice, and best-fits the pieces that lost their bin. An island holds several populations,
-whose best packings migrate in a ring. Well-filled bins of an island's best packing are final; the pieces of its
-poorly filled ones migrate to the islands of the next round, which are fewer, until one is left.
+only the pieces' lengths. Pieces are dealt at random to chunks of a bounded number. Where best fit needs more bins
+than a lower bound, several islands, a task each, evolve packings of the chunk, whose genes are whole bins: crossover
+puts well-filled bins of one parent into the other, drops the bins that now hold a piece twice, lets the pieces that lost
+their bin take the places of lesser ones where that fills a bin better, and best-fits the rest. Between epochs
+each island's best packing migrates to the next island's task. Where best fit meets the bound there is nothing to search for.
+Well-filled bins of a chunk's best packing are final; the pieces of its poorly filled ones migrate to the
+chunks of the next round, which are fewer, until one is left.
+
+A null or empty text is one piece, of the end id alone; repeated rows and rows of one id, null or not, are packed each for itself;
+columns of other names are ignored; an empty table gives an empty one. Pieces of equal lengths go by their place in the
+table of pieces, so which of them stands where may differ between runs, the number of sequences does not.
+Memory is bounded by the longest text and by a chunk.
 """
 
 from __future__ import annotations
@@ -14,24 +21,25 @@ import random
 import re
 import struct
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import saved
 from lodestrata.runtime import lean, ship
 
 SEQUENCE, END = 2048, 0
-#: Pieces on an island; populations of an island; packings in each; generations; generations between migrations.
-ISLAND, POPULATIONS, SIZE, GENERATIONS, EPOCH = 4096, 2, 4, 12, 4
+#: Pieces in a chunk, on average; islands that search for a chunk's packing; packings on each; generations between migrations; times that elites migrate, and once more.
+CHUNK, ISLANDS, SIZE, GENERATIONS, EPOCHS = 4096, 2, 4, 6, 2
 #: A bin with at most this many free tokens is well filled.
 SLACK = 8
 ROUNDS = 8
 #: Bytes of each of the two halves of what a task remembers; of one entry besides its word and ids.
-REMEMBERED, ENTRY = 12 << 20, 150
+REMEMBERED, ENTRY = 24 << 20, 150
 
 
 class Remembered(dict):
@@ -60,6 +68,14 @@ class Remembered(dict):
         return out
 
 
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+
+def packed_ids(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit numbers."""
+    return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """The ids of a text by the word_bpe_49k vocabulary, remembered by word.
 
@@ -68,8 +84,8 @@ class Encoder:
     through the tokenizer whole.
     """
 
-    PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ɏ]*")
-    TOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªºµß-öø-ɏ]+|[0-9²³¹¼½¾]|[^\\sa-z0-9²³¹¼½¾ªºµß-öø-ɏ]+")
+    PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ſ]*")
+    TOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªºµß-öø-ſ]+|[0-9²³¹¼½¾]|[^\\sa-z0-9²³¹¼½¾ªºµß-öø-ſ]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -82,10 +98,14 @@ class Encoder:
         tokens = self.TOKEN.findall
 
         def made(w: str) -> bytes:
+            if w.isalpha():
+                return packed_ids([t.id for t in model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(signs))])
+            if w[:-1].isalpha():  # letters are never one token with what follows them
+                return self.of(w[:-1]) + self.of(w[-1])
             ids: list[int] = []
-            for x in (w,) if w.isalpha() else tokens(w):
+            for x in tokens(w):
                 ids += [t.id for t in model.tokenize(x if x.isascii() else x.encode().decode("latin-1").translate(signs))]
-            return struct.pack(f"<{len(ids)}I", *ids)
+            return packed_ids(ids)
 
         self.words = Remembered(made)
         self.of = self.words.__getitem__
@@ -95,7 +115,7 @@ class Encoder:
         if self.PLAIN.fullmatch(text) and "<|" not in text:
             return b"".join(map(self.of, text.lower().split()))
         ids = self.whole.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return packed_ids(ids)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -165,6 +185,29 @@ def _worth(bins: list[list[int]], sizes: list[int]) -> float:
     return -len(bins) + sum((sum(sizes[i] for i in b) / SEQUENCE) ** 2 for b in bins) / len(bins)
 
 
+def _filled(bins: list[list[int]], loose: list[int], sizes: list[int]) -> list[int]:
+    """Loose pieces take the places of one or two lesser pieces of a bin where that leaves less of it free; the loose ones after that, longest first."""
+    left = sorted((sizes[i], i) for i in loose)
+    for b in bins:
+        while True:
+            free, best = SEQUENCE - sum(sizes[i] for i in b), None
+            if not free or not left:
+                break
+            out = [(sizes[i], (i,)) for i in b] + [(sizes[i] + sizes[j], (i, j)) for k, i in enumerate(b) for j in b[k + 1 :]]
+            for size, gone in out:
+                at = bisect_right(left, (size + free, len(sizes))) - 1
+                if at >= 0 and left[at][0] > size and (best is None or left[at][0] - size > best[0]):
+                    best = (left[at][0] - size, at, gone)
+            if best is None:
+                break
+            _, at, gone = best
+            new = left.pop(at)[1]
+            b[:] = [i for i in b if i not in gone] + [new]
+            for i in gone:
+                insort(left, (sizes[i], i))
+    return [i for _, i in reversed(left)]
+
+
 def _crossed(a: list[list[int]], b: list[list[int]], sizes: list[int], rng: random.Random) -> list[list[int]]:
     """a with some whole well-filled bins of b put in; a's bins with a piece of those go, and their other pieces are best-fitted."""
     full = sorted(b, key=lambda x: -sum(sizes[i] for i in x))[: max(2, len(b) // 2)]
@@ -176,7 +219,7 @@ def _crossed(a: list[list[int]], b: list[list[int]], sizes: list[int], rng: rand
             keep.append(list(x))
         else:
             loose += [i for i in x if i not in there]
-    return fit(sorted(loose, key=lambda i: -sizes[i]), sizes, keep)
+    return fit(_filled(keep, loose, sizes), sizes, keep)
 
 
 def _changed(a: list[list[int]], sizes: list[int], rng: random.Random) -> list[list[int]]:
@@ -184,68 +227,130 @@ def _changed(a: list[list[int]], sizes: list[int], rng: random.Random) -> list[l
     by = sorted(range(len(a)), key=lambda k: sum(sizes[i] for i in a[k]))
     gone = {by[0], *rng.sample(by, min(len(by), 4))}
     loose = [i for k in gone for i in a[k]]
-    return fit(sorted(loose, key=lambda i: -sizes[i]), sizes, [list(x) for k, x in enumerate(a) if k not in gone])
+    keep = [list(x) for k, x in enumerate(a) if k not in gone]
+    return fit(_filled(keep, loose, sizes), sizes, keep)
 
 
-def evolve(sizes: list[int], seed: int) -> list[list[int]]:
-    """A packing of the pieces 0..n-1 of an island, as lists of pieces."""
+def first_population(sizes: list[int], seed: int) -> list[list[list[int]]]:
+    """Best fit by decreasing lengths, and by orders near to that; the best comes first."""
     rng = random.Random(seed)
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    best = fit(order, sizes, [])
+    own = [fit(order, sizes, [])]
+    while len(own) < SIZE:
+        own.append(fit(sorted(order, key=lambda i: -sizes[i] * rng.uniform(0.9, 1)), sizes, []))
+    return sorted(own, key=lambda x: -_worth(x, sizes))
+
+
+def epoch(own: list[list[list[int]]], elite: list[list[int]] | None, sizes: list[int], bound: int, seed: int) -> list[list[list[int]]]:
+    """A population after GENERATIONS; the elite of another island takes the place of its worst packing."""
+    rng = random.Random(seed)
+    if elite is not None:
+        own = sorted([*own[:-1], elite], key=lambda x: -_worth(x, sizes))
+    for _ in range(GENERATIONS):
+        if len(own[0]) <= bound:
+            break
+        a, b = rng.sample(own, 2)
+        child = _crossed(a, b, sizes, rng)
+        if rng.random() < 0.5:
+            child = _changed(child, sizes, rng)
+        own = sorted([*own, child], key=lambda x: -_worth(x, sizes))[:SIZE]
+    return own
+
+
+def evolve(sizes: list[int], seed: int) -> list[list[int]]:
+    """A packing of the pieces 0..n-1, as lists of pieces, by islands in one process; packed() runs the same epochs in a task for each island."""
     bound = least_bins(sizes)
-    if len(best) <= bound:
-        return best
-    islands = []
-    for _ in range(POPULATIONS):
-        own = [best]
-        while len(own) < SIZE:
-            # orders near to decreasing lengths
-            own.append(fit(sorted(order, key=lambda i: -sizes[i] * rng.uniform(0.9, 1)), sizes, []))
-        islands.append(own)
-    for g in range(GENERATIONS):
-        for own in islands:
-            a, b = rng.sample(own, 2)
-            own.append(_changed(_crossed(a, b, sizes, rng), sizes, rng))
-            own.sort(key=lambda x: -_worth(x, sizes))
-            own.pop()
-        if g % EPOCH == EPOCH - 1:
-            elite = [own[0] for own in islands]
-            for k, own in enumerate(islands):
-                own[-1] = elite[k - 1]
-        best = max((own[0] for own in islands), key=lambda x: _worth(x, sizes))
-        if len(best) <= bound:
+    islands = [first_population(sizes, seed * ISLANDS + k) for k in range(ISLANDS)]
+    for e in range(EPOCHS):
+        if min(len(x[0]) for x in islands) <= bound:
             break
-    return best
+        elites = [x[0] for x in islands]
+        islands = [epoch(x, elites[k - 1] if e else None, sizes, bound, (seed * ISLANDS + k) * EPOCHS + e) for k, x in enumerate(islands)]
+    return max((x[0] for x in islands), key=lambda x: _worth(x, sizes))
+
 
+STATE = "chunk long, island int, rids binary, sizes binary, packings array<binary>, bound int, n int, worth double"
+_STATE = ["chunk", "island", "rids", "sizes", "packings", "bound", "n", "worth"]
+_KINDS = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.int32(), pa.int32(), pa.float64()]
 
-def _island(table: pa.Table, last: bool) -> pa.Table:
-    rids, sizes, island = table.column("rid").to_pylist(), table.column("length").to_pylist(), table.column("island")[0].as_py()
-    order = sorted(range(len(rids)), key=lambda i: rids[i])  # as they come is not the same on a rerun
-    rids, sizes = [rids[i] for i in order], [sizes[i] for i in order]
-    bins = evolve(sizes, island)
-    out: list[tuple] = []
-    fill = [sum(sizes[i] for i in b) for b in bins]
-    poorest = min(range(len(bins)), key=lambda k: fill[k])
+
+def _numbered(bins: list[list[int]], n: int) -> bytes:
+    out = np.empty(n, np.int32)
     for k, b in enumerate(bins):
-        done = last or (fill[k] >= SEQUENCE - SLACK and k != poorest)
-        at = 0
-        for i in b:
-            out.append((rids[i], sizes[i], island, k, at, done))
-            at += sizes[i]
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["rid", "length", "island", "bin", "offset", "done"])
+        out[b] = k
+    return out.tobytes()
+
+
+def _bins(raw: bytes) -> list[list[int]]:
+    of = np.frombuffer(raw, np.int32)
+    order = np.argsort(of, kind="stable")
+    return [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(of[order])) + 1)]
+
+
+def _states(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(_KINDS), _KINDS, strict=True)], _STATE)
+
+
+def _row(chunk: int, island: int, rids: bytes, sizes: list[int], own: list[list[list[int]]], bound: int) -> tuple:
+    return chunk, island, rids, np.array(sizes, np.int32).tobytes(), [_numbered(x, len(sizes)) for x in own], bound, len(own[0]), _worth(own[0], sizes)
+
 
+def _seeded(table: pa.Table) -> pa.Table:
+    """A chunk's first populations, one for each island; where best fit needs no bin more than the bound, nothing is left to search for and one packing is all."""
+    order = np.argsort(table.column("rid").to_numpy())  # as they come is not the same on a rerun
+    rids, sizes, chunk = table.column("rid").to_numpy()[order], table.column("length").to_numpy()[order].tolist(), table.column("chunk")[0].as_py()
+    bound = least_bins(sizes)
+    best = fit(sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), sizes, [])
+    if len(best) <= bound:
+        return pa.Table.from_batches([_states([_row(chunk, 0, rids.tobytes(), sizes, [best], bound)])])
+    return pa.Table.from_batches([_states([_row(chunk, k, rids.tobytes(), sizes, first_population(sizes, chunk * ISLANDS + k), bound) for k in range(ISLANDS)])])
 
-def _last_island(table: pa.Table) -> pa.Table:
-    return _island(table, True)
+
+@lean
+def _epochs(batches: Iterator[pa.RecordBatch], e: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for r in (x for i in range(b.num_rows) for x in b.slice(i, 1).to_pylist()):
+            sizes = np.frombuffer(r["sizes"], np.int32).tolist()
+            own = epoch([_bins(x) for x in r["packings"]], _bins(r["elite"]) if r["elite"] else None, sizes, r["bound"], (r["chunk"] * ISLANDS + r["island"]) * EPOCHS + e)
+            yield _states([_row(r["chunk"], r["island"], r["rids"], sizes, own, r["bound"])])
 
 
-def _middle_island(table: pa.Table) -> pa.Table:
-    return _island(table, False)
+@lean
+def _placed(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
+    """Every piece's bin and place. Well-filled bins are done; the emptiest bin never is, but in the last round."""
+    for b in batches:
+        for r in (x for i in range(b.num_rows) for x in b.slice(i, 1).to_pylist()):
+            rids, sizes, of = np.frombuffer(r["rids"], np.int64), np.frombuffer(r["sizes"], np.int32).astype(np.int64), np.frombuffer(r["packing"], np.int32)
+            order = np.argsort(of, kind="stable")
+            rids, sizes, of = rids[order], sizes[order], of[order]
+            fill = np.bincount(of, weights=sizes).astype(np.int64)
+            before = np.cumsum(sizes) - sizes
+            offset = before - before[np.searchsorted(of, of)]
+            done = np.full(len(of), last) | ((fill[of] >= SEQUENCE - SLACK) & (of != np.argmin(fill)))
+            yield pa.RecordBatch.from_arrays([pa.array(rids), pa.array(sizes), pa.array(np.full(len(of), r["chunk"])), pa.array(of.astype(np.int64)), pa.array(offset), pa.array(done)], ["rid", "length", "chunk", "bin", "offset", "done"])
+
+
+def _searched(dealt: DataFrame) -> DataFrame:
+    """(chunk, rids, sizes, packing): the best packing found of each chunk of (rid, length, chunk). Between epochs each island's elite goes to the next island's task."""
+    state = saved(dealt.groupBy("chunk").applyInArrow(_seeded, STATE), "islands")
+    over = F.min("n").over(Window.partitionBy("chunk")) <= F.col("bound")
+    for e in range(EPOCHS):
+        state = state.withColumn("over", over)
+        live = state.where("not over").drop("over")
+        if live.limit(1).count() == 0:
+            state = state.drop("over")
+            break
+        elite = live.select("chunk", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int").alias("island"), (F.get("packings", F.lit(0)) if e else F.lit(None).cast("binary")).alias("elite"))
+        moved = live.join(elite, ["chunk", "island"]).mapInArrow(lambda it, e=e: _epochs(it, e), STATE)
+        state = saved(state.where("over").drop("over").unionByName(moved), "islands")
+    best = state.groupBy("chunk").agg(F.max(F.struct("worth", (-F.col("island")).alias("island"))).alias("m"))
+    best = best.select("chunk", (-F.col("m.island")).alias("island"))
+    return state.join(best, ["chunk", "island"]).select("chunk", "rids", "sizes", F.get("packings", F.lit(0)).alias("packing"))
 
 
 def packed(cut: DataFrame) -> DataFrame:
     """pieces with sequence_id and offset added."""
-    schema = "rid long, length long, island long, bin long, offset long, done boolean"
+    schema = "rid long, length long, chunk long, bin long, offset long, done boolean"
     ship(cut.sparkSession)
     cut = saved(cut.withColumn("rid", F.monotonically_increasing_id()), "pieces")
     full = cut.where(F.col("length") >= SEQUENCE).select("rid", F.col("rid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
@@ -253,12 +358,12 @@ def packed(cut: DataFrame) -> DataFrame:
     found, n = [full], left.count()
     was = None
     for k in range(ROUNDS):
-        islands = max(1, -(-n // ISLAND))
-        last = islands == 1 or k == ROUNDS - 1 or (was is not None and n > 0.9 * was)
-        dealt = left.withColumn("island", F.pmod(F.xxhash64("rid", F.lit(k)), F.lit(islands)))
-        done = saved(dealt.groupBy("island").applyInArrow(_last_island if last else _middle_island, schema), "islands")
-        # the highest bit, the round, the island and the bin make a number that no other sequence has
-        code = F.lit(1 << 62) + F.lit(k).cast("long") * (1 << 58) + F.col("island") * (1 << 16) + F.col("bin")
+        chunks = max(1, -(-n // CHUNK))
+        last = chunks == 1 or k == ROUNDS - 1 or (was is not None and n > 0.9 * was)
+        dealt = left.withColumn("chunk", F.pmod(F.xxhash64("rid", F.lit(k)), F.lit(chunks)))
+        done = saved(_searched(dealt).mapInArrow(lambda it, last=last: _placed(it, last), schema), "bins")
+        # the highest bit, the round, the chunk and the bin make a number that no other sequence has
+        code = F.lit(1 << 62) + F.lit(k).cast("long") * (1 << 58) + F.col("chunk") * (1 << 16) + F.col("bin")
         found.append(done.where("done").select("rid", code.alias("sequence_id"), "offset"))
         if last:
             break

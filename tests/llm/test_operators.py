@@ -453,7 +453,7 @@ def test_packing(spark, docs, none):
     path = "/opt/tokenizers/word_bpe_49k.json"
     whole = Tokenizer.from_file(path)
     rng = random.Random(8)
-    texts = ["", None, "don't DON'T Straße ½ x2 ... I'll", "日本語 text", "a<|endoftext|>b", "İstanbul ΣΑΣ é", "tab\tand space\x1cend", "word " * 5000]
+    texts = ["", None, "don't DON'T Straße ½ x2 ... I'll", "日本語 text", "ȺB Ɓa Ŀx ŉ", "a<|endoftext|>b", "İstanbul ΣΑΣ é", "tab\tand space\x1cend", "word " * 5000]
     texts += [" ".join(rng.choice(["alpha", "Beta,", "gamma7", "d'accord", "über"]) for _ in range(rng.randint(1, 1500))) for _ in range(60)]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("rid", F.lit(1))
     rows = packing.packed(packing.pieces(d, path)).collect()
@@ -479,14 +479,49 @@ def test_packing(spark, docs, none):
     assert packing.packed(packing.pieces(docs, path)).where("piece = 0").count() == len(TEXTS)
 
 
-def test_evolve_beats_or_matches_best_fit():
-    rng = random.Random(9)
-    sizes = [rng.randint(300, 1500) for _ in range(300)]
-    order = sorted(range(300), key=lambda i: -sizes[i])
-    first, best = packing.fit(order, sizes, []), packing.evolve(sizes, 1)
-    assert sorted(i for b in best for i in b) == list(range(300))
-    assert all(sum(sizes[i] for i in b) <= packing.SEQUENCE for b in best)
-    assert packing.least_bins(sizes) <= len(best) <= len(first)
+def _hard(n, seed):
+    """Lengths of which three and four make a sequence, so that best fit leaves gaps."""
+    rng = random.Random(seed)
+    return [rng.randint(400, 1100) for _ in range(n)]
+
+
+def test_evolve_beats_best_fit():
+    for n in (120, 500):
+        sizes = _hard(n, 1)
+        first, best = packing.fit(sorted(range(n), key=lambda i: -sizes[i]), sizes, []), packing.evolve(sizes, 1)
+        assert sorted(i for b in best for i in b) == list(range(n))
+        assert all(sum(sizes[i] for i in b) <= packing.SEQUENCE for b in best)
+        assert packing.least_bins(sizes) <= len(best) < len(first) - 1
+
+
+def test_islands_are_tasks_and_send_elites(spark, monkeypatch):
+    sizes = _hard(300, 4)
+    d = spark.createDataFrame([(i, n, i % 2) for i, n in enumerate(sizes)], "rid long, length long, chunk long")
+    found = packing._searched(d).collect()
+    for r in found:
+        mine = [n for i, n in enumerate(sizes) if i % 2 == r.chunk]
+        bins = packing._bins(r.packing)
+        assert sorted(i for b in bins for i in b) == list(range(150)) and np.frombuffer(r.sizes, np.int32).tolist() == mine
+        assert max(sum(mine[i] for i in b) for b in bins) <= packing.SEQUENCE
+        assert len(bins) < len(packing.fit(sorted(range(150), key=lambda i: -mine[i]), mine, []))
+        assert len(bins) == len(packing.evolve(mine, r.chunk))  # the same epochs, in one process
+    worse, better = packing.first_population(sizes, 1), packing.evolve(sizes, 3)
+    monkeypatch.setattr(packing, "GENERATIONS", 0)
+    assert packing.epoch(worse, better, sizes, 0, 1)[0] == better
+
+
+def test_pieces_of_many_chunks_are_packed_whole(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CHUNK", 64)
+    sizes = _hard(400, 6)
+    cut = spark.createDataFrame([(i, 0, 0, n, 7) for i, n in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    by = collections.defaultdict(list)
+    for r in packing.packed(cut).collect():
+        by[r.sequence_id].append((r.offset, r.length))
+    assert sum(map(len, by.values())) == 400
+    for parts in by.values():
+        parts.sort()
+        assert [o for o, _ in parts] == list(np.cumsum([0] + [n for _, n in parts])[:-1]) and sum(n for _, n in parts) <= packing.SEQUENCE
+    assert len(by) < len(packing.fit(sorted(range(400), key=lambda i: -sizes[i]), sizes, []))
 
 
 def test_repeated_passages(spark, none):
