@@ -25,9 +25,12 @@ def _parsed(spark):
 
 
 RUNS = [
-    (1, "npx vitest run", " Tests  2 failed | 11 passed | 1 skipped (14)", 1), (2, "npx jest", "Tests:       2 failed, 11 passed, 13 total", 1), (3, "pytest -q", "=== 3 passed, 1 skipped in 0.12s ===", 0),
-    (4, "vendor/bin/phpunit", "OK (7 tests, 9 assertions)", 0), (5, "phpunit", "Tests: 9, Assertions: 20, Failures: 2, Skipped: 1.", 1), (6, "go test ./...", "--- PASS: TestA (0.00s)\n--- FAIL: TestB (0.00s)\n    --- SKIP: TestC", 1),
-    (7, "go test", "ok  \tpkg/a\t0.1s\nFAIL\tpkg/b", 1), (8, "node --test", "# tests 4\n# pass 3\n# fail 1\n# skipped 0", 1), (9, "cargo test", "test result: ok. 5 passed; 0 failed; 2 ignored", 0), (10, "make check", "4 passing\n1 failing", 1), (11, "./run", "boom", 2), (12, "./x", "", 0),
+    (1, "npx vitest run", "Test Files  1 failed | 2 passed (3)\n     Tests  1 failed | 54 passed (55)\n  Duration  1.5s", 1), (2, "npx jest", "Tests:       2 failed, 11 passed, 13 total", 1), (3, "pytest -q", "=== 5 passed, 2 skipped in 0.8s ===", 0),
+    (4, "vendor/bin/phpunit", "OK (25 tests, 40 assertions)", 0), (5, "phpunit", "1) AppTest\\AuthTest::testLogin\nFAILURES!\nTests: 25, Assertions: 40, Failures: 3", 2), (6, "go test ./...", "--- PASS: TestFoo (0.00s)\n--- PASS: TestBar (0.01s)\n--- FAIL: TestBaz (0.00s)\n    --- FAIL: TestBaz/sub\nPASS", 1),
+    (7, "go test", "ok  \tpkg/a\t0.1s\nFAIL\tpkg/b", 1), (8, "node --test", "not ok 3 - the test name\n# tests 5\n# pass 3\n# fail 1\n# skipped 0", 1), (9, "cargo test", "test result: FAILED. 5 passed; 2 failed; 1 ignored; 0 measured\nfailures:\n\n---- a stdout ----\nfailures:\n    a::b\n    c\n", 101),
+    (10, "make check", "4 passing\n1 failing", 1), (11, "./run", "> go\nboom\n  at x\nsecond", 2), (12, "./x", "", 0), (13, "npm test", "vitest v3.2.4", 0), (14, "npm test", "PASS tests/foo.test.js\nJest", 0), (15, "./t", "ok 1 - a\nnot ok 2 - b", 0),
+    (16, "node --test", "ok 1 - a\nnot ok 2 - b", 1), (17, "NPX VITEST", "Test Files  2 passed (2)\n     Tests  55 passed (55)\n  Duration  980ms", 0), (18, "x", "7 PASSED of 9 tests", 0), (19, "pytest", "FAILED tests/test_auth.py::test_login - AssertionError: wrong status\nFAILED tests/test_api.py::test_endpoint - ValueError\n===== 3 passed, 2 failed in 2.5s =====", 1),
+    (20, "vitest", "FAIL  tests/foo.test.ts > describe > should work\nAssertionError: expected 1 to be 2\n\nTests  1 failed (1)", 1),
 ]
 
 query("c07_commit_class", duck("commits") + f" SELECT hash, {CLASS_SQL} AS category FROM commits")(lambda s, d: view(s, d, "commits").select("hash", c.commit_class(F.col("message")).alias("category")))
@@ -53,5 +56,27 @@ def _snapshots(spark, sf):
 
 query("j14_name_delta", duck("symbols") + """, a AS (SELECT DISTINCT path, name FROM symbols WHERE start_line < 40), b AS (SELECT DISTINCT path, name FROM symbols WHERE start_line > 20)
 SELECT path, name, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'unchanged' END AS change FROM a FULL JOIN b USING (path, name)""")(lambda s, d: c.name_delta(view(s, d, "symbols").where("start_line < 40"), view(s, d, "symbols").where("start_line > 20")))
-query("u01_test_counts", """SELECT * FROM (VALUES (1, 'vitest', 11::BIGINT, 2::BIGINT, 1::BIGINT, 14::BIGINT), (2, 'jest', 11, 2, 0, 13), (3, 'pytest', 3, 0, 1, 4), (4, 'phpunit', 7, 0, 0, 7), (5, 'phpunit', 7, 2, 1, 10), (6, 'go', 1, 1, 1, 3), (7, 'go', 1, 1, 0, 2),
-(8, 'node', 3, 1, 0, 4), (9, 'cargo', 5, 0, 2, 7), (10, 'generic', 4, 1, 0, 5), (11, 'generic', 0, 1, 0, 1), (12, 'generic', 0, 0, 0, 0)) t(id, runner, passed, failed, skipped, total)""")(lambda s, d: c.test_counts(s.createDataFrame(RUNS, "id int, command string, output string, exit_code int")))
+COUNTS = [
+    (1, "vitest", 54, 1, 0, 55), (2, "jest", 11, 2, 0, 13), (3, "pytest", 5, 0, 2, 7), (4, "phpunit", 25, 0, 0, 25), (5, "phpunit", 22, 3, 0, 25), (6, "go", 2, 1, 0, 3), (7, "go", 1, 1, 0, 2), (8, "node", 3, 1, 0, 5), (9, "cargo", 5, 2, 1, 8),
+    (10, "generic", 4, 1, 0, 5), (11, "generic", 0, 1, 0, 1), (12, "generic", 0, 0, 0, 0), (13, "vitest", 0, 0, 0, 0), (14, "jest", 0, 0, 0, 0), (15, "generic", 0, 0, 0, 0), (16, "node", 1, 1, 0, 2), (17, "vitest", 55, 0, 0, 55), (18, "generic", 7, 0, 0, 9),
+    (19, "pytest", 3, 2, 0, 5), (20, "vitest", 0, 1, 0, 1),
+]
+FAILED = [
+    (5, 0, "AppTest\\AuthTest::testLogin", ""), (6, 0, "TestBaz", "duration: 0.00s"), (8, 0, "the test name", ""), (9, 0, "a::b", ""), (9, 1, "c", ""), (11, 0, "Command exited with code 2", "boom\nsecond"), (16, 0, "b", ""),
+    (19, 0, "tests/test_auth.py::test_login", "AssertionError: wrong status"), (19, 1, "tests/test_api.py::test_endpoint", "ValueError"),
+    (20, 0, "tests/foo.test.ts > describe > should work", "AssertionError: expected 1 to be 2\nTests  1 failed (1)"),
+]
+
+
+def _listed(rows, names):
+    quoted = lambda v: "NULL" if v is None else f"{v}::BIGINT" if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in rows)}) t({names})"
+
+
+def _runs(spark):
+    return spark.createDataFrame(RUNS, "id long, command string, output string, exit_code int")
+
+
+query("u01_test_counts", _listed(COUNTS, "id, runner, passed, failed, skipped, total"))(lambda s, d: c.test_counts(_runs(s)))
+query("u02_failures", _listed(FAILED, "id, ord, name, error"))(lambda s, d: c.test_failures(_runs(s)).withColumn("ord", F.col("ord").cast("long")))
+query("u02_suites_and_times", _listed([(1, 3, "1.5s"), (3, None, "0.8s"), (17, 2, "980m"), (19, None, "2.5s")], "id, suites, duration"))(lambda s, d: c.test_runs(_runs(s)).where("suites is not null or duration is not null").select("id", "suites", "duration"))

@@ -8,8 +8,8 @@ from lodestrata.checks.registry import query
 from lodestrata.operators import gates as g
 from lodestrata.sources.adapters import duck, table, view
 
-query("f08_policy_advice", duck("tool_calls") + """, r AS (SELECT *, tool IN ('smart_read', 'read_range', 'read_symbol') AS f, sum(CASE WHEN tool IN ('smart_read', 'read_range', 'read_symbol') THEN 1 ELSE 0 END) OVER w AS fulls, count(*) OVER w AS n, sum(tokens_returned) OVER w AS total
-FROM tool_calls WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)), a AS (SELECT event_id, CASE WHEN f AND fulls >= 10 THEN 'full_reads' WHEN tokens_returned > 2000 THEN 'large' WHEN f AND tokens_returned > 400 THEN 'expensive' WHEN n % 15 = 0 THEN 'many_calls' WHEN total > 8000 AND n % 5 = 0 THEN 'many_tokens' END AS advice FROM r)
+query("f08_policy_advice", duck("tool_calls") + """, r AS (SELECT *, tool IN ('smart_read', 'smart_read_many') AS f, sum(CASE WHEN tool IN ('smart_read', 'smart_read_many') THEN 1 ELSE 0 END) OVER w AS fulls, count(*) OVER w AS n, sum(tokens_returned) OVER w AS total
+FROM tool_calls WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)), a AS (SELECT event_id, CASE WHEN f AND fulls >= 10 THEN 'full_reads' WHEN tokens_returned > 2000 THEN 'large' WHEN f AND tokens_returned > 500 THEN 'expensive' WHEN n % 15 = 0 THEN 'many_calls' WHEN total > 8000 AND n % 5 = 0 THEN 'many_tokens' END AS advice FROM r)
 SELECT * FROM a WHERE advice IS NOT NULL""")(lambda s, d: g.policy_advice(view(s, d, "tool_calls")))
 
 
@@ -30,13 +30,43 @@ def p23(spark, sf):
 
 
 query("p24_large_output", "SELECT doc_id, length(text) >= 8000 AS large FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", g.large_output(F.col("text")).alias("large")))
-query("p19_search_gate", "SELECT * FROM (VALUES (1, 'advise'), (2, 'deny'), (3, 'deny'), (4, 'allow'), (5, 'allow'), (6, 'allow'), (7, 'deny'), (8, 'allow'), (9, 'advise')) t(id, gate)")(lambda s, d: s.createDataFrame([(1, "TODO|FIXME", "deny"), (2, "getUser", "deny"), (3, "my_name", "deny"), (4, "foo.*bar", "deny"), (5, "getUser", "advisory"), (6, "abc", "deny"), (7, "MAXLEN", "deny"), (8, "plain", "deny"), (9, "(todo | hack)", "advisory")], "id int, p string, m string").select("id", g.search_gate(F.col("p"), F.col("m")).alias("gate")))
+#: Patterns and commands with what is decided on each; searches in advisory mode are only advised on.
+SEARCHES = [
+    ("TODO|FIXME", "deny", "advise"), ("getUser", "deny", "deny"), ("my_name", "deny", "deny"), ("foo.*bar", "deny", "allow"), ("getUser", "advisory", "allow"), ("abc", "deny", "allow"), ("MAXLEN", "deny", "deny"),
+    ("plain", "deny", "allow"), ("(todo | hack)", "advisory", "advise"), ("OPTIMIZE|refactor", "deny", "advise"), ("WARN", "deny", "deny"), ("TODO|WARNING", "deny", "allow"), ("MAX2", "deny", "deny"), ("A1bc", "deny", "deny"),
+    ("kebab-case", "deny", "deny"), ("12345", "deny", "allow"), ("two words", "deny", "allow"), ("User", "deny", "deny"), ("XXX", "deny", "advise"), ("TODO|", "deny", "allow"),
+]
+
+
+def _listed(rows, names):
+    quoted = lambda v: str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in rows)}) t({names})"
+
+
+@query("p19_search_gate", _listed([(i, g_) for i, (_, _, g_) in enumerate(SEARCHES)], "id, gate"))
+def p19(spark, sf):
+    d = spark.createDataFrame([(i, p, m) for i, (p, m, _) in enumerate(SEARCHES)], "id int, p string, m string")
+    return d.select("id", g.search_gate(F.col("p"), F.col("m")).alias("gate"))
+
+
 COMMANDS = [
-    (1, "grep -rn foo .", "deny"), (2, "grep -rn -m 5 foo .", "allow"), (3, "find / -name x", "deny"), (4, "find / -maxdepth 2", "allow"), (5, "cat src/a.ts", "deny"), (6, "cat src/a.ts | wc -l", "allow"), (7, "cat notes.md", "allow"),
-    (8, "sed -n 1,5p a.py", "deny"), (9, "sed -i s/a/b/ a.py", "allow"), (10, "head -n 400 a.py", "deny"), (11, "head -n 40 a.py", "allow"), (12, "git log", "deny"), (13, "git log -n 5", "allow"), (14, "git diff", "deny"), (15, "git diff HEAD~1", "allow"),
-    (16, "pytest -q", "advise"), (17, "bash -c 'grep -r x .'", "deny"), (18, "bash -c 'pytest'", "allow"), (19, "ls", "allow"),
+    ("grep -r foo src/", "deny"), ("grep -R bar .", "deny"), ("grep -r -m 20 foo src/", "allow"), ("grep foo src/file.ts", "allow"), ("cd x && grep -r a .", "deny"), ("grep foo -r .", "deny"),
+    ("find / -name '*.ts'", "deny"), ("find ~ -type f", "deny"), ("find / -maxdepth 3 -name '*.conf'", "allow"), ("find src -name '*.ts'", "allow"),
+    ("cat src/foo.ts", "deny"), ("cat main.py", "deny"), ("cat README.md", "allow"), ("cat config.json", "allow"), ("cat src/foo.ts | head -20", "allow"), ("cat > /tmp/out.txt", "allow"), ("cat >> /var/log/app.log", "allow"),
+    ("cat <<EOF\nrun x.sh\nEOF", "allow"), ("sed -n '1,500p' src/foo.ts", "deny"), ("sed -n 1,400p app/main.py", "deny"), ("sed -i 's/a/b/' src/foo.ts", "allow"), ("sed -i.bak 's/a/b/g' src/foo.ts", "allow"),
+    ("cat src/foo.ts | sed -n '1,5p'", "allow"), ("sed 's/a/b/' src/foo.ts > out.ts", "allow"), ("sed -n '1,500p' README.md", "allow"), ("head -n 500 src/foo.ts", "deny"), ("head -500 src/foo.ts", "deny"),
+    ("tail -n 400 app/main.py", "deny"), ("head -20 src/foo.ts", "allow"), ("head src/foo.ts", "allow"), ("tail -n 50 src/foo.ts", "allow"), ("head -c 5000 src/foo.ts", "allow"), ("head -n 500 README.md", "allow"),
+    ("git log", "deny"), ("git log --oneline -5", "allow"), ("git log -n 20", "allow"), ("git log | head -20", "allow"), ("git log --oneline", "deny"), ("git commit -m 'about git log'", "allow"),
+    ("git diff", "deny"), ("git diff --stat", "allow"), ("git diff src/a.ts", "allow"), ("git diff | cat", "deny"), ("bash -c \"cat src/foo.ts\"", "deny"), ("sh -c 'cat main.py'", "deny"), ("eval \"grep -r x .\"", "deny"),
+    ("for f in *.ts; do cat $f.ts; done", "deny"), ("while true; do git log; done", "deny"), ("bash -c 'pytest'", "advise"), ("npm test", "advise"), ("npm run test:unit", "advise"), ("npx vitest run", "advise"), ("go test ./...", "advise"),
+    ("cargo test", "advise"), ("npm run build", "allow"), ("ls", "allow"), ("", "allow"),
 ]
-query("p20_command_gate", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{g_}')" for i, _, g_ in COMMANDS) + ") t(id, gate)")(lambda s, d: s.createDataFrame([c[:2] for c in COMMANDS], "id int, c string").select("id", g.command_gate(F.col("c")).alias("gate")))
+
+
+@query("p20_command_gate", _listed([(i, g_) for i, (_, g_) in enumerate(COMMANDS)], "id, gate"))
+def p20(spark, sf):
+    d = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(COMMANDS)], "id int, c string")
+    return d.select("id", g.command_gate(F.col("c")).alias("gate"))
 
 
 @query("p21_edit_gate", "SELECT event_id, CASE WHEN event_id % 11 = 0 OR event_id % 2 = 0 OR event_id % 5 = 0 OR event_id % 3 = 0 OR NOT event_id % 4 IN (0, 1, 2) THEN 'allow' WHEN event_id % 7 < 3 THEN 'deny' ELSE 'advise' END AS gate FROM events")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.checks.registry import query
 from lodestrata.operators import graph as g
+from lodestrata.plans.scratch import saved
 from lodestrata.sources.adapters import duck, table, view
 
 REFS, DEPS = duck("refs"), duck("module_deps")
@@ -52,36 +53,50 @@ def _file_lines(spark, sf):
 
 query("b08_affected_files", f"{REFS} SELECT DISTINCT path FROM refs WHERE symbol IN ('s1', 's2')")(lambda s, d: g.affected_files(_refs(s, d).where("symbol in ('s1', 's2')")))
 query("p13_scope_is_part", f"{REFS} SELECT count(*) AS n FROM refs WHERE contains(path, 'o12')")(lambda s, d: g.usages(_refs(s, d), "o12", limit=10**9).agg(F.count("*").alias("n")))
-query("p16_test_paths", "SELECT * FROM (VALUES ('tests/a.py', true), ('src/a.test.ts', true), ('a_test.go', true), ('test_x.py', true), ('src/testing.py', false), ('contest/a.py', false)) t(path, is_test)")(lambda s, d: s.createDataFrame([("tests/a.py",), ("src/a.test.ts",), ("a_test.go",), ("test_x.py",), ("src/testing.py",), ("contest/a.py",)], "path string").withColumn("is_test", F.col("path").rlike(g.TEST_PATH)))
-query("b10_related_files", f"""{REFS}, tgt AS (SELECT path FROM refs WHERE section = 'definition' GROUP BY path ORDER BY count(*) DESC, path LIMIT 1), t AS (SELECT path FROM tgt),
-mine AS (SELECT * FROM refs WHERE path = (SELECT path FROM t)), others AS (SELECT * FROM refs WHERE path <> (SELECT path FROM t)),
-imp AS (SELECT DISTINCT d.path FROM mine m JOIN refs d ON d.symbol = m.symbol AND d.section = 'definition' WHERE m.section <> 'definition' AND d.path <> (SELECT path FROM t)),
-usr AS (SELECT path, count(DISTINCT symbol) AS n FROM others WHERE symbol IN (SELECT symbol FROM mine WHERE section = 'definition') GROUP BY path),
-ev AS (SELECT path, 4 AS score, 'import' AS tag FROM imp UNION ALL SELECT path, 3, 'importer' FROM usr UNION ALL SELECT path, n - 1, 'multi-ref' FROM usr WHERE n > 1),
-al AS (SELECT * FROM ev UNION ALL SELECT DISTINCT path, 2, 'same-dir' FROM ev WHERE string_split(path, '/')[1] = (SELECT string_split(path, '/')[1] FROM t)
-  UNION ALL SELECT DISTINCT path, 2, 'changed' FROM ev WHERE path LIKE '%7.py')
+TESTS = [
+    ("tests/a.py", False), ("src/tests/a.py", True), ("src/test/a.py", True), ("src/a.test.ts", True), ("src/a.spec.ts", True), ("a_test.go", True), ("test_x.py", True), ("contest_x.py", True),
+    ("__tests__/a.js", True), ("src/testing.py", False), ("contest/a.py", False), ("spec/a.rb", False),
+]
+query("p16_test_paths", f"SELECT * FROM (VALUES {', '.join(f'({p!r}, {t})' for p, t in TESTS)}) t(path, is_test)")(lambda s, d: s.createDataFrame([(p,) for p, _ in TESTS], "path string").withColumn("is_test", F.col("path").rlike(g.TEST_PATH)))
+IMPORTS = "imports AS (SELECT r.path, d.path AS source FROM refs r JOIN refs d ON d.symbol = r.symbol AND d.section = 'definition' WHERE r.section = 'import')"
+query("b10_related_files", f"""{REFS}, {IMPORTS}, t AS (SELECT path, string_split(path, '/')[1] AS dir, regexp_extract(path, '([^/]*)\\.\\w+$', 1) AS base, string_split(path, '.')[-1] AS lang FROM refs WHERE section = 'definition' GROUP BY path ORDER BY count(*) DESC, path LIMIT 1),
+names AS (SELECT symbol FROM (SELECT symbol FROM refs WHERE section = 'definition' AND path = (SELECT path FROM t) ORDER BY line, symbol LIMIT 10) UNION SELECT base FROM t),
+f AS (SELECT *, row_number() OVER (PARTITION BY symbol, section ORDER BY path, line) AS n FROM refs WHERE section <> 'definition' AND symbol IN (SELECT symbol FROM names)),
+usr AS (SELECT path, count(*) AS n FROM f WHERE n <= 30 AND path <> (SELECT path FROM t) AND string_split(path, '.')[-1] = (SELECT lang FROM t) GROUP BY path),
+imp AS (SELECT source AS path FROM imports WHERE path = (SELECT path FROM t) AND source <> path),
+ev AS (SELECT path, 4 AS score, 'import' AS tag FROM imp UNION ALL SELECT path, 2, 'same-dir' FROM imp WHERE string_split(path, '/')[1] = (SELECT dir FROM t)
+  UNION ALL SELECT path, 3, 'importer' FROM usr UNION ALL SELECT path, 2, 'same-dir' FROM usr WHERE string_split(path, '/')[1] = (SELECT dir FROM t) UNION ALL SELECT path, n - 1, 'multi-ref' FROM usr WHERE n > 1
+  UNION ALL SELECT path, 5, 'test' FROM (SELECT DISTINCT replace(path, '.', '_test.') AS path FROM refs) WHERE contains(string_split(path, '/')[-1], (SELECT base FROM t))),
+al AS (SELECT * FROM ev UNION ALL SELECT DISTINCT path, 2, 'changed' FROM ev WHERE path LIKE '%7.py')
 SELECT path, CAST(sum(score) AS BIGINT) AS score, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags, CASE WHEN sum(score) >= 5 THEN 'high' WHEN sum(score) >= 3 THEN 'medium' ELSE 'low' END AS bucket FROM al GROUP BY path""")(lambda s, d: _related(s, d))
 
 
 def _related(spark, sf):
-    refs = _refs(spark, sf)
+    """The tables name no test files: each file stands for a test of its own, too."""
+    refs = saved(_refs(spark, sf), "refs")
     target = refs.where("section = 'definition'").groupBy("path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "path").first()["path"]
-    return g.related_files(refs, target, refs.where("path like '%7.py'").select("path"))
-
+    defs = refs.where("section = 'definition'").select("symbol", F.col("path").alias("source"))
+    imports = refs.where("section = 'import'").join(defs, "symbol").select("path", "source")
+    files = refs.select(F.replace("path", F.lit("."), F.lit("_test.")).alias("path")).distinct()
+    return g.related_files(refs, imports, files, target, refs.where("path like '%7.py'").select("path"))
 
 
 def _recursive(body: str) -> str:
     return DEPS.replace("WITH ", "WITH RECURSIVE ", 1) + body
 
 
-query("b16_module_route", _recursive(""", r(node, path, depth) AS (SELECT 0::BIGINT, '>0>', 0 UNION ALL SELECT e.dep::BIGINT, concat(r.path, e.dep::VARCHAR, '>'), r.depth + 1 FROM r JOIN module_deps e ON e.module = r.node
-WHERE r.depth < 6 AND r.node <> 14 AND NOT contains(r.path, concat('>', e.dep::VARCHAR, '>'))) SELECT path, depth FROM r WHERE node = 14 AND depth > 0 ORDER BY depth, path LIMIT 50"""))(lambda s, d: g.routes(s, _deps(s, d), 0, 14, 6))
-query("b16_module_route_by_kind", _recursive(""", r(node, path, depth) AS (SELECT 1::BIGINT, '>1>', 0 UNION ALL SELECT e.dep::BIGINT, concat(r.path, e.dep::VARCHAR, '>'), r.depth + 1 FROM r JOIN module_deps e ON e.module = r.node
-WHERE e.kind = 'api' AND r.depth < 6 AND r.node <> 14 AND NOT contains(r.path, concat('>', e.dep::VARCHAR, '>'))) SELECT path, depth FROM r WHERE node = 14 AND depth > 0"""))(lambda s, d: g.routes(s, _deps(s, d), 1, 14, 6, kind="api"))
+def _routes(start: int, goal: int, depth: int, kind: str = "") -> str:
+    return _recursive(f""", r(node, path, depth) AS (SELECT {start}::BIGINT, '>{start}>', 0 UNION ALL SELECT e.dep::BIGINT, concat(r.path, e.dep::VARCHAR, '>'), r.depth + 1 FROM r JOIN module_deps e ON e.module = r.node
+WHERE r.depth < {depth} AND r.node <> {goal} {kind} AND NOT contains(r.path, concat('>', e.dep::VARCHAR, '>'))) SELECT path, depth FROM r WHERE node = {goal} AND depth > 0 ORDER BY depth, path LIMIT 50""")
+
+
+# every module depends on nearly every other: routes of three edges are thousands
+query("b16_module_route", _routes(0, 14, 3))(lambda s, d: g.routes(s, _deps(s, d), 0, 14, 3))
+query("b16_module_route_by_kind", _routes(1, 14, 3, "AND e.kind = 'api'"))(lambda s, d: g.routes(s, _deps(s, d), 1, 14, 3, kind="api"))
 query("b11_call_tree", _recursive(""", r(node, path, depth) AS (SELECT 14::BIGINT, '>14>', 0 UNION ALL SELECT e.module::BIGINT, concat(r.path, e.module::VARCHAR, '>'), r.depth + 1 FROM r JOIN module_deps e ON e.dep = r.node
 WHERE r.depth < 3 AND NOT contains(r.path, concat('>', e.module::VARCHAR, '>'))) SELECT node, path, depth FROM r WHERE depth > 0"""))(lambda s, d: g.call_tree(s, _deps(s, d), 14, 3))
-query("x24_transitive_deps", _recursive(""", r(node, path, depth) AS (SELECT 0::BIGINT, '>0>', 0 UNION ALL SELECT e.dep::BIGINT, concat(r.path, e.dep::VARCHAR, '>'), r.depth + 1 FROM r JOIN module_deps e ON e.module = r.node
-WHERE r.depth < 5 AND NOT contains(r.path, concat('>', e.dep::VARCHAR, '>'))) SELECT node, min(depth) AS depth FROM r WHERE depth > 0 GROUP BY node"""))(lambda s, d: g.transitive(s, _deps(s, d), 0, 5))
+query("x24_transitive_deps", _recursive(""", r(node, depth) AS (SELECT 0::BIGINT, 0 UNION SELECT e.dep::BIGINT, r.depth + 1 FROM r JOIN module_deps e ON e.module = r.node WHERE r.depth < 20)
+SELECT node, min(depth) AS depth FROM r WHERE node <> 0 GROUP BY node"""))(lambda s, d: g.transitive(s, _deps(s, d), 0))
 query("b15_module_info", f"{DEPS} SELECT 'dependency' AS role, dep AS other, kind FROM module_deps WHERE module = 5 UNION ALL SELECT 'dependent', module, kind FROM module_deps WHERE dep = 5")(lambda s, d: g.module_info(_deps(s, d), 5))
 query("x26_unused_deps", f"{DEPS} SELECT module, dep FROM module_deps WHERE NOT (n % 3 = 0)")(lambda s, d: g.unused_deps(_deps(s, d), _deps(s, d).where("n % 3 = 0").select("module", "dep")))
 query("b13_hierarchy", "SELECT n_name AS child, r_name AS parent FROM nation JOIN region ON n_regionkey = r_regionkey")(lambda s, d: table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("child"), F.col("r_name").alias("parent")))
@@ -94,4 +109,4 @@ query("b17_area_imports", "SELECT * FROM (VALUES ('./a', 'internal', NULL), ('@x
 query("b20_stack", "SELECT * FROM (VALUES ('a', 'Python', 2::BIGINT), ('b', 'Node', 1::BIGINT), ('c', 'PHP', 3::BIGINT)) t(project, language, n)")(lambda s, d: g.stack(s.createDataFrame([("a", "Node"), ("a", "Python"), ("b", "Node"), ("c", "Rust"), ("c", "PHP"), ("c", "Go")], "project string, language string")))
 query("b18_explore")(lambda s, d: g.explore(_deps(s, d).select(F.col("module").alias("node")).distinct(), _deps(s, d).select(F.col("module").alias("a"), F.col("dep").alias("b")), s.createDataFrame([(0, 2.0), (5, 1.0)], "node int, weight double")))
 query("b19_suffix_conventions", "SELECT regexp_extract(p_type, '([A-Z]+)$', 1) AS suffix, count(*) AS n FROM part GROUP BY 1")(lambda s, d: table(s, d, "part").groupBy(F.regexp_extract("p_type", "([A-Z]+)$", 1).alias("suffix")).agg(F.count("*").alias("n")))
-query("p17_constructors", "SELECT * FROM (VALUES ('run')) t(name)")(lambda s, d: g.unused(s.createDataFrame([("__init__",), ("constructor",), ("__str__",), ("run",), ("used",)], "name string"), s.createDataFrame([("used",)], "symbol string")))
+query("p17_constructors", "SELECT * FROM (VALUES ('run'), ('new'), ('init')) t(name)")(lambda s, d: g.unused(s.createDataFrame([("__init__",), ("__new__",), ("__del__",), ("constructor",), ("__str__",), ("run",), ("new",), ("init",), ("used",)], "name string"), s.createDataFrame([("used",)], "symbol string")))

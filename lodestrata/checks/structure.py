@@ -76,7 +76,7 @@ def _symbols(spark):
 _SYMBOLS = [
     ("src/engine.py", "LIMIT", "variable", None, 5, 5), ("src/engine.py", "load", "function", None, 9, 14), ("src/engine.py", "Engine", "class", None, 15, 26),
     ("src/engine.py", "__init__", "method", "Engine", 18, 23), ("src/engine.py", "ready", "method", "Engine", 21, 27), ("src/engine.py", "_hide", "method", "Engine", 25, 30), ("src/engine.py", "main", "function", None, 27, 29),
-    ("src/user.ts", "User", "class", None, 4, 15), ("src/user.ts", "constructor", "method", "User", 6, 11), ("src/user.ts", "greet", "method", "User", 9, 14), ("src/user.ts", "Shape", "interface", None, 16, 18), ("src/user.ts", "area", "method", "Shape", 17, 22),
+    ("src/user.ts", "User", "class", None, 4, 15), ("src/user.ts", "constructor", "method", "User", 6, 11), ("src/user.ts", "super", "method", "User", 7, 12), ("src/user.ts", "greet", "method", "User", 9, 14), ("src/user.ts", "Shape", "interface", None, 16, 18), ("src/user.ts", "area", "method", "Shape", 17, 22),
     ("src/user.ts", "Color", "enum", None, 19, 19), ("src/user.ts", "Id", "type", None, 20, 20), ("src/user.ts", "run", "function", None, 21, 21), ("src/user.ts", "add", "function", None, 22, 23),
 ]
 
@@ -87,6 +87,15 @@ def _values(rows, names):
 
 
 query("p01_p02_symbols", _values(_SYMBOLS, "path, name, kind, parent, start_line, end_line"))(lambda s, d: _symbols(s).select("path", "name", "kind", "parent", "start_line", "end_line"))
+MORE = [
+    ("a.py", "class A\nclass B:\n\tdef tab(self): pass\n  def two(self): pass\nX = 1\nXY = 1\nXYZ: int = 2\nclass C(B):\n    async def four(self): pass\n"),
+    ("b.ts", "class D {\n  do(x) {}\n  get size() {}\n  static async run<T>(a: T) {}\n  x = (1)\n}\nexport default function* gen() {}\nlet f: Fn = async (a) => a\nexport class if {}\n"),
+]
+_MORE = [
+    ("a.py", "B", "class", None), ("a.py", "tab", "method", "B"), ("a.py", "XY", "variable", None), ("a.py", "XYZ", "variable", None), ("a.py", "C", "class", None), ("a.py", "four", "method", "C"),
+    ("b.ts", "D", "class", None), ("b.ts", "size", "method", "D"), ("b.ts", "run", "method", "D"), ("b.ts", "gen", "function", None), ("b.ts", "f", "function", None),
+]
+query("p01_p02_declarations", _values(_MORE, "path, name, kind, parent"))(lambda s, d: st.symbols(s.createDataFrame(MORE, "path string, content string")).select("path", "name", "kind", "parent"))
 query("p02_decorators", _values([("load", "@cache,@app.route"), ("ready", "@property")], "name, decorators"))(lambda s, d: _symbols(s).where("decorators <> ''").select("name", "decorators"))
 query("x06_references", _values([("load", "src/engine.py", 11, "definition"), ("load", "src/engine.py", 19, "usage")], "symbol, path, line_no, section"))(lambda s, d: st.references(files(s), _symbols(s)).where("symbol = 'load'"))
 query("x18_imports", _values([("src/engine.py", 2, "os", "", False, False), ("src/engine.py", 3, "pkg.db", "Store,connect", False, False), ("src/user.ts", 1, "./store", "Store,Row", False, False), ("src/user.ts", 2, "path", "* as path", True, False)], "path, line, source, names, is_namespace, is_default"))(lambda s, d: st.import_rows(lines(files(s))))
@@ -107,7 +116,8 @@ def _ends(spark, sf):
 
 
 query("x19_pattern_search", _values([("src/user.ts", 11, "      this.log(to);")], "path, line_no, text"))(lambda s, d: st.pattern_search(lines(files(s)), r"this\.\w+\(", ".ts"))
-query("x21_deprecated", _values([("ready",)], "name"))(lambda s, d: _symbols(s).where(F.array_contains(F.split("decorators", ","), "@property")).select("name"))
+query("x21_annotated", _values([("ready",)], "name"))(lambda s, d: st.annotated(_symbols(s), "property").select("name"))
+query("x21_deprecated", _values([("old",), ("older",)], "name"))(lambda s, d: st.annotated(st.symbols(s.createDataFrame([("a.py", "@deprecated\ndef old():\n  pass\n@x.y\n@Deprecated\ndef older():\n  pass\n@deprecated_soon\ndef other():\n  pass\n")], "path string, content string")), "deprecated").select("name"))
 query("c05_snapshot_diff", _values([("a", 1, "removed", "2"), ("a", 3, "added", "x"), ("b", 0, "removed", ""), ("b", 1, "added", "n")], "path, ord, change, text"))(lambda s, d: st.snapshot_diff(s.createDataFrame([("a", "1\n2\n3\n4", "1\n3\nx\n4"), ("b", "", "n"), ("c", "same", "same")], "path string, old string, new string")))
 query("b09_symbol_resolution", _values([("Engine.ready", "src/engine.py", 21), ("greet", "src/user.ts", 9)], "asked, path, start_line"))(lambda s, d: _resolved(s))
 

@@ -45,22 +45,42 @@ query("s02_lines", f"{LINES} SELECT path, line_no, text FROM lines")(_lines)
 query("t04_read_range", f"{LINES} SELECT path, line_no, text FROM lines WHERE line_no BETWEEN 2 AND 3")(lambda s, d: x.read_range(_lines(s, d), 2, 3))
 query("n08_numbered", f"{LINES} SELECT path, line_no, text, repeat(' ', greatest(0, 4 - length(line_no::VARCHAR))) || line_no || ' | ' || text AS shown FROM lines")(lambda s, d: x.numbered(_lines(s, d)))
 query("p08_head_tail", f"{LINES} SELECT path, line_no, text FROM (SELECT *, max(line_no) OVER (PARTITION BY path) AS n FROM lines) l WHERE line_no <= 5 OR line_no > n - 3")(lambda s, d: x.head_tail(_lines(s, d), 5, 3))
-query("s04_directory_counts", f"{FILES} SELECT dir, count(*) AS n_files FROM (SELECT string_split(path, '/')[1] AS dir FROM files UNION ALL SELECT array_to_string(string_split(path, '/')[1:2], '/') FROM files) q GROUP BY dir")(lambda s, d: x.directory_counts(_files(s, d)))
-query("s03_by_extension", duck("refs") + " SELECT DISTINCT path FROM refs WHERE path LIKE '%.py' OR path LIKE '%.go'")(lambda s, d: x.by_extension(view(s, d, "refs").select("path").distinct(), ["py", "go"]))
+ENDINGS = "ends_with(path, '.py') OR ends_with(path, '.ts')"
+query("s04_directory_counts", duck("refs") + f" SELECT string_split(path, '/')[1] AS dir, count(*) AS n_files FROM (SELECT DISTINCT CASE WHEN ends_with(path, '.go') THEN path || 'x' ELSE path END AS path FROM refs) q WHERE {ENDINGS} GROUP BY 1")(lambda s, d: x.directory_counts(_paths(s, d)))
+query("s03_by_extension", duck("refs") + f" SELECT path FROM (SELECT DISTINCT CASE WHEN ends_with(path, '.go') THEN path || 'x' ELSE path END AS path FROM refs) q WHERE {ENDINGS}")(lambda s, d: x.by_extension(_paths(s, d)))
+query("s03_code_extensions", "SELECT * FROM (VALUES ('a.mjs'), ('b.KTS'), ('c.lisp'), ('d/e.proto'), ('f.m')) t(path)")(lambda s, d: x.by_extension(s.createDataFrame([("a.mjs",), ("b.KTS",), ("c.lisp",), ("d/e.proto",), ("f.m",), ("g.md",), ("h",), ("i.json",), (".ts.x",)], "path string")))
+
+
+def _paths(spark, sf):
+    """Paths of the references, of which those in .go stand for files of an ending that is no code."""
+    path = F.when(F.col("path").endswith(".go"), F.concat("path", F.lit("x"))).otherwise(F.col("path"))
+    return view(spark, sf, "refs").select(path.alias("path")).distinct()
+
+
 query("f01_token_estimate", f"{FILES} SELECT doc_id, {TOKENS('content')} AS tokens FROM files")(lambda s, d: _files(s, d).select("doc_id", e.token_estimate(F.col("content")).alias("tokens")))
 query("t01_small_large", f"""{FILES}, o AS (SELECT path, content, len(string_split(content, chr(10)))::BIGINT AS n_lines, {TOKENS('content')} AS tokens,
  array_to_string(list_transform(string_split(content, chr(10)), lambda v: v[1:40]), chr(10)) AS o FROM files), q AS (SELECT path, n_lines, tokens, {TOKENS('o')} AS outline_tokens FROM o)
 SELECT path, n_lines, tokens, outline_tokens, CASE WHEN n_lines <= 2 THEN 'whole' WHEN outline_tokens >= 0.7::DOUBLE * tokens THEN 'whole_by_ratio' ELSE 'outline' END AS how FROM q""")(lambda s, d: x.small_large(_files(s, d), 2))
 query("n01_markdown_sections", f"""{NOTES_SQL}, h AS (SELECT path, line_no, length(regexp_extract(text, '^(#+)', 1)) AS level, trim(regexp_extract(text, '^#+ (.*)$', 1)) AS title FROM lines WHERE regexp_matches(text, '^#{{1,6}} '))
 SELECT path, level, title, line_no AS start_line, coalesce((SELECT min(n.line_no) - 1 FROM h n WHERE n.path = h.path AND n.line_no > h.line_no AND n.level <= h.level), (SELECT max(line_no) FROM lines l WHERE l.path = h.path)) AS end_line FROM h""")(lambda s, d: x.markdown_sections(_notes(s)))
-query("n02_yaml_sections", f"""{NOTES_SQL}, k AS (SELECT path, line_no, regexp_extract(text, '^([A-Za-z0-9_.-]+)', 1) AS key FROM lines WHERE regexp_matches(text, '^[A-Za-z_][A-Za-z0-9_.-]*\\s*:'))
+query("n02_yaml_sections", f"""{NOTES_SQL}, k AS (SELECT path, line_no, regexp_extract(text, '^([A-Za-z0-9_.-]+)', 1) AS key FROM lines WHERE regexp_matches(text, '^[A-Za-z_][A-Za-z0-9_.-]*:'))
 SELECT path, key, line_no AS start_line, coalesce(lead(line_no) OVER (PARTITION BY path ORDER BY line_no) - 1, (SELECT max(line_no) FROM lines l WHERE l.path = k.path)) AS end_line FROM k""")(lambda s, d: x.yaml_sections(_notes(s)))
 query("n05_find_section", "SELECT 'a.md' AS path, 7::BIGINT AS start_line, 8::BIGINT AS end_line")(lambda s, d: x.find_section(x.markdown_sections(_notes(s)), "## TWO "))
 query("n04_csv_rows", f"{NOTES_SQL} SELECT path, line_no, text, (SELECT count(*) FILTER (trim(text) <> '') - 1 FROM lines WHERE path = 'e.csv') AS n_rows FROM lines WHERE path = 'e.csv' AND (line_no = 1 OR line_no BETWEEN 3 AND 4)")(lambda s, d: x.csv_rows(_notes(s).where("path = 'e.csv'"), 2, 3))
 query("s08_toml_tables", f"{NOTES_SQL} SELECT path, line_no, regexp_extract(text, '\\[\\[?([^\\[\\]]+)\\]', 1) AS name FROM lines WHERE regexp_matches(text, '^\\s*\\[\\[?[^\\[\\]]+\\]\\]?\\s*$')")(lambda s, d: x.toml_tables(_notes(s)))
 query("n09_code_blocks", f"{NOTES_SQL} SELECT path, CAST(floor(count(*) / 2) AS BIGINT) AS blocks FROM lines WHERE starts_with(text, '```') GROUP BY path")(lambda s, d: x.code_blocks(_notes(s)))
-SUMMARY_SQL = r"CASE WHEN regexp_matches(text, '^\s*(import|from|require|use|#include)\b') THEN 'import' WHEN regexp_matches(text, '^\s*(export|pub|public)\b') THEN 'export' WHEN regexp_matches(text, '^\s*(async\s+)?(def|class|function|func|fn|interface|type|struct|enum|const)\b') THEN 'declaration' END"
-query("p07_regex_summary", f"{LINES}, k AS (SELECT path, line_no, {SUMMARY_SQL} AS kind, left(trim(text), 140) AS text FROM lines) SELECT * FROM k WHERE kind IS NOT NULL UNION ALL SELECT * FROM (WITH files(path, content) AS (VALUES ('x', 'import a'||chr(10)||'  export b'||chr(10)||'class C'||chr(10)||'z')), l AS (SELECT path, i AS line_no, l[i] AS text FROM (SELECT path, string_split(content, chr(10)) AS l FROM files) f, unnest(range(1, len(l) + 1)) r(i)) SELECT path, line_no, {SUMMARY_SQL} AS kind, trim(text) AS text FROM l) q WHERE kind IS NOT NULL")(lambda s, d: x.regex_summary(_lines(s, d).unionByName(x.lines(s.createDataFrame([("x", "import a\n  export b\nclass C\nz")], "path string, content string")))))
+LONG = "export const a = " + "x" * 200
+CODE = [
+    ("a.ts", f"import b from 'b'\nconst c = require('c')\n{LONG}\nclass D {{\n  async function e()\nfoo()"), ("b.py", "from os import path\n  import re\nexport = 1\nasync def f():\nclass G: pass\ndefault = 1"),
+    ("c.go", "import \"fmt\"\nfunc main() {\ntype T struct {\ntype U int"), ("d.rs", "use std::io;\npub fn f() {\nfn g() {\nmod h;\nlet x = 1;"), ("e.txt", "import a\nclass B"),
+]
+SIGNALS = [
+    ("a.ts", 1, "import", "import b from ''b''"), ("a.ts", 2, "import", "const c = require(''c'')"), ("a.ts", 3, "export", LONG[:139] + "…"), ("a.ts", 4, "declaration", "class D {"), ("a.ts", 5, "declaration", "async function e()"),
+    ("b.py", 1, "import", "from os import path"), ("b.py", 2, "import", "import re"), ("b.py", 4, "declaration", "async def f():"), ("b.py", 5, "declaration", "class G: pass"),
+    ("c.go", 1, "import", "import \"fmt\""), ("c.go", 2, "declaration", "func main() {"), ("c.go", 3, "declaration", "type T struct {"), ("d.rs", 1, "import", "use std::io;"), ("d.rs", 2, "export", "pub fn f() {"), ("d.rs", 3, "declaration", "fn g() {"), ("d.rs", 4, "declaration", "mod h;"),
+]
+query("p07_regex_summary", "SELECT * FROM (VALUES " + ", ".join(f"('{p}', {n}::BIGINT, '{k}', '{t}')" for p, n, k, t in SIGNALS) + ") t(path, line_no, kind, text)")(lambda s, d: x.regex_summary(x.lines(s.createDataFrame(CODE, "path string, content string"))))
+SUMMARY_SQL = "CASE WHEN path = 'g.py' AND (starts_with(text, 'import ') OR starts_with(text, 'class ') OR starts_with(text, '    def ')) THEN 'x' END"
 query("p09_tiered", f"""{NOTES_SQL}, a AS (SELECT path, line_no, {SUMMARY_SQL} AS k FROM lines), t AS (SELECT path, line_no, 0 AS tier FROM a WHERE k IS NOT NULL UNION ALL SELECT path, line_no, 1 FROM lines WHERE line_no <= 2)
 SELECT path, line_no, tier FROM t WHERE tier = (SELECT min(tier) FROM t u WHERE u.path = t.path)""")(lambda s, d: x.tiered([x.regex_summary(_notes(s)).select("path", "line_no"), x.head_tail(_notes(s), 2, 0).select("path", "line_no")]))
 query("x20_marked_lines", f"{NOTES_SQL} SELECT path, line_no, regexp_extract(text, '\\b(TODO|FIXME|HACK|XXX|NOTE|WARNING|WARN)\\b', 1) AS kind, trim(text) AS text FROM lines WHERE regexp_matches(text, '\\b(TODO|FIXME|HACK|XXX|NOTE|WARNING|WARN)\\b')")(lambda s, d: x.marked_lines(_notes(s)))
@@ -80,7 +100,15 @@ def x02(spark, sf):
     return new.join(old, "path", "left").select("path", "content_hash", (~F.col("was").eqNullSafe(F.col("content_hash"))).alias("changed"))
 
 
-@query("d17_token_budget")
+SHOW = lambda c: "CAST(CASE WHEN length({c}) = 0 THEN 0 ELSE ceil(ceil(length({c}) / 4) * (1 - 0.3::DOUBLE * (length({c}) - length({w})) / length({c}))) END AS BIGINT)".replace("{w}", WS).replace("{c}", c)
+
+
+@query("d17_token_budget", f"""WITH RECURSIVE f AS (SELECT doc_id // 20 AS batch, concat(source, '/', lang, '/doc_', doc_id, '.txt') AS path, coalesce(text, '') AS c FROM documents),
+t AS (SELECT *, array_to_string(string_split(c, chr(10))[1:24], chr(10)) || chr(10) || chr(10) || '... compacted for batch mode. Use smart_read("' || path || '") for full detail.' AS k, 'FILE: ' || path || chr(10) || '(compacted in batch mode — use smart_read("' || path || '") for full detail)' AS u FROM f),
+n AS (SELECT batch, path, row_number() OVER (PARTITION BY batch ORDER BY path) AS i, {SHOW('c')} AS whole, {SHOW('k')} AS cut, {SHOW('u')} AS stub FROM t),
+r(batch, i, path, shown, given, rest) AS (SELECT batch, 0::BIGINT, NULL::VARCHAR, NULL::VARCHAR, 0::BIGINT, 1400::BIGINT FROM (SELECT DISTINCT batch FROM n) UNION ALL
+  SELECT batch, i, path, shown, given, greatest(0, rest - given) FROM (SELECT n.batch, n.i, n.path, r.rest, CASE WHEN rest <= 60 THEN 'stub' WHEN whole <= least(220, rest) THEN 'whole' ELSE 'cut' END AS shown, CASE WHEN rest <= 60 THEN stub WHEN whole <= least(220, rest) THEN whole ELSE cut END AS given FROM r JOIN n ON n.batch = r.batch AND n.i = r.i + 1))
+SELECT batch, path, shown, given FROM r WHERE i > 0""")
 def d17(spark, sf):
-    f = _files(spark, sf)
-    return x.token_budget(f.select(F.col("language").alias("batch"), "path", e.token_estimate(F.col("content")).alias("tokens")), 1400, 220)
+    """Batches of twenty documents each."""
+    return x.token_budget(_files(spark, sf).select(F.floor(F.col("doc_id") / 20).cast("long").alias("batch"), "path", "content"))

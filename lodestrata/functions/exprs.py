@@ -20,13 +20,14 @@ def saved_pct(returned: Column, would_be: Column) -> Column:
 
 def utf16_length(s: Column) -> Column:
     """Length in UTF-16 units: characters beyond the first plane count twice."""
-    return F.length(s) + F.length(F.regexp_replace(s, "[\\x{0}-\\x{ffff}]", ""))
+    return (F.octet_length(F.encode(s, "UTF-16BE")) / 2).cast("int")
 
 
 def token_estimate(s: Column) -> Column:
     """Quarter of the length, less up to 30 percent by the share of white space; 0 for an empty text."""
     n = utf16_length(s)
-    ws = n - utf16_length(F.regexp_replace(s, SPACE_CLASS, ""))
+    # one match for each word, not for each character; white space is in the first plane
+    ws = F.length(F.regexp_replace(s, SPACE_CLASS.replace("[", "[^", 1) + "++", ""))
     return F.when(n == 0, F.lit(0)).otherwise(F.ceil(F.ceil(n / 4) * (1 - 0.3 * ws / n))).cast("long")
 
 
@@ -37,7 +38,7 @@ def keeps_whole(outline_tokens: Column, full_tokens: Column, most: Column | None
 
 
 def savings_category(text: Column) -> Column:
-    return F.when(text.startswith("REMINDER:") | text.startswith("DEDUP:"), "dedup").when(text.contains("returned in full"), "none").otherwise("compression")
+    return F.when(text.startswith("REMINDER:") | text.startswith("DEDUP:"), "dedup").when(text.contains("returned in full, below threshold") | text.contains("returned in full, outline not smaller"), "none").otherwise("compression")
 
 
 def confidence(score: Column) -> Column:
@@ -54,15 +55,23 @@ def confidence_score(resolved: Column, full: Column, tests: Column, callers: Col
 
 
 def duration(ms: Column) -> Column:
-    """Milliseconds as ms, seconds with one digit, or minutes and seconds."""
+    """Whole seconds; minutes and seconds; hours and minutes."""
     s = F.floor(ms / 1000)
-    return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).when(ms < 60000, F.concat(F.format_string("%.1f", F.floor(ms / 100) / 10), F.lit("s"))).otherwise(F.concat(F.floor(s / 60).cast("string"), F.lit("m "), (s % 60).cast("string"), F.lit("s")))
+    m = F.floor(s / 60)
+    text = lambda *parts: F.concat(*[x.cast("string") if isinstance(x, Column) else F.lit(x) for x in parts])
+    return F.when(s < 60, text(s, "s")).when(m < 60, text(m, "m ", s % 60, "s")).otherwise(text(F.floor(m / 60), "h ", m % 60, "m"))
 
 
-def short_tokens(n: Column) -> Column:
-    """Thousands as k, millions as M, rounded down to a tenth."""
-    tenth = lambda d: F.format_string("%.1f", F.floor(n * 10 / d) / 10)
-    return F.when(n >= 1_000_000, F.concat(tenth(1_000_000), F.lit("M"))).when(n >= 1000, F.concat(tenth(1000), F.lit("k"))).otherwise(n.cast("string"))
+def _fixed(x: Column) -> Column:
+    """One digit behind the point, of the nearest tenth; a tie goes up, and there are none but at whole twentieths."""
+    tenths = F.floor(x * 10 + F.lit(0.5)).cast("long")
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
+def short_tokens(n: Column, whole: bool = False) -> Column:
+    """Thousands as k with one digit, or whole ones; millions as M with one digit."""
+    k = js_round(n / 1000).cast("string") if whole else _fixed(n / 1000)
+    return F.when(n >= 1_000_000, F.concat(_fixed(n / 1_000_000), F.lit("M"))).when(n >= 1000, F.concat(k, F.lit("k"))).otherwise(n.cast("string"))
 
 
 def version_key(v: Column) -> Column:
@@ -104,7 +113,7 @@ def source_name(path: Column) -> Column:
 
 def error_class(code: Column, name: Column, message: Column) -> Column:
     has = lambda x: F.lower(message).contains(x)
-    return F.coalesce(code, F.when(name.isin("SyntaxError", "TypeError"), name).when(has("timeout"), "timeout").when(has("not initialized"), "not_initialized").when(has("permission denied"), "permission_denied").otherwise("unknown"))
+    return F.coalesce(F.when(code != "", code), F.when(name == "SyntaxError", "parse_error").when(name == "TypeError", "type_error").when(has("timeout"), "timeout").when(has("not initialized"), "not_initialized").when(has("permission denied"), "EACCES").otherwise("unknown"))
 
 
 def response_budget(text: Column) -> Column:

@@ -115,35 +115,120 @@ def name_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, ["path", "name"], "full").select("path", "name", F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").otherwise("unchanged").alias("change"))
 
 
-#: Runner by its command; the first that matches.
-RUNNERS = {"vitest": "vitest", "jest": "jest", "pytest": "pytest|py\\.test", "phpunit": "phpunit|pest", "go": "\\bgo test", "cargo": "cargo test", "rspec": "rspec", "mocha": "mocha", "node": "node --test"}
+#: Runner by what its command holds, the first that matches.
+RUNNERS = [("vitest", ("vitest",)), ("jest", ("jest",)), ("pytest", ("pytest",)), ("phpunit", ("phpunit",)), ("cargo", ("cargo test",)), ("go", ("go test",)), ("rspec", ("rspec",)), ("mocha", ("mocha",)), ("node", ("node --test", "node:test"))]
+#: What the summaries of runners look like.
+VITEST_TESTS = r"Tests?\s+(?:(\d+)\s+failed\s*\|?\s*)?(?:(\d+)\s+passed\s*)?(?:\|?\s*(\d+)\s+skipped)?\s*\((\d+)\)"
+VITEST_FILES, VITEST_TIME = r"Test Files\s+(?:\d+\s+failed\s*\|?\s*)?(\d+)\s+passed\s*\((\d+)\)", r"Duration\s+([\d.]+\w?\s*(?:\([^)]+\))?)"
+JEST_TESTS = r"Tests:\s+(?:(\d+) failed, )?(?:(\d+) skipped, )?(?:(\d+) passed, )?(\d+) total"
+PYTEST, PYTEST_FAILED = r"(?m)=+\s*(.*?)\s*=+\s*$", r"(?m)^FAILED\s+(\S+)\s*-?\s*(.*)"
+PHPUNIT_OK, PHPUNIT, PHPUNIT_ERRORS, PHPUNIT_TIME, PHPUNIT_FAILED = r"OK\s*\((\d+)\s+test", r"Tests:\s*(\d+).*?Failures:\s*(\d+)", r"Errors:\s*(\d+)", r"Time:\s*([\d.:]+\s*\w*)", r"(?m)^\d+\)\s+(\S+::\S+)"
+GO_FAILED, NODE_FAILED = r"(?m)^---\s+FAIL:\s+(\S+)\s+\(([^)]+)\)", r"(?m)^not ok\s+\d+\s*-\s*(.+)$"
+CARGO = r"test result:\s*\w+\.\s*(\d+)\s+passed;\s*(\d+)\s+failed;\s*(\d+)\s+ignored"
+#: Characters of a failure's name and error, failures and lines that are shown.
+NAME_CHARS, ERROR_CHARS, SHOWN, ERROR_LINES = 200, 300, 10, 7
 
 
 def runner(command: Column, output: Column) -> Column:
+    """Which runner wrote an output: by its command, else by the output."""
+    cmd, out = F.lower(command), F.lower(output)
     c = F.when(F.lit(False), "")
-    for name, p in RUNNERS.items():
-        c = c.when(command.rlike(p), name)
-    c = c.when(output.rlike("Test Suites:|Tests:\\s+.*total"), "jest").when(output.rlike("=+ .*(passed|failed).* in [0-9.]+s"), "pytest").when(output.rlike("--- (PASS|FAIL)"), "go").when(output.rlike("test result: "), "cargo")
-    return c.when(output.rlike("^TAP version|\\n# tests [0-9]+"), "node").otherwise("generic")
-
+    for name, parts in RUNNERS:
+        for p in parts:
+            c = c.when(cmd.contains(p), name)
+    c = c.when(out.contains("vite"), "vitest").when(out.contains("jest"), "jest").when(out.contains("pytest") | (out.contains("=== ") & out.contains(" passed")), "pytest").when(out.contains("phpunit"), "phpunit")
+    c = c.when(out.contains("--- fail:") | out.contains("--- pass:") | out.contains("ok  \t"), "go").when(output.rlike(r"(?m)^#\s*tests\s+\d+") & output.rlike(r"(?m)^#\s*pass\s+\d+"), "node")
+    return c.otherwise("generic")
+
+
+def _counts(kind: Column, o: Column) -> Column:
+    """struct(passed, failed, skipped, total) of an output, by the notation of its runner."""
+    has = lambda p: o.rlike(p)
+    num = lambda p, i=1, of=o: F.coalesce(F.regexp_extract(of, p, i).try_cast("long"), F.lit(0).cast("long"))
+    lines = lambda p: F.regexp_count(o, F.lit(f"(?m){p}")).cast("long")
 
-def _number(text: Column, pattern: str) -> Column:
-    return F.coalesce(F.regexp_extract(text, pattern, 1).try_cast("long"), F.lit(0))
+    def all_of(passed: Column, failed: Column, skipped: Column, total: Column | None = None) -> Column:
+        total = passed + failed + skipped if total is None else total
+        return F.struct(*[x.cast("long").alias(n) for n, x in (("passed", passed), ("failed", failed), ("skipped", skipped), ("total", total))])
+
+    none = F.lit(0).cast("long")
+    vitest = all_of(num(VITEST_TESTS, 2), num(VITEST_TESTS, 1), num(VITEST_TESTS, 3), num(VITEST_TESTS, 4))
+    jest = all_of(num(JEST_TESTS, 3), num(JEST_TESTS, 1), num(JEST_TESTS, 2), num(JEST_TESTS, 4))
+    line = F.regexp_extract(o, PYTEST, 1)
+    pytest = all_of(*[num(rf"(\d+)\s+{w}", 1, line) for w in ("passed", "failed", "skipped")])
+    bad = num(PHPUNIT, 2) + num(PHPUNIT_ERRORS)
+    phpunit = F.when(has(PHPUNIT), all_of(num(PHPUNIT) - bad, bad, none, num(PHPUNIT))).otherwise(all_of(num(PHPUNIT_OK), none, none))
+    marks = [lines(rf"^---\s+{w}:") for w in ("PASS", "FAIL", "SKIP")]
+    go = F.when(sum(marks[1:], marks[0]) > 0, all_of(*marks)).otherwise(all_of(lines(r"^ok\s+"), lines(r"^FAIL\s+"), none))
+    foot = [num(rf"(?m)^#\s*{w}\s+(\d+)") for w in ("pass", "fail", "skipped")]
+    total = F.when(has(r"(?m)^#\s*tests\s+\d+"), num(r"(?m)^#\s*tests\s+(\d+)")).otherwise(sum(foot[1:], foot[0]))
+    node = F.when(has(r"(?m)^#\s*(pass|fail)\s+\d+"), all_of(*foot, total)).otherwise(all_of(lines(r"^ok\s+\d+"), lines(r"^not ok\s+\d+"), none))
+    cargo = all_of(num(CARGO), num(CARGO, 2), num(CARGO, 3))
+    parts = [num(rf"(?i)(\d+)\s+(?:{w})") for w in ("passed|passing|ok|success", "failed|failing|error|fail", "skipped|pending|ignored")]
+    every = r"(?i)(\d+)\s+(?:total|tests?|specs?)\b"
+    generic = all_of(*parts, F.when(has(every), num(every)).otherwise(sum(parts[1:], parts[0])))
+    return (
+        F.when(kind.isin("vitest", "jest") & has(VITEST_TESTS), vitest).when(kind.isin("vitest", "jest"), jest).when(kind == "pytest", pytest).when(kind == "phpunit", phpunit)
+        .when(kind == "go", go).when(kind == "node", node).when(kind == "cargo", cargo).otherwise(generic)
+    )
+
+
+def _failure(name: Column, error: Column) -> Column:
+    return F.struct(F.left(name, F.lit(NAME_CHARS)).alias("name"), F.left(error, F.lit(ERROR_CHARS)).alias("error"))
+
+
+def _failures(kind: Column, o: Column) -> Column:
+    """array of struct(name, error) of the failures that an output names."""
+
+    def named(p: str, error=lambda i: F.lit("")) -> Column:
+        return F.transform(F.regexp_extract_all(o, F.lit(p), 1), lambda x, i: _failure(F.trim(x), error(i)))
+
+    def block(b: Column) -> Column:
+        ls = F.transform(F.slice(F.split(b, "\n", -1), 2, ERROR_LINES), lambda x: F.trim(x))
+        end = F.array_position(F.transform(ls, lambda x: x.rlike("^[⎯─]")), True)
+        ls = F.filter(ls, lambda x, i: ((end == 0) | (i < end - 1)) & (x != "") & ~x.rlike("^(at |❯)"))
+        return _failure(F.trim(F.substring_index(b, "\n", 1)), F.array_join(ls, "\n"))
+
+    blocks = F.slice(F.split(o, r"(?:FAIL|✕|×)\s+", -1), 2, SHOWN)
+    vitest = F.filter(F.transform(blocks, block), lambda x: x["name"] != "")
+    sections = F.transform(F.slice(F.split(o, r"(?m)^failures:\s*$", -1), 2, 1_000_000), lambda x: F.filter(F.split(x, "\n", -1), lambda y: F.trim(y) != ""))
+    lists = F.filter(sections, lambda x: (F.size(x) > 0) & F.forall(x, lambda y: y.rlike(r"^\s+\S+") & ~y.contains("----")))
+    cargo = F.transform(F.slice(F.coalesce(F.get(lists, F.lit(0)), F.array().cast("array<string>")), 1, SHOWN), lambda x: _failure(F.trim(x), F.lit("")))
+    second = lambda p, lead="": lambda i: F.concat(F.lit(lead), F.get(F.regexp_extract_all(o, F.lit(p), 2), i))
+    none = F.array().cast("array<struct<name:string,error:string>>")
+    return (
+        F.when(kind.isin("vitest", "jest"), vitest).when(kind == "pytest", named(PYTEST_FAILED, second(PYTEST_FAILED))).when(kind == "phpunit", named(PHPUNIT_FAILED))
+        .when(kind == "go", named(GO_FAILED, second(GO_FAILED, "duration: "))).when(kind == "node", named(NODE_FAILED)).when(kind == "cargo", cargo).otherwise(none)
+    )
+
+
+def test_runs(outputs: DataFrame) -> DataFrame:
+    """What captured test runs (id, command, output, exit_code) say: runner, counts, suites, duration and failures.
+
+    A run that failed without a failed test has one, named after its exit code, with the output's first lines. Of
+    summaries with and without a colon behind `Tests` both are read.
+    """
+    o = F.col("output")
+    d = outputs.select("id", "exit_code", "output", runner(F.col("command"), o).alias("runner"))
+    d = d.withColumn("c", _counts(F.col("runner"), o)).withColumn("found", _failures(F.col("runner"), o))
+    some = lambda x: F.when(x != "", F.trim(x))
+    time = F.when(F.col("runner").isin("vitest", "jest"), some(F.regexp_extract(o, VITEST_TIME, 1))).when(F.col("runner") == "pytest", some(F.regexp_extract(F.regexp_extract(o, PYTEST, 1), r"in\s+([\d.]+s)", 1))).when(F.col("runner") == "phpunit", some(F.regexp_extract(o, PHPUNIT_TIME, 1)))
+    suites = F.when(F.col("runner").isin("vitest", "jest"), F.regexp_extract(o, VITEST_FILES, 2).try_cast("long"))
+    broke = (F.col("exit_code") != 0) & (F.col("c.failed") == 0)
+    ls = F.filter(F.transform(F.split(o, "\n", -1), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike("^(at |>)"))
+    why = F.when(F.size(ls) > 0, F.array_join(F.slice(ls, 1, 3), "\n")).otherwise(F.lit("Command failed without producing output."))
+    own = F.array(_failure(F.concat(F.lit("Command exited with code "), F.col("exit_code").cast("string")), why))
+    return d.select(
+        "id", "runner", F.col("c.passed").alias("passed"), F.when(broke, F.lit(1).cast("long")).otherwise(F.col("c.failed")).alias("failed"), F.col("c.skipped").alias("skipped"),
+        F.when(broke, F.greatest(F.col("c.total"), F.col("c.passed") + 1 + F.col("c.skipped"))).otherwise(F.col("c.total")).alias("total"),
+        suites.alias("suites"), time.alias("duration"), F.when(broke, F.concat(own, F.col("found"))).otherwise(F.col("found")).alias("failures"),
+    )
 
 
 def test_counts(outputs: DataFrame) -> DataFrame:
-    """Passed, failed and skipped of a captured test run (command, output, exit_code), by the notation of its runner.
+    return test_runs(outputs).select("id", "runner", "passed", "failed", "skipped", "total")
 
-    A run that failed without a failed test has one.
-    """
-    o = F.col("output")
-    kind = runner(F.col("command"), o)
-    lines = lambda p: F.regexp_count(o, F.lit(f"(?m){p}")).cast("long")
-    word = lambda w: _number(o, f"([0-9]+) {w}")
-    go_pass, go_fail = lines("^\\s*--- PASS"), lines("^\\s*--- FAIL")
-    passed = F.when(kind == "go", F.when(go_pass + go_fail > 0, go_pass).otherwise(lines("^ok\\s"))).when(kind == "node", _number(o, "# pass ([0-9]+)")).when((kind == "phpunit") & o.rlike("OK \\("), _number(o, "OK \\(([0-9]+) test")).when(kind == "phpunit", _number(o, "Tests: ([0-9]+)") - _number(o, "Failures: ([0-9]+)") - _number(o, "Errors: ([0-9]+)")).otherwise(word("pass(?:ed|ing)"))
-    failed = F.when(kind == "go", F.when(go_pass + go_fail > 0, go_fail).otherwise(lines("^FAIL\\s"))).when(kind == "node", _number(o, "# fail ([0-9]+)")).when(kind == "phpunit", _number(o, "Failures: ([0-9]+)") + _number(o, "Errors: ([0-9]+)")).otherwise(word("fail(?:ed|ing)"))
-    skipped = F.when(kind == "go", lines("^\\s*--- SKIP")).when(kind == "node", _number(o, "# skipped ([0-9]+)")).when(kind == "phpunit", _number(o, "Skipped: ([0-9]+)")).otherwise(word("(?:skipped|ignored|pending)"))
-    d = outputs.select("id", kind.alias("runner"), passed.alias("passed"), failed.alias("f"), skipped.alias("skipped"), "exit_code")
-    d = d.withColumn("failed", F.when((F.col("exit_code") != 0) & (F.col("f") == 0), F.lit(1)).otherwise(F.col("f")).cast("long"))
-    return d.select("id", "runner", "passed", "failed", "skipped", (F.col("passed") + F.col("failed") + F.col("skipped")).alias("total"))
+
+def test_failures(outputs: DataFrame) -> DataFrame:
+    """A row for each failure of a run."""
+    return test_runs(outputs).select("id", F.posexplode("failures").alias("ord", "f")).select("id", "ord", "f.name", "f.error")

@@ -6,10 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Tools that read whole files, endings of code, task marks.
-FULL_READS = ("smart_read", "read_range", "read_symbol")
-_CODE = r"\.(ts|tsx|js|jsx|py|go|rs|java|kt|rb|php|c|h|cpp|cs|swift)\b"
-TAGS = ("TODO", "FIXME", "HACK", "XXX", "NOTE", "WARN", "WARNING", "BUG")
+#: Tools that read whole files, and from how many tokens on one is expensive.
+FULL_READS = ("smart_read", "smart_read_many")
+EXPENSIVE = 500
+#: Task marks.
+TAGS = ("TODO", "FIXME", "HACK", "XXX", "BUG", "NOTE", "OPTIMIZE", "REFACTOR")
+#: Endings of code files in a command, and the patterns of commands and of what wraps them.
+CODE_FILE = r"\.(ts|tsx|js|jsx|mjs|cjs|py|rb|go|rs|java|kt|swift|php|cs|cpp|c|h|hpp|scala|clj|ex|exs|elm|ml|fs|dart|lua|sh|bash|zsh)(\s|\z|;|\||&|>|<)"
+RECURSIVE_GREP, GREP_BOUND = r"\bgrep\s+[^|]*-[rR]\b", r"\s-m\s+\d+"
+WIDE_FIND, FIND_BOUND = r"\bfind\s+(/|~|\$HOME)", r"-maxdepth\s+\d+"
+SED_IN_PLACE, LINE_COUNT, SLICE_LINES = r"\bsed\b[^|>]*\s-i\b", r"(?:^|\s)-(?:n\s*)?(\d+)\b", 300
+GIT_LOG, LOG_BOUND = r"(^|[;&|\n]\s*)git\s+log\b", r"-n\s*\d+|-N\s*\d+|--max-count=\d+|\s-\d+(\s|\z)|\|\s*head"
+GIT_DIFF, DIFF_STAT = r"(^|[;&|\n]\s*)git\s+diff\s*(\z|[|;&])", r"\bgit\s+diff\s+[^\s|]*--stat"
+RUN_TESTS = r"\b(?:npm|yarn|pnpm)\s+(?:run\s+)?test(?:[:\s]|\z)|\byarn\s+workspace\s+\S+\s+test\b|\b(?:vitest|jest|mocha|phpunit|rspec|pytest)\b|\bgo\s+test\b|\bcargo\s+test\b"
+WRAPPED = (r"\b(?:bash|sh|zsh)\s+-c\s+(?:\"([^\"]+)\"|'([^']+)')", r"\beval\s+(?:\"([^\"]+)\"|'([^']+)')", r"(?s)\b(?:for|while|until)\b[^;]*;\s*do\s+(.+?)\s*;?\s*done\b()")
 
 
 def policy_advice(calls: DataFrame) -> DataFrame:
@@ -17,7 +27,7 @@ def policy_advice(calls: DataFrame) -> DataFrame:
     w = Window.partitionBy("session_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     full = F.col("tool").isin(*FULL_READS)
     c = calls.withColumn("full", full).withColumn("fulls", F.sum(full.cast("int")).over(w)).withColumn("n", F.count("*").over(w)).withColumn("total", F.sum("tokens_returned").over(w))
-    advice = F.when(F.col("full") & (F.col("fulls") >= 10), "full_reads").when(F.col("tokens_returned") > 2000, "large").when(F.col("full") & (F.col("tokens_returned") > 400), "expensive").when(F.col("n") % 15 == 0, "many_calls").when((F.col("total") > 8000) & (F.col("n") % 5 == 0), "many_tokens")
+    advice = F.when(F.col("full") & (F.col("fulls") >= 10), "full_reads").when(F.col("tokens_returned") > 2000, "large").when(F.col("full") & (F.col("tokens_returned") > EXPENSIVE), "expensive").when(F.col("n") % 15 == 0, "many_calls").when((F.col("total") > 8000) & (F.col("n") % 5 == 0), "many_tokens")
     return c.select("event_id", advice.alias("advice")).where("advice is not null")
 
 
@@ -44,12 +54,13 @@ def read_span(limit: Column, offset: Column, total: Column) -> Column:
 
 def task_scan(pattern: Column) -> Column:
     """Whether a search looks for nothing but task marks."""
-    parts = F.split(F.upper(F.regexp_replace(pattern, "[()\\s]", "")), "\\|")
+    parts = F.split(F.upper(F.regexp_replace(pattern, "[()\\s]", "")), "\\|", -1)
     return F.size(F.array_except(parts, F.array(*map(F.lit, TAGS)))) == 0
 
 
 def symbol_like(pattern: Column) -> Column:
-    shape = pattern.rlike("[a-z][A-Z]") | pattern.contains("_") | pattern.contains("-") | pattern.rlike("^[A-Z]+$") | pattern.rlike("^[A-Z][a-z]")
+    """A name in one of the usual cases: camel, Pascal, snake, kebab, or capitals."""
+    shape = pattern.rlike("[a-z][A-Z]") | pattern.contains("_") | pattern.contains("-") | pattern.rlike("^[A-Z][A-Z0-9]+$") | pattern.rlike("^[A-Z][a-zA-Z0-9]+$")
     return (F.length(pattern) >= 4) & ~pattern.rlike("[\\\\^$.*+?()\\[\\]{}|\\s]") & pattern.rlike("[A-Za-z]") & shape
 
 
@@ -57,26 +68,32 @@ def search_gate(pattern: Column, mode: Column) -> Column:
     return F.when(task_scan(pattern), "advise").when(mode == "advisory", "allow").when(symbol_like(pattern), "deny").otherwise("allow")
 
 
+def _calls(cmd: Column, tool: str) -> Column:
+    """The tool stands where a command begins."""
+    return cmd.rlike(rf"(?m)(^|[;&|\n]\s*){tool}(\s|$)")
+
+
 def _one(cmd: Column) -> Column:
-    free = ~cmd.rlike(r"[|>]|<<")
-    n = F.coalesce(F.regexp_extract(cmd, r"-n?\s*([0-9]+)", 1).try_cast("int"), F.lit(10))
+    whole = cmd.rlike(CODE_FILE) & ~cmd.rlike("[|>]")
+    n = F.coalesce(F.regexp_extract(cmd, LINE_COUNT, 1).try_cast("int"), F.lit(0))
     return (
-        F.when(cmd.rlike(r"^grep\s+(-\w*[rR]|--recursive)") & ~cmd.rlike(r"\s-m\s*[0-9]"), "deny")
-        .when(cmd.rlike(r"^find\s+(/|~|\$HOME)(\s|$)") & ~cmd.contains("-maxdepth"), "deny")
-        .when(cmd.rlike(r"^cat\s+\S*" + _CODE) & free, "deny")
-        .when(cmd.rlike(r"^sed\s+(?!-i).*" + _CODE) & free, "deny")
-        .when(cmd.rlike(r"^(head|tail)\s.*" + _CODE) & (n >= 300), "deny")
-        .when(cmd.rlike(r"^git\s+log\b") & ~cmd.rlike(r"(\s-n\s*[0-9]|\s-[0-9]|--max-count|--oneline -|\|)"), "deny")
-        .when(cmd.rlike(r"^git\s+diff\s*$"), "deny")
-        .when(cmd.rlike(r"^(npx\s+)?(vitest|jest|pytest|phpunit|go test|cargo test|npm test)\b"), "advise")
+        F.when(cmd.rlike(RECURSIVE_GREP) & ~cmd.rlike(GREP_BOUND), "deny")
+        .when(cmd.rlike(WIDE_FIND) & ~cmd.rlike(FIND_BOUND), "deny")
+        .when(_calls(cmd, "cat") & whole & ~cmd.contains("<<"), "deny")
+        .when(whole & _calls(cmd, "sed") & ~cmd.rlike(SED_IN_PLACE), "deny")
+        .when(whole & (_calls(cmd, "head") | _calls(cmd, "tail")) & (n >= SLICE_LINES), "deny")
+        .when(_calls(cmd, "git") & cmd.rlike(GIT_LOG) & ~cmd.rlike(LOG_BOUND), "deny")
+        .when(cmd.rlike(GIT_DIFF) & ~cmd.rlike(DIFF_STAT), "deny")
+        .when(cmd.rlike(RUN_TESTS), "advise")
         .otherwise("allow")
     )
 
 
 def command_gate(command: Column) -> Column:
-    """Inner commands of shell wrappers first, of which only a denial counts; then the command itself."""
-    inner = F.regexp_extract(command, r"""^(?:(?:ba|z)?sh\s+-c|eval)\s+['"](.*)['"]""", 1)
-    return F.when((inner != "") & (_one(inner) == "deny"), "deny").otherwise(_one(command))
+    """What shells, eval and loops wrap comes first, of which only a denial counts; then the command itself."""
+    cmd = F.trim(command)
+    inner = F.concat(*[F.regexp_extract_all(cmd, F.lit(p), k) for p in WRAPPED for k in (1, 2)])
+    return F.when(F.exists(inner, lambda c: _one(F.trim(c)) == "deny"), "deny").otherwise(_one(cmd))
 
 
 def large_output(text: Column, most: int = 8000) -> Column:

@@ -8,11 +8,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: File endings of each language alias; an unknown alias is taken as an ending itself.
-LANGUAGES = {"python": [".py"], "py": [".py"], "typescript": [".ts", ".tsx"], "ts": [".ts", ".tsx"], "go": [".go"], "javascript": [".js", ".jsx"], "rust": [".rs"]}
+from lodestrata.plans.scratch import saved
+
+#: File endings of each language; an unknown language is taken as an ending itself.
+LANGUAGES = {
+    "typescript": [".ts", ".tsx"], "javascript": [".js", ".jsx", ".mjs", ".cjs"], "php": [".php"], "python": [".py"], "rust": [".rs"], "go": [".go"], "java": [".java"],
+    "ruby": [".rb"], "csharp": [".cs"], "kotlin": [".kt", ".kts"], "swift": [".swift"], "dart": [".dart"], "vue": [".vue"], "svelte": [".svelte"],
+}
+#: Endings of files whose languages use each other.
+FAMILIES = {
+    "js": "ts tsx js jsx mjs cjs vue svelte", "py": "py pyi", "go": "go", "rs": "rs", "jvm": "java kt kts scala groovy", "dotnet": "cs", "rb": "rb", "php": "php", "swift": "swift",
+    "c": "c h cpp cc cxx hpp", "dart": "dart", "elixir": "ex exs",
+}
 #: What the paths of tests look like, and names that are constructors.
-TEST_PATH = r"(^|/)(tests?|__tests__|spec)/|\.(test|spec)\.[^/]+$|_test\.[^/.]+$|(^|/)test_[^/]+$"
-CONSTRUCTORS = ("constructor", "__init__", "__construct", "init", "new")
+TEST_PATH = r"\.test\.\w+$|\.spec\.\w+$|_test\.\w+$|test_[^/]+\.\w+$|__tests__/|/tests?/"
+CONSTRUCTORS = ("constructor", "__init__", "__new__", "__del__")
 
 
 def boundary(text: Column, symbol: str) -> Column:
@@ -86,36 +96,67 @@ def related(evidence: DataFrame) -> DataFrame:
     return g.withColumn("bucket", F.when(F.col("score") >= 5, "high").when(F.col("score") >= 3, "medium").otherwise("low"))
 
 
-def related_files(refs: DataFrame, target: str, changed: DataFrame) -> DataFrame:
-    """Files tied to a target: +4 imported by it, +3 importing it (and +n-1 for n symbols), +2 in its directory, +5 its tests, +2 recently changed."""
-    mine = refs.where(F.col("path") == target)
-    others = refs.where(F.col("path") != target)
-    defs = refs.where("section = 'definition'").select("symbol", F.col("path").alias("at"))
-    imports = mine.where("section <> 'definition'").join(defs, "symbol").where(F.col("at") != target).select(F.col("at").alias("path")).distinct().select("path", F.lit(4).alias("score"), F.lit("import").alias("tag"))
-    users = others.join(mine.where("section = 'definition'").select("symbol").distinct(), "symbol", "left_semi").groupBy("path").agg(F.count_distinct("symbol").alias("n"))
-    importers = users.select("path", F.lit(3).alias("score"), F.lit("importer").alias("tag"))
-    multi = users.where("n > 1").select("path", (F.col("n") - 1).cast("int").alias("score"), F.lit("multi-ref").alias("tag"))
-    found = imports.unionByName(importers).unionByName(multi)
-    files = found.select("path").distinct()
-    folder = target.rpartition("/")[0]
-    same = files.where(F.regexp_extract("path", "^(.*)/[^/]*$", 1) == folder).select("path", F.lit(2).alias("score"), F.lit("same-dir").alias("tag"))
-    tests = files.where(F.col("path").rlike(TEST_PATH)).select("path", F.lit(5).alias("score"), F.lit("test").alias("tag"))
-    recent = files.join(changed, "path", "left_semi").select("path", F.lit(2).alias("score"), F.lit("changed").alias("tag"))
-    return related(found.unionByName(same).unionByName(tests).unionByName(recent))
+def family(path: Column) -> Column:
+    """The family of a path's language; null for endings of none."""
+    ending = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    c = F.when(F.lit(False), "")
+    for name, ends in FAMILIES.items():
+        c = c.when(ending.isin(ends.split()), name)
+    return c
+
+
+def related_files(refs: DataFrame, imports: DataFrame, files: DataFrame, target: str, changed: DataFrame, symbols: int = 10, most: int = 30) -> DataFrame:
+    """Files tied to a target by evidence that adds up.
+
+    refs: (symbol, path, line, section); imports: (path, source), a row for each import statement; files and
+    changed: (path). +4 for each import of the target that leads to a file; +3 for a file that refers to one of the target's
+    first symbols, or to its name, among each symbol's first imports and first usages, and +1 for each further reference,
+    if the languages are of one family; +2 for the target's directory at each import and importer; +5 for
+    tests whose names hold the target's; +2 for changed files among all these.
+    """
+    folder, _, name = target.rpartition("/")
+    base = re.sub(r"\.\w+$", "", name)
+    score = lambda n, tag: (F.lit(n).cast("long").alias("score"), F.lit(tag).alias("tag"))
+    near = F.regexp_extract("path", "^(?:(.*)/)?[^/]*$", 1) == folder
+    used = imports.where((F.col("path") == target) & (F.col("source") != target)).select(F.col("source").alias("path"))
+    mine = refs.where((F.col("path") == target) & (F.col("section") == "definition")).select("symbol", "line").orderBy("line", "symbol").limit(symbols).select("symbol")
+    asked = F.broadcast(mine.union(refs.sparkSession.createDataFrame([(base,)], "symbol string")).distinct())  # eleven names at most
+    w = Window.partitionBy("symbol", "section").orderBy("path", "line")
+    first = refs.where("section <> 'definition'").join(asked, "symbol").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+    alike = F.coalesce(family(F.col("path")) == family(F.lit(target)), F.lit(True))
+    users = first.where((F.col("path") != target) & alike).groupBy("path").agg(F.count("*").alias("n"))
+    found = used.select("path", *score(4, "import")).unionByName(used.where(near).select("path", *score(2, "same-dir")))
+    found = found.unionByName(users.select("path", *score(3, "importer"))).unionByName(users.where(near).select("path", *score(2, "same-dir")))
+    found = found.unionByName(users.where("n > 1").select("path", (F.col("n") - 1).cast("long").alias("score"), F.lit("multi-ref").alias("tag")))
+    tests = files.where(F.substring_index("path", "/", -1).contains(base) & F.col("path").rlike(TEST_PATH))
+    found = found.unionByName(tests.select("path", *score(5, "test")))
+    recent = found.select("path").distinct().join(changed.select("path").distinct(), "path", "left_semi")
+    return related(found.unionByName(recent.select("path", *score(2, "changed"))))
 
 
 def routes(spark: SparkSession, edges: DataFrame, start: int, goal: int, max_depth: int = 20, max_paths: int = 50, kind: str | None = None) -> DataFrame:
-    """Simple paths between two modules, shortest first; a path is a text of names that also guards against cycles."""
+    """Simple paths between two modules, shortest first; a path is a text of names that also guards against cycles.
+
+    Paths grow by one edge at a time, and no further once enough are found: what is longer would not be shown.
+    """
     e = edges if kind is None else edges.where(F.col("kind") == kind)
-    return spark.sql(
-        f"""WITH RECURSIVE r(node, path, depth) AS (
-              SELECT CAST({int(start)} AS BIGINT), CAST('>{int(start)}>' AS STRING), 0
-              UNION ALL SELECT CAST(e.dep AS BIGINT), concat(r.path, CAST(e.dep AS STRING), '>'), r.depth + 1
-              FROM r JOIN {{e}} e ON e.module = r.node
-              WHERE r.depth < {int(max_depth)} AND r.node <> {int(goal)} AND NOT contains(r.path, concat('>', CAST(e.dep AS STRING), '>')))
-            SELECT path, depth FROM r WHERE node = {int(goal)} AND depth > 0 ORDER BY depth, path LIMIT {int(max_paths)}""",
-        e=e,
-    )
+    e = saved(e.select(F.col("module").cast("long").alias("module"), F.col("dep").cast("long").alias("dep")).distinct(), "edges")
+    at = spark.createDataFrame([(start, f">{start}>")], "node long, path string")
+    found: list[DataFrame] = []
+    n = 0
+    for depth in range(1, max_depth + 1):
+        step = at.where(F.col("node") != goal).join(e, at["node"] == e["module"])
+        step = step.where(~F.contains("path", F.concat(F.lit(">"), F.col("dep").cast("string"), F.lit(">"))))
+        at = saved(step.select(F.col("dep").alias("node"), F.concat("path", F.col("dep").cast("string"), F.lit(">")).alias("path")), "paths")
+        hits = at.where(F.col("node") == goal)
+        found.append(hits.select("path", F.lit(depth).alias("depth")))
+        n += hits.count()
+        if n >= max_paths or at.isEmpty():
+            break
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    return every.orderBy("depth", "path").limit(max_paths)
 
 
 def call_tree(spark: SparkSession, edges: DataFrame, root: int, depth: int = 3) -> DataFrame:
@@ -132,15 +173,17 @@ def call_tree(spark: SparkSession, edges: DataFrame, root: int, depth: int = 3)
 
 
 def transitive(spark: SparkSession, edges: DataFrame, root: int, depth: int = 20) -> DataFrame:
-    """Direct and transitive dependencies of a module with their least depth, over simple paths."""
-    return spark.sql(
-        f"""WITH RECURSIVE r(node, path, depth) AS (
-              SELECT CAST({int(root)} AS BIGINT), CAST('>{int(root)}>' AS STRING), 0
-              UNION ALL SELECT CAST(e.dep AS BIGINT), concat(r.path, CAST(e.dep AS STRING), '>'), r.depth + 1
-              FROM r JOIN {{e}} e ON e.module = r.node WHERE r.depth < {int(depth)} AND NOT contains(r.path, concat('>', CAST(e.dep AS STRING), '>')))
-            SELECT node, min(depth) AS depth FROM r WHERE depth > 0 GROUP BY node""",
-        e=edges,
-    )
+    """Direct and transitive dependencies of a module with their least depth, breadth first: each round asks only for modules not seen yet."""
+    e = saved(edges.select(F.col("module").cast("long").alias("module"), F.col("dep").cast("long").alias("node")).distinct(), "edges")
+    seen = spark.createDataFrame([(root, 0)], "node long, depth int")
+    last = seen
+    for k in range(1, depth + 1):
+        new = e.join(last.select(F.col("node").alias("module")), "module").select("node").distinct().join(seen, "node", "left_anti")
+        last = saved(new.withColumn("depth", F.lit(k)), "reached")
+        if last.isEmpty():
+            break
+        seen = seen.unionByName(last)
+    return seen.where("depth > 0")
 
 
 def module_info(edges: DataFrame, module: int) -> DataFrame:

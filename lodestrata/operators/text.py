@@ -8,7 +8,25 @@ from pyspark.sql.window import Window
 
 from lodestrata.functions.exprs import token_estimate
 
-CODE_EXTENSIONS = "ts tsx js jsx py go rs java kt rb php c h cpp hpp cs swift scala sh sql".split()
+#: Endings of code files.
+CODE_EXTENSIONS = (
+    "ts tsx js jsx mjs py go rs java kt kts swift cs cpp cc cxx hpp c h php rb scala dart lua sh bash sql r vue svelte pl pm ex exs groovy m proto bsl lisp lsp cl asd"
+).split()
+#: Lines that import, export or declare, by the endings of their files; characters of such a line that are shown.
+_JS = (
+    r"^\s*(import\s|const\s+\w+\s*=\s*require\s*\()",
+    r"^\s*(export\s|module\.exports\s*=|exports\.\w+\s*=)",
+    r"^\s*(async\s+)?(function|class|interface|type|enum)\s+\w+",
+)
+SUMMARY_LINES = {
+    "ts tsx js jsx mjs cjs": _JS,
+    "py": (r"^\s*(import\s|from\s+\S+\s+import\s)", None, r"^\s*(async\s+)?(def\s+\w+|class\s+\w+)"),
+    "go": (r"^\s*import\s", None, r"^\s*(func\s|type\s+\w+\s+(struct|interface|func))"),
+    "rs": (r"^\s*use\s", r"^\s*pub\s+(fn|struct|trait|enum|type|mod|const|static)\s", r"^\s*(async\s+)?(fn|struct|trait|enum|type|mod)\s+\w+"),
+}
+SHOWN = 140
+#: Tokens of a batch of files and of one file in it, lines of a file that is cut, least rest for which anything of a file is shown, files in a batch.
+BATCH_TOKENS, FILE_TOKENS, FILE_LINES, LEAST_REST, BATCH_FILES = 1400, 220, 24, 60, 20
 
 
 def scan(files: DataFrame) -> DataFrame:
@@ -39,15 +57,16 @@ def head_tail(ls: DataFrame, head: int, tail: int) -> DataFrame:
 
 
 def directory_counts(files: DataFrame, depth: int = 5) -> DataFrame:
-    """Files under each directory and all above it, to a depth."""
+    """Code files under each directory and all above it, to a depth."""
+    files = by_extension(files)
     parts = F.split("path", "/")
     dirs = F.transform(F.sequence(F.lit(1), F.least(F.size(parts) - 1, F.lit(depth))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     return files.where(F.col("path").contains("/")).select(F.explode(dirs).alias("dir")).groupBy("dir").agg(F.count("*").alias("n_files"))
 
 
-def by_extension(files: DataFrame, extensions: list[str]) -> DataFrame:
-    e = F.regexp_extract("path", r"\.([^./]+)$", 1)
-    return files.where(e.isin(extensions))
+def by_extension(files: DataFrame, extensions: list[str] = CODE_EXTENSIONS) -> DataFrame:
+    e = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    return files.where(e.isin(list(extensions)))
 
 
 def markdown_sections(ls: DataFrame) -> DataFrame:
@@ -67,7 +86,7 @@ def markdown_sections(ls: DataFrame) -> DataFrame:
 def yaml_sections(ls: DataFrame) -> DataFrame:
     """Keys in the first column; each ends before the next."""
     n = ls.groupBy("path").agg(F.max("line_no").alias("n_lines"))
-    k = ls.where(F.col("text").rlike("^[A-Za-z_][A-Za-z0-9_.-]*\\s*:")).select("path", "line_no", F.regexp_extract("text", "^([A-Za-z0-9_.-]+)", 1).alias("key"))
+    k = ls.where(F.col("text").rlike("^[A-Za-z_][A-Za-z0-9_.-]*:")).select("path", "line_no", F.regexp_extract("text", "^([A-Za-z0-9_.-]+)", 1).alias("key"))
     nxt = F.lead("line_no").over(Window.partitionBy("path").orderBy("line_no"))
     return k.withColumn("next", nxt).join(n, "path").select("path", "key", F.col("line_no").alias("start_line"), F.coalesce(F.col("next") - 1, F.col("n_lines")).alias("end_line"))
 
@@ -105,10 +124,16 @@ def code_blocks(ls: DataFrame) -> DataFrame:
 
 
 def regex_summary(ls: DataFrame) -> DataFrame:
-    """Lines that import, export or declare, first rule first, cut to 140 characters."""
-    t = F.col("text")
-    kind = F.when(t.rlike(r"^\s*(import|from|require|use|#include)\b"), "import").when(t.rlike(r"^\s*(export|pub|public)\b"), "export").when(t.rlike(r"^\s*(async\s+)?(def|class|function|func|fn|interface|type|struct|enum|const)\b"), "declaration")
-    return ls.withColumn("kind", kind).where("kind is not null").select("path", "line_no", "kind", F.left(F.trim(t), F.lit(140)).alias("text"))
+    """Lines that import, export or declare, first rule first, by the language of the file's ending; long ones are cut. Files of other endings have none."""
+    t, ending = F.col("text"), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    kind = F.when(F.lit(False), "")
+    for ends, rules in SUMMARY_LINES.items():
+        for name, rule in zip(("import", "export", "declaration"), rules, strict=True):
+            if rule:
+                kind = kind.when(ending.isin(ends.split()) & t.rlike(rule), name)
+    short = F.trim(F.regexp_replace(t, r"^\s+|\s+$", ""))
+    short = F.when(F.length(short) <= SHOWN, short).otherwise(F.concat(F.left(short, F.lit(SHOWN - 1)), F.lit("…")))
+    return ls.withColumn("kind", kind).where("kind is not null").select("path", "line_no", "kind", short.alias("text"))
 
 
 def tiered(tiers: list[DataFrame]) -> DataFrame:
@@ -127,23 +152,36 @@ def marked_lines(ls: DataFrame) -> DataFrame:
 
 
 def small_large(files: DataFrame, small: int, ratio: float = 0.7) -> DataFrame:
-    """How a file is read: whole if short or if its outline saves too little, else as an outline. The outline's tokens are estimated from the first 120 characters of its lines' first words."""
+    """How a file is read: whole if short or if its outline saves too little, else as an outline. The outline's tokens are estimated from the first 40 characters of each line, as the tables hold no code."""
     s = scan(files)
     o = files.select("path", token_estimate(F.array_join(F.transform(F.split("content", "\n", -1), lambda x: F.left(x, F.lit(40))), "\n")).alias("outline_tokens"))
     how = F.when(F.col("n_lines") <= small, "whole").when(F.col("outline_tokens") >= ratio * F.col("tokens"), "whole_by_ratio").otherwise("outline")
     return s.join(o, "path").select("path", "n_lines", "tokens", "outline_tokens", how.alias("how"))
 
 
-def token_budget(files: DataFrame, budget: int, per_file: int) -> DataFrame:
-    """Files in order of paths until the budget is used: what a file takes depends on what those before left."""
-    one = files.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("path", "tokens"))).alias("f"))
-    start = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast("array<struct<path:string,given:bigint>>").alias("out"))
+def token_budget(files: DataFrame, budget: int = BATCH_TOKENS, per_file: int = FILE_TOKENS) -> DataFrame:
+    """How each file of a batch (batch, path, content) is shown, and its tokens: what a file gets depends on what those before it left.
+
+    A file stays whole if it fits its own limit and the rest; else it is cut to its first lines and a note; once
+    no more than LEAST_REST is left, a note is all. Files go by path, a path counts once, and a batch of more than
+    BATCH_FILES paths is refused: it gives no rows.
+    """
+    f = files.select("batch", "path", F.coalesce("content", F.lit("")).alias("content")).dropDuplicates(["batch", "path"])
+    sizes = f.groupBy("batch").agg(F.count("*").alias("n")).where(F.col("n") <= BATCH_FILES).select("batch")
+    note = lambda *parts: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in parts])
+    head = F.array_join(F.slice(F.split("content", "\n", -1), 1, FILE_LINES), "\n")
+    cut = note(head, '\n\n... compacted for batch mode. Use smart_read("', F.col("path"), '") for full detail.')
+    stub = note("FILE: ", F.col("path"), '\n(compacted in batch mode — use smart_read("', F.col("path"), '") for full detail)')
+    f = f.join(sizes, "batch").select("batch", F.struct("path", token_estimate(F.col("content")).alias("whole"), token_estimate(cut).alias("cut"), token_estimate(stub).alias("stub")).alias("x"))
+    one = f.groupBy("batch").agg(F.sort_array(F.collect_list("x")).alias("f"))  # three numbers for each of BATCH_FILES files at most
+    start = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast("array<struct<path:string,shown:string,given:bigint>>").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
-        give = F.least(x["tokens"], F.lit(per_file), a["left"]).cast("long")
-        return F.struct((a["left"] - give).alias("left"), F.concat(a["out"], F.array(F.struct(x["path"].alias("path"), give.alias("given")))).alias("out"))
+        shown = F.when(a["left"] <= LEAST_REST, "stub").when(x["whole"] <= F.least(F.lit(per_file), a["left"]), "whole").otherwise("cut")
+        give = F.when(shown == "stub", x["stub"]).when(shown == "whole", x["whole"]).otherwise(x["cut"]).cast("long")
+        return F.struct(F.greatest(F.lit(0), a["left"] - give).cast("long").alias("left"), F.concat(a["out"], F.array(F.struct(x["path"].alias("path"), shown.alias("shown"), give.alias("given")))).alias("out"))
 
-    return one.select("batch", F.explode(F.aggregate("f", start, step)["out"]).alias("o")).select("batch", "o.path", "o.given")
+    return one.select("batch", F.explode(F.aggregate("f", start, step)["out"]).alias("o")).select("batch", "o.path", "o.shown", "o.given")
 
 
 def transcript_tokens(turns: DataFrame) -> DataFrame:

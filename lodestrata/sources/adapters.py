@@ -22,7 +22,7 @@ DIALECT = {
 VIEWS = {
     "tool_calls": """
         SELECT event_id, {TSMS} AS ts, CAST(user_id AS {STR}) AS session_id,
-               CASE {K} % 10 WHEN 0 THEN 'smart_read' WHEN 1 THEN 'read_symbol' WHEN 2 THEN 'find_usages' WHEN 3 THEN 'outline'
+               CASE {K} % 10 WHEN 0 THEN 'smart_read' WHEN 1 THEN 'read_symbol' WHEN 2 THEN 'find_usages' WHEN 3 THEN 'smart_read_many'
                     WHEN 4 THEN 'smart_diff' WHEN 5 THEN 'test_summary' WHEN 6 THEN 'read_for_edit' WHEN 7 THEN 'code_audit'
                     WHEN 8 THEN 'project_overview' ELSE 'read_range' END AS tool,
                CASE WHEN event_id % 13 = 0 THEN NULL ELSE concat('f', CAST(event_id % 97 AS {STR})) END AS path,
@@ -53,10 +53,9 @@ VIEWS = {
               FROM lineitem GROUP BY l_partkey, l_orderkey, l_linenumber) r""",
     "module_deps": """
         SELECT module, dep, n, CASE WHEN n % 2 = 0 THEN 'api' ELSE 'impl' END AS kind
-        FROM (SELECT c_nationkey AS module, s_nationkey AS dep, count(*) AS n,
-                     row_number() OVER (PARTITION BY c_nationkey ORDER BY count(*) DESC, s_nationkey) AS rn
+        FROM (SELECT c_nationkey AS module, s_nationkey AS dep, count(*) AS n
               FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-              WHERE c_nationkey <> s_nationkey GROUP BY c_nationkey, s_nationkey) e WHERE rn <= 2""",
+              WHERE c_nationkey <> s_nationkey GROUP BY c_nationkey, s_nationkey) e""",
     "commits": """
         SELECT o_orderkey AS id, concat('c', CAST(o_orderkey AS {STR})) AS hash, concat('dev', CAST(o_custkey % 50 AS {STR})) AS author, CAST(o_orderdate AS DATE) AS day,
                concat(CASE o_orderkey % 23 WHEN 0 THEN 'feat: new ' WHEN 1 THEN 'fix(core): ' WHEN 2 THEN 'refactor! split ' WHEN 3 THEN 'docs: ' WHEN 4 THEN 'tests: more '
