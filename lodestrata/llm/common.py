@@ -64,30 +64,38 @@ def without(docs: DataFrame, gone: DataFrame, once: DataFrame | None = None) ->
     return d.join(asked, "bucket", "left_anti").unionByName(rest).select("row.*")
 
 
+#: Nodes with one of so many edges have their least neighbour sent to every task: there are no more of them than this.
+HOT_NODES = 4096
+
+
+def _with_least(pairs: DataFrame, most: int) -> DataFrame:
+    """(u, v, m): pairs (u, v) with the least of u and its neighbours v. most: at least the number of pairs. The many pairs of a hot node are not dealt by it."""
+    least = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+    hot = F.broadcast(least.where(F.col("n") * HOT_NODES >= max(1, most)).select("u", "m"))
+    cold = least.where(F.col("n") * HOT_NODES < max(1, most)).select("u", "m")
+    return pairs.join(hot, "u").unionByName(pairs.join(hot, "u", "left_anti").join(cold, "u"))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root the smallest node reached.
 
     Large-star and small-star steps alternate until the edges no longer change. Each step replaces
-    edges by edges to a neighbourhood's minimum, so no task ever holds a whole component, and each
-    pair of steps is written to scratch.
+    edges by edges to a neighbourhood's minimum, which partial aggregation finds, so no task ever holds a whole
+    component, and each pair of steps is written to scratch. No edges give no rows; loops and repeated edges count for nothing.
     """
     both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
     edges = saved(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    before = None
+    before, n = None, edges.count()
     for _ in range(rounds):
-        near = both(edges)
-        least = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = near.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
+        large = _with_least(both(edges), 2 * n).where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
         # small star: each node's smaller neighbours, and itself, go to the smallest of them
-        down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        lowest = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(lowest, "u")
-        small = small.select(F.col("m").alias("a"), F.col("v").alias("b")).union(lowest.select(F.col("m").alias("a"), F.col("u").alias("b")))
+        small = _with_least(large.select(F.col("b").alias("u"), F.col("a").alias("v")), 2 * n)
+        small = small.select(F.col("m").alias("a"), F.col("v").alias("b")).union(small.select(F.col("m").alias("a"), F.col("u").alias("b")))
         edges = saved(small.where("a <> b").distinct(), "edges")
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if now == before:
             break
-        before = now
+        before, n = now, now.n
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct()

@@ -40,8 +40,8 @@ PERCENT = 80
 CHUNK, NODES_CHUNK, BUCKETS = 4096, 1024, 1 << 20
 #: Hashes in a chunk of the count filter, for the memory of its task.
 CHUNK_HASHES = 600_000
-#: Shingles of a candidate component that one task verifies; larger ones are cut into blocks of as many.
-BLOCK = 4_000_000
+#: Shingles, and classes, of a candidate component that one task verifies; larger ones are cut into blocks of as many.
+BLOCK, MEMBERS = 4_000_000, 512
 #: Shingles that one task counts, and tasks at most: the parts grow with the input where the session's setting does not.
 PART, MOST_PARTS = 4_000_000, 1 << 16
 #: A class of more than one row in so many is sent to every task.
@@ -372,7 +372,7 @@ def _large(members: DataFrame, per: DataFrame) -> DataFrame:
     star = met.where("hit and node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
     m = m.join(met.select("node", "hit", "centre"), "node").withColumn("label", F.when(F.col("hit"), F.col("centre")).otherwise(F.col("node")))
     # those that the centre did not reach meet all members, block by block
-    rest = m.where("not hit").groupBy("comp").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK)).cast("int").alias("q_blocks"))
+    rest = m.where("not hit").groupBy("comp").agg(F.ceil(F.greatest(F.lit(1), F.sum("n") / BLOCK, F.count("*") / MEMBERS)).cast("int").alias("q_blocks"))
     m = m.join(rest, "comp")
     place = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     q_place = F.pmod(F.xxhash64("node", F.lit(1)), F.col("q_blocks")).cast("int")
@@ -414,7 +414,7 @@ def join_classes(docs: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame
     edges = post.join(centre, "token").select(F.col("node").alias("a"), "b").where("a <> b").distinct()
     comp = saved(components(edges).select("node", F.col("root").alias("comp")), "candidates")
     members = nodes.select("node", "tokens").join(pre, "node").join(comp, "node")
-    per = comp.join(pre.select("node", "n"), "node").groupBy("comp").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("members"))
+    per = comp.join(pre.select("node", "n"), "node").groupBy("comp").agg(F.ceil(F.greatest(F.sum("n") / BLOCK, F.count("*") / MEMBERS)).cast("int").alias("blocks"), F.count("*").alias("members"))
     per = saved(per.withColumn("size", F.when(F.col("blocks") > 1, 2).otherwise(1)), "sizes")
     small = members.join(per.where("size = 1").select("comp"), "comp", "left_semi")
     found = small.select("comp", "node", F.lit(True).alias("query"), F.col("node").alias("label"), "weight", "tokens", "a", "b").groupBy("comp").applyInArrow(_resolve, "a long, b long")

@@ -1,19 +1,23 @@
 """Passages that repeat across documents, by MinHash banding of paragraphs.
 
-Two kinds of paragraphs are looked at. Lines of at least WORDS words bear MinHash bands of their
+Two kinds of paragraphs are looked at. Lines of at least LEAST words bear MinHash bands of their
 five-word shingles; the bands are tuned to a recall at the similarity asked for, and lines that collide
 are verified by exact Jaccard similarity and clustered by components: first each with the first of its
 bucket, then, in buckets that this leaves in several clusters, all with all, in blocks. And,
 as a passage may stand in the middle of a line, each text is also cut at anchors that its own words set: of
 any SPREAD neighbouring word pairs the first of the least hash is an anchor, and the WORDS words from each
 anchor on are a paragraph, whose one band is the hash of its words. Any passage of WORDS + SPREAD - 1 words
-or more that two documents share holds such a paragraph whole, wherever it stands.
+or more that two documents share holds such a paragraph whole, wherever it stands. Up to SPREAD - 1 words at
+each end of such a passage, where it ends inside a line, are not part of the spans. Lines of fewer words than LEAST say
+too little to be passages, and common ones stand in most documents.
 
 Of each cluster the first occurrence, by doc_id and place, stays; the others are removals. A document's
 paragraphs are merged to spans of words. Paragraphs of one document alone are no repeats.
 
-A null or blank text has no paragraphs. Rows of one doc_id are one document. Null ids are left out. Other
-columns are ignored.
+A null or blank text has no paragraphs. Rows of one doc_id are one document. Null ids are left out, as no span
+can be told of them. Of equal paragraphs that of the least doc_id and place is the first. Other columns, whatever their
+names, are ignored, an empty table gives an empty one. A long text is hashed in parts, its words' hashes are held
+together, so memory is bounded by the longest text.
 """
 
 from __future__ import annotations
@@ -29,8 +33,8 @@ from lodestrata.llm.common import BUCKETS, components, saved
 from lodestrata.llm.shingles import _STEP, SLICE, WIDTH, _cuts, _words, encoded, mixed
 from lodestrata.runtime import lean, ship
 
-#: Words of the shortest paragraph; neighbouring word pairs of which one is an anchor.
-WORDS, SPREAD = 32, 19
+#: Words of the shortest line that is a paragraph; of a paragraph inside a line; neighbouring word pairs of which one is an anchor.
+LEAST, WORDS, SPREAD = 16, 32, 19
 PERCENT, RECALL = 80, 0.99
 #: Lines of a bucket compared with as many others at once; numbers of shingles looked at together.
 BLOCK, COLUMNS = 64, 1 << 13
@@ -78,11 +82,6 @@ def texts_words(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         i = j
 
 
-def _of(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for texts in encoded(b.column("text")):
-        yield from texts_words(texts)
-
-
 def _least_at(x: np.ndarray, width: int) -> np.ndarray:
     """The place of the least of each `width` neighbouring numbers, the first of equal ones, by doubling."""
     at, have = np.arange(len(x)), 1
@@ -112,62 +111,63 @@ def windows(h: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, n
     return at, mixed(out ^ _U(0xA5A5A5A5A5A5A5A5))
 
 
-def long_lines(h: np.ndarray, line: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
-    """(first word, words, shingles) of the lines of at least WORDS words."""
-    if len(h) < WORDS:
-        return []
-    cut = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1], [True])))
-    size = np.diff(cut)
-    out = []
-    for a, n in zip(cut[:-1][size >= WORDS], size[size >= WORDS], strict=True):
-        s = h[a : a + n - WIDTH + 1].copy()
-        for k in range(1, WIDTH):
-            s = s * _U(_STEP) + h[a + k : a + n - WIDTH + 1 + k]
-        out.append((int(a), int(n), np.unique(mixed(s))))
-    return out
-
-
-def line_bands(h: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, words, bands) of the lines of at least WORDS words: the least of the shingles under each of a set of multipliers, joined by rows."""
+def lines_of(h: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, words, where its shingles begin) of the lines of at least LEAST words, and the shingles of all of them one behind the other."""
     cut = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1], [True]))) if len(h) else np.zeros(1, np.int64)
     size = np.diff(cut)
-    start, size = cut[:-1][size >= WORDS], size[size >= WORDS]
-    if not len(start):
-        return start, size, np.zeros((0, BANDS), _U)
+    start, size = cut[:-1][size >= LEAST], size[size >= LEAST]
     each = size - WIDTH + 1
     begin = np.cumsum(each) - each
     at = np.repeat(start - begin, each) + np.arange(each.sum())
     s = h[at]
     for k in range(1, WIDTH):
         s = s * _U(_STEP) + h[at + k]
-    s = mixed(s)
+    return start, size, begin, mixed(s)
+
+
+def line_sets(h: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, words, distinct shingles) of the lines of at least LEAST words, and the sorted distinct shingles of all of them one behind the other."""
+    start, size, _, s = lines_of(h, line)
+    own = np.repeat(np.arange(len(start)), size - WIDTH + 1)
+    order = np.lexsort((s, own))
+    own, s = own[order], s[order]
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (own[1:] != own[:-1])
+    return start, size, np.bincount(own[new], minlength=len(start)), s[new]
+
+
+def line_bands(h: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, words, bands) of the lines of at least LEAST words: the least of the shingles under each of a set of multipliers, joined by rows."""
+    start, size, begin, s = lines_of(h, line)
     out = np.tile(np.arange(1, BANDS + 1, dtype=_U) * _U(0xD1342543DE82EF95), (len(start), 1))
-    for j, m in enumerate(_SEEDS):
-        out[:, j // ROWS] = mixed(out[:, j // ROWS] + np.minimum.reduceat(s * m, begin))
+    if len(start):
+        for j, m in enumerate(_SEEDS):
+            out[:, j // ROWS] = mixed(out[:, j // ROWS] + np.minimum.reduceat(s * m, begin))
     return start, size, out
 
 
+def _together(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(doc_id of each text, first word of each, word hashes, text of each word, line of each word) of a few texts at once; lines are told apart by text and place."""
+    at, ids = 0, b.column("doc_id").to_numpy()
+    for texts in encoded(b.column("text")):
+        found = list(texts_words(texts))
+        size = np.array([len(h) for h, _ in found])
+        own = np.repeat(np.arange(len(found), dtype=np.int32), size)
+        line = np.concatenate([x for _, x in found]).astype(np.int64) + (own.astype(np.int64) << 40)
+        yield ids[at : at + len(texts)].astype(np.int64), np.cumsum(size) - size, np.concatenate([h for h, _ in found]), own, line
+        at += len(texts)
+
+
 @lean
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["key", "doc_id", "start", "n", "whole"]
     for b in batches:
-        at = 0
-        ids = b.column("doc_id").to_numpy()
-        for texts in encoded(b.column("text")):
-            found = list(texts_words(texts))
-            mine = ids[at : at + len(texts)]
-            at += len(texts)
-            size = np.array([len(h) for h, _ in found])
-            h = np.concatenate([h for h, _ in found])
-            own = np.repeat(np.arange(len(found), dtype=np.int32), size)
-            # lines are told apart by text and place
-            line = np.concatenate([x for _, x in found]).astype(np.int64) + (own.astype(np.int64) << 40)
-            before = np.cumsum(size) - size
+        for ids, before, h, own, line in _together(b):
             w, key = windows(h, own)
             first, n, band = line_bands(h, line)
             word = np.concatenate((w, np.repeat(first, BANDS)))
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate((key, band.ravel())).view(np.int64)), pa.array(mine[own[word]].astype(np.int64)), pa.array((word - before[own[word]]).astype(np.int32)),
+                pa.array(np.concatenate((key, band.ravel())).view(np.int64)), pa.array(ids[own[word]]), pa.array((word - before[own[word]]).astype(np.int32)),
                 pa.array(np.concatenate((np.full(len(w), WORDS), np.repeat(n, BANDS))).astype(np.int32)), pa.array(np.arange(len(word)) < len(w)),
             ], names)
 
@@ -175,8 +175,11 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @lean
 def _line_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [(d, a, n, s.tobytes()) for d, (h, line) in zip(b.column("doc_id").to_pylist(), _of(b), strict=True) for a, n, s in long_lines(h, line)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 4, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "start", "n", "shingles"])
+        for ids, before, h, own, line in _together(b):
+            first, n, each, s = line_sets(h, line)
+            ends = np.concatenate(([0], np.cumsum(each) * 8)).astype(np.int32)
+            sets = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(s)])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[own[first]]), pa.array((first - before[own[first]]).astype(np.int32)), pa.array(n.astype(np.int32)), sets], ["doc_id", "start", "n", "shingles"])
 
 
 @lean

@@ -11,6 +11,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -272,6 +273,7 @@ def _copies(rng):
 @pytest.mark.parametrize("block", [ngramjoin.BLOCK, 200])
 def test_near_duplicates(spark, monkeypatch, block):
     monkeypatch.setattr(ngramjoin, "BLOCK", block)
+    monkeypatch.setattr(ngramjoin, "MEMBERS", 512 if block > 10_000 else 4)
     texts = _copies(random.Random(5))
     d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3).withColumn("key", F.lit(1))
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.near_duplicates(d).collect()}
@@ -592,6 +594,58 @@ def test_lines_near_to_others_than_the_first_of_their_buckets(spark):
     assert found == {500: "", 501: "0:60", 502: "0:60"}
 
 
+def test_chains_of_near_lines_against_brute_force(spark):
+    """Of lines each near to the one before it, brute force over all pairs removes all but the first; the bands promise 99 of 100 pairs."""
+    rng = random.Random(21)
+    rows, at = [], 0
+    for _ in range(70):
+        line = [f"w{rng.randint(0, 10**7)}" for _ in range(rng.randint(50, 90))]
+        for _ in range(6):
+            rows.append((at, "short one\n" + " ".join(line)))
+            at += 1
+            line = list(line)
+            line[rng.randrange(len(line))] = f"w{rng.randint(0, 10**7)}"
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split("\n")[1].split() for _, t in rows)]
+    up = list(range(len(rows)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    by = collections.defaultdict(set)
+    for i, s in enumerate(sets):
+        for g in s:
+            by[g].add(i)
+    for i, s in enumerate(sets):
+        for j in set().union(*(by[g] for g in s)):
+            if j > i and 100 * len(s & sets[j]) >= 80 * len(s | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                up[b] = a
+    want = {i for i in range(len(rows)) if top(i) != i}
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id for r in paragraphs.repeats(d).where("n_removed >= 50").collect()}
+    assert len(want) > 300 and got <= want and len(want & got) >= 0.99 * len(want)
+
+
+def test_short_lines_that_repeat(spark):
+    """Equal documents of LEAST words and more are found, of fewer are not."""
+    some = lambda n, k: " ".join(f"w{k}_{i}" for i in range(n))
+    rows = [(n * 10 + i, some(n, n)) for n in (15, 16, 20, 31, 32) for i in range(5)]
+    found = {r.doc_id: (r.n_repeated, r.n_removed) for r in paragraphs.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {n * 10 + i: (n, n if i else 0) for n in (16, 20, 31, 32) for i in range(5)}
+
+
+def test_line_sets_against_single_lines():
+    text = ["a b c d e f g h i j k l m n o p q\nx y\n" + "r s t u " * 10, "", "one two " * 12]
+    b = pa.RecordBatch.from_arrays([pa.array([4, 5, 6]), pa.array(text)], ["doc_id", "text"])
+    rows = [r for out in paragraphs._line_sets(iter([b])) for r in out.to_pylist()]
+    assert [(r["doc_id"], r["start"], r["n"]) for r in rows] == [(4, 0, 17), (4, 19, 40), (6, 0, 24)]
+    lines = [text[0].split("\n")[0], text[0].split("\n")[2], text[2]]
+    for r, t in zip(rows, lines, strict=True):
+        assert np.frombuffer(r["shingles"], np.uint64).tolist() == next(iter(shingles.shingle_sets([t.encode()]))).tolist()
+
+
 def test_common_counts(monkeypatch):
     monkeypatch.setattr(paragraphs, "COLUMNS", 7)
     rng = np.random.default_rng(5)
