@@ -64,16 +64,18 @@ def without(docs: DataFrame, gone: DataFrame, once: DataFrame | None = None) ->
     return d.join(asked, "bucket", "left_anti").unionByName(rest).select("row.*")
 
 
-#: Nodes with one of so many edges have their least neighbour sent to every task: there are no more of them than this.
-HOT_NODES = 4096
+#: A node is hot if it has so many edges, and one of HOT_NODES of all; the least neighbours of hot nodes, no more than HOT_NODES, are sent to every task.
+HOT_DEGREE, HOT_NODES = 1 << 20, 4096
 
 
 def _with_least(pairs: DataFrame, most: int) -> DataFrame:
     """(u, v, m): pairs (u, v) with the least of u and its neighbours v. most: at least the number of pairs. The many pairs of a hot node are not dealt by it."""
     least = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-    hot = F.broadcast(least.where(F.col("n") * HOT_NODES >= max(1, most)).select("u", "m"))
-    cold = least.where(F.col("n") * HOT_NODES < max(1, most)).select("u", "m")
-    return pairs.join(hot, "u").unionByName(pairs.join(hot, "u", "left_anti").join(cold, "u"))
+    if most < HOT_DEGREE:  # no node can be hot
+        return pairs.join(least.select("u", "m"), "u")
+    hot = (F.col("n") >= HOT_DEGREE) & (F.col("n") * HOT_NODES >= most)
+    few = F.broadcast(least.where(hot).select("u", "m"))
+    return pairs.join(few, "u").unionByName(pairs.join(few, "u", "left_anti").join(least.where(~hot).select("u", "m"), "u"))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -3,7 +3,7 @@
 Two kinds of paragraphs are looked at. Lines of at least LEAST words bear MinHash bands of their
 five-word shingles; the bands are tuned to a recall at the similarity asked for, and lines that collide
 are verified by exact Jaccard similarity and clustered by components: first each with the first of its
-bucket, then, in buckets that this leaves in several clusters, all with all, in blocks. And,
+bucket, then, in buckets that this leaves in several clusters, all but the largest cluster's with all, in blocks. And,
 as a passage may stand in the middle of a line, each text is also cut at anchors that its own words set: of
 any SPREAD neighbouring word pairs the first of the least hash is an anchor, and the WORDS words from each
 anchor on are a paragraph, whose one band is the hash of its words. Any passage of WORDS + SPREAD - 1 words
@@ -37,7 +37,7 @@ from lodestrata.runtime import lean, ship
 LEAST, WORDS, SPREAD = 16, 32, 19
 PERCENT, RECALL = 80, 0.99
 #: Lines of a bucket compared with as many others at once; numbers of shingles looked at together.
-BLOCK, COLUMNS = 64, 1 << 13
+BLOCK, COLUMNS = 128, 1 << 13
 _U = np.uint64
 
 
@@ -211,15 +211,15 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _joined(held: list[tuple]) -> list[tuple[int, int]]:
-    """Pairs that are near among lines (set's hash, least and greatest root, block, shingles); of those that connect the same, one."""
-    if min(x[1] for x in held) == max(x[2] for x in held):
+    """Pairs that are near among lines (set's hash, least and greatest root, whether it asks, shingles), one of them asking; of those that connect the same, one."""
+    asks = {x[0] for x in held if x[3]}
+    held = list({x[0]: x for x in held}.values())
+    if len(held) < 2 or min(x[1] for x in held) == max(x[2] for x in held):
         return []
     sets = [np.frombuffer(x[4], _U) for x in held]
-    size, block = np.array([len(x) for x in sets]), np.array([x[3] for x in held])
+    size, ask = np.array([len(x) for x in sets]), np.array([x[0] in asks for x in held])
     common = _common(sets)
-    good = 100 * common >= PERCENT * (size[:, None] + size - common)
-    if block.min() < block.max():
-        good &= block[:, None] != block
+    good = (100 * common >= PERCENT * (size[:, None] + size - common)) & (ask[:, None] | ask)
     up: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -240,7 +240,7 @@ def _joined(held: list[tuple]) -> list[tuple[int, int]]:
 
 @lean
 def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Near pairs (a, b) of each two blocks of a bucket, of which rows come one behind the other."""
+    """Near pairs (a, b) of a block of a bucket's lines that ask and a block of all its lines, whose rows come one behind the other."""
     at, held = None, []
 
     def out() -> pa.RecordBatch:
@@ -248,7 +248,7 @@ def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     for b in batches:
-        for key, i, j, *row in zip(*(b.column(c).to_pylist() for c in ("key", "i", "j", "c", "lo", "hi", "block", "shingles")), strict=True):
+        for key, i, j, *row in zip(*(b.column(c).to_pylist() for c in ("key", "i", "j", "c", "lo", "hi", "ask", "shingles")), strict=True):
             if (key, i, j) != at:
                 yield out()
                 at, held = (key, i, j), []
@@ -257,26 +257,36 @@ def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rest(members: DataFrame, sets: DataFrame, near: DataFrame) -> DataFrame | None:
-    """Edges (a, b) between the roots of near and the hashes of sets, for pairs of a bucket that near leaves apart; members: (key, unit, leads)."""
+    """Edges (a, b) between the roots of near and the hashes of sets, for pairs of a bucket that near leaves apart; members: (key, unit, leads).
+
+    The lines of a bucket's largest cluster are connected already: the others ask, and are compared with all, block by block.
+    """
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     c = F.xxhash64("shingles").alias("c")
     of = sets.select("unit", c).join(near.withColumnRenamed("node", "unit").hint("merge"), "unit", "left").select("unit", "c", F.coalesce("root", "unit").alias("root"))
     # all have been compared with the first of their bucket; lines of equal sets are compared once
     mine = saved(members.where("not leads").select("key", "unit").join(of.hint("merge"), "unit").select("key", "c", "root").distinct(), "members")
-    each = mine.groupBy("key", "c").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    apart = each.groupBy("key").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"), F.count("*").alias("size")).where("_lo <> _hi").select("key", "size")
+    apart = mine.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root"))["root"].alias("main")).where("roots > 1").select("key", "main")
     apart = saved(apart, "apart")
     if apart.isEmpty():
         return None
-    alike = mine.join(apart.hint("merge"), "key", "left_semi").select(F.col("root").alias("a"), F.col("c").alias("b")).distinct()
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    todo = each.join(apart.hint("merge"), "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("c", F.lit(5)), F.col("blocks")).cast("int"))
-    todo = todo.where("size > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    todo = todo.select("key", "c", "lo", "hi", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    asked = todo.select("c").distinct()
+    mine = mine.join(apart.hint("merge"), "key")
+    alike = mine.select(F.col("root").alias("a"), F.col("c").alias("b")).distinct()
+    each = mine.groupBy("key", "c").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.first("main").alias("main"))
+    each = saved(each.withColumn("asks", (F.col("lo") != F.col("main")) & (F.col("hi") != F.col("main"))).drop("main"), "each")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    per = each.groupBy("key").agg(blocks(F.count("*")).alias("blocks"), blocks(F.count_if("asks")).alias("q_blocks")).where("q_blocks > 0")
+    each = each.join(per.hint("merge"), "key")
+    place = lambda seed, n: F.pmod(F.xxhash64("c", F.lit(seed)), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cols = ["key", "i", "j", "c", "lo", "hi", "ask"]
+    q = each.where("asks").withColumn("ask", F.lit(True)).withColumn("i", place(7, "q_blocks")).withColumn("j", upto("blocks")).select(cols)
+    r = each.withColumn("ask", F.lit(False)).withColumn("j", place(5, "blocks")).withColumn("i", upto("q_blocks")).select(cols)
+    todo = q.unionByName(r)
+    asked = each.select("c").distinct()
     held = sets.select(c, "shingles").join(asked.hint("merge"), "c", "left_semi").dropDuplicates(["c"])
     dealt = todo.join(held.hint("merge"), "c").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return alike.union(dealt.select("key", "i", "j", "c", "lo", "hi", "block", "shingles").mapInArrow(_crossed, "a long, b long"))
+    return alike.union(dealt.select(*cols, "shingles").mapInArrow(_crossed, "a long, b long"))
 
 
 @lean

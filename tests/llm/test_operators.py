@@ -297,7 +297,9 @@ def test_shingles_of_long_texts():
     assert len(whole) == len({tuple(w) for w in zip(*[text.split()[i:] for i in range(5)], strict=False)})
 
 
-def test_components(spark):
+@pytest.mark.parametrize("degree", [1, 20, 1 << 20])
+def test_components(spark, monkeypatch, degree):
+    monkeypatch.setattr("lodestrata.llm.common.HOT_DEGREE", degree)
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(50)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
