@@ -41,7 +41,7 @@ CHUNK, NODES_CHUNK, BUCKETS = 4096, 1024, 1 << 20
 #: Hashes in a chunk of the count filter, for the memory of its task.
 CHUNK_HASHES = 600_000
 #: Shingles, and classes, of a candidate component that one task verifies; larger ones are cut into blocks of as many.
-BLOCK, MEMBERS = 4_000_000, 512
+BLOCK, MEMBERS = 4_000_000, 8192
 #: Shingles that one task counts, and tasks at most: the parts grow with the input where the session's setting does not.
 PART, MOST_PARTS = 4_000_000, 1 << 16
 #: A class of more than one row in so many is sent to every task.

@@ -273,7 +273,7 @@ def _copies(rng):
 @pytest.mark.parametrize("block", [ngramjoin.BLOCK, 200])
 def test_near_duplicates(spark, monkeypatch, block):
     monkeypatch.setattr(ngramjoin, "BLOCK", block)
-    monkeypatch.setattr(ngramjoin, "MEMBERS", 512 if block > 10_000 else 4)
+    monkeypatch.setattr(ngramjoin, "MEMBERS", 8192 if block > 10_000 else 4)
     texts = _copies(random.Random(5))
     d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3).withColumn("key", F.lit(1))
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.near_duplicates(d).collect()}
