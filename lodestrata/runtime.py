@@ -15,7 +15,7 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 #: Bytes of an Arrow batch on its way to Python: several copies of it live at once in a worker and beside it.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def ship(spark: SparkSession) -> SparkSession:
