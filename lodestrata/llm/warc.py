@@ -3,7 +3,8 @@
 Pages are written as WARC/1.0 records, equal payloads as revisits of one response, and read back record
 by record. What is read from an archive is a run of captures, sorted by URL key and time. Runs are cut
 at common key ranges; in each range a loser tree merges the runs' slices, so the ranges, one behind the
-other, hold the capture histories of all URLs in order.
+other, hold the capture histories of all URLs in order. An archive holds at most RECORDS records. The
+index tells where each record begins in its archive's unpacked bytes, and how many it has.
 
 Cases: a null html is an empty payload, a null url is left out of the record and read back as null, a
 null page_id can be no revisit. Rows of one page_id and payload are all the response, or all revisits of
@@ -26,12 +27,14 @@ from lodestrata.runtime import lean, ship
 
 #: Bytes from which an equal payload is written as a revisit.
 LEAST = 1000
+#: Records of an archive at most: it is read back as a whole.
+RECORDS = 20_000
 #: Parts into which the rows of one digest are dealt when they look up their response.
 SALTS = 16
 #: Pages have no capture time: it is made up from page_id, in seconds after this one.
 EPOCH = 1_577_836_800
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
-INDEX = "page_id long, url string, urlkey string, captured string, record_type string, refers_to long, payload_digest string, payload_bytes long, archive string, place long"
+INDEX = "page_id long, url string, urlkey string, captured string, record_type string, refers_to long, payload_digest string, payload_bytes long, archive string, place long, record_offset long, record_bytes long"
 
 
 def _keys(pages: DataFrame) -> DataFrame:
@@ -68,11 +71,11 @@ def write_archives(pages: DataFrame, path: str, compression: str = "gzip") -> No
         F.when(again, F.concat(F.lit(f"{crlf}WARC-Profile: {PROFILE}{crlf}WARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))).otherwise(F.lit("")),
         F.lit(f"{crlf}Content-Type: application/http; msgtype=response{crlf}Content-Length: "), F.octet_length(block).cast("string"), F.lit(crlf * 2),
     )
-    p.select(F.concat(head, block).alias("value")).write.mode("overwrite").option("lineSep", crlf * 2).option("compression", compression).text(path)
+    p.select(F.concat(head, block).alias("value")).write.mode("overwrite").option("lineSep", crlf * 2).option("compression", compression).option("maxRecordsPerFile", RECORDS).text(path)
 
 
 class Records:
-    """The records of an archive's bytes, plain or gzipped, as (headers, block, place). Blocks are found by Content-Length alone."""
+    """The records of an archive's bytes, plain or gzipped, as (headers, block, offset, length), both in unpacked bytes. Blocks are found by Content-Length alone."""
 
     def __init__(self, data: bytes, step: int = 1 << 20):
         self.data, self.at, self.step = data, 0, step
@@ -93,7 +96,7 @@ class Records:
             self.buf += self.gz.decompress(rest)
         return True
 
-    def __iter__(self) -> Iterator[tuple[dict[str, str], bytes, int]]:
+    def __iter__(self) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
         while True:
             while (end := self.buf.find(b"\r\n\r\n", self.pos)) < 0:
                 if not self._more():
@@ -111,7 +114,7 @@ class Records:
             block = bytes(self.buf[self.pos + start : self.pos + start + size])
             if len(block) < size:
                 raise ValueError("an archive ends inside a record")
-            yield head, block, self.done + self.pos
+            yield head, block, self.done + self.pos, start + size
             self.pos += start + size + 4
 
 
@@ -131,21 +134,22 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
             rows = []
-            for head, block, _ in Records(content.as_py()):
+            for head, block, offset, length in Records(content.as_py()):
                 http, _, payload = block.partition(b"\r\n\r\n")
                 n = int(re.search(rb"(?i)\ncontent-length:\s*(\d+)", http)[1])
                 kind, digest = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:")
                 if kind == "response" and (len(payload) != n or hashlib.sha1(payload).hexdigest() != digest):
                     raise ValueError(f"payload of {head['warc-record-id']} does not match its digest")
                 url = head.get("warc-target-uri")
-                rows.append((urlkey(url), head["warc-date"], _page(head["warc-record-id"]), url, kind, _page(head.get("warc-refers-to")), digest, n))
+                rows.append((urlkey(url), head["warc-date"], _page(head["warc-record-id"]), url, kind, _page(head.get("warc-refers-to")), digest, n, offset, length))
             rows.sort(key=lambda r: (r[0], r[1], r[2] is not None, r[2] or 0))
             name = path.rpartition("/")[2]
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 8
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string()), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.int64()), pa.array(cols[6], pa.string()), pa.array(cols[7], pa.int64()), pa.array([name] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64())],
-                ["page_id", "url", "urlkey", "captured", "record_type", "refers_to", "payload_digest", "payload_bytes", "archive", "place"],
-            )
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 10
+            text, number = pa.string(), pa.int64()
+            yield pa.RecordBatch.from_arrays([
+                pa.array(cols[2], number), pa.array(cols[3], text), pa.array(cols[0], text), pa.array(cols[1], text), pa.array(cols[4], text), pa.array(cols[5], number), pa.array(cols[6], text),
+                pa.array(cols[7], number), pa.array([name] * len(rows), text), pa.array(range(len(rows)), number), pa.array(cols[8], number), pa.array(cols[9], number),
+            ], [c.split()[0] for c in INDEX.split(", ")])
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
@@ -217,7 +221,7 @@ def op4(pages: DataFrame) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_archives(pages, path)
     index = merged(saved(read_runs(spark, path), "runs"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured", "archive")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured", "archive", "record_offset", "record_bytes")
 
 
 OP4_SQL = f"""

@@ -217,13 +217,30 @@ def test_archives(spark, tmp_path):
     assert warc.op4(p.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_index_finds_records(spark, tmp_path, monkeypatch, compression):
+    monkeypatch.setattr(warc, "RECORDS", 4)
+    rows = [(i, f"http://a.org/{i % 5}", "é" * (i * 37 % 900) if i % 3 else "same" * 400) for i in range(30)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), str(tmp_path / "w"), compression)
+    index = warc.merged(warc.read_runs(spark, str(tmp_path / "w"))).collect()
+    assert len(index) == 30 and max(collections.Counter(r.archive for r in index).values()) <= 4
+    for r in index:
+        data = (tmp_path / "w" / r.archive).read_bytes()
+        data = gzip.decompress(data) if compression == "gzip" else data
+        record = data[r.record_offset : r.record_offset + r.record_bytes]
+        assert record.startswith(b"WARC/1.0\r\n") and b"<urn:page:%d>" % r.page_id in record
+        assert data[r.record_offset + r.record_bytes :][:4] == b"\r\n\r\n"
+        if r.record_type == "response":
+            assert hashlib.sha1(record.split(b"\r\n\r\n", 2)[2]).hexdigest() == r.payload_digest
+
+
 def test_records_of_gzip_members():
     def record(block):
         return b"WARC/1.0\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(block), block)
 
     blocks = [b"", b"a\r\n\r\nb", b"z" * 5000]
-    assert [b for _, b, _ in warc.Records(b"".join(gzip.compress(record(b)) for b in blocks), step=7)] == blocks
-    assert [b for _, b, _ in warc.Records(b"".join(map(record, blocks)))] == blocks
+    assert [b for _, b, *_ in warc.Records(b"".join(gzip.compress(record(b)) for b in blocks), step=7)] == blocks
+    assert [b for _, b, *_ in warc.Records(b"".join(map(record, blocks)))] == blocks
     with pytest.raises(ValueError):
         list(warc.Records(record(b"abc")[:-6]))
 
