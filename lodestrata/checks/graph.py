@@ -99,7 +99,6 @@ query("x24_transitive_deps", _recursive(""", r(node, depth) AS (SELECT 0::BIGINT
 SELECT node, min(depth) AS depth FROM r WHERE node <> 0 GROUP BY node"""))(lambda s, d: g.transitive(s, _deps(s, d), 0))
 query("b15_module_info", f"{DEPS} SELECT 'dependency' AS role, dep AS other, kind FROM module_deps WHERE module = 5 UNION ALL SELECT 'dependent', module, kind FROM module_deps WHERE dep = 5")(lambda s, d: g.module_info(_deps(s, d), 5))
 query("x26_unused_deps", f"{DEPS} SELECT module, dep FROM module_deps WHERE NOT (n % 3 = 0)")(lambda s, d: g.unused_deps(_deps(s, d), _deps(s, d).where("n % 3 = 0").select("module", "dep")))
-query("b13_hierarchy", "SELECT n_name AS child, r_name AS parent FROM nation JOIN region ON n_regionkey = r_regionkey")(lambda s, d: table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("child"), F.col("r_name").alias("parent")))
 query("b12_unused_symbols", "SELECT p_partkey AS id, 's' || p_partkey AS name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_shipdate >= '1998-01-01')")(lambda s, d: g.unused(table(s, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("name")), table(s, d, "lineitem").where("l_returnflag = 'R' and l_shipdate >= '1998-01-01'").select(F.concat(F.lit("s"), F.col("l_partkey").cast("string")).alias("symbol"))))
 query("x05_search", f"""{REFS}{HITS}, e AS (SELECT path, line, 0 AS source FROM refs WHERE symbol = 's3' UNION ALL SELECT path, line, 1 FROM hits WHERE regexp_matches(text, '(^|[^A-Za-z0-9_])s3($|[^A-Za-z0-9_])'))
 SELECT path, line, min(source) AS source FROM e GROUP BY path, line ORDER BY source, path, line LIMIT 30""")(lambda s, d: g.search([_refs(s, d).where("symbol = 's3'").select("path", "line"), _hits(s, d).where(g.boundary(F.col("text"), "s3")).select("path", "line")], 30))
