@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import fingerprint, htmlmain, langid, mixing, ngramjoin, packing, paragraphs, pii, quality, warc
+from lodestrata.llm import centroids, fingerprint, htmlmain, infill, langid, mixing, ngramjoin, packing, paragraphs, pii, quality, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,18 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeats(_table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.lloyd(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.op12(_table(spark, sf_dir, "documents"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_pii": op2_pii,
@@ -67,8 +79,13 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
+    "op11_centroids": op11_centroids,
+    "op12_infill": op12_infill,
+    "op13_simhash": op13_simhash,
 }
 ORACLE = {
     "op1_quality_rules": quality.OP1_SQL,
     "op4_warc": warc.OP4_SQL,
+    "op11_centroids": centroids.OP11_SQL,
+    "op12_infill": infill.OP12_SQL,
 }
