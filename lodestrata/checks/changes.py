@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from lodestrata.checks.registry import query
 from lodestrata.operators import changes as c
+from lodestrata.plans.scratch import scratch_path
+from lodestrata.sources import gittext as g
 from lodestrata.sources.adapters import duck, table, view
 
 CLASS_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(message), '^{p}[:(!\\s]') THEN '{n}'" for p, n in c.PREFIXES.items()) + " WHEN regexp_matches(lower(message), '^v?[0-9]+\\.[0-9]+') THEN 'feat' " + " ".join(f"WHEN regexp_matches(lower(message), '\\b({p})\\b') THEN '{n}'" for p, n in c.KEYWORDS.items()) + " ELSE 'other' END"
@@ -80,3 +82,57 @@ def _runs(spark):
 query("u01_test_counts", _listed(COUNTS, "id, runner, passed, failed, skipped, total"))(lambda s, d: c.test_counts(_runs(s)))
 query("u02_failures", _listed(FAILED, "id, ord, name, error"))(lambda s, d: c.test_failures(_runs(s)).withColumn("ord", F.col("ord").cast("long")))
 query("u02_suites_and_times", _listed([(1, 3, "1.5s"), (3, None, "0.8s"), (17, 2, "980m"), (19, None, "2.5s")], "id, suites, duration"))(lambda s, d: c.test_runs(_runs(s)).where("suites is not null or duration is not null").select("id", "suites", "duration"))
+
+
+def _captured(df, name):
+    """A captured text: the rows of one column, each with a line break behind it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.text(path)
+    return path
+
+
+def _log(spark, sf):
+    """The commits as a captured log, read back in ranges that cut separators and records."""
+    line = F.struct("path", F.concat_ws("\t", "ins", "del", "path").alias("line"))
+    stat = view(spark, sf, "numstat").groupBy("id").agg(F.array_sort(F.collect_list(line)).alias("stat"))
+    head = F.concat(F.lit(g.LOG_RECORD), F.concat_ws(g.LOG_FIELD, "hash", F.col("day").cast("string"), "author", "message"))
+    body = F.concat(head, F.lit("\n\n"), F.coalesce(F.array_join(F.transform("stat", lambda x: x["line"]), "\n"), F.lit("")))
+    return g.git_text(spark, _captured(view(spark, sf, "commits").join(stat, "id", "left").select(body.alias("value")), "log"), "log", 1 << 16)
+
+
+query("s16_git_log", duck("commits", "numstat") + f""", s AS (SELECT id, count(*) AS n, CAST(sum(coalesce(try_cast(ins AS BIGINT), 0)) AS BIGINT) AS insertions, CAST(sum(coalesce(try_cast(del AS BIGINT), 0)) AS BIGINT) AS deletions, array_to_string(list_sort(list(path)), ',') AS files FROM numstat GROUP BY id)
+SELECT hash, CAST(day AS VARCHAR) AS day, author, message, {CLASS_SQL} AS category, coalesce(n, 0) AS n_files, coalesce(files, '') AS files, coalesce(insertions, 0) AS insertions, coalesce(deletions, 0) AS deletions FROM commits LEFT JOIN s USING (id)""")(
+    lambda s, d: c.log_entries(_log(s, d)).select("hash", "day", "author", "message", "category", F.size("files").cast("long").alias("n_files"), F.array_join("files.path", ",").alias("files"), "insertions", "deletions")
+)
+
+
+def _diff(spark, sf):
+    """Every document against the one of the next lower id, as one captured diff: the whole text goes, the whole text comes."""
+    d = view(spark, sf, "files").select("doc_id", "path", F.coalesce("content", F.lit("")).alias("content"))
+    old = d.select((F.col("doc_id") + 1).alias("doc_id"), F.col("path").alias("was"), F.col("content").alias("before"))
+    both = d.join(old, "doc_id", "full")
+    signed = lambda sign, x: F.concat(F.lit(f"\n{sign}"), F.replace(x, F.lit("\n"), F.lit(f"\n{sign}")))
+    n = lambda x: F.size(F.split(x, "\n", -1)).cast("string")
+    a, b = F.coalesce("was", "path"), F.coalesce("path", "was")
+    kind = F.when(F.col("was").isNull(), "\nnew file mode 100644").when(F.col("path").isNull(), "\ndeleted file mode 100644").otherwise(F.concat(F.lit("\nrename from "), a, F.lit("\nrename to "), b))
+    span = F.concat(F.lit("\n@@ -"), F.coalesce(F.concat(F.lit("1,"), n(F.col("before"))), F.lit("0,0")), F.lit(" +"), F.coalesce(F.concat(F.lit("1,"), n(F.col("content"))), F.lit("0,0")), F.lit(" @@ all"))
+    text = F.concat(F.lit(g.DIFF_RECORD + "a/"), a, F.lit(" b/"), b, kind, F.lit("\n--- a/"), a, F.lit("\n+++ b/"), b, span, F.coalesce(signed("-", F.col("before")), F.lit("")), F.coalesce(signed("+", F.col("content")), F.lit("")))
+    return c.diff_entries(g.git_text(spark, _captured(both.select(text.alias("value")), "diff"), "diff", 1 << 18))
+
+
+DIFF_SQL = duck("files") + """, d AS (SELECT doc_id, path, string_split(coalesce(content, ''), chr(10)) AS l FROM files), p AS (SELECT b.path AS path, a.path AS was, b.l AS now, a.l AS before FROM d b FULL JOIN (SELECT doc_id + 1 AS doc_id, path, l FROM d) a USING (doc_id)),
+q AS (SELECT coalesce(path, was) AS path, was, path IS NULL AS is_deleted, was IS NULL AS is_new, CAST(coalesce(len(now), 0) AS BIGINT) AS n_now, CAST(coalesce(len(list_filter(now, lambda x: NOT starts_with(x, '++'))), 0) AS BIGINT) AS added, CAST(coalesce(len(list_filter(before, lambda x: NOT starts_with(x, '--'))), 0) AS BIGINT) AS removed FROM p)"""
+query("s17_git_diff_files", f"{DIFF_SQL} SELECT path, CASE WHEN NOT is_deleted AND NOT is_new THEN was END AS old_path, is_new, is_deleted, false AS is_binary, added, removed FROM q")(lambda s, d: _diff(s, d).select("path", "old_path", "is_new", "is_deleted", "is_binary", "added", "removed"))
+query("s17_git_diff_hunks", f"{DIFF_SQL} SELECT path, CAST(1 AS INTEGER) AS hunk_no, CASE WHEN is_deleted THEN 0 ELSE 1 END::BIGINT AS new_start, n_now AS new_count, added, removed FROM q")(lambda s, d: c.entry_hunks(_diff(s, d)).select("path", "hunk_no", "new_start", "new_count", "added", "removed"))
+
+
+def _names(spark, sf):
+    """The files of each commit of the last day, captured as one list of names under the first ref."""
+    last = view(spark, sf, "commits").groupBy().agg(F.max("day").alias("day"))
+    ids = view(spark, sf, "commits").join(F.broadcast(last), "day", "left_semi").select("id")
+    folder = scratch_path(spark, "names")
+    view(spark, sf, "numstat").join(ids, "id").select(F.col("path").alias("value")).write.text(f"{folder}/{g.NAME_REFS[0]}")
+    return g.changed_names(spark, folder)
+
+
+query("s18_changed_names", duck("commits", "numstat") + " SELECT DISTINCT path FROM numstat WHERE id IN (SELECT id FROM commits WHERE day = (SELECT max(day) FROM commits))")(_names)

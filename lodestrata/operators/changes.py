@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.plans.ranges import overlap_join
+from lodestrata.sources.gittext import LOG_FIELD
 
 #: Commit classes by prefix, then by whole words, in the order in which they are tried.
 PREFIXES = {"feat": "feat", "fix": "fix", "refactor": "refactor", "docs?": "docs", "tests?": "test", "chore": "chore", "style": "style", "perf": "perf"}
@@ -39,6 +40,63 @@ def numstat_totals(stat: DataFrame) -> DataFrame:
     return stat.groupBy("id").agg(F.sum(n("ins")).alias("insertions"), F.sum(n("del")).alias("deletions"), F.count_distinct("path").alias("n_files"), F.array_join(F.slice(F.array_sort(F.collect_set("path")), 1, 3), ",").alias("files"))
 
 
+def _trimmed(x: Column) -> Column:
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
+def log_entries(records: DataFrame) -> DataFrame:
+    """Commits of a captured log's records: hash, day, author, message, category, files (path, insertions, deletions) and the sums.
+
+    The first line holds four fields at least, or the record counts for nothing; further lines of three parts or more are
+    files, a part that begins with no number counts 0. A record is one row from the source to here: nothing is shuffled.
+    """
+    lines = F.split(_trimmed(F.col("record")), "\n", -1)
+    d = records.where(F.trim("record") != "").withColumn("_lines", lines)
+    d = d.withColumn("_f", F.split(F.get("_lines", F.lit(0)), LOG_FIELD, -1)).where(F.size("_f") >= 4)
+    number = lambda x: F.coalesce(F.regexp_extract(x, r"^\s*([+-]?[0-9]+)", 1).try_cast("bigint"), F.lit(0))
+    parts = F.filter(F.transform(F.slice("_lines", 2, F.size("_lines")), lambda x: F.split(_trimmed(x), "\t", -1)), lambda p: F.size(p) >= 3)
+    files = F.transform(parts, lambda p: F.struct(F.array_join(F.slice(p, 3, F.size(p)), "\t").alias("path"), number(p[0]).alias("insertions"), number(p[1]).alias("deletions")))
+    total = lambda c: F.aggregate(F.transform("files", lambda f: f[c]), F.lit(0).cast("long"), lambda a, x: a + x)
+    d = d.withColumn("files", files)
+    head = [F.get("_f", F.lit(i)).alias(n) for i, n in enumerate(("hash", "day", "author", "message"))]
+    return d.select("file", "pos", *head, commit_class(F.get("_f", F.lit(3))).alias("category"), "files", total("insertions").alias("insertions"), total("deletions").alias("deletions"))
+
+
+def diff_entries(records: DataFrame) -> DataFrame:
+    """Files of a captured diff's records: path, old_path, flags, added and removed lines, and hunks (new_start, new_count, added, removed).
+
+    A file's part is one row from the source to here, and its hunks stay inside: nothing is shuffled. Lines count inside
+    hunks alone, those that begin with +++ or --- never; a hunk whose header cannot be read starts at 0 and has length 1.
+    """
+    r = F.col("record")
+    head = F.substring_index(r, "\n", 1)
+    name = lambda i: F.regexp_extract(head, "^a/(.+?) b/(.+)", i)
+    has = lambda line: r.rlike(f"(?md)^{line}")
+    renamed = F.regexp_extract_all(r, F.lit("(?md)^rename from (.*)$"), 1)
+    was = F.when(name(1) != name(2), name(1))
+    count = lambda h, sign, rest: F.regexp_count(h, F.lit(f"(?md)^{sign}(?!{rest})")).cast("long")
+    at = r"^@@ -[0-9]+(?:,[0-9]+)? \+([0-9]+)(?:,([0-9]+))? @@"
+
+    def hunk(h: Column) -> Column:
+        first = F.substring_index(h, "\n", 1)
+        start, n = F.regexp_extract(first, at, 1).try_cast("bigint"), F.regexp_extract(first, at, 2).try_cast("bigint")
+        return F.struct(F.coalesce(start, F.lit(0)).alias("new_start"), F.coalesce(n, F.lit(1)).alias("new_count"), count(h, r"\+", r"\+\+").alias("added"), count(h, "-", "--").alias("removed"))
+
+    parts = F.split(r, "\n(?=@@ )", -1)
+    d = records.withColumn("hunks", F.transform(F.slice(parts, 2, F.size(parts)), hunk))
+    total = lambda c: F.aggregate(F.transform("hunks", lambda f: f[c]), F.lit(0).cast("long"), lambda a, x: a + x)
+    return d.select(
+        "file", "pos", name(2).alias("path"), F.coalesce(F.try_element_at(renamed, F.lit(-1)), was).alias("old_path"),
+        has("new file mode").alias("is_new"), has("deleted file mode").alias("is_deleted"), has("Binary files").alias("is_binary"),
+        total("added").alias("added"), total("removed").alias("removed"), "hunks",
+    )
+
+
+def entry_hunks(entries: DataFrame) -> DataFrame:
+    """The hunks of diff_entries, a row each, as affected_symbols and regions take them."""
+    return entries.select("path", F.posexplode("hunks").alias("i", "h")).select("path", (F.col("i") + 1).alias("hunk_no"), "h.*", (F.col("h.added") > 0).alias("has_added"), (F.col("h.removed") > 0).alias("has_removed"))
+
+
 def log_summary(commits: DataFrame, totals: DataFrame) -> DataFrame:
     c = commits.withColumn("category", commit_class(F.col("message"))).join(totals, "id", "left")
     return c.groupBy("category").agg(F.count("*").alias("n"), F.coalesce(F.sum("insertions"), F.lit(0)).alias("insertions"), F.coalesce(F.sum("deletions"), F.lit(0)).alias("deletions"))
