@@ -77,6 +77,6 @@ def p21(spark, sf):
 
 
 query("p22_task_gate", duck("hook_events") + " SELECT event_id, CASE WHEN k % 9 = 0 OR NOT (matched_agent <> '' AND matched_agent <> subagent_type) THEN 'allow' WHEN k % 2 = 1 THEN 'deny' ELSE 'advise' END AS gate FROM hook_events")(lambda s, d: view(s, d, "hook_events").select("event_id", g.task_gate(F.col("k") % 9 == 0, F.col("matched_agent"), F.col("subagent_type"), F.when(F.col("k") % 2 == 1, "deny").otherwise("advisory")).alias("gate")))
-query("p18_inside", "SELECT * FROM (VALUES (1, true), (2, true), (3, false), (4, false), (5, true), (6, false)) t(id, ok)")(lambda s, d: s.createDataFrame([(1, "/r/a"), (2, "/r"), (3, "/r/../x"), (4, "/rx/a"), (5, "/r/b/../c"), (6, "/etc/passwd")], "id int, p string").select("id", g.inside(F.col("p"), "/r").alias("ok")))
+query("p18_inside", "SELECT doc_id, doc_id * 7 % 24 <= doc_id % 20 AS ok FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", g.inside(F.concat(F.lit("/r/x/"), F.repeat(F.lit("a/./"), (F.col("doc_id") % 20).cast("int")), F.repeat(F.lit("..//"), (F.col("doc_id") * 7 % 24).cast("int")), F.lit("etc")), "/r/x").alias("ok")))
 AGENTS = [("reviewer", ["review the diff"], ["review", "diff", "quality"], ["write"]), ("finder", ["find usages"], ["find", "usage", "search"], []), ("tester", [], ["test", "coverage"], ["review"])]
 query("f19_agent_match", "SELECT * FROM (VALUES (1, 'reviewer', 'high'), (2, 'finder', 'low'), (3, NULL, NULL), (4, 'tester', 'low'), (5, 'finder', 'low')) t(id, agent, level)")(lambda s, d: g.agent_scores(s.createDataFrame([(1, "Please review the diff"), (2, "search it"), (3, "nothing"), (4, "more coverage"), (5, "find a test")], "id int, description string"), s.createDataFrame(AGENTS, "name string, quoted array<string>, keywords array<string>, negative array<string>")))

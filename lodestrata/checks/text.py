@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.checks.registry import query
 from lodestrata.functions import exprs as e
+from lodestrata.operators import notations as nt
 from lodestrata.operators import text as x
 from lodestrata.sources.adapters import duck, table, view
 
@@ -84,7 +85,7 @@ SUMMARY_SQL = "CASE WHEN path = 'g.py' AND (starts_with(text, 'import ') OR star
 query("p09_tiered", f"""{NOTES_SQL}, a AS (SELECT path, line_no, {SUMMARY_SQL} AS k FROM lines), t AS (SELECT path, line_no, 0 AS tier FROM a WHERE k IS NOT NULL UNION ALL SELECT path, line_no, 1 FROM lines WHERE line_no <= 2)
 SELECT path, line_no, tier FROM t WHERE tier = (SELECT min(tier) FROM t u WHERE u.path = t.path)""")(lambda s, d: x.tiered([x.regex_summary(_notes(s)).select("path", "line_no"), x.head_tail(_notes(s), 2, 0).select("path", "line_no")]))
 query("x20_marked_lines", f"{NOTES_SQL} SELECT path, line_no, regexp_extract(text, '\\b(TODO|FIXME|HACK|XXX|NOTE|WARNING|WARN)\\b', 1) AS kind, trim(text) AS text FROM lines WHERE regexp_matches(text, '\\b(TODO|FIXME|HACK|XXX|NOTE|WARNING|WARN)\\b')")(lambda s, d: x.marked_lines(_notes(s)))
-query("s05_json_outline", "SELECT event_id, k AS key, 'number' AS kind FROM (SELECT event_id, unnest(json_keys(props)) AS k FROM events)")(lambda s, d: x.json_outline(table(s, d, "events"), "props", "event_id"))
+query("s05_json_outline", "SELECT event_id, k AS key, 'number' AS kind FROM (SELECT event_id, unnest(json_keys(props)) AS k FROM events)")(lambda s, d: nt.json_outline(table(s, d, "events"), "props", "event_id"))
 query("x01_stats", f"{FILES} SELECT count(*) AS n_files FROM files")(lambda s, d: _files(s, d).agg(F.count("*").alias("n_files")))
 query("x10_files", f"{FILES} SELECT path FROM files")(lambda s, d: _files(s, d).select("path"))
 query("x12_map", f"{FILES} SELECT string_split(path, '/')[1] AS dir, language, count(*) AS n FROM files GROUP BY ALL")(lambda s, d: _files(s, d).groupBy(F.split("path", "/")[0].alias("dir"), "language").agg(F.count("*").alias("n")))
@@ -112,3 +113,54 @@ SELECT batch, path, shown, given FROM r WHERE i > 0""")
 def d17(spark, sf):
     """Batches of twenty documents each."""
     return x.token_budget(_files(spark, sf).select(F.floor(F.col("doc_id") / 20).cast("long").alias("batch"), "path", "content"))
+
+
+#: A YAML text for each order: its lines are list items with a key below each.
+YAML_HEAD = "# order\n\nid: {id}  # its key\nstate: {state}\ncustomer:\n  id: {cust}\n  place:\n    nation:\n      name: x\n    tags: [a]\n  - loose\nlines:"
+YAML_TAIL = "\nlast: |\n  text: inside\n  - item\nend: '#{id}'"
+
+
+def _yaml_files(spark, sf):
+    line = F.format_string("\n  - n: %d\n    q%d: %d", F.col("l_linenumber").cast("int"), F.col("l_linenumber").cast("int"), F.col("l_quantity").cast("int"))
+    per = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", line.alias("t")))), lambda y: y["t"]), "").alias("t"))
+    o = table(spark, sf, "orders").join(per, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    text = F.concat(F.lit(YAML_HEAD), F.coalesce("t", F.lit("")), F.lit(YAML_TAIL))
+    for k, v in (("{id}", "o_orderkey"), ("{state}", "o_orderstatus"), ("{cust}", "o_custkey")):
+        text = F.replace(text, F.lit(k), F.col(v).cast("string"))
+    return o.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string"), F.lit(".yaml")).alias("path"), text.alias("content"))
+
+
+query("s06_yaml_outline", """WITH l AS (SELECT l_orderkey, CAST(l_linenumber AS INTEGER) AS n, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS i, count(*) OVER (PARTITION BY l_orderkey) AS of FROM lineitem), o AS (SELECT *, (SELECT count(*) FROM l WHERE l_orderkey = o_orderkey) AS m FROM orders),
+f AS (SELECT o_orderkey, m, unnest([
+ {'ord': 0, 'depth': 1, 'kp': 'id', 'v': CAST(o_orderkey AS VARCHAR), 'nk': 0, 'ni': 0, 's': 3, 'e': 3}, {'ord': 1, 'depth': 1, 'kp': 'state', 'v': o_orderstatus, 'nk': 0, 'ni': 0, 's': 4, 'e': 4}, {'ord': 2, 'depth': 1, 'kp': 'customer', 'v': NULL, 'nk': 2, 'ni': 1, 's': 5, 'e': 11},
+ {'ord': 3, 'depth': 2, 'kp': 'customer.id', 'v': CAST(o_custkey AS VARCHAR), 'nk': 0, 'ni': 0, 's': 6, 'e': 6}, {'ord': 4, 'depth': 2, 'kp': 'customer.place', 'v': NULL, 'nk': 2, 'ni': 0, 's': 7, 'e': 11}, {'ord': 5, 'depth': 3, 'kp': 'customer.place.nation', 'v': NULL, 'nk': 1, 'ni': 0, 's': 8, 'e': 9},
+ {'ord': 6, 'depth': 3, 'kp': 'customer.place.tags', 'v': NULL, 'nk': 0, 'ni': 0, 's': 10, 'e': 11}, {'ord': 7, 'depth': 1, 'kp': 'lines', 'v': NULL, 'nk': m, 'ni': m, 's': 12, 'e': 12 + 2 * m}, {'ord': 8 + m, 'depth': 1, 'kp': 'last', 'v': NULL, 'nk': 1, 'ni': 1, 's': 13 + 2 * m, 'e': 15 + 2 * m},
+ {'ord': 9 + m, 'depth': 2, 'kp': 'last.text', 'v': 'inside', 'nk': 0, 'ni': 0, 's': 14 + 2 * m, 'e': 15 + 2 * m}, {'ord': 10 + m, 'depth': 1, 'kp': 'end', 'v': chr(39), 'nk': 0, 'ni': 0, 's': 16 + 2 * m, 'e': 16 + 2 * m}]) AS r FROM o),
+a AS (SELECT o_orderkey, r.ord AS ord, r.depth AS depth, r.kp AS key_path, r.v AS value, r.nk AS n_keys, r.ni AS n_items, r.s AS start_line, r.e AS end_line FROM f UNION ALL SELECT l_orderkey, 7 + i, 2, 'lines.q' || n, q, 0, 0, 12 + 2 * i, least(13 + 2 * i, 12 + 2 * of) FROM l)
+SELECT 'o' || o_orderkey || '.yaml' AS path, CAST(ord AS INTEGER) AS ord, CAST(depth AS INTEGER) AS depth, string_split(key_path, '.')[-1] AS key, key_path, value, CAST(n_keys AS INTEGER) AS n_keys, CAST(n_items AS INTEGER) AS n_items, CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line FROM a""")(lambda s, d: nt.yaml_outline(_yaml_files(s, d)))
+
+
+def _csv_files(spark, sf):
+    """Every document as CSV: a row for each of its lines, which stands in quotes."""
+    row = lambda t, i: F.concat(i.cast("string"), F.lit(' ,"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('", '), F.length(t).cast("string"))
+    return _files(spark, sf).select("path", F.concat(F.lit('n,"the ""text"", whole",size\n\n'), F.array_join(F.transform(F.split(F.coalesce("content", F.lit("")), "\n", -1), row), "\n")).alias("content"))
+
+
+TRIMMED = "regexp_replace({c}, '^" + e.SPACE_CLASS.replace("\\t", "\t").replace("\\r", "\r") + "+|" + e.SPACE_CLASS + "+$', '', 'g')"
+query("s09_csv_outline", f"""{FILES}, c AS (SELECT path, string_split(coalesce(content, ''), chr(10)) AS l FROM files)
+SELECT path, ['n', 'the "text", whole', 'size'] AS columns, CAST(len(l) AS BIGINT) AS row_count, list_transform(range(1, least(len(l), 5) + 1), lambda i: [CAST(i - 1 AS VARCHAR), {TRIMMED.replace('{c}', 'l[i]')}, CAST(length(l[i]) AS VARCHAR)]) AS sample FROM c""")(lambda s, d: nt.csv_outline(_csv_files(s, d)))
+
+
+def _json_orders(spark, sf):
+    """An object for each order, of values that look like others and keys that hold a dot."""
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    some = lambda f: F.array_join(F.transform(F.filter(F.sequence(F.lit(0), k % 4), lambda i: i > 0), f), ",")
+    text = F.concat(
+        F.lit('{"id":'), k.cast("string"), F.lit(',"id.text":"'), k.cast("string"), F.lit('","open":"[x","yes":"true","flag":'), F.when(k % 2 == 0, "true").otherwise("false"),
+        F.lit(',"no":null,"list":['), some(lambda i: i.cast("string")), F.lit('],"map":{'), some(lambda i: F.concat(F.lit('"k'), i.cast("string"), F.lit('":[{}]'))), F.lit('},"e":-1.5e3}'),
+    )
+    return o.select("o_orderkey", F.when(k % 10 == 9, F.concat(text, F.lit("}"))).otherwise(text).alias("doc"))
+
+
+query("n09_json_kinds", """SELECT o_orderkey, unnest(['id', 'id.text', 'open', 'yes', 'flag', 'no', 'list', 'map', 'e']) AS key, unnest(['number', 'string', 'string', 'string', 'boolean', 'object', 'array[' || (o_orderkey % 4) || ']', 'object{' || (o_orderkey % 4) || ' keys}', 'number']) AS kind
+FROM orders WHERE o_orderkey % 10 <> 9""")(lambda s, d: nt.json_outline(_json_orders(s, d), "doc", "o_orderkey"))

@@ -8,8 +8,8 @@ from lodestrata.checks.registry import query
 from lodestrata.checks.structure import files as own_files
 from lodestrata.checks.telemetry import BUDGET, BURN, CALLS, EVENTS, INTENT_SQL, SAVED
 from lodestrata.functions import exprs as e
-from lodestrata.operators import changes, structure as st, text, tools as t
-from lodestrata.sources.adapters import duck, view
+from lodestrata.operators import changes, notations as nt, structure as st, text, tools as t
+from lodestrata.sources.adapters import duck, table, view
 
 query("t13_session_report", f"""{CALLS} SELECT 'tool' AS section, tool AS key, count(*) AS n, {SAVED} AS value FROM tool_calls GROUP BY tool UNION ALL SELECT 'category', coalesce(savings_category, 'none'), count(*), {SAVED} FROM tool_calls GROUP BY 2
 UNION ALL SELECT 'intent', {INTENT_SQL}, count(*), CAST(sum(tokens_returned) AS BIGINT) FROM tool_calls GROUP BY 2""")(lambda s, d: t.session_report(view(s, d, "tool_calls")))
@@ -30,5 +30,15 @@ def _diff(spark):
 
 
 query("t20_area", "SELECT * FROM (VALUES ('external', 'os'), ('external', 'pkg.db'), ('internal', './store'), ('external', 'path')) t(section, item)")(lambda s, d: t.area(own_files(s), "src"))
-query("f06_cache_key", """SELECT * FROM (VALUES (1, 'outline:' || left(sha256('{"a":"1","b":"2"}'), 16)), (2, 'x:' || left(sha256('{}'), 16))) t(id, key)""")(lambda s, d: s.createDataFrame([(1, "outline", {"b": "2", "a": "1"}), (2, "x", {})], "id int, tool string, args map<string,string>").select("id", t.cache_key(F.col("tool"), F.col("args")).alias("key")))
+query("f06_cache_key", """WITH a AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT event_id, event_type || ':' || left(sha256('{"k":' || k || ',"name":"a\\":\\"b","nest":{"k":[' || k || ',{"name":"é"}]},"x":' || CASE WHEN k % 2 = 0 THEN k // 2 || '' ELSE k // 2 || '.5' END || '}'), 16) AS key FROM a""")(lambda s, d: _keys(s, d))
+
+
+def _keys(spark, sf):
+    """Arguments with keys out of order, quotes in values, and keys inside that the top level lacks."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    args = F.concat(F.lit('{"x": '), (k / 2).cast("string"), F.lit(', "nest": {"other": 1, "k": ['), k.cast("string"), F.lit('.0, {"z": 2, "name": "\\u00e9"}]}, "name": "a\\":\\"b", "k": '), k.cast("string"), F.lit("}"))
+    return table(spark, sf, "events").select("event_id", nt.cache_key(F.col("event_type"), args).alias("key"))
+
+
 query("f23_snapshot_goal", "SELECT * FROM (VALUES (1, 'ship it'), (2, '')) t(id, goal)")(lambda s, d: s.createDataFrame([(1, "x\n**Goal:** ship it\n**Goal:** other"), (2, "none")], "id int, t string").select("id", e.snapshot_goal(F.col("t")).alias("goal")))

@@ -110,11 +110,17 @@ def task_gate(escaped: Column, matched: Column, picked: Column, mode: Column) ->
 
 
 def inside(path: Column, root: str) -> Column:
-    """The path, its dot segments resolved, is the root or under it."""
-    tidy = F.regexp_replace(path, r"/(\./)+", "/")
-    for _ in range(8):
-        tidy = F.regexp_replace(tidy, r"/(?!\.\./)[^/]+/\.\.(?=/|$)", "")
-    return (tidy == root) | tidy.startswith(root.rstrip("/") + "/")
+    """The path, its dot segments resolved at any depth, is the root or under it; a relative path starts at the root. A null path is not."""
+    none = F.array().cast("array<string>")
+
+    def step(acc: Column, x: Column) -> Column:
+        up = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))  # above the file system's root there is nothing
+        return F.when(x.isin("", "."), acc).when(x == "..", up).otherwise(F.concat(acc, F.array(x)))
+
+    base = root.rstrip("/")
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(base + "/"), path))
+    tidy = F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(whole, "/"), none, step), "/"))
+    return F.coalesce((tidy == (base or "/")) | tidy.startswith(base + "/"), F.lit(False))
 
 
 def agent_scores(tasks: DataFrame, agents: DataFrame) -> DataFrame:

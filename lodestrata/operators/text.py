@@ -104,15 +104,6 @@ def csv_rows(ls: DataFrame, start: int, end: int) -> DataFrame:
     return ls.where((F.col("line_no") == 1) | F.col("line_no").between(start + 1, end + 1)).join(n, "path").select("path", "line_no", "text", "n_rows")
 
 
-def json_outline(docs: DataFrame, column: str, id_col: str) -> DataFrame:
-    """Top-level keys of JSON objects with the type of each value."""
-    keys = F.explode(F.json_object_keys(column)).alias("key")
-    d = docs.select(id_col, column, keys)
-    v = F.call_function("get_json_object", F.col(column), F.concat(F.lit("$."), F.col("key")))
-    kind = F.when(v.isNull(), "null").when(v.rlike(r"^\["), "array").when(v.rlike(r"^\{"), "object").when(v.rlike(r"^-?[0-9.eE+-]+$"), "number").when(v.isin("true", "false"), "boolean").otherwise("string")
-    return d.select(id_col, "key", kind.alias("kind"))
-
-
 def toml_tables(ls: DataFrame) -> DataFrame:
     return ls.where(F.col("text").rlike(r"^\s*\[\[?[^\[\]]+\]\]?\s*$")).select("path", "line_no", F.regexp_extract("text", r"\[\[?([^\[\]]+)\]", 1).alias("name"))
 

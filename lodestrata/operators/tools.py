@@ -56,10 +56,3 @@ def area(files: DataFrame, folder: str) -> DataFrame:
     imp = structure.import_rows(ls).select(graph.import_kind(F.col("source")).alias("section"), F.when(F.col("source").startswith("."), F.col("source")).otherwise(graph.package_name(F.col("source"))).alias("item"))
     tests = files.where(F.col("path").rlike(graph.TEST_PATH)).select(F.lit("test").alias("section"), F.col("path").alias("item"))
     return imp.unionByName(tests).distinct()
-
-
-def cache_key(tool: Column, args: Column) -> Column:
-    """Tool and 16 hex digits of the hash of the arguments' JSON, keys sorted."""
-    pairs = F.sort_array(F.map_entries(args))
-    json = F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda p: F.concat(F.lit('"'), p["key"], F.lit('":"'), p["value"], F.lit('"'))), ","), F.lit("}"))
-    return F.concat(tool, F.lit(":"), F.substring(F.sha2(json, 256), 1, 16))
