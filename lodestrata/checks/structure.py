@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.checks.registry import query
+from lodestrata.operators import patterns as pt
 from lodestrata.operators import structure as st
 from lodestrata.operators.text import lines
-from lodestrata.sources.adapters import duck, view
+from lodestrata.plans.scratch import saved
+from lodestrata.sources.adapters import duck, table, view
 
 PY = '''"""Doc."""
 import os
@@ -130,3 +132,25 @@ def _resolved(spark):
     leaf = asked.join(q, q["name"] == F.substring_index("asked", ".", -1)).select("asked", "path", "start_line", F.lit(1).alias("rank"))
     best = exact.unionByName(leaf).groupBy("asked").agg(F.min(F.struct("rank", "path", "start_line")).alias("b"))
     return best.select("asked", "b.path", "b.start_line")
+
+
+def _code_files(spark, sf):
+    """A file of code for each order: its lines are an argument, one order in three calls something else, and a comment and a string hold calls that are none."""
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))), lambda y: y["l_quantity"].cast("int").cast("string")), ", ").alias("args"))
+    o = table(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    k, c = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    call = F.when(F.col("o_orderkey") % 3 == 0, "sum").otherwise("total")
+    text = F.concat(F.lit("// total(1)\nexport function o"), k, F.lit("() {\n  const t = "), call, F.lit("("), k, F.lit(", ["), F.coalesce("args", F.lit("")), F.lit("],\n    \"total(2)\", 'a)b');\n  if (t) { log("), call, F.lit("(t, "), c, F.lit(")) }\n}\n"))
+    return o.select(F.concat(F.lit("src/o"), k, F.lit(".ts")).alias("path"), text.alias("content"))
+
+
+def _structural(spark, sf):
+    f = _code_files(spark, sf)
+    index = saved(pt.word_index(f).repartition("word").sortWithinPartitions("word"), "words")
+    d = pt.structural_search(f, index, "total($FIRST, $$$REST)")
+    return d.select("path", "line", "end_line", F.col("bindings")["FIRST"].alias("first"), F.col("bindings")["REST"].alias("rest"))
+
+
+query("x19_structural_search", """WITH l AS (SELECT l_orderkey, array_to_string(list(CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) ORDER BY l_linenumber, l_quantity), ', ') AS args FROM lineitem GROUP BY 1)
+SELECT 'src/o' || o_orderkey || '.ts' AS path, r.line AS line, r.end_line AS end_line, r.f AS first, r.r AS rest FROM (SELECT o_orderkey, unnest([{'line': 3::BIGINT, 'end_line': 4::BIGINT, 'f': o_orderkey::VARCHAR, 'r': '[' || coalesce(args, '') || '],' || chr(10) || '    "total(2)", ' || chr(39) || 'a)b' || chr(39)}, {'line': 5::BIGINT, 'end_line': 5::BIGINT, 'f': 't', 'r': o_custkey::VARCHAR}]) AS r FROM orders LEFT JOIN l ON l_orderkey = o_orderkey WHERE o_orderkey % 3 <> 0)""")(_structural)
+query("x19_word_index", """WITH l AS (SELECT DISTINCT o_orderkey AS k FROM orders) SELECT word, count(*) AS n FROM (SELECT k, unnest(list_concat(['total', 'export', 'function', 'o' || k, 'const', 't', 'a', 'b', 'if', 'log'], CASE WHEN k % 3 = 0 THEN ['sum'] ELSE [] END)) AS word FROM l) GROUP BY word""")(lambda s, d: pt.word_index(_code_files(s, d)).groupBy("word").agg(F.count("*").alias("n")))
