@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.checks.registry import query
+from lodestrata.operators import fuzzy as fz
 from lodestrata.operators import graph as g
 from lodestrata.plans.scratch import saved
 from lodestrata.sources.adapters import duck, table, view
@@ -109,3 +110,15 @@ query("b20_stack", "SELECT * FROM (VALUES ('a', 'Python', 2::BIGINT), ('b', 'Nod
 query("b18_explore")(lambda s, d: g.explore(_deps(s, d).select(F.col("module").alias("node")).distinct(), _deps(s, d).select(F.col("module").alias("a"), F.col("dep").alias("b")), s.createDataFrame([(0, 2.0), (5, 1.0)], "node int, weight double")))
 query("b19_suffix_conventions", "SELECT regexp_extract(p_type, '([A-Z]+)$', 1) AS suffix, count(*) AS n FROM part GROUP BY 1")(lambda s, d: table(s, d, "part").groupBy(F.regexp_extract("p_type", "([A-Z]+)$", 1).alias("suffix")).agg(F.count("*").alias("n")))
 query("p17_constructors", "SELECT * FROM (VALUES ('run'), ('new'), ('init')) t(name)")(lambda s, d: g.unused(s.createDataFrame([("__init__",), ("__new__",), ("__del__",), ("constructor",), ("__str__",), ("run",), ("new",), ("init",), ("used",)], "name string"), s.createDataFrame([("used",)], "symbol string")))
+
+
+def _fuzzy(spark, sf):
+    """Names that all begin alike, so most trigrams are common; a third of the queries are misspelt."""
+    index = saved(fz.name_index(table(spark, sf, "customer").select(F.col("c_name").alias("name"))), "names")
+    k = F.col("s_suppkey")
+    asked = table(spark, sf, "supplier").select(k.alias("id"), F.when(k % 3 == 0, F.replace("s_name", F.lit("Supplier"), F.lit("Custmer"))).when(k % 3 == 1, F.replace("s_name", F.lit("Supplier"), F.lit("Customer"))).otherwise(F.replace("s_name", F.lit("Supplier#"), F.lit("Customer"))).alias("query"))
+    return fz.fuzzy_search(asked, index)
+
+
+query("x05_fuzzy_search", """WITH q AS (SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN replace(s_name, 'Supplier', 'Custmer') WHEN 1 THEN replace(s_name, 'Supplier', 'Customer') ELSE replace(s_name, 'Supplier#', 'Customer') END AS query FROM supplier)
+SELECT id, query, c_name AS name, CAST(levenshtein(query, c_name) AS INTEGER) AS distance FROM q, (SELECT DISTINCT c_name FROM customer) WHERE levenshtein(query, c_name) <= 2""")(_fuzzy)
