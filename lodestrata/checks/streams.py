@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from lodestrata.checks.registry import query
+from lodestrata.plans.scratch import scratch_path
 from lodestrata.sources.adapters import duck, table, view
 from lodestrata.streaming import state as t
+from lodestrata.streaming import ttl
 
 CALLS, EVENTS = duck("tool_calls"), duck("hook_events")
 LOADS = EVENTS + ", loads AS (SELECT event_id, session_id, file AS path, CASE WHEN k % 3 = 0 THEN 'range' ELSE 'symbol' END AS kind, 'y' || (k % 4)::VARCHAR AS symbol, 'h' || (k % 3)::VARCHAR AS content_hash, ts AS loaded_at FROM hook_events)"
@@ -74,3 +76,21 @@ query("e10_lru_bytes", duck("log_files") + " SELECT * FROM (SELECT id % 8 AS cac
 query("e13_interceptions", f"{EVENTS} SELECT event_id, file, CAST(greatest(0, est_tokens - summary_tokens) AS BIGINT) AS saved_tokens FROM hook_events WHERE est_tokens > 300")(lambda s, d: t.interceptions(_events(s, d), 300))
 query("e14_recent", f"{EVENTS} SELECT event_id FROM hook_events WHERE ts > 1705000000000 - 7200000 AND ts <= 1705000000000")(lambda s, d: t.recent(_events(s, d), 1_705_000_000_000, 7_200_000).select("event_id"))
 query("e15_near_budget", f"{EVENTS} SELECT workflow_id, CAST(sum(est_tokens) AS BIGINT) AS used FROM hook_events WHERE workflow_id IS NOT NULL GROUP BY workflow_id HAVING sum(est_tokens) >= 0.9::DOUBLE * 520000")(lambda s, d: t.near_budget(_events(s, d), 520_000))
+
+
+@query("e08_edit_prepared_stream", f"""{EVENTS}, m AS (SELECT file, ts FROM hook_events WHERE k % 2 = 0), e AS (SELECT event_id, file, ts FROM hook_events WHERE k % 2 = 1)
+SELECT event_id, coalesce(ts - (SELECT max(m.ts) FROM m WHERE m.file = e.file AND m.ts <= e.ts) < 1800000, false) AS prepared FROM e""")
+def e08_stream(spark, sf):
+    """The same by keyed state with timers, in three runs from one checkpoint."""
+    e = _events(spark, sf).select(F.lit("p").alias("project"), F.col("file").alias("path"), F.timestamp_millis("ts").alias("at"), (F.col("k") % 2 == 0).alias("is_mark"), "event_id")
+    return ttl.by_slices(e, "at", 3, scratch_path(spark, "prepared"), ttl.edits_prepared)
+
+
+@query("e05_registry_stream", f"""{EVENTS}, l AS (SELECT event_id, session_id, file AS path, ts AS at, CASE WHEN k % 3 = 0 THEN 'range:' ELSE 'symbol:y' || (k % 4) END AS slot, k AS tokens FROM hook_events),
+p AS (SELECT l.event_id, b.tokens FROM l JOIN l b ON b.session_id = l.session_id AND b.path = l.path AND (b.at < l.at OR (b.at = l.at AND b.event_id <= l.event_id)) QUALIFY row_number() OVER (PARTITION BY l.event_id, b.slot ORDER BY b.at DESC, b.event_id DESC) = 1)
+SELECT event_id, CAST(count(*) AS INTEGER) AS n_slots, CAST(sum(tokens) AS BIGINT) AS token_estimate FROM p GROUP BY event_id""")
+def e05_stream(spark, sf):
+    """What each load makes of its path's slots, by map state, in two runs from one checkpoint; no path's state ends meanwhile."""
+    k = F.col("k")
+    e = _events(spark, sf).select("session_id", F.col("file").alias("path"), F.timestamp_millis("ts").alias("at"), F.when(k % 3 == 0, "range").otherwise("symbol").alias("kind"), F.concat(F.lit("y"), (k % 4).cast("string")).alias("symbol"), k.alias("tokens"), "event_id")
+    return ttl.by_slices(e, "at", 2, scratch_path(spark, "registry"), lambda s: ttl.registry_log(s, 10_000 * 86_400_000))
