@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.checks.registry import query
+from lodestrata.operators import classes as cl
 from lodestrata.operators import patterns as pt
 from lodestrata.operators import structure as st
 from lodestrata.operators.text import lines
@@ -154,3 +155,26 @@ def _structural(spark, sf):
 query("x19_structural_search", """WITH l AS (SELECT l_orderkey, array_to_string(list(CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) ORDER BY l_linenumber, l_quantity), ', ') AS args FROM lineitem GROUP BY 1)
 SELECT 'src/o' || o_orderkey || '.ts' AS path, r.line AS line, r.end_line AS end_line, r.f AS first, r.r AS rest FROM (SELECT o_orderkey, unnest([{'line': 3::BIGINT, 'end_line': 4::BIGINT, 'f': o_orderkey::VARCHAR, 'r': '[' || coalesce(args, '') || '],' || chr(10) || '    "total(2)", ' || chr(39) || 'a)b' || chr(39)}, {'line': 5::BIGINT, 'end_line': 5::BIGINT, 'f': 't', 'r': o_custkey::VARCHAR}]) AS r FROM orders LEFT JOIN l ON l_orderkey = o_orderkey WHERE o_orderkey % 3 <> 0)""")(_structural)
 query("x19_word_index", """WITH l AS (SELECT DISTINCT o_orderkey AS k FROM orders) SELECT word, count(*) AS n FROM (SELECT k, unnest(list_concat(['total', 'export', 'function', 'o' || k, 'const', 't', 'a', 'b', 'if', 'log'], CASE WHEN k % 3 = 0 THEN ['sum'] ELSE [] END)) AS word FROM l) GROUP BY word""")(lambda s, d: pt.word_index(_code_files(s, d)).groupBy("word").agg(F.count("*").alias("n")))
+
+
+def _class_files(spark, sf, php):
+    """A class for each order with a method for each of its lines; every third line is static, and each body holds a function that is no method."""
+    n, p = F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")
+    static = F.col("l_partkey") % 3 == 0
+    if php:
+        one = F.concat(F.lit("\n    "), F.when(static, "private static ").otherwise("public "), F.lit("function m"), n, F.lit("_"), p, F.lit("($a) {\n        $f = function inner"), n, F.lit("($b) {};\n    }"))
+        head, tail = "<?php\nclass C extends B {\n    private $x;", "\n}"
+    else:
+        one = F.concat(F.when(static, "\n    @staticmethod").otherwise("\n\n    @cached"), F.lit("\n    def "), F.when(F.col("l_partkey") % 2 == 0, "_").otherwise(""), F.lit("m"), n, F.lit("_"), p, F.lit("(self):\n        def inner(): pass\n        return 1"))
+        head, tail = "import os\nclass C(B):\n    x = 1", "\nz = 1"
+    per = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", one.alias("t")))), lambda y: y["t"]), "").alias("t"), F.count("*").alias("m"), F.count_if(~static).alias("blank"))
+    files = per.select(F.concat(F.lit("c"), F.col("l_orderkey").cast("string")).alias("path"), F.concat(F.lit(head), F.col("t"), F.lit(tail)).alias("content"))
+    end = 4 + 3 * F.col("m") if php else 3 + 4 * F.col("m") + F.col("blank")
+    return files, per.select(F.concat(F.lit("c"), F.col("l_orderkey").cast("string")).alias("path"), F.lit("C").alias("name"), F.lit(2).alias("start_line"), end.alias("end_line"))
+
+
+CLASS_LINES = "WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, row_number() OVER w AS i, count(*) OVER (PARTITION BY l_orderkey) AS m, sum(CASE WHEN l_partkey % 3 = 0 THEN 0 ELSE 1 END) OVER w AS b FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey ROWS UNBOUNDED PRECEDING))"
+query("p04_python_methods", CLASS_LINES + """ SELECT 'c' || k AS path, 'C' AS parent, CASE WHEN p % 2 = 0 THEN '_' ELSE '' END || 'm' || n || '_' || p AS name, CASE WHEN p % 3 = 0 THEN 'function' ELSE 'method' END AS kind, CAST(4 * i + 1 + b AS BIGINT) AS start_line, CAST(4 * i + 3 + b AS BIGINT) AS end_line,
+CASE WHEN p % 2 = 0 THEN 'protected' ELSE 'public' END AS visibility, p % 3 = 0 AS is_static, CASE WHEN p % 3 = 0 THEN '@staticmethod' ELSE '@cached' END AS decorators FROM l""")(lambda s, d: cl.python_methods(*_class_files(s, d, False)).select("path", "parent", "name", "kind", "start_line", "end_line", "visibility", "is_static", F.array_join("decorators", ",").alias("decorators")))
+query("p05_php_methods", CLASS_LINES + """ SELECT 'c' || k AS path, 'C' AS parent, 'm' || n || '_' || p AS name, CASE WHEN p % 3 = 0 THEN 'function' ELSE 'method' END AS kind, CAST(3 * i + 1 AS BIGINT) AS start_line, CAST(CASE WHEN i = m THEN 3 * i + 4 ELSE 3 * i + 3 END AS BIGINT) AS end_line,
+CASE WHEN p % 3 = 0 THEN 'private static ' ELSE 'public ' END || 'function m' || n || '_' || p || '($a) {' AS signature, CASE WHEN p % 3 = 0 THEN 'private' ELSE 'public' END AS visibility, p % 3 = 0 AS is_static FROM l""")(lambda s, d: cl.php_methods(*_class_files(s, d, True)))
