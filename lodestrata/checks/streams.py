@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.checks.registry import query
 from lodestrata.plans.scratch import scratch_path
+from lodestrata.sources import rotating
 from lodestrata.sources.adapters import duck, table, view
 from lodestrata.streaming import state as t
 from lodestrata.streaming import ttl
@@ -94,3 +95,19 @@ def e05_stream(spark, sf):
     k = F.col("k")
     e = _events(spark, sf).select("session_id", F.col("file").alias("path"), F.timestamp_millis("ts").alias("at"), F.when(k % 3 == 0, "range").otherwise("symbol").alias("kind"), F.concat(F.lit("y"), (k % 4).cast("string")).alias("symbol"), k.alias("tokens"), "event_id")
     return ttl.by_slices(e, "at", 2, scratch_path(spark, "registry"), lambda s: ttl.registry_log(s, 10_000 * 86_400_000))
+
+
+def _logged(spark, sf, **settings):
+    """The events as a stream that arrives week by week, each in a run of its own, in a log that rotates."""
+    folder = scratch_path(spark, "log")
+    log = rotating.RotatingLog(f"{folder}/log", "hook-events", **settings)
+    e = _events(spark, sf).select("event_id", "ts", "code", F.floor(F.col("ts") / (7 * 86_400_000)).alias("week"))
+    for (week,) in sorted(e.select("week").distinct().collect()):  # a few weeks
+        e.where(F.col("week") == week).drop("week").write.mode("append").parquet(f"{folder}/in")
+        src = spark.readStream.schema("event_id long, ts long, code string").parquet(f"{folder}/in")
+        src.writeStream.foreachBatch(log).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return log.read(spark, "event_id long, ts long, code string")
+
+
+query("k01_rotating_log", f"{EVENTS} SELECT event_id, ts, code FROM hook_events")(lambda s, d: _logged(s, d, rotate_bytes=1 << 16))
+query("k03_error_archives", f"{EVENTS}, w AS (SELECT *, max(ts) OVER (PARTITION BY ts // 604800000) AS last, max(ts) OVER () AS newest FROM hook_events) SELECT event_id, ts, code FROM w WHERE last >= newest - 10 * 86400000::BIGINT")(lambda s, d: _logged(s, d, rotate_bytes=1, keep_ms=10 * 86_400_000))
