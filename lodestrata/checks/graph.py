@@ -122,3 +122,30 @@ def _fuzzy(spark, sf):
 
 query("x05_fuzzy_search", """WITH q AS (SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN replace(s_name, 'Supplier', 'Custmer') WHEN 1 THEN replace(s_name, 'Supplier', 'Customer') ELSE replace(s_name, 'Supplier#', 'Customer') END AS query FROM supplier)
 SELECT id, query, c_name AS name, CAST(levenshtein(query, c_name) AS INTEGER) AS distance FROM q, (SELECT DISTINCT c_name FROM customer) WHERE levenshtein(query, c_name) <= 2""")(_fuzzy)
+
+
+def _ways() -> str:
+    out = [DEPS, "w1 AS (SELECT module AS node, CAST(1 AS DECIMAL(38,0)) AS n FROM module_deps WHERE dep = 14)"]
+    out += [f"w{k} AS (SELECT module AS node, CAST(sum(w{k - 1}.n) AS DECIMAL(38,0)) AS n FROM w{k - 1} JOIN module_deps ON dep = node GROUP BY module)" for k in range(2, 21)]
+    return ", ".join(out) + " " + " UNION ALL ".join(f"SELECT CAST(node AS BIGINT) AS node, {k} AS depth, CAST(n AS VARCHAR) AS n FROM w{k}" for k in range(1, 21))
+
+
+query("b11_walk_counts", _ways())(lambda s, d: g.walk_counts(_deps(s, d), 14, 20).withColumn("n", F.col("n").cast("string")))
+RANK_ROUNDS = 40
+
+
+def _ranks() -> str:
+    out = [REFS, "e AS (SELECT DISTINCT symbol AS a, path AS b FROM refs UNION SELECT DISTINCT path, symbol FROM refs)", "p AS (SELECT a, b, 1.0::DOUBLE / count(*) OVER (PARTITION BY a) AS p FROM e)", "x0 AS (SELECT DISTINCT symbol AS query, symbol AS node, 1.0::DOUBLE AS score FROM refs WHERE CAST(symbol[2:] AS BIGINT) % 400 = 0)"]
+    out += [f"x{k} AS (SELECT query, node, sum(score) AS score FROM (SELECT query, b AS node, score * p * 0.5 AS score FROM x{k - 1} JOIN p ON a = node UNION ALL SELECT query, node, 0.5 FROM x0) GROUP BY query, node)" for k in range(1, RANK_ROUNDS + 1)]
+    return ", ".join(out) + f", r AS (SELECT query, node, round(score, 6) AS score FROM x{RANK_ROUNDS}), t AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, node) AS INTEGER) AS rank FROM r) SELECT query, node, score, rank FROM t WHERE rank <= 20"
+
+
+def _explored(spark, sf):
+    """Symbols and the files that hold them, as one graph, explored from several symbols at once."""
+    r = _refs(spark, sf).select("symbol", "path").distinct()
+    both = r.select(F.col("symbol").alias("a"), F.col("path").alias("b")).unionByName(r.select(F.col("path").alias("a"), F.col("symbol").alias("b")))
+    seeds = r.where(F.substring("symbol", 2, 20).cast("long") % 400 == 0).select(F.col("symbol").alias("query"), F.col("symbol").alias("node"), F.lit(1.0).alias("weight")).distinct()
+    return g.top_ranked(g.ranked(both, seeds, restart=0.5, tolerance=1e-8), 20)
+
+
+query("x07_ranked_exploration", _ranks())(_explored)

@@ -134,42 +134,90 @@ def related_files(refs: DataFrame, imports: DataFrame, files: DataFrame, target:
     return related(found.unionByName(recent.select("path", *score(2, "changed"))))
 
 
+def _distances(edges: DataFrame, goal: int, most: int) -> DataFrame:
+    """(node, left): the least number of edges from each node to the goal, up to a number; each round asks only for nodes not seen yet."""
+    seen = edges.sparkSession.createDataFrame([(goal, 0)], "node long, left int")
+    last = seen
+    for k in range(1, most + 1):
+        new = edges.join(last.select(F.col("node").alias("dep")), "dep").select(F.col("module").alias("node")).distinct().join(seen, "node", "left_anti")
+        last = saved(new.withColumn("left", F.lit(k)), "distances")
+        if last.isEmpty():
+            break
+        seen = seen.unionByName(last)
+    return saved(seen, "distances")
+
+
 def routes(spark: SparkSession, edges: DataFrame, start: int, goal: int, max_depth: int = 20, max_paths: int = 50, kind: str | None = None) -> DataFrame:
-    """Simple paths between two modules, shortest first; a path is a text of names that also guards against cycles.
+    """Simple paths between two modules, shortest first, ties by text; a path is a text of names that also guards against cycles.
 
-    Paths grow by one edge at a time, and no further once enough are found: what is longer would not be shown.
+    A pass back from the goal tells how far each module is from it. Then lengths are tried from the least on, until enough
+    paths are found: a path grows only to modules from which the goal can still be reached in time. Of the shortest
+    length every such path leads on, so of these no more are kept than are asked for. A goal that cannot be reached costs the
+    pass back alone.
     """
     e = edges if kind is None else edges.where(F.col("kind") == kind)
     e = saved(e.select(F.col("module").cast("long").alias("module"), F.col("dep").cast("long").alias("dep")).distinct(), "edges")
-    at = spark.createDataFrame([(start, f">{start}>")], "node long, path string")
-    found: list[DataFrame] = []
-    n = 0
-    for depth in range(1, max_depth + 1):
-        step = at.where(F.col("node") != goal).join(e, at["node"] == e["module"])
-        step = step.where(~F.contains("path", F.concat(F.lit(">"), F.col("dep").cast("string"), F.lit(">"))))
-        at = saved(step.select(F.col("dep").alias("node"), F.concat("path", F.col("dep").cast("string"), F.lit(">")).alias("path")), "paths")
-        hits = at.where(F.col("node") == goal)
-        found.append(hits.select("path", F.lit(depth).alias("depth")))
+    none = spark.createDataFrame([], "path string, depth int")
+    if start == goal:
+        return none
+    left = _distances(e, goal, max_depth)
+    first = left.where(F.col("node") == start).select("left").first()
+    if first is None:
+        return none
+    step = saved(e.join(left.select(F.col("node").alias("dep"), "left"), "dep"), "steps")
+    found, n = none, 0
+    for length in range(first.left, max_depth + 1):
+        at = spark.createDataFrame([(start, f">{start}>")], "node long, path string")
+        for depth in range(1, length + 1):
+            nxt = at.join(step.where(F.col("left") <= length - depth), at["node"] == step["module"])
+            # the goal ends a path: before the last edge it is passed over
+            nxt = nxt.where(~F.contains("path", F.concat(F.lit(">"), F.col("dep").cast("string"), F.lit(">"))) & ((F.col("dep") == goal) == F.lit(depth == length)))
+            nxt = nxt.select(F.col("dep").alias("node"), F.concat("path", F.col("dep").cast("string"), F.lit(">")).alias("path"))
+            at = saved(nxt.orderBy("path").limit(max_paths) if length == first.left else nxt, "paths")
+            if at.isEmpty():
+                break
+        hits = at.where(F.col("node") == goal).select("path", F.lit(length).alias("depth"))
+        found = found.unionByName(hits)
         n += hits.count()
-        if n >= max_paths or at.isEmpty():
+        if n >= max_paths:
             break
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    return every.orderBy("depth", "path").limit(max_paths)
+    return found.orderBy("depth", "path").limit(max_paths)
 
 
 def call_tree(spark: SparkSession, edges: DataFrame, root: int, depth: int = 3) -> DataFrame:
-    """Callers of callers of a function to a depth of 1 to 6, with the path that led to each."""
-    depth = max(1, min(6, depth))
-    return spark.sql(
-        f"""WITH RECURSIVE r(node, path, depth) AS (
-              SELECT CAST({int(root)} AS BIGINT), CAST('>{int(root)}>' AS STRING), 0
-              UNION ALL SELECT CAST(e.module AS BIGINT), concat(r.path, CAST(e.module AS STRING), '>'), r.depth + 1
-              FROM r JOIN {{e}} e ON e.dep = r.node WHERE r.depth < {depth} AND NOT contains(r.path, concat('>', CAST(e.module AS STRING), '>')))
-            SELECT node, path, depth FROM r WHERE depth > 0""",
-        e=edges,
-    )
+    """Callers of callers of a function to a depth of 1 to 6, with the path that led to each; a level at a time, so its rows have no limit."""
+    e = saved(edges.select(F.col("module").cast("long").alias("module"), F.col("dep").cast("long").alias("dep")).distinct(), "edges")
+    at = spark.createDataFrame([(root, f">{root}>")], "node long, path string")
+    every = spark.createDataFrame([], "node long, path string, depth int")
+    for k in range(1, max(1, min(6, depth)) + 1):
+        nxt = at.join(e, at["node"] == e["dep"]).where(~F.contains("path", F.concat(F.lit(">"), F.col("module").cast("string"), F.lit(">"))))
+        at = saved(nxt.select(F.col("module").alias("node"), F.concat("path", F.col("module").cast("string"), F.lit(">")).alias("path")), "callers")
+        if at.isEmpty():
+            break
+        every = every.unionByName(at.withColumn("depth", F.lit(k)))
+    return every
+
+
+def walk_counts(edges: DataFrame, root: int, depth: int = 20) -> DataFrame:
+    """(node, depth, n): in how many ways so many calls lead from each function to the root, repeated functions included. Ways are counted, not listed.
+
+    Counts are exact up to 38 digits, which ways of up to 20 calls do not reach as long as a function has fewer than 79 callers;
+    beyond that they are null.
+    """
+    e = saved(edges.select(F.col("module").cast("long").alias("module"), F.col("dep").cast("long").alias("dep")).distinct(), "edges")
+    spark = edges.sparkSession
+    at = spark.createDataFrame([(root,)], "node long").withColumn("n", F.lit(1).cast("decimal(38,0)"))
+    every = []
+    for k in range(1, depth + 1):
+        nxt = at.join(e, at["node"] == e["dep"]).groupBy(F.col("module").alias("node")).agg(F.try_sum("n").cast("decimal(38,0)").alias("n"))
+        at = saved(nxt, "ways")
+        if at.isEmpty():
+            break
+        every.append(at.withColumn("depth", F.lit(k)).select("node", "depth", "n"))
+    out = spark.createDataFrame([], "node long, depth int, n decimal(38,0)")
+    for x in every:
+        out = out.unionByName(x)
+    return out
 
 
 def transitive(spark: SparkSession, edges: DataFrame, root: int, depth: int = 20) -> DataFrame:
@@ -233,3 +281,60 @@ def stack(found: DataFrame) -> DataFrame:
     order = ["PHP", "Python", "Go", "Rust", "Node"]
     rank = F.array_position(F.array(*map(F.lit, order)), F.col("language"))
     return found.groupBy("project").agg(F.min_by("language", rank).alias("language"), F.count_distinct("language").alias("n"))
+
+
+#: How likely a walk begins anew at each step, how near ranks are to those of an endless walk, and rounds between two tables.
+RESTART, TOLERANCE, PER_TABLE = 0.25, 1e-9, 4
+
+
+def ranked(edges: DataFrame, seeds: DataFrame, restart: float = RESTART, tolerance: float = TOLERANCE, most: int = 1000) -> DataFrame:
+    """(query, node, score): where random walks with restart stand, for many queries at once.
+
+    edges (a, b, and weight if there is one) are followed from a to b in proportion to their weight; seeds (query, node, weight)
+    are where a query's walks begin. A walk at a node without edges begins anew. Rounds go on until no query's scores are
+    farther than the tolerance, in sum, from where they end; queries that are there drop out, and every few rounds a table ends the
+    lineage. Seeds of no weight, or none above zero, give no rows.
+    """
+    w = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
+    e = edges.select("a", "b", w.alias("w")).where("w > 0").groupBy("a", "b").agg(F.sum("w").alias("w"))
+    out = e.groupBy("a").agg(F.sum("w").alias("total"))
+    step = saved(e.join(out, "a").select("a", "b", (F.col("w") / F.col("total")).alias("p")), "steps")
+    s = seeds.where("weight > 0").groupBy("query", "node").agg(F.sum(F.col("weight").cast("double")).alias("weight"))
+    s = saved(s.join(s.groupBy("query").agg(F.sum("weight").alias("t")), "query").select("query", "node", (F.col("weight") / F.col("t")).alias("s")), "seeds")
+    c = (1 - restart) ** PER_TABLE
+    near = tolerance * (1 - c) / c  # scores that moved so little between two tables are no farther than the tolerance from their end
+    ends = saved(e.select(F.col("b").alias("a")).union(s.select("node")).distinct().join(out, "a", "left_anti").select("a", F.lit(None).cast(dict(e.dtypes)["b"]).alias("b"), F.lit(1.0).alias("p")), "ends")
+    step, stops = (step, False) if ends.isEmpty() else (step.unionByName(ends), True)
+    again = s.select("query", "node", (F.col("s") * restart).alias("x"))
+    at, done = s.select("query", "node", F.col("s").alias("score")), None
+    for _ in range(0, most, PER_TABLE):
+        before = at
+        for _ in range(PER_TABLE):
+            # each table and each round is read once: moves, and the part that begins anew, meet in one sum
+            moved = at.join(step, at["node"] == step["a"]).groupBy("query", F.col("b").alias("node")).agg((F.sum(F.col("score") * F.col("p")) * (1 - restart)).alias("x"))
+            if stops:  # what stands at a node without edges goes to its query's seeds
+                to = s.select(F.col("query").alias("_q"), F.col("node").alias("_n"), F.col("s").alias("_s"))
+                moved = moved.join(to, moved["node"].isNull() & (moved["query"] == to["_q"]), "left").select("query", F.coalesce("node", "_n").alias("node"), (F.col("x") * F.coalesce("_s", F.lit(1.0))).alias("x"))
+            at = moved.unionByName(again).groupBy("query", "node").agg(F.sum("x").alias("score"))
+        both = at.join(before.withColumnRenamed("score", "was"), ["query", "node"], "full")
+        at = saved(both.select("query", "node", F.coalesce("score", F.lit(0.0)).alias("score"), F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))).alias("gap")), "ranks")
+        gaps = saved(at.groupBy("query").agg(F.sum("gap").alias("gap")), "gaps")
+        at = at.drop("gap")
+        rest = gaps.where(F.col("gap") > near).select("query")
+        if rest.isEmpty():
+            return at if done is None else done.unionByName(at)
+        settled = gaps.where(F.col("gap") <= near).select("query")
+        if not settled.isEmpty():
+            there = at.join(settled, "query", "left_semi")
+            done = there if done is None else done.unionByName(there)
+            at = at.join(rest, "query", "left_semi")
+            again = again.join(rest, "query", "left_semi")
+    raise RuntimeError("the walks did not settle")
+
+
+def top_ranked(ranks: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """The k best nodes of each query by their rounded score, ties by name; the best of each part first, so no task ranks a whole query."""
+    r = ranks.withColumn("score", F.round("score", digits)).withColumn("_part", F.pmod(F.xxhash64("node"), F.lit(64)))
+    order = [F.desc("score"), F.col("node")]
+    r = r.withColumn("rank", F.row_number().over(Window.partitionBy("query", "_part").orderBy(*order))).where(F.col("rank") <= k).drop("_part")
+    return r.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("rank") <= k)
