@@ -1,4 +1,4 @@
-"""Queries over symbols; the tables hold no source code, so these run over a few files of our own."""
+"""Queries over symbols; the tables hold no source code, so every customer gets a project of a few files, whose names bear the customer's key."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from lodestrata.operators import patterns as pt
 from lodestrata.operators import structure as st
 from lodestrata.operators.text import lines
 from lodestrata.plans.scratch import saved
-from lodestrata.sources.adapters import duck, table, view
+from lodestrata.sources.adapters import duck, per_customer, per_customer_sql, table, view
 
 PY = '''"""Doc."""
 import os
@@ -26,7 +26,7 @@ def load(path):
     return Store(path)
 
 
-class Engine(Base):
+class Engine§(Base):
     size = 1
 
     def __init__(self):
@@ -39,7 +39,7 @@ class Engine(Base):
     def _hide(self): pass
 
 async def main():
-    Engine()
+    Engine§()
 '''
 TS = """import { Store, Row } from './store';
 import * as path from "path";
@@ -49,7 +49,7 @@ export class User extends Base {
   constructor(name: string) {
     super(name);
   }
-  async greet(to: User): Promise<void> {
+  async greet§(to: User): Promise<void> {
     if (to) {
       this.log(to);
     }
@@ -61,35 +61,37 @@ export interface Shape {
 }
 export const enum Color { Red }
 type Id = string;
-export async function run(u: User) { return u.greet(u); }
+export async function run(u: User) { return u.greet§(u); }
 const add = (a, b) => a + b;
 """
 JSON = '{\n  "name": "a{b",\n  "deep": {\n    "x": [1, 2],\n    "y": "q\\"}"\n  },\n  "last": 1\n}'
 FILES = [("src/engine.py", PY), ("src/user.ts", TS), ("pkg/p.json", JSON), ("pkg/min.json", '{"a": 1}'), ("src/empty.py", "")]
 
 
-def files(spark):
-    return spark.createDataFrame(FILES, "path string, content string")
+def files(spark, sf):
+    return per_customer(spark, sf, FILES, "path string, content string", ("path",))
 
 
-def _symbols(spark):
-    return st.symbols(files(spark))
+def _symbols(spark, sf):
+    return st.symbols(files(spark, sf))
 
 
 _SYMBOLS = [
-    ("src/engine.py", "LIMIT", "variable", None, 5, 5), ("src/engine.py", "load", "function", None, 9, 14), ("src/engine.py", "Engine", "class", None, 15, 26),
-    ("src/engine.py", "__init__", "method", "Engine", 18, 23), ("src/engine.py", "ready", "method", "Engine", 21, 27), ("src/engine.py", "_hide", "method", "Engine", 25, 30), ("src/engine.py", "main", "function", None, 27, 29),
-    ("src/user.ts", "User", "class", None, 4, 15), ("src/user.ts", "constructor", "method", "User", 6, 11), ("src/user.ts", "super", "method", "User", 7, 12), ("src/user.ts", "greet", "method", "User", 9, 14), ("src/user.ts", "Shape", "interface", None, 16, 18), ("src/user.ts", "area", "method", "Shape", 17, 22),
+    ("src/engine.py", "LIMIT", "variable", None, 5, 5), ("src/engine.py", "load", "function", None, 9, 14), ("src/engine.py", "Engine§", "class", None, 15, 26),
+    ("src/engine.py", "__init__", "method", "Engine§", 18, 23), ("src/engine.py", "ready", "method", "Engine§", 21, 27), ("src/engine.py", "_hide", "method", "Engine§", 25, 30), ("src/engine.py", "main", "function", None, 27, 29),
+    ("src/user.ts", "User", "class", None, 4, 15), ("src/user.ts", "constructor", "method", "User", 6, 11), ("src/user.ts", "super", "method", "User", 7, 12), ("src/user.ts", "greet§", "method", "User", 9, 14), ("src/user.ts", "Shape", "interface", None, 16, 18), ("src/user.ts", "area", "method", "Shape", 17, 22),
     ("src/user.ts", "Color", "enum", None, 19, 19), ("src/user.ts", "Id", "type", None, 20, 20), ("src/user.ts", "run", "function", None, 21, 21), ("src/user.ts", "add", "function", None, 22, 23),
 ]
 
 
 def _values(rows, names):
     lit = lambda v: "NULL" if v is None else f"{v}::BIGINT" if isinstance(v, int) and not isinstance(v, bool) else str(v) if isinstance(v, bool) else "'" + v.replace("'", "''") + "'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) t({names})"
+    values = f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) t({names})"
+    cols = names.split(", ")
+    return per_customer_sql(values, ", ".join(c for c in cols if c == "path"), "", ", ".join(c for c in cols if c in ("name", "parent", "text", "asked", "symbol", "source", "names", "decorators", "key", "route")))
 
 
-query("p01_p02_symbols", _values(_SYMBOLS, "path, name, kind, parent, start_line, end_line"))(lambda s, d: _symbols(s).select("path", "name", "kind", "parent", "start_line", "end_line"))
+query("p01_p02_symbols", _values(_SYMBOLS, "path, name, kind, parent, start_line, end_line"))(lambda s, d: _symbols(s, d).select("path", "name", "kind", "parent", "start_line", "end_line"))
 MORE = [
     ("a.py", "class A\nclass B:\n\tdef tab(self): pass\n  def two(self): pass\nX = 1\nXY = 1\nXYZ: int = 2\nclass C(B):\n    async def four(self): pass\n"),
     ("b.ts", "class D {\n  do(x) {}\n  get size() {}\n  static async run<T>(a: T) {}\n  x = (1)\n}\nexport default function* gen() {}\nlet f: Fn = async (a) => a\nexport class if {}\n"),
@@ -98,16 +100,16 @@ _MORE = [
     ("a.py", "B", "class", None), ("a.py", "tab", "method", "B"), ("a.py", "XY", "variable", None), ("a.py", "XYZ", "variable", None), ("a.py", "C", "class", None), ("a.py", "four", "method", "C"),
     ("b.ts", "D", "class", None), ("b.ts", "size", "method", "D"), ("b.ts", "run", "method", "D"), ("b.ts", "gen", "function", None), ("b.ts", "f", "function", None),
 ]
-query("p01_p02_declarations", _values(_MORE, "path, name, kind, parent"))(lambda s, d: st.symbols(s.createDataFrame(MORE, "path string, content string")).select("path", "name", "kind", "parent"))
-query("p02_decorators", _values([("load", "@cache,@app.route"), ("ready", "@property")], "name, decorators"))(lambda s, d: _symbols(s).where("decorators <> ''").select("name", "decorators"))
-query("x06_references", _values([("load", "src/engine.py", 11, "definition"), ("load", "src/engine.py", 19, "usage")], "symbol, path, line_no, section"))(lambda s, d: st.references(files(s), _symbols(s)).where("symbol = 'load'"))
-query("x18_imports", _values([("src/engine.py", 2, "os", "", False, False), ("src/engine.py", 3, "pkg.db", "Store,connect", False, False), ("src/user.ts", 1, "./store", "Store,Row", False, False), ("src/user.ts", 2, "path", "* as path", True, False)], "path, line, source, names, is_namespace, is_default"))(lambda s, d: st.import_rows(lines(files(s))))
-query("t02_read_symbol", _values([("src/user.ts", "Id", 20, "type Id = string;"), ("src/user.ts", "Id", 21, "export async function run(u: User) { return u.greet(u); }")], "path, name, line_no, text"))(lambda s, d: st.read_symbol(_symbols(s).where("name = 'Id'"), lines(files(s)), 0, 1))
-query("t03_read_symbols", _values([("src/user.ts", "Id", 1, 20, 20), ("src/user.ts", "run", 3, 21, 21)], "path, name, ord, start_line, end_line"))(lambda s, d: st.read_symbols(s.createDataFrame([(1, "src/user.ts", "Id"), (2, "src/user.ts", "Id"), (3, "src/user.ts", "run")], "ord long, path string, name string"), _symbols(s)))
-query("p11_outline", _values([("src/engine.py", "Engine", "__init__", 1)], "path, parent, name, ord"))(lambda s, d: st.outline(_symbols(s).where("path = 'src/engine.py' and parent is not null"), 40, 1).select("path", "parent", "name", F.col("ord").cast("long").alias("ord")))
-query("j08_exports", _values([("User",), ("Shape",), ("Color",), ("run",)], "name"))(lambda s, d: st.exported(_symbols(s)).select("name"))
-query("n03_json_sections", _values([("pkg/p.json", "name", 2, 2), ("pkg/p.json", "deep", 3, 6), ("pkg/p.json", "last", 7, 7)], "path, key, start_line, end_line"))(lambda s, d: st.json_sections(lines(files(s)).where("path like '%.json'")))
-query("p12_http_routes", _values([("a.ts", "list", "GET", "/users"), ("a.ts", "one", "POST", "/users/x"), ("b.ts", "root", "GET", "/")], "path, name, verb, route"))(lambda s, d: st.http_routes(s.createDataFrame([("a.ts", "Users", None, ["@Controller('users/')"]), ("a.ts", "list", "Users", ["@Get()"]), ("a.ts", "one", "Users", ["@Auth()", "@Post('/x')"]), ("b.ts", "root", None, ["@get('/')"])], "path string, name string, parent string, decorators array<string>")))
+query("p01_p02_declarations", _values(_MORE, "path, name, kind, parent"))(lambda s, d: st.symbols(per_customer(s, d, MORE, "path string, content string", ("path",))).select("path", "name", "kind", "parent"))
+query("p02_decorators", _values([("src/engine.py", "load", "@cache,@app.route"), ("src/engine.py", "ready", "@property")], "path, name, decorators"))(lambda s, d: _symbols(s, d).where("decorators <> ''").select("path", "name", "decorators"))
+query("x06_references", _values([("load", "src/engine.py", 11, "definition"), ("load", "src/engine.py", 19, "usage")], "symbol, path, line_no, section"))(lambda s, d: st.references(files(s, d), _symbols(s, d)).where("symbol = 'load'"))
+query("x18_imports", _values([("src/engine.py", 2, "os", "", False, False), ("src/engine.py", 3, "pkg.db", "Store,connect", False, False), ("src/user.ts", 1, "./store", "Store,Row", False, False), ("src/user.ts", 2, "path", "* as path", True, False)], "path, line, source, names, is_namespace, is_default"))(lambda s, d: st.import_rows(lines(files(s, d))))
+query("t02_read_symbol", _values([("src/user.ts", "Id", 20, "type Id = string;"), ("src/user.ts", "Id", 21, "export async function run(u: User) { return u.greet§(u); }")], "path, name, line_no, text"))(lambda s, d: st.read_symbol(_symbols(s, d).where("name = 'Id'"), lines(files(s, d)), 0, 1))
+query("t03_read_symbols", _values([("src/user.ts", "Id", 1, 20, 20), ("src/user.ts", "run", 3, 21, 21)], "path, name, ord, start_line, end_line"))(lambda s, d: st.read_symbols(per_customer(s, d, [(1, "src/user.ts", "Id"), (2, "src/user.ts", "Id"), (3, "src/user.ts", "run")], "ord long, path string, name string", ("path",)), _symbols(s, d)))
+query("p11_outline", _values([("src/engine.py", "Engine§", "__init__", 1)], "path, parent, name, ord"))(lambda s, d: st.outline(_symbols(s, d).where("path like '%engine.py' and parent is not null"), 40, 1).select("path", "parent", "name", F.col("ord").cast("long").alias("ord")))
+query("j08_exports", _values([("src/user.ts", "User"), ("src/user.ts", "Shape"), ("src/user.ts", "Color"), ("src/user.ts", "run")], "path, name"))(lambda s, d: st.exported(_symbols(s, d)).select("path", "name"))
+query("n03_json_sections", _values([("pkg/p.json", "name", 2, 2), ("pkg/p.json", "deep", 3, 6), ("pkg/p.json", "last", 7, 7)], "path, key, start_line, end_line"))(lambda s, d: st.json_sections(lines(files(s, d)).where("path like '%.json'")))
+query("p12_http_routes", _values([("a.ts", "list", "GET", "/users"), ("a.ts", "one", "POST", "/users/x"), ("b.ts", "root", "GET", "/")], "path, name, verb, route"))(lambda s, d: st.http_routes(per_customer(s, d, [("a.ts", "Users§", None, ["@Controller('users/')"]), ("a.ts", "list", "Users§", ["@Get()"]), ("a.ts", "one", "Users§", ["@Auth()", "@Post('/x')"]), ("b.ts", "root", None, ["@get('/')"])], "path string, name string, parent string, decorators array<string>", ("path",))))
 query("p03_inferred_ends", duck("symbols") + """, s AS (SELECT DISTINCT path, name, start_line FROM symbols), o AS (SELECT path, name, min(start_line) AS start_line FROM s GROUP BY path, name)
 SELECT path, NULL::VARCHAR AS parent, name, start_line, coalesce(lead(start_line) OVER (PARTITION BY path ORDER BY start_line, name) - 1, 100) AS end_line FROM o""")(lambda s, d: _ends(s, d))
 
@@ -118,19 +120,19 @@ def _ends(spark, sf):
     return st.inferred_ends(sym, nxt)
 
 
-query("x19_pattern_search", _values([("src/user.ts", 11, "      this.log(to);")], "path, line_no, text"))(lambda s, d: st.pattern_search(lines(files(s)), r"this\.\w+\(", ".ts"))
-query("x21_annotated", _values([("ready",)], "name"))(lambda s, d: st.annotated(_symbols(s), "property").select("name"))
-query("x21_deprecated", _values([("old",), ("older",)], "name"))(lambda s, d: st.annotated(st.symbols(s.createDataFrame([("a.py", "@deprecated\ndef old():\n  pass\n@x.y\n@Deprecated\ndef older():\n  pass\n@deprecated_soon\ndef other():\n  pass\n")], "path string, content string")), "deprecated").select("name"))
-query("c05_snapshot_diff", _values([("a", 1, "removed", "2"), ("a", 3, "added", "x"), ("b", 0, "removed", ""), ("b", 1, "added", "n")], "path, ord, change, text"))(lambda s, d: st.snapshot_diff(s.createDataFrame([("a", "1\n2\n3\n4", "1\n3\nx\n4"), ("b", "", "n"), ("c", "same", "same")], "path string, old string, new string")))
-query("b09_symbol_resolution", _values([("Engine.ready", "src/engine.py", 21), ("greet", "src/user.ts", 9)], "asked, path, start_line"))(lambda s, d: _resolved(s))
+query("x19_pattern_search", _values([("src/user.ts", 11, "      this.log(to);")], "path, line_no, text"))(lambda s, d: st.pattern_search(lines(files(s, d)), r"this\.\w+\(", ".ts"))
+query("x21_annotated", _values([("src/engine.py", "ready")], "path, name"))(lambda s, d: st.annotated(_symbols(s, d), "property").select("path", "name"))
+query("x21_deprecated", _values([("a.py", "old§"), ("a.py", "older")], "path, name"))(lambda s, d: st.annotated(st.symbols(per_customer(s, d, [("a.py", "@deprecated\ndef old§():\n  pass\n@x.y\n@Deprecated\ndef older():\n  pass\n@deprecated_soon\ndef other():\n  pass\n")], "path string, content string", ("path",))), "deprecated").select("path", "name"))
+query("c05_snapshot_diff", _values([("a", 1, "removed", "2"), ("a", 3, "added", "x§"), ("b", 0, "removed", ""), ("b", 1, "added", "n")], "path, ord, change, text"))(lambda s, d: st.snapshot_diff(per_customer(s, d, [("a", "1\n2\n3\n4", "1\n3\nx§\n4"), ("b", "", "n"), ("c", "same", "same")], "path string, old string, new string", ("path",))))
+query("b09_symbol_resolution", _values([("Engine§.ready", "src/engine.py", 21), ("greet§", "src/user.ts", 9)], "asked, path, start_line"))(lambda s, d: _resolved(s, d))
 
 
-def _resolved(spark):
+def _resolved(spark, sf):
     """A dotted name by its qualified name, else by its last part; of several the first in the files' order."""
-    asked = spark.createDataFrame([("Engine.ready",), ("greet",), ("Nope.x",)], "asked string")
-    q = st.qualified(_symbols(spark))
+    asked = per_customer(spark, sf, [("Engine§.ready",), ("greet§",), ("Nope.x",)], "asked string").distinct()
+    q = st.qualified(_symbols(spark, sf))
     exact = asked.join(q, q["qualified_name"] == asked["asked"]).select("asked", "path", "start_line", F.lit(0).alias("rank"))
-    leaf = asked.join(q, q["name"] == F.substring_index("asked", ".", -1)).select("asked", "path", "start_line", F.lit(1).alias("rank"))
+    leaf = asked.join(exact, "asked", "left_anti").join(q, q["name"] == F.substring_index("asked", ".", -1)).select("asked", "path", "start_line", F.lit(1).alias("rank"))
     best = exact.unionByName(leaf).groupBy("asked").agg(F.min(F.struct("rank", "path", "start_line")).alias("b"))
     return best.select("asked", "b.path", "b.start_line")
 

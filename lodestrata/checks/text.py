@@ -8,7 +8,7 @@ from lodestrata.checks.registry import query
 from lodestrata.functions import exprs as e
 from lodestrata.operators import notations as nt
 from lodestrata.operators import text as x
-from lodestrata.sources.adapters import duck, table, view
+from lodestrata.sources.adapters import duck, per_customer, per_customer_sql, table, view
 
 FILES = duck("files")
 LINES = FILES + """, lines AS (SELECT path, i AS line_no, l[i] AS text FROM (SELECT path, string_split(content, chr(10)) AS l FROM files) f, unnest(range(1, len(l) + 1)) r(i))"""
@@ -26,7 +26,7 @@ def _lines(spark, sf):
 
 #: Small documents in the notations that the tables do not hold.
 NOTES = [
-    ("a.md", "# Top\nintro\n## One\ntext\n### Deep\nmore\n## Two\n```\n# fenced\n```\nlast"),
+    ("a.md", "# Top\nintro\n## One §\ntext\n### Deep\nmore\n## Two\n```\n# fenced\n```\nlast"),
     ("b.md", "no heading\n\n###### six\n# one"),
     ("c.md", ""),
     ("d.yaml", "name: x\nlist:\n  - a\n  - b\n\nother-key : 1\n# c\nlast: 2\n"),
@@ -34,11 +34,11 @@ NOTES = [
     ("f.toml", "[package]\nname = 1\n[[bin]]\n[a.b]\nx = [1]\n"),
     ("g.py", "import os\nclass A:\n    def f(self): pass\n# TODO later\nx = 1  # FIXME now\nNOTEPAD = 1"),
 ]
-NOTES_SQL = "WITH files(path, content) AS (VALUES " + ", ".join("('{}', '{}')".format(p, c.replace("\n", "'||chr(10)||'")) for p, c in NOTES) + ")" + LINES[len(FILES):]
+NOTES_SQL = "WITH files AS (" + per_customer_sql("SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(p, c.replace("\n", "'||chr(10)||'")) for p, c in NOTES) + ") t(path, content)", "path", "", "content") + ")" + LINES[len(FILES):]
 
 
-def _notes(spark, sf=None):
-    return x.lines(spark.createDataFrame(NOTES, "path string, content string"))
+def _notes(spark, sf):
+    return x.lines(per_customer(spark, sf, NOTES, "path string, content string", ("path",)))
 
 
 query("s01_scan", f"{FILES} SELECT path, sha256(content) AS content_hash, strlen(content)::BIGINT AS bytes, len(string_split(content, chr(10)))::BIGINT AS n_lines, {TOKENS('content')} AS tokens FROM files")(lambda s, d: x.scan(_files(s, d)))
@@ -49,7 +49,7 @@ query("p08_head_tail", f"{LINES} SELECT path, line_no, text FROM (SELECT *, max(
 ENDINGS = "ends_with(path, '.py') OR ends_with(path, '.ts')"
 query("s04_directory_counts", duck("refs") + f" SELECT string_split(path, '/')[1] AS dir, count(*) AS n_files FROM (SELECT DISTINCT CASE WHEN ends_with(path, '.go') THEN path || 'x' ELSE path END AS path FROM refs) q WHERE {ENDINGS} GROUP BY 1")(lambda s, d: x.directory_counts(_paths(s, d)))
 query("s03_by_extension", duck("refs") + f" SELECT path FROM (SELECT DISTINCT CASE WHEN ends_with(path, '.go') THEN path || 'x' ELSE path END AS path FROM refs) q WHERE {ENDINGS}")(lambda s, d: x.by_extension(_paths(s, d)))
-query("s03_code_extensions", "SELECT * FROM (VALUES ('a.mjs'), ('b.KTS'), ('c.lisp'), ('d/e.proto'), ('f.m')) t(path)")(lambda s, d: x.by_extension(s.createDataFrame([("a.mjs",), ("b.KTS",), ("c.lisp",), ("d/e.proto",), ("f.m",), ("g.md",), ("h",), ("i.json",), (".ts.x",)], "path string")))
+query("s03_code_extensions", per_customer_sql("SELECT * FROM (VALUES ('a.mjs'), ('b.KTS'), ('c.lisp'), ('d/e.proto'), ('f.m')) t(path)", "path"))(lambda s, d: x.by_extension(per_customer(s, d, [("a.mjs",), ("b.KTS",), ("c.lisp",), ("d/e.proto",), ("f.m",), ("g.md",), ("h",), ("i.json",), (".ts.x",)], "path string", ("path",))))
 
 
 def _paths(spark, sf):
@@ -63,28 +63,28 @@ query("t01_small_large", f"""{FILES}, o AS (SELECT path, content, len(string_spl
  array_to_string(list_transform(string_split(content, chr(10)), lambda v: v[1:40]), chr(10)) AS o FROM files), q AS (SELECT path, n_lines, tokens, {TOKENS('o')} AS outline_tokens FROM o)
 SELECT path, n_lines, tokens, outline_tokens, CASE WHEN n_lines <= 2 THEN 'whole' WHEN outline_tokens >= 0.7::DOUBLE * tokens THEN 'whole_by_ratio' ELSE 'outline' END AS how FROM q""")(lambda s, d: x.small_large(_files(s, d), 2))
 query("n01_markdown_sections", f"""{NOTES_SQL}, h AS (SELECT path, line_no, length(regexp_extract(text, '^(#+)', 1)) AS level, trim(regexp_extract(text, '^#+ (.*)$', 1)) AS title FROM lines WHERE regexp_matches(text, '^#{{1,6}} '))
-SELECT path, level, title, line_no AS start_line, coalesce((SELECT min(n.line_no) - 1 FROM h n WHERE n.path = h.path AND n.line_no > h.line_no AND n.level <= h.level), (SELECT max(line_no) FROM lines l WHERE l.path = h.path)) AS end_line FROM h""")(lambda s, d: x.markdown_sections(_notes(s)))
+SELECT path, level, title, line_no AS start_line, coalesce((SELECT min(n.line_no) - 1 FROM h n WHERE n.path = h.path AND n.line_no > h.line_no AND n.level <= h.level), (SELECT max(line_no) FROM lines l WHERE l.path = h.path)) AS end_line FROM h""")(lambda s, d: x.markdown_sections(_notes(s, d)))
 query("n02_yaml_sections", f"""{NOTES_SQL}, k AS (SELECT path, line_no, regexp_extract(text, '^([A-Za-z0-9_.-]+)', 1) AS key FROM lines WHERE regexp_matches(text, '^[A-Za-z_][A-Za-z0-9_.-]*:'))
-SELECT path, key, line_no AS start_line, coalesce(lead(line_no) OVER (PARTITION BY path ORDER BY line_no) - 1, (SELECT max(line_no) FROM lines l WHERE l.path = k.path)) AS end_line FROM k""")(lambda s, d: x.yaml_sections(_notes(s)))
-query("n05_find_section", "SELECT 'a.md' AS path, 7::BIGINT AS start_line, 8::BIGINT AS end_line")(lambda s, d: x.find_section(x.markdown_sections(_notes(s)), "## TWO "))
-query("n04_csv_rows", f"{NOTES_SQL} SELECT path, line_no, text, (SELECT count(*) FILTER (trim(text) <> '') - 1 FROM lines WHERE path = 'e.csv') AS n_rows FROM lines WHERE path = 'e.csv' AND (line_no = 1 OR line_no BETWEEN 3 AND 4)")(lambda s, d: x.csv_rows(_notes(s).where("path = 'e.csv'"), 2, 3))
-query("s08_toml_tables", f"{NOTES_SQL} SELECT path, line_no, regexp_extract(text, '\\[\\[?([^\\[\\]]+)\\]', 1) AS name FROM lines WHERE regexp_matches(text, '^\\s*\\[\\[?[^\\[\\]]+\\]\\]?\\s*$')")(lambda s, d: x.toml_tables(_notes(s)))
-query("n09_code_blocks", f"{NOTES_SQL} SELECT path, CAST(floor(count(*) / 2) AS BIGINT) AS blocks FROM lines WHERE starts_with(text, '```') GROUP BY path")(lambda s, d: x.code_blocks(_notes(s)))
+SELECT path, key, line_no AS start_line, coalesce(lead(line_no) OVER (PARTITION BY path ORDER BY line_no) - 1, (SELECT max(line_no) FROM lines l WHERE l.path = k.path)) AS end_line FROM k""")(lambda s, d: x.yaml_sections(_notes(s, d)))
+query("n05_find_section", per_customer_sql("SELECT 'a.md' AS path, 7::BIGINT AS start_line, 8::BIGINT AS end_line", "path"))(lambda s, d: x.find_section(x.markdown_sections(_notes(s, d)), "## TWO "))
+query("n04_csv_rows", f"{NOTES_SQL} SELECT path, line_no, text, (SELECT count(*) FILTER (trim(text) <> '') - 1 FROM lines k WHERE k.path = lines.path) AS n_rows FROM lines WHERE ends_with(path, '/e.csv') AND (line_no = 1 OR line_no BETWEEN 3 AND 4)")(lambda s, d: x.csv_rows(_notes(s, d).where("path like '%/e.csv'"), 2, 3))
+query("s08_toml_tables", f"{NOTES_SQL} SELECT path, line_no, regexp_extract(text, '\\[\\[?([^\\[\\]]+)\\]', 1) AS name FROM lines WHERE regexp_matches(text, '^\\s*\\[\\[?[^\\[\\]]+\\]\\]?\\s*$')")(lambda s, d: x.toml_tables(_notes(s, d)))
+query("n09_code_blocks", f"{NOTES_SQL} SELECT path, CAST(floor(count(*) / 2) AS BIGINT) AS blocks FROM lines WHERE starts_with(text, '```') GROUP BY path")(lambda s, d: x.code_blocks(_notes(s, d)))
 LONG = "export const a = " + "x" * 200
 CODE = [
-    ("a.ts", f"import b from 'b'\nconst c = require('c')\n{LONG}\nclass D {{\n  async function e()\nfoo()"), ("b.py", "from os import path\n  import re\nexport = 1\nasync def f():\nclass G: pass\ndefault = 1"),
+    ("a.ts", f"import b from 'b'\nconst c = require('c')\n{LONG}\nclass D {{\n  async function e()\nfoo()"), ("b.py", "from os import path\n  import re\nexport = 1\nasync def f():\nclass G§: pass\ndefault = 1"),
     ("c.go", "import \"fmt\"\nfunc main() {\ntype T struct {\ntype U int"), ("d.rs", "use std::io;\npub fn f() {\nfn g() {\nmod h;\nlet x = 1;"), ("e.txt", "import a\nclass B"),
 ]
 SIGNALS = [
     ("a.ts", 1, "import", "import b from ''b''"), ("a.ts", 2, "import", "const c = require(''c'')"), ("a.ts", 3, "export", LONG[:139] + "…"), ("a.ts", 4, "declaration", "class D {"), ("a.ts", 5, "declaration", "async function e()"),
-    ("b.py", 1, "import", "from os import path"), ("b.py", 2, "import", "import re"), ("b.py", 4, "declaration", "async def f():"), ("b.py", 5, "declaration", "class G: pass"),
+    ("b.py", 1, "import", "from os import path"), ("b.py", 2, "import", "import re"), ("b.py", 4, "declaration", "async def f():"), ("b.py", 5, "declaration", "class G§: pass"),
     ("c.go", 1, "import", "import \"fmt\""), ("c.go", 2, "declaration", "func main() {"), ("c.go", 3, "declaration", "type T struct {"), ("d.rs", 1, "import", "use std::io;"), ("d.rs", 2, "export", "pub fn f() {"), ("d.rs", 3, "declaration", "fn g() {"), ("d.rs", 4, "declaration", "mod h;"),
 ]
-query("p07_regex_summary", "SELECT * FROM (VALUES " + ", ".join(f"('{p}', {n}::BIGINT, '{k}', '{t}')" for p, n, k, t in SIGNALS) + ") t(path, line_no, kind, text)")(lambda s, d: x.regex_summary(x.lines(s.createDataFrame(CODE, "path string, content string"))))
-SUMMARY_SQL = "CASE WHEN path = 'g.py' AND (starts_with(text, 'import ') OR starts_with(text, 'class ') OR starts_with(text, '    def ')) THEN 'x' END"
+query("p07_regex_summary", per_customer_sql("SELECT * FROM (VALUES " + ", ".join(f"('{p}', {n}::BIGINT, '{k}', '{t}')" for p, n, k, t in SIGNALS) + ") t(path, line_no, kind, text)", "path", "", "text"))(lambda s, d: x.regex_summary(x.lines(per_customer(s, d, CODE, "path string, content string", ("path",)))))
+SUMMARY_SQL = "CASE WHEN ends_with(path, '/g.py') AND (starts_with(text, 'import ') OR starts_with(text, 'class ') OR starts_with(text, '    def ')) THEN 'x' END"
 query("p09_tiered", f"""{NOTES_SQL}, a AS (SELECT path, line_no, {SUMMARY_SQL} AS k FROM lines), t AS (SELECT path, line_no, 0 AS tier FROM a WHERE k IS NOT NULL UNION ALL SELECT path, line_no, 1 FROM lines WHERE line_no <= 2)
-SELECT path, line_no, tier FROM t WHERE tier = (SELECT min(tier) FROM t u WHERE u.path = t.path)""")(lambda s, d: x.tiered([x.regex_summary(_notes(s)).select("path", "line_no"), x.head_tail(_notes(s), 2, 0).select("path", "line_no")]))
-query("x20_marked_lines", f"{NOTES_SQL} SELECT path, line_no, regexp_extract(text, '\\b(TODO|FIXME|HACK|XXX|NOTE|WARNING|WARN)\\b', 1) AS kind, trim(text) AS text FROM lines WHERE regexp_matches(text, '\\b(TODO|FIXME|HACK|XXX|NOTE|WARNING|WARN)\\b')")(lambda s, d: x.marked_lines(_notes(s)))
+SELECT path, line_no, tier FROM t WHERE tier = (SELECT min(tier) FROM t u WHERE u.path = t.path)""")(lambda s, d: x.tiered([x.regex_summary(_notes(s, d)).select("path", "line_no"), x.head_tail(_notes(s, d), 2, 0).select("path", "line_no")]))
+query("x20_marked_lines", f"{NOTES_SQL} SELECT path, line_no, regexp_extract(text, '\\b(TODO|FIXME|HACK|XXX|NOTE|WARNING|WARN)\\b', 1) AS kind, trim(text) AS text FROM lines WHERE regexp_matches(text, '\\b(TODO|FIXME|HACK|XXX|NOTE|WARNING|WARN)\\b')")(lambda s, d: x.marked_lines(_notes(s, d)))
 query("s05_json_outline", "SELECT event_id, k AS key, 'number' AS kind FROM (SELECT event_id, unnest(json_keys(props)) AS k FROM events)")(lambda s, d: nt.json_outline(table(s, d, "events"), "props", "event_id"))
 query("x01_stats", f"{FILES} SELECT count(*) AS n_files FROM files")(lambda s, d: _files(s, d).agg(F.count("*").alias("n_files")))
 query("x10_files", f"{FILES} SELECT path FROM files")(lambda s, d: _files(s, d).select("path"))

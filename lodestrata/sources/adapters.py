@@ -7,7 +7,11 @@ one SQL text that Spark and DuckDB both accept, but for the few functions named
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -97,3 +101,29 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for t in used:
         sql = sql.replace(f"FROM {t}", "FROM {" + t + "}").replace(f"JOIN {t}", "JOIN {" + t + "}")
     return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in used})
+
+
+#: In texts of our own that each customer gets, this stands for the customer's key; ids of theirs are key * IDS + id.
+KEY_MARK, IDS = "§", 1000
+
+
+def per_customer(spark: SparkSession, sf_dir: str, rows: list[tuple], schema: str, paths: tuple[str, ...] = (), ids: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of our own once for each customer, as a project of theirs: paths lie in the customer's folder, ids and texts bear the key."""
+    names = [x.split()[0] for x in re.split(r", (?![^<]*>)", schema)]
+    made = F.from_json(F.lit(json.dumps([dict(zip(names, r, strict=True)) for r in rows])), f"array<struct<{', '.join(x.replace(' ', ': ', 1) for x in re.split(r', (?![^<]*>)', schema))}>>")
+    d = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("_k"), F.inline(made))
+    kinds = dict(d.dtypes)
+    key = F.col("_k").cast("string")
+    marked = lambda c: F.replace(c, F.lit(KEY_MARK), key)
+    own = {n: F.concat(F.lit("c"), key, F.lit("/"), marked(F.col(n))) for n in paths}
+    own |= {n: F.col("_k") * IDS + F.col(n) for n in ids}
+    own |= {n: marked(F.col(n)) for n in names if kinds[n] == "string" and n not in own}
+    return d.select(*[own.get(n, F.col(n)).alias(n) for n in names])
+
+
+def per_customer_sql(sql: str, paths: str = "", ids: str = "", texts: str = "") -> str:
+    """The same of the rows of a SELECT, for DuckDB; columns as lists with commas."""
+    split = lambda x: [c.strip() for c in x.split(",") if c.strip()]
+    own = [f"'c' || _k || '/' || replace({c}, '{KEY_MARK}', CAST(_k AS VARCHAR)) AS {c}" for c in split(paths)]
+    own += [f"_k * {IDS} + {c} AS {c}" for c in split(ids)] + [f"replace({c}, '{KEY_MARK}', CAST(_k AS VARCHAR)) AS {c}" for c in split(texts)]
+    return f"SELECT * EXCLUDE (_k) REPLACE ({', '.join(own)}) FROM ({sql}) _t, (SELECT c_custkey AS _k FROM customer)"
