@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.checks.registry import query
 from lodestrata.operators import gates as g
-from lodestrata.sources.adapters import duck, table, view
+from lodestrata.sources.adapters import duck, per_customer, per_customer_sql, table, view
 
 query("f08_policy_advice", duck("tool_calls") + """, r AS (SELECT *, tool IN ('smart_read', 'smart_read_many') AS f, sum(CASE WHEN tool IN ('smart_read', 'smart_read_many') THEN 1 ELSE 0 END) OVER w AS fulls, count(*) OVER w AS n, sum(tokens_returned) OVER w AS total
 FROM tool_calls WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)), a AS (SELECT event_id, CASE WHEN f AND fulls >= 10 THEN 'full_reads' WHEN tokens_returned > 2000 THEN 'large' WHEN f AND tokens_returned > 500 THEN 'expensive' WHEN n % 15 = 0 THEN 'many_calls' WHEN total > 8000 AND n % 5 = 0 THEN 'many_tokens' END AS advice FROM r)
@@ -34,7 +34,7 @@ query("p24_large_output", "SELECT doc_id, length(text) >= 8000 AS large FROM doc
 SEARCHES = [
     ("TODO|FIXME", "deny", "advise"), ("getUser", "deny", "deny"), ("my_name", "deny", "deny"), ("foo.*bar", "deny", "allow"), ("getUser", "advisory", "allow"), ("abc", "deny", "allow"), ("MAXLEN", "deny", "deny"),
     ("plain", "deny", "allow"), ("(todo | hack)", "advisory", "advise"), ("OPTIMIZE|refactor", "deny", "advise"), ("WARN", "deny", "deny"), ("TODO|WARNING", "deny", "allow"), ("MAX2", "deny", "deny"), ("A1bc", "deny", "deny"),
-    ("kebab-case", "deny", "deny"), ("12345", "deny", "allow"), ("two words", "deny", "allow"), ("User", "deny", "deny"), ("XXX", "deny", "advise"), ("TODO|", "deny", "allow"),
+    ("kebab-case", "deny", "deny"), ("12345", "deny", "allow"), ("two words", "deny", "allow"), ("User§", "deny", "deny"), ("XXX", "deny", "advise"), ("TODO|", "deny", "allow"),
 ]
 
 
@@ -43,16 +43,16 @@ def _listed(rows, names):
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in rows)}) t({names})"
 
 
-@query("p19_search_gate", _listed([(i, g_) for i, (_, _, g_) in enumerate(SEARCHES)], "id, gate"))
+@query("p19_search_gate", per_customer_sql(_listed([(i, g_) for i, (_, _, g_) in enumerate(SEARCHES)], "id, gate"), "", "id"))
 def p19(spark, sf):
-    d = spark.createDataFrame([(i, p, m) for i, (p, m, _) in enumerate(SEARCHES)], "id int, p string, m string")
+    d = per_customer(spark, sf, [(i, p, m) for i, (p, m, _) in enumerate(SEARCHES)], "id int, p string, m string", (), ("id",))
     return d.select("id", g.search_gate(F.col("p"), F.col("m")).alias("gate"))
 
 
 COMMANDS = [
     ("grep -r foo src/", "deny"), ("grep -R bar .", "deny"), ("grep -r -m 20 foo src/", "allow"), ("grep foo src/file.ts", "allow"), ("cd x && grep -r a .", "deny"), ("grep foo -r .", "deny"),
     ("find / -name '*.ts'", "deny"), ("find ~ -type f", "deny"), ("find / -maxdepth 3 -name '*.conf'", "allow"), ("find src -name '*.ts'", "allow"),
-    ("cat src/foo.ts", "deny"), ("cat main.py", "deny"), ("cat README.md", "allow"), ("cat config.json", "allow"), ("cat src/foo.ts | head -20", "allow"), ("cat > /tmp/out.txt", "allow"), ("cat >> /var/log/app.log", "allow"),
+    ("cat src/foo§.ts", "deny"), ("cat main.py", "deny"), ("cat README.md", "allow"), ("cat config.json", "allow"), ("cat src/foo.ts | head -20", "allow"), ("cat > /tmp/out.txt", "allow"), ("cat >> /var/log/app.log", "allow"),
     ("cat <<EOF\nrun x.sh\nEOF", "allow"), ("sed -n '1,500p' src/foo.ts", "deny"), ("sed -n 1,400p app/main.py", "deny"), ("sed -i 's/a/b/' src/foo.ts", "allow"), ("sed -i.bak 's/a/b/g' src/foo.ts", "allow"),
     ("cat src/foo.ts | sed -n '1,5p'", "allow"), ("sed 's/a/b/' src/foo.ts > out.ts", "allow"), ("sed -n '1,500p' README.md", "allow"), ("head -n 500 src/foo.ts", "deny"), ("head -500 src/foo.ts", "deny"),
     ("tail -n 400 app/main.py", "deny"), ("head -20 src/foo.ts", "allow"), ("head src/foo.ts", "allow"), ("tail -n 50 src/foo.ts", "allow"), ("head -c 5000 src/foo.ts", "allow"), ("head -n 500 README.md", "allow"),
@@ -63,9 +63,9 @@ COMMANDS = [
 ]
 
 
-@query("p20_command_gate", _listed([(i, g_) for i, (_, g_) in enumerate(COMMANDS)], "id, gate"))
+@query("p20_command_gate", per_customer_sql(_listed([(i, g_) for i, (_, g_) in enumerate(COMMANDS)], "id, gate"), "", "id"))
 def p20(spark, sf):
-    d = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(COMMANDS)], "id int, c string")
+    d = per_customer(spark, sf, [(i, c) for i, (c, _) in enumerate(COMMANDS)], "id int, c string", (), ("id",))
     return d.select("id", g.command_gate(F.col("c")).alias("gate"))
 
 
@@ -79,4 +79,4 @@ def p21(spark, sf):
 query("p22_task_gate", duck("hook_events") + " SELECT event_id, CASE WHEN k % 9 = 0 OR NOT (matched_agent <> '' AND matched_agent <> subagent_type) THEN 'allow' WHEN k % 2 = 1 THEN 'deny' ELSE 'advise' END AS gate FROM hook_events")(lambda s, d: view(s, d, "hook_events").select("event_id", g.task_gate(F.col("k") % 9 == 0, F.col("matched_agent"), F.col("subagent_type"), F.when(F.col("k") % 2 == 1, "deny").otherwise("advisory")).alias("gate")))
 query("p18_inside", "SELECT doc_id, doc_id * 7 % 24 <= doc_id % 20 AS ok FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", g.inside(F.concat(F.lit("/r/x/"), F.repeat(F.lit("a/./"), (F.col("doc_id") % 20).cast("int")), F.repeat(F.lit("..//"), (F.col("doc_id") * 7 % 24).cast("int")), F.lit("etc")), "/r/x").alias("ok")))
 AGENTS = [("reviewer", ["review the diff"], ["review", "diff", "quality"], ["write"]), ("finder", ["find usages"], ["find", "usage", "search"], []), ("tester", [], ["test", "coverage"], ["review"])]
-query("f19_agent_match", "SELECT * FROM (VALUES (1, 'reviewer', 'high'), (2, 'finder', 'low'), (3, NULL, NULL), (4, 'tester', 'low'), (5, 'finder', 'low')) t(id, agent, level)")(lambda s, d: g.agent_scores(s.createDataFrame([(1, "Please review the diff"), (2, "search it"), (3, "nothing"), (4, "more coverage"), (5, "find a test")], "id int, description string"), s.createDataFrame(AGENTS, "name string, quoted array<string>, keywords array<string>, negative array<string>")))
+query("f19_agent_match", per_customer_sql("SELECT * FROM (VALUES (1, 'reviewer', 'high'), (2, 'finder', 'low'), (3, NULL, NULL), (4, 'tester', 'low'), (5, 'finder', 'low')) t(id, agent, level)", "", "id"))(lambda s, d: g.agent_scores(per_customer(s, d, [(1, "Please review the diff"), (2, "search it"), (3, "nothing"), (4, "more coverage"), (5, "find a test")], "id int, description string", (), ("id",)), s.createDataFrame(AGENTS, "name string, quoted array<string>, keywords array<string>, negative array<string>")))

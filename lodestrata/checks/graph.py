@@ -8,7 +8,7 @@ from lodestrata.checks.registry import query
 from lodestrata.operators import fuzzy as fz
 from lodestrata.operators import graph as g
 from lodestrata.plans.scratch import saved
-from lodestrata.sources.adapters import duck, table, view
+from lodestrata.sources.adapters import duck, per_customer, per_customer_sql, table, view
 
 REFS, DEPS = duck("refs"), duck("module_deps")
 RANKED = "row_number() OVER (PARTITION BY symbol, section ORDER BY path, line)"
@@ -58,7 +58,7 @@ TESTS = [
     ("tests/a.py", False), ("src/tests/a.py", True), ("src/test/a.py", True), ("src/a.test.ts", True), ("src/a.spec.ts", True), ("a_test.go", True), ("test_x.py", True), ("contest_x.py", True),
     ("__tests__/a.js", True), ("src/testing.py", False), ("contest/a.py", False), ("spec/a.rb", False),
 ]
-query("p16_test_paths", f"SELECT * FROM (VALUES {', '.join(f'({p!r}, {t})' for p, t in TESTS)}) t(path, is_test)")(lambda s, d: s.createDataFrame([(p,) for p, _ in TESTS], "path string").withColumn("is_test", F.col("path").rlike(g.TEST_PATH)))
+query("p16_test_paths", per_customer_sql(f"SELECT * FROM (VALUES {', '.join(f'({i}, {p!r}, {t})' for i, (p, t) in enumerate(TESTS))}) t(id, path, is_test)", "", "id"))(lambda s, d: per_customer(s, d, [(i, p) for i, (p, _) in enumerate(TESTS)], "id int, path string", (), ("id",)).withColumn("is_test", F.col("path").rlike(g.TEST_PATH)))
 IMPORTS = "imports AS (SELECT r.path, d.path AS source FROM refs r JOIN refs d ON d.symbol = r.symbol AND d.section = 'definition' WHERE r.section = 'import')"
 query("b10_related_files", f"""{REFS}, {IMPORTS}, t AS (SELECT path, string_split(path, '/')[1] AS dir, regexp_extract(path, '([^/]*)\\.\\w+$', 1) AS base, string_split(path, '.')[-1] AS lang FROM refs WHERE section = 'definition' GROUP BY path ORDER BY count(*) DESC, path LIMIT 1),
 names AS (SELECT symbol FROM (SELECT symbol FROM refs WHERE section = 'definition' AND path = (SELECT path FROM t) ORDER BY line, symbol LIMIT 10) UNION SELECT base FROM t),
@@ -105,11 +105,11 @@ query("x05_search", f"""{REFS}{HITS}, e AS (SELECT path, line, 0 AS source FROM
 SELECT path, line, min(source) AS source FROM e GROUP BY path, line ORDER BY source, path, line LIMIT 30""")(lambda s, d: g.search([_refs(s, d).where("symbol = 's3'").select("path", "line"), _hits(s, d).where(g.boundary(F.col("text"), "s3")).select("path", "line")], 30))
 query("x23_modules", f"{REFS} SELECT string_split(path, '/')[1] AS name, count(DISTINCT path) AS file_count FROM refs GROUP BY 1")(lambda s, d: _refs(s, d).groupBy(F.split("path", "/")[0].alias("name")).agg(F.count_distinct("path").alias("file_count")))
 query("x27_module_api", f"{REFS} SELECT symbol, path FROM refs WHERE section = 'definition' AND starts_with(path, 'src2/')")(lambda s, d: _refs(s, d).where((F.col("section") == "definition") & F.col("path").startswith("src2/")).select("symbol", "path"))
-query("b17_area_imports", "SELECT * FROM (VALUES ('./a', 'internal', NULL), ('@x/y/z', 'external', '@x/y'), ('lodash/get', 'external', 'lodash'), ('../b', 'internal', NULL)) t(source, kind, package)")(lambda s, d: s.createDataFrame([("./a",), ("@x/y/z",), ("lodash/get",), ("../b",)], "source string").select("source", g.import_kind(F.col("source")).alias("kind"), F.when(g.import_kind(F.col("source")) == "external", g.package_name(F.col("source"))).alias("package")))
-query("b20_stack", "SELECT * FROM (VALUES ('a', 'Python', 2::BIGINT), ('b', 'Node', 1::BIGINT), ('c', 'PHP', 3::BIGINT)) t(project, language, n)")(lambda s, d: g.stack(s.createDataFrame([("a", "Node"), ("a", "Python"), ("b", "Node"), ("c", "Rust"), ("c", "PHP"), ("c", "Go")], "project string, language string")))
+query("b17_area_imports", per_customer_sql("SELECT * FROM (VALUES ('./a§', 'internal', NULL), ('@x§/y/z', 'external', '@x§/y'), ('lodash§/get', 'external', 'lodash§'), ('../b§', 'internal', NULL)) t(source, kind, package)", "", "", "source, package"))(lambda s, d: per_customer(s, d, [("./a§",), ("@x§/y/z",), ("lodash§/get",), ("../b§",)], "source string").select("source", g.import_kind(F.col("source")).alias("kind"), F.when(g.import_kind(F.col("source")) == "external", g.package_name(F.col("source"))).alias("package")))
+query("b20_stack", per_customer_sql("SELECT * FROM (VALUES ('a', 'Python', 2::BIGINT), ('b', 'Node', 1::BIGINT), ('c', 'PHP', 3::BIGINT)) t(project, language, n)", "project"))(lambda s, d: g.stack(per_customer(s, d, [("a", "Node"), ("a", "Python"), ("b", "Node"), ("c", "Rust"), ("c", "PHP"), ("c", "Go")], "project string, language string", ("project",))))
 query("b18_explore")(lambda s, d: g.explore(_deps(s, d).select(F.col("module").alias("node")).distinct(), _deps(s, d).select(F.col("module").alias("a"), F.col("dep").alias("b")), s.createDataFrame([(0, 2.0), (5, 1.0)], "node int, weight double")))
 query("b19_suffix_conventions", "SELECT regexp_extract(p_type, '([A-Z]+)$', 1) AS suffix, count(*) AS n FROM part GROUP BY 1")(lambda s, d: table(s, d, "part").groupBy(F.regexp_extract("p_type", "([A-Z]+)$", 1).alias("suffix")).agg(F.count("*").alias("n")))
-query("p17_constructors", "SELECT * FROM (VALUES ('run'), ('new'), ('init')) t(name)")(lambda s, d: g.unused(s.createDataFrame([("__init__",), ("__new__",), ("__del__",), ("constructor",), ("__str__",), ("run",), ("new",), ("init",), ("used",)], "name string"), s.createDataFrame([("used",)], "symbol string")))
+query("p17_constructors", per_customer_sql("SELECT * FROM (VALUES ('run§'), ('new§'), ('init§')) t(name)", "", "", "name"))(lambda s, d: g.unused(per_customer(s, d, [("__init__",), ("__new__",), ("__del__",), ("constructor",), ("__str__",), ("run§",), ("new§",), ("init§",), ("used§",)], "name string"), per_customer(s, d, [("used§",)], "symbol string")))
 
 
 def _fuzzy(spark, sf):

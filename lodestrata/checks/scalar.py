@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from lodestrata.checks.registry import query
 from lodestrata.functions import exprs as e
-from lodestrata.sources.adapters import table
+from lodestrata.sources.adapters import per_customer, per_customer_sql, table
 
 
 def _v(name, sql, rows, schema, **cols):
-    """A query over given rows, whose expected values stand in the SQL."""
-    query(name, sql)(lambda s, d: s.createDataFrame(rows, schema).select("id", *[c().alias(n) for n, c in cols.items()]))
+    """A query over rows that each customer has, whose expected values stand in the SQL; § is the customer's key."""
+    texts = {"base", "dir", "test", "source", "class"} & set(cols)
+    query(name, per_customer_sql(sql, "", "id", ", ".join(sorted(texts))))(lambda s, d: per_customer(s, d, rows, schema, (), ("id",)).select("id", *[c().alias(n) for n, c in cols.items()]))
 
 
 query("f02_saved_pct", "SELECT event_id, CAST(CASE WHEN event_id % 7 > 0 THEN floor((1 - floor(value) / (event_id % 7)) * 100 + 0.5) ELSE 0 END AS BIGINT) AS pct FROM events")(lambda s, d: table(s, d, "events").select("event_id", e.saved_pct(F.floor("value"), F.col("event_id") % 7).alias("pct")))
@@ -38,20 +39,20 @@ def _short(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), e.short_tokens(m).alias("s"), e.short_tokens(m, whole=True).alias("whole"))
 
 
-query("f13_nearest_command", "SELECT * FROM (VALUES ('sesion-audit', 'session-audit', 1), ('tool-adit', 'tool-audit', 1)) t(word, best, distance)")(lambda s, d: _nearest(s))
+query("f13_nearest_command", per_customer_sql("SELECT * FROM (VALUES (1, 'sesion-audit', 'session-audit', 1), (2, 'tool-adit', 'tool-audit', 1)) t(id, word, best, distance)", "", "id"))(lambda s, d: _nearest(s, d))
 
 
-def _nearest(spark):
-    words = spark.createDataFrame([("sesion-audit",), ("tool-adit",), ("nothing-like-it-at-all",)], "word string")
+def _nearest(spark, sf):
+    words = per_customer(spark, sf, [(1, "sesion-audit"), (2, "tool-adit"), (3, "nothing-like-it-at-all-§")], "id long, word string", (), ("id",))
     known = F.array(*map(F.lit, ["session-audit", "tool-audit", "stats"]))
     scored = F.transform(known, lambda c: F.struct(F.levenshtein(F.col("word"), c).alias("distance"), c.alias("best")))
-    return words.select("word", F.array_min(scored).alias("m")).where("m.distance <= 3").select("word", "m.best", "m.distance")
+    return words.select("id", "word", F.array_min(scored).alias("m")).where("m.distance <= 3").select("id", "word", "m.best", "m.distance")
 
 
 query("f14_version_order", "SELECT p_partkey AS id, (p_size, p_partkey % 7) > (25, 3) AS newer FROM part")(lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("id"), (e.version_key(F.concat(F.lit("^v"), F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 7).cast("string"))) > F.array(F.lit(25), F.lit(3))).alias("newer")))
 _v("f15_int_or_null", "SELECT * FROM (VALUES (1, 12::BIGINT), (2, -3), (3, NULL), (4, NULL), (5, NULL)) t(id, n)", [(1, "12"), (2, "-3"), (3, "1.0"), (4, "x"), (5, None)], "id int, t string", n=lambda: e.int_or_null(F.col("t")))
-query("f16_base36", "SELECT * FROM (VALUES (1, '0'), (2, 'z'), (3, '10'), (4, 'zz')) t(id, s)")(lambda s, d: s.createDataFrame([(1, 0), (2, 35), (3, 36), (4, 1295)], "id int, t long").select("id", e.base36(F.col("t")).alias("s")))
-_v("f17_paths", "SELECT * FROM (VALUES (1, 'c.ts', 'a/b', '.ts'), (2, 'x', '.', ''), (3, '.env', 'd', '')) t(id, base, dir, ext)", [(1, "a/b/c.ts"), (2, "x"), (3, "d/.env")], "id int, p string", base=lambda: e.basename(F.col("p")), dir=lambda: e.dirname(F.col("p")), ext=lambda: e.extension(F.col("p")))
-_v("f18_test_names", "SELECT * FROM (VALUES (1, 'tests/a/x.test.ts', 'x.ts'), (2, 'lib/y.test.py', 'y.py'), (3, 'lib/y_test.test.go', 'y.go')) t(id, test, source)", [(1, "src/a/x.ts"), (2, "lib/y.py"), (3, "lib/y_test.go")], "id int, p string", test=lambda: e.test_path(F.col("p")), source=lambda: e.source_name(F.col("p")))
+query("f16_base36", per_customer_sql("SELECT * FROM (VALUES (1, '0'), (2, 'z'), (3, '10'), (4, 'zz')) t(id, s)", "", "id"))(lambda s, d: per_customer(s, d, [(1, 0), (2, 35), (3, 36), (4, 1295)], "id int, t long", (), ("id",)).select("id", e.base36(F.col("t")).alias("s")))
+_v("f17_paths", "SELECT * FROM (VALUES (1, 'c§.ts', 'a/b', '.ts'), (2, 'x', '.', ''), (3, '.env', 'd', '')) t(id, base, dir, ext)", [(1, "a/b/c§.ts"), (2, "x"), (3, "d/.env")], "id int, p string", base=lambda: e.basename(F.col("p")), dir=lambda: e.dirname(F.col("p")), ext=lambda: e.extension(F.col("p")))
+_v("f18_test_names", "SELECT * FROM (VALUES (1, 'tests/a§/x.test.ts', 'x.ts'), (2, 'lib/y.test.py', 'y.py'), (3, 'lib/y_test.test.go', 'y.go')) t(id, test, source)", [(1, "src/a§/x.ts"), (2, "lib/y.py"), (3, "lib/y_test.go")], "id int, p string", test=lambda: e.test_path(F.col("p")), source=lambda: e.source_name(F.col("p")))
 _v("f21_response_budget", "SELECT * FROM (VALUES (1, 1200), (2, NULL)) t(id, budget)", [(1, "do it. Response budget: ~1200 tokens"), (2, "Response budget: ~1 tokens")], "id int, t string", budget=lambda: e.response_budget(F.col("t")))
 _v("f22_error_class", "SELECT * FROM (VALUES (1, 'E1'), (2, 'type_error'), (3, 'timeout'), (4, 'EACCES'), (5, 'unknown'), (6, 'parse_error'), (7, 'not_initialized')) t(id, class)", [(1, "E1", "x", "timeout"), (2, None, "TypeError", "m"), (3, None, "Error", "a Timeout hit"), (4, None, "Error", "Permission denied"), (5, None, None, None), (6, "", "SyntaxError", "timeout"), (7, None, "Error", "index Not Initialized")], "id int, c string, n string, m string", **{"class": lambda: e.error_class(F.col("c"), F.col("n"), F.col("m"))})

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodestrata.checks.registry import query
 from lodestrata.plans.scratch import scratch_path
 from lodestrata.sources import rotating
-from lodestrata.sources.adapters import duck, table, view
+from lodestrata.sources.adapters import duck, per_customer, per_customer_sql, table, view
 from lodestrata.streaming import state as t
 from lodestrata.streaming import ttl
 
@@ -66,10 +66,10 @@ def e08(spark, sf):
     return t.prepared(e.where("k % 2 = 0").select(F.col("file").alias("path"), "ts"), e.where("k % 2 = 1").select(F.col("file").alias("path"), "ts", "event_id"))
 
 
-@query("j10_invalidation", "SELECT * FROM (VALUES (1), (2), (4)) t(entry)")
+@query("j10_invalidation", per_customer_sql("SELECT * FROM (VALUES (1), (2), (4)) t(entry)", "", "entry"))
 def j10(spark, sf):
-    e = spark.createDataFrame([(1, "src/a.ts"), (2, "src/"), (3, "src/b.ts"), (4, "src/lib/"), (4, "x"), (5, "sr/")], "entry int, dep string")
-    return t.invalidated(e, spark.createDataFrame([("src/a.ts",), ("src/lib/q/r.ts",), ("top.md",)], "path string"))
+    e = per_customer(spark, sf, [(1, "src/a.ts"), (2, "src/"), (3, "src/b.ts"), (4, "src/lib/"), (4, "x"), (5, "sr/")], "entry int, dep string", ("dep",), ("entry",))
+    return t.invalidated(e, per_customer(spark, sf, [("src/a.ts",), ("src/lib/q/r.ts",), ("top.md",)], "path string", ("path",)))
 
 
 query("e09_evicted", f"{CALLS} SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY tool ORDER BY ts DESC, event_id DESC) AS n FROM tool_calls) q WHERE n > 200")(lambda s, d: t.evicted(view(s, d, "tool_calls").withColumn("cached_at", F.col("ts"))).select("event_id"))

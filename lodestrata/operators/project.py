@@ -193,10 +193,12 @@ def denial(head: Column, signals: Column, note: Column, foot: Column, most: int
     """
     kinds = [("import", "=== Imports ==="), ("export", "=== Exports / Public symbols ==="), (None, "=== Declarations ==="), ("raw", "=== Content preview (head + tail) ===")]
     of = lambda s, k: F.filter(s, lambda x: (x["kind"] == k) if k else ~x["kind"].isin("import", "export", "raw"))
-    every = F.concat(*[of(signals, k) for k, _ in kinds])
+    held = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  f of x, which is worked out once
 
-    def body(n: Column) -> Column:
-        kept = F.slice(every, F.lit(1), n)
+    def body(every: Column, n: Column) -> Column:
+        return held(F.slice(every, F.lit(1), n), sections)
+
+    def sections(kept: Column) -> Column:
         parts = [F.when(note.isNotNull() & (note != ""), F.concat(F.lit("Note: "), note, F.lit("\n\n"))).otherwise(F.lit(""))]
         for k, title in kinds:
             s = of(kept, k)
@@ -204,9 +206,13 @@ def denial(head: Column, signals: Column, note: Column, foot: Column, most: int
             parts.append(F.when(F.size(s) > 0, F.concat(F.lit(title + "\n"), rows, F.lit("\n\n"))).otherwise(F.lit("")))
         return F.regexp_replace(F.concat(*parts), r"\n\z", "")
 
-    text = lambda n: F.concat(head, F.lit("\n\n"), body(n), F.lit("\n"), foot)
-    # a tenth less in each round: no array is long enough to need more rounds
-    step = lambda n, _: F.when((n == 0) | (token_estimate(text(n)) <= most), n).otherwise(n - F.greatest(F.lit(1), F.floor(n * 0.1).cast("int")))
-    kept = F.aggregate(F.sequence(F.lit(1), F.least(F.greatest(F.size(every), F.lit(1)), F.lit(400))), F.size(every), step)
-    short = F.concat(head, F.lit("\n\n"), F.regexp_replace(body(kept), r"\s+$", ""), F.lit(f"\n\n{advice}\n\n"), foot)
-    return F.when(kept == F.size(every), text(kept)).otherwise(short)
+    def fitted(every: Column) -> Column:
+        text = lambda n: F.concat(head, F.lit("\n\n"), body(every, n), F.lit("\n"), foot)
+        fits = lambda n: held(text(n), lambda x: token_estimate(x) <= most)
+        # a tenth less in each round: no array is long enough to need more rounds
+        step = lambda n, _: F.when((n == 0) | fits(n), n).otherwise(n - F.greatest(F.lit(1), F.floor(n * 0.1).cast("int")))
+        kept = F.aggregate(F.sequence(F.lit(1), F.least(F.greatest(F.size(every), F.lit(1)), F.lit(400))), F.size(every), step)
+        short = lambda n: F.concat(head, F.lit("\n\n"), F.regexp_replace(body(every, n), r"\s+$", ""), F.lit(f"\n\n{advice}\n\n"), foot)
+        return held(kept, lambda n: F.when(n == F.size(every), text(n)).otherwise(short(n)))
+
+    return held(F.concat(*[of(signals, k) for k, _ in kinds]), fitted)
