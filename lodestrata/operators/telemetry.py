@@ -63,10 +63,14 @@ def by_category(calls: DataFrame) -> DataFrame:
     return calls.groupBy(F.coalesce("savings_category", F.lit("none")).alias("category")).agg(F.count("*").alias("n_calls"), F.sum(_saved()).alias("saved"))
 
 
-def by_intent(calls: DataFrame) -> DataFrame:
-    """The map of tools to intents is a literal in the plan, not a join."""
+def intent(tool: Column) -> Column:
+    """What a tool is used for. The map is a literal in the plan, not a join."""
     m = F.create_map(*[F.lit(x) for kv in INTENTS.items() for x in kv])
-    return calls.groupBy(F.coalesce(F.try_element_at(m, F.col("tool")), F.lit("read")).alias("intent")).agg(F.count("*").alias("n_calls"), F.sum("tokens_returned").alias("returned"))
+    return F.coalesce(F.try_element_at(m, tool), F.lit("read"))
+
+
+def by_intent(calls: DataFrame) -> DataFrame:
+    return calls.groupBy(intent(F.col("tool")).alias("intent")).agg(F.count("*").alias("n_calls"), F.sum("tokens_returned").alias("returned"))
 
 
 def decision_insights(calls: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,13 +31,21 @@ def events(spark: SparkSession, path: str, schema: T.StructType = HOOK_EVENTS) -
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def event_tree(spark: SparkSession, root: str, name: str = "hook-events.jsonl", depth: int = 5, schema: T.StructType = HOOK_EVENTS) -> DataFrame:
-    """The logs of that name under a folder, to a depth, without pruned folders; Spark lists no hidden ones."""
-    d = spark.read.schema(schema).option("mode", "DROPMALFORMED").option("recursiveFileLookup", "true").option("pathGlobFilter", name).json(root)
+def event_tree(spark: SparkSession, root: str, name: str = "hook-events.jsonl", depth: int = 5, schema: T.StructType = HOOK_EVENTS, state: str | None = None) -> DataFrame:
+    """The logs of that name under a folder, to a depth, without pruned and hidden folders. state: a hidden folder's name, in which logs may lie all the same."""
+    root = root.rstrip("/")
+    read = spark.read.schema(schema).option("mode", "DROPMALFORMED").option("recursiveFileLookup", "true").option("pathGlobFilter", name)
+    paths = [root]
+    if state:  # Spark lists no hidden folders, but reads those that it is given
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = at(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        globs = [f"{root}/{'*/' * n}{state}/{name}" for n in range(depth)]
+        paths += [g for g in globs if fs.globStatus(at(g))]
+    d = read.json(paths)
     below = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
-    rest = F.split(F.substring_index(below, root.rstrip("/") + "/", -1), "/")
+    rest = F.split(F.substring_index(below, re.sub("^file:/+", "/", root) + "/", -1), "/")
     folders = F.slice(rest, 1, F.greatest(F.lit(0), F.size(rest) - 1))
-    bad = F.exists(folders, lambda x: x.isin(*PRUNED))
+    bad = F.exists(folders, lambda x: x.isin(*PRUNED) | (x.startswith(".") & (x != F.lit(state or ""))))
     return d.where((F.size(rest) <= depth + 1) & ~bad)
 
 
