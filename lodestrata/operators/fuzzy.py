@@ -1,8 +1,9 @@
 """Fuzzy search of names: an inverted index of trigrams, a count filter, and a bounded edit distance; no pair is made that shares nothing.
 
 A name of n characters has n + 2 trigrams, its ends padded. One edit changes three of them at most, so names within k edits
-share at least max(m, n) + 2 - 3 k, occurrences counted. Where that asks for none, both names are short, and
-they meet by what is left of them after k deletions or fewer, of which short names have few.
+share at least max(m, n) + 2 - 3 k, occurrences counted: of any 3 k + 1 of a query's, one at least. The rarest are asked, so
+a trigram that most names have is asked only where a query has no others. Where the count asks for none, both names are
+short, and they meet by what is left of them after k deletions or fewer, of which short names have few.
 """
 
 from __future__ import annotations
@@ -39,34 +40,34 @@ def _deletions(name: Column, edits: int) -> Column:
 
 
 def name_index(names: DataFrame, edits: int = EDITS, most: int = POSTINGS) -> DataFrame:
-    """Postings (key, nth, part, name) of distinct names (name): their trigrams, and deletions of the short ones.
+    """Postings (key, nth, part, parts, df, name) of distinct names (name): their trigrams, and deletions of the short ones.
 
     A gram that very many names have is cut into parts by the name's hash, so no task holds a common one; parts of a key
-    are numbered from 0, and `parts` says how many there are.
+    are numbered from 0; `parts` says how many there are, and `df` how many names have the key.
     """
     d = names.select("name").where("name is not null").distinct()
     g = d.select("name", F.explode(grams(F.col("name"))).alias("g")).select(F.col("g.gram").alias("key"), F.col("g.nth").alias("nth"), "name")
-    s = d.where(_short(F.col("name"), EDITS if edits is None else edits)).select(F.explode(_deletions(F.col("name"), edits)).alias("key"), F.lit(0).alias("nth"), "name")
+    s = d.where(_short(F.col("name"), edits)).select(F.explode(_deletions(F.col("name"), edits)).alias("key"), F.lit(0).alias("nth"), "name")
     every = g.unionByName(s)
-    parts = every.groupBy("key", "nth").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
-    return every.join(parts, ["key", "nth"]).withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")).select("key", "nth", "part", "parts", "name")
+    parts = every.groupBy("key", "nth").agg(F.count("*").alias("df")).withColumn("parts", F.ceil(F.col("df") / most).cast("int"))
+    return every.join(parts, ["key", "nth"]).withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")).select("key", "nth", "part", "parts", "df", "name")
 
 
 def fuzzy_search(queries: DataFrame, index: DataFrame, edits: int = EDITS) -> DataFrame:
     """(id, query, name, distance) of the names of an index within so many edits of each query (id, query). Null queries find nothing."""
-    q = queries.select("id", "query").where("query is not null")
+    q = queries.select("id", "query").where("query is not null").distinct()
     text = F.col("query")
     asked = q.select("id", "query", F.explode(grams(text)).alias("g")).select("id", "query", F.col("g.gram").alias("key"), F.col("g.nth").alias("nth"))
     short = q.where(_short(text, edits)).select("id", "query", F.explode(_deletions(text, edits)).alias("key"), F.lit(0).alias("nth"))
-    asked = asked.unionByName(short)
+    # of a query's trigrams the rarest; those that no name has are the rarest of all. A query's are as many as its characters
+    keys = index.select("key", "nth", "parts", "df").distinct()
+    rare = Window.partitionBy("id", "query").orderBy(F.coalesce("df", F.lit(0)), "key", "nth")
+    grams_of = asked.join(keys, ["key", "nth"], "left").withColumn("_r", F.row_number().over(rare)).where((F.col("_r") <= GRAM * edits + 1) & F.col("df").isNotNull()).drop("_r")
+    asked = grams_of.unionByName(short.join(keys, ["key", "nth"]))
     # a query goes to every part of its keys
-    parts = index.select("key", "nth", "parts").distinct()
-    asked = asked.join(parts, ["key", "nth"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    longest = F.greatest(F.char_length("query"), F.char_length("name"))
-    met = asked.join(index.drop("parts"), ["key", "nth", "part"]).where(F.abs(F.char_length("query") - F.char_length("name")) <= edits)
-    by_grams = met.where("nth > 0").groupBy("id", "query", "name").agg(F.count("*").alias("n")).where(F.col("n") >= longest + (GRAM - 1) - GRAM * edits)
-    pairs = by_grams.select("id", "query", "name").unionByName(met.where("nth = 0").select("id", "query", "name")).distinct()
-    return pairs.withColumn("distance", F.levenshtein("query", "name", edits)).where("distance >= 0")
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts", "df")
+    met = asked.join(index.select("key", "nth", "part", "name"), ["key", "nth", "part"]).where(F.abs(F.char_length("query") - F.char_length("name")) <= edits)
+    return met.select("id", "query", "name").distinct().withColumn("distance", F.levenshtein("query", "name", edits)).where("distance >= 0")
 
 
 def best(matches: DataFrame, limit: int) -> DataFrame:

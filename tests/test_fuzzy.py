@@ -25,7 +25,7 @@ def test_against_all_pairs(spark, edits, most):
     index = fuzzy.name_index(spark.createDataFrame([(n,) for n in names] + [(names[3],), (None,)], "name string"), edits, most)
     if most < 100:
         assert index.selectExpr("max(part)").first()[0] > 0
-    q = spark.createDataFrame(list(enumerate(queries)), "id int, query string")
+    q = spark.createDataFrame(list(enumerate(queries)) * 2, "id int, query string")
     got = sorted((r.id, r.name, r.distance) for r in fuzzy.fuzzy_search(q, index, edits).collect())
     assert got == sorted((i, n, d) for i, t in enumerate(queries) if t is not None for n in names if (d := _distance(t, n)) <= edits)
     plan = fuzzy.fuzzy_search(q, index, edits)._jdf.queryExecution().toString()
