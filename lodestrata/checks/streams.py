@@ -111,3 +111,20 @@ def _logged(spark, sf, **settings):
 
 query("k01_rotating_log", f"{EVENTS} SELECT event_id, ts, code FROM hook_events")(lambda s, d: _logged(s, d, rotate_bytes=1 << 16))
 query("k03_error_archives", f"{EVENTS}, w AS (SELECT *, max(ts) OVER (PARTITION BY ts // 604800000) AS last, max(ts) OVER () AS newest FROM hook_events) SELECT event_id, ts, code FROM w WHERE last >= newest - 10 * 86400000::BIGINT")(lambda s, d: _logged(s, d, rotate_bytes=1, keep_ms=10 * 86_400_000))
+
+
+SWITCHED = f"""{EVENTS}, l AS (SELECT event_id, session_id, file AS path, ts AS at, ts // 604800000 AS week, CASE WHEN k % 3 = 0 THEN 'range:' ELSE 'symbol:y' || (k % 4) END AS slot, k AS tokens FROM hook_events)"""
+
+
+@query("e12_switched_branches", SWITCHED + """, p AS (SELECT l.event_id, b.tokens FROM l JOIN l b ON b.session_id = l.session_id AND b.path = l.path AND (b.week = l.week OR NOT ends_with(l.path, '7')) AND (b.at < l.at OR (b.at = l.at AND b.event_id <= l.event_id)) QUALIFY row_number() OVER (PARTITION BY l.event_id, b.slot ORDER BY b.at DESC, b.event_id DESC) = 1)
+SELECT event_id, CAST(count(*) AS INTEGER) AS n_slots, CAST(sum(tokens) AS BIGINT) AS token_estimate FROM p GROUP BY event_id""")
+def e12(spark, sf):
+    """The head is another each week, and with it the content of every path that ends in 7: what was loaded of them before counts no more."""
+    k, week = F.col("k"), F.floor(F.col("ts") / (7 * 86_400_000))
+    e = _events(spark, sf)
+    loads = e.select("session_id", F.col("file").alias("path"), F.timestamp_millis("ts").alias("at"), F.when(k % 3 == 0, "range").otherwise("symbol").alias("kind"), F.concat(F.lit("y"), (k % 4).cast("string")).alias("symbol"), k.alias("tokens"), "event_id")
+    heads = e.select(F.lit("p").alias("project"), F.timestamp_millis(week * 7 * 86_400_000).alias("at"), week.cast("string").alias("head")).distinct()
+    switches = ttl.branch_switches(heads)
+    differ = loads.where(F.col("path").endswith("7")).select(F.lit("p").alias("project"), "path").distinct()
+    gone = ttl.invalidations(switches, switches.select("project", "was", "now").join(differ, "project"), loads.select(F.lit("p").alias("project"), "session_id", "path"))
+    return ttl.by_slices(loads.unionByName(gone), "at", 2, scratch_path(spark, "switched"), lambda s: ttl.registry_log(s, 10_000 * 86_400_000))

@@ -16,6 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.window import Window
 
 from lodestrata.runtime import ship
 
@@ -23,6 +24,8 @@ from lodestrata.runtime import ship
 TTL_MS = 30 * 60 * 1000
 #: How long a session's registry of a path lives without a load, and how late an event may come.
 REGISTRY_MS, LATE = 24 * 3600 * 1000, "10 minutes"
+#: The kind of an event that says that a path's content is another now.
+CHANGED = "changed"
 #: Where state is kept: the operator needs a store with several states for each key.
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -80,7 +83,10 @@ class EditPrep(StatefulProcessor):
 
 
 class Registry(StatefulProcessor):
-    """What each load makes of a session's path: slots held and their tokens. A load replaces that of its kind and symbol; ranges share one slot."""
+    """What each load makes of a session's path: slots held and their tokens. A load replaces that of its kind and symbol; ranges share one slot.
+
+    An event of the kind CHANGED, which a switch of branches brings for each file that differs, empties the path's slots.
+    """
 
     def __init__(self, ttl_ms: int = REGISTRY_MS):
         self.ttl = ttl_ms
@@ -94,6 +100,10 @@ class Registry(StatefulProcessor):
         for r in sorted(rows, key=lambda r: (r.at, r.event_id)):
             slot, ts = f"{r.kind}:{'' if r.kind == 'range' or r.symbol is None else r.symbol}", _ms(r.at)
             newest = ts
+            if r.kind == CHANGED:
+                for (slot,) in [k for k, v in list(self.slots.iterator()) if (v[1], v[2]) < (ts, r.event_id)]:
+                    self.slots.removeKey((slot,))
+                continue
             held = self.slots.getValue((slot,)) if self.slots.containsKey((slot,)) else None
             if held is not None and (held[1], held[2]) >= (ts, r.event_id):
                 continue  # a repeated event, or one that a later batch brings after its successor
@@ -113,6 +123,18 @@ class Registry(StatefulProcessor):
         pass
 
 
+def branch_switches(heads: DataFrame) -> DataFrame:
+    """(project, at, was, now) where the head of a project is another than when it was read before; reads are (project, at, head)."""
+    w = Window.partitionBy("project").orderBy("at", "head")
+    return heads.withColumn("was", F.lag("head").over(w)).where("was <> head").select("project", "at", "was", F.col("head").alias("now"))
+
+
+def invalidations(switches: DataFrame, changed: DataFrame, held: DataFrame) -> DataFrame:
+    """Events of the kind CHANGED for registry_log: for each path (project, was, now, path) that differs between two heads, one to each session that ever held it (project, session_id, path)."""
+    d = switches.join(changed, ["project", "was", "now"]).join(held.select("project", "session_id", "path").distinct(), ["project", "path"])
+    return d.select("session_id", "path", "at", F.lit(CHANGED).alias("kind"), F.lit(None).cast("string").alias("symbol"), F.lit(0).cast("long").alias("tokens"), F.lit(-1).cast("long").alias("event_id"))
+
+
 def edits_prepared(events: DataFrame, ttl_ms: int = TTL_MS, late: str = LATE, marks: DataFrame | None = None) -> DataFrame:
     """(event_id, prepared) of the edits in a stream of marks and edits (project, path, at, is_mark, event_id). marks: (project, path, ts) from a batch, to begin with."""
     ship(events.sparkSession)

@@ -69,3 +69,16 @@ def test_state_ends(spark, tmp_path):
     got = {r.event_id: (r.n_slots, r.token_estimate) for r in ttl.by_slices(d, "at", 4, str(tmp_path), lambda s: ttl.registry_log(s, 30 * 60 * 1000), 2).collect()}
     assert got[4] == (1, 3)  # the load of an hour and a half before is gone
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_a_switch_of_branches_empties_what_differs(spark, tmp_path):
+    heads = spark.createDataFrame([("p", _at(0), "main"), ("p", _at(5), "main"), ("p", _at(10), "work"), ("q", _at(11), "main"), ("p", _at(20), "main")], "project string, at timestamp, head string")
+    switches = ttl.branch_switches(heads)
+    assert sorted((r.project, r.was, r.now) for r in switches.collect()) == [("p", "main", "work"), ("p", "work", "main")]
+    changed = spark.createDataFrame([("p", "main", "work", "a")], "project string, was string, now string, path string")
+    gone = ttl.invalidations(switches, changed, spark.createDataFrame([("p", "s", "a"), ("p", "s", "a"), ("p", "s", "b"), ("q", "t", "a")], "project string, session_id string, path string"))
+    loads = [("s", "a", _at(1), "full", None, 10, 1), ("s", "b", _at(2), "full", None, 5, 2), ("t", "a", _at(3), "full", None, 7, 3), ("s", "a", _at(11), "symbol", "f", 3, 4), ("s", "b", _at(12), "symbol", "f", 2, 5), ("t", "a", _at(13), "symbol", "f", 2, 6), ("s", "a", _at(21), "full", None, 1, 7)]
+    d = spark.createDataFrame(loads, "session_id string, path string, at timestamp, kind string, symbol string, tokens long, event_id long").unionByName(gone)
+    for cuts in (1, 3):
+        got = {r.event_id: (r.n_slots, r.token_estimate) for r in ttl.by_slices(d, "at", cuts, str(tmp_path / str(cuts)), ttl.registry_log, 2).collect()}
+        assert got == {1: (1, 10), 2: (1, 5), 3: (1, 7), 4: (1, 3), 5: (2, 7), 6: (2, 9), 7: (2, 4)}
