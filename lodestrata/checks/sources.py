@@ -149,3 +149,13 @@ def e03_stream(spark, sf):
             e.agg((F.max("at") + F.expr("interval 30 days")).alias("at")).select(F.lit("end").alias("file"), "at").where("at is not null").write.mode("append").parquet(f"{at}/in")
         run_to_end(state.debounced(spark.readStream.schema(e.schema).parquet(f"{at}/in"), gap="3600 seconds"), f"{at}/out", f"{at}/checkpoint", 8)
     return spark.read.schema("file string, start timestamp, end timestamp, n long").parquet(f"{at}/out").select("file", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
+@query("k05_fingerprints", "SELECT CAST(1 AS BIGINT) AS version, 'type ' || s_suppkey AS \"projectType\", CAST(s_suppkey AS BIGINT) AS \"moduleCount\" FROM supplier WHERE s_suppkey % 5 <> 0")
+def k05(spark, sf):
+    """A fingerprint for each supplier, one in five without a version; read now they are good, a day and an hour later they are not."""
+    at, k = scratch_path(spark, "fingerprints"), F.col("s_suppkey")
+    d = table(spark, sf, "supplier").select(k.alias("project"), F.when(k % 5 != 0, 1).cast("long").alias("version"), F.lit("2025-01-01").alias("generatedAt"), F.concat(F.lit("type "), k.cast("string")).alias("projectType"), F.array(F.lit("x")).alias("frameworks"), k.cast("long").alias("moduleCount"), F.lit(3).cast("long").alias("sourceFileCount"))
+    logs.save_fingerprints(d, at)
+    late = logs.fingerprints(spark, f"{at}/*", F.current_timestamp() + F.expr("interval 25 hours"))
+    return logs.fingerprints(spark, f"{at}/*").unionByName(late).select("version", "projectType", "moduleCount")

@@ -125,3 +125,22 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
     """Files under a folder with their times, sizes and contents."""
     d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return d.select("path", F.col("modificationTime").alias("last_modified"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("content_hash"), F.col("content").cast("string").alias("content"))
+
+
+#: Fixed value: how long a project's fingerprint stays good.
+FINGERPRINT_MS = 24 * 3600 * 1000
+FINGERPRINT = "version long, generatedAt string, projectType string, frameworks array<string>, moduleCount long, sourceFileCount long"
+
+
+def fingerprints(spark: SparkSession, path: str, now: Column | None = None, ttl_ms: int = FINGERPRINT_MS) -> DataFrame:
+    """Stored fingerprints, a JSON document a file, written within their time to live before now; those that are no JSON or lack a version or a date count as none."""
+    d = spark.read.schema(FINGERPRINT).option("multiLine", "true").option("mode", "DROPMALFORMED").json(path)
+    age = F.unix_millis(F.current_timestamp() if now is None else now) - F.unix_millis("_metadata.file_modification_time")
+    names = [f.split()[0] for f in FINGERPRINT.split(", ")]
+    return d.where((age <= ttl_ms) & (F.coalesce("version", F.lit(0)) != 0) & (F.coalesce("generatedAt", F.lit("")) != "")).select(*names)
+
+
+def save_fingerprints(prints: DataFrame, path: str) -> None:
+    """Fingerprints (project, and the columns of FINGERPRINT) in a folder for each project, over those that stood there."""
+    d = prints.withColumn("project", F.col("project").cast("string"))
+    d.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project").json(path)
