@@ -110,7 +110,7 @@ def _logged(spark, sf, **settings):
 
 
 query("k01_rotating_log", f"{EVENTS} SELECT event_id, ts, code FROM hook_events")(lambda s, d: _logged(s, d, rotate_bytes=1 << 16))
-query("k03_error_archives", f"{EVENTS}, w AS (SELECT *, max(ts) OVER (PARTITION BY ts // 604800000) AS last, max(ts) OVER () AS newest FROM hook_events) SELECT event_id, ts, code FROM w WHERE last >= newest - 10 * 86400000::BIGINT")(lambda s, d: _logged(s, d, rotate_bytes=1, keep_ms=10 * 86_400_000))
+query("k03_error_archives", f"{EVENTS}, w AS (SELECT *, max(ts) OVER (PARTITION BY ts // 604800000) AS last, max(ts) OVER () AS newest FROM hook_events) SELECT event_id, ts, code FROM w WHERE last >= newest - 10 * 86400000::BIGINT")(lambda s, d: _logged(s, d, rotate_bytes=1 << 12, keep_ms=10 * 86_400_000))
 
 
 SWITCHED = f"""{EVENTS}, l AS (SELECT event_id, session_id, file AS path, ts AS at, ts // 604800000 AS week, CASE WHEN k % 3 = 0 THEN 'range:' ELSE 'symbol:y' || (k % 4) END AS slot, k AS tokens FROM hook_events)"""
