@@ -74,16 +74,17 @@ def _calls(cmd: Column, tool: str) -> Column:
 
 
 def _one(cmd: Column) -> Column:
+    """Each rule's word is looked for before its pattern is, as most commands hold few of them."""
     whole = cmd.rlike(CODE_FILE) & ~cmd.rlike("[|>]")
     n = F.coalesce(F.regexp_extract(cmd, LINE_COUNT, 1).try_cast("int"), F.lit(0))
     return (
-        F.when(cmd.rlike(RECURSIVE_GREP) & ~cmd.rlike(GREP_BOUND), "deny")
-        .when(cmd.rlike(WIDE_FIND) & ~cmd.rlike(FIND_BOUND), "deny")
-        .when(_calls(cmd, "cat") & whole & ~cmd.contains("<<"), "deny")
-        .when(whole & _calls(cmd, "sed") & ~cmd.rlike(SED_IN_PLACE), "deny")
-        .when(whole & (_calls(cmd, "head") | _calls(cmd, "tail")) & (n >= SLICE_LINES), "deny")
-        .when(_calls(cmd, "git") & cmd.rlike(GIT_LOG) & ~cmd.rlike(LOG_BOUND), "deny")
-        .when(cmd.rlike(GIT_DIFF) & ~cmd.rlike(DIFF_STAT), "deny")
+        F.when(cmd.contains("grep") & cmd.rlike(RECURSIVE_GREP) & ~cmd.rlike(GREP_BOUND), "deny")
+        .when(cmd.contains("find") & cmd.rlike(WIDE_FIND) & ~cmd.rlike(FIND_BOUND), "deny")
+        .when(cmd.contains("cat") & _calls(cmd, "cat") & whole & ~cmd.contains("<<"), "deny")
+        .when(cmd.contains("sed") & whole & _calls(cmd, "sed") & ~cmd.rlike(SED_IN_PLACE), "deny")
+        .when((cmd.contains("head") | cmd.contains("tail")) & whole & (_calls(cmd, "head") | _calls(cmd, "tail")) & (n >= SLICE_LINES), "deny")
+        .when(cmd.contains("git") & _calls(cmd, "git") & cmd.rlike(GIT_LOG) & ~cmd.rlike(LOG_BOUND), "deny")
+        .when(cmd.contains("git") & cmd.rlike(GIT_DIFF) & ~cmd.rlike(DIFF_STAT), "deny")
         .when(cmd.rlike(RUN_TESTS), "advise")
         .otherwise("allow")
     )
@@ -93,7 +94,8 @@ def command_gate(command: Column) -> Column:
     """What shells, eval and loops wrap comes first, of which only a denial counts; then the command itself."""
     cmd = F.trim(command)
     inner = F.concat(*[F.regexp_extract_all(cmd, F.lit(p), k) for p in WRAPPED for k in (1, 2)])
-    return F.when(F.exists(inner, lambda c: _one(F.trim(c)) == "deny"), "deny").otherwise(_one(cmd))
+    wraps = cmd.contains("sh") | cmd.contains("eval") | cmd.contains("done")  # what none of these is in wraps nothing
+    return F.when(wraps & F.exists(inner, lambda c: _one(F.trim(c)) == "deny"), "deny").otherwise(_one(cmd))
 
 
 def large_output(text: Column, most: int = 8000) -> Column:

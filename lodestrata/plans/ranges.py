@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.plans.spread import unbroadcast
+
 
 def _bins(lo: Column, hi: Column, width: int) -> Column:
     first = F.floor(lo / width)
@@ -21,4 +23,4 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], a_range: tuple[str
     y = b.withColumn("_bin", F.explode(_bins(F.col(b_range[0]), F.col(b_range[1]), width)))
     first = F.greatest(F.floor(F.col(a_range[0]) / width), F.floor(F.col(b_range[0]) / width))
     hit = (F.col(a_range[0]) <= F.col(b_range[1])) & (F.col(a_range[1]) >= F.col(b_range[0])) & (F.col("_bin") == first)
-    return x.join(y, [*keys, "_bin"]).where(hit).drop("_bin")
+    return unbroadcast(x).join(unbroadcast(y), [*keys, "_bin"]).where(hit).drop("_bin")
