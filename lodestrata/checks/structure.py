@@ -128,13 +128,7 @@ query("b09_symbol_resolution", _values([("Engine§.ready", "src/engine.py", 21),
 
 
 def _resolved(spark, sf):
-    """A dotted name by its qualified name, else by its last part; of several the first in the files' order."""
-    asked = per_customer(spark, sf, [("Engine§.ready",), ("greet§",), ("Nope.x",)], "asked string").distinct()
-    q = st.qualified(_symbols(spark, sf))
-    exact = asked.join(q, q["qualified_name"] == asked["asked"]).select("asked", "path", "start_line", F.lit(0).alias("rank"))
-    leaf = asked.join(exact, "asked", "left_anti").join(q, q["name"] == F.substring_index("asked", ".", -1)).select("asked", "path", "start_line", F.lit(1).alias("rank"))
-    best = exact.unionByName(leaf).groupBy("asked").agg(F.min(F.struct("rank", "path", "start_line")).alias("b"))
-    return best.select("asked", "b.path", "b.start_line")
+    return st.resolved(per_customer(spark, sf, [("Engine§.ready",), ("greet§",), ("Nope.x",)], "asked string"), _symbols(spark, sf))
 
 
 def _code_files(spark, sf):

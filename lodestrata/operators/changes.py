@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.plans.ranges import overlap_join
+from lodestrata.plans.spread import unbroadcast
 from lodestrata.sources.gittext import LOG_FIELD
 
 #: Commit classes by prefix, then by whole words, in the order in which they are tried.
@@ -149,7 +150,7 @@ def affected_symbols(hunks_: DataFrame, symbols: DataFrame) -> DataFrame:
     hit = overlap_join(symbols, hunks_.select("path", "new_start", end.alias("new_end")), ["path"], ("start_line", "end_line"), ("new_start", "new_end"))
     one = hit.groupBy("path", "name").agg(F.min("new_start").alias("first_hunk"))
     kind = F.when(F.col("a") & ~F.col("r"), "ADDED").when(F.col("r") & ~F.col("a"), "REMOVED").otherwise("MODIFIED")
-    return one.join(of, "path").select("path", "name", "first_hunk", kind.alias("change"))
+    return unbroadcast(one).join(unbroadcast(of), "path").select("path", "name", "first_hunk", kind.alias("change"))
 
 
 def regions(hunks_: DataFrame, targets: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestrata.plans.spread import unbroadcast
 from lodestrata.runtime import ship
 
 #: Words that no declaration is named by.
@@ -49,8 +50,15 @@ def _indent(t: Column) -> Column:
     return F.length(F.regexp_extract(t, r"^(\s*)", 1))
 
 
-def _sizes(ls: DataFrame) -> DataFrame:
-    return ls.groupBy("path").agg(F.max("line_no").alias("n_lines"))
+def _next_top(value: Column) -> Column:
+    """The value of the next declaration of the file that is no method: the last of those seen from the file's end."""
+    back = Window.partitionBy("path").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
+    return F.last(F.when(F.col("kind") != "method", value), True).over(back)
+
+
+def _sized(ls: DataFrame) -> DataFrame:
+    """Lines with n_lines, their number in the file: the windows over files need no second pass over the lines for it."""
+    return ls if "n_lines" in ls.columns else ls.withColumn("n_lines", F.max("line_no").over(Window.partitionBy("path")))
 
 
 _OUT = ["path", "name", "kind", "parent", "start_line", "end_line", "signature", "decorators", "visibility", "is_async"]
@@ -59,7 +67,7 @@ _OUT = ["path", "name", "kind", "parent", "start_line", "end_line", "signature",
 def python_symbols(ls: DataFrame) -> DataFrame:
     """Classes, functions, constants and methods. Decorators right above a definition, blank and comment lines aside, belong to it and move its start up by their number."""
     t = F.regexp_replace("text", r"^\s+|\s+$", "")
-    d = ls.select("path", "line_no", "text", t.alias("t")).where((F.col("t") != "") & ~F.col("t").startswith("#"))
+    d = _sized(ls).select("path", "line_no", "n_lines", "text", t.alias("t")).where((F.col("t") != "") & ~F.col("t").startswith("#"))
     d = d.withColumn("indent", _indent(F.col("text"))).withColumn("deco", F.regexp_extract("t", r"^@(\w[\w.]*)", 1))
     d = d.withColumn("is_deco", F.col("deco") != "")
     # decorators and the first line behind them share the number of plain lines before them
@@ -76,13 +84,12 @@ def python_symbols(ls: DataFrame) -> DataFrame:
     s = d.withColumn("kind", F.when(F.col("top").isNotNull(), F.col("top")).when(method, "method")).where("kind is not null")
     s = s.withColumn("name", F.when(F.col("kind") == "class", name(_PY_CLASS)).when(F.col("kind") == "variable", name(_PY_CONST)).otherwise(name(_PY_DEF)))
     s = s.withColumn("start", F.col("line_no") - F.when(F.col("kind") == "variable", 0).otherwise(F.size("above")))
-    tops = s.where("kind <> 'method'").withColumn("next_line", _next(F.col("line_no"), "path")).withColumn("next_start", _next(F.col("start"), "path")).join(_sizes(ls), "path")
+    s = s.withColumn("next_line", _next_top(F.col("line_no"))).withColumn("next_start", _next_top(F.col("start")))
     end = F.when(F.col("kind") == "variable", F.col("line_no")).when(F.col("kind") == "class", F.coalesce(F.col("next_line") - 1, F.col("n_lines"))).otherwise(F.coalesce(F.col("next_start") - 1, F.col("n_lines")))
     dunder = F.col("name").rlike("^__.*__$")
     seen = F.when(F.col("name").startswith("_") & ~dunder, "private").otherwise("public")
-    done = lambda x, end_, parent: x.select("path", "name", "kind", parent.alias("parent"), F.col("start").alias("start_line"), end_.alias("end_line"), F.left("t", F.lit(SIGNATURE)).alias("signature"), F.array_join(F.when(F.col("kind") == "variable", F.array().cast("array<string>")).otherwise(F.col("above")), ",").alias("decorators"), F.when(F.col("kind") == "method", seen).otherwise("default").alias("visibility"), F.col("t").startswith("async ").alias("is_async"))
-    methods = s.where("kind = 'method'")
-    return done(tops, end, F.lit(None).cast("string")).unionByName(done(methods, F.col("line_no") + METHOD_LINES, F.col("owner.name")))
+    end, parent = F.when(F.col("kind") == "method", F.col("line_no") + METHOD_LINES).otherwise(end), F.when(F.col("kind") == "method", F.col("owner.name"))
+    return s.select("path", "name", "kind", parent.alias("parent"), F.col("start").alias("start_line"), end.alias("end_line"), F.left("t", F.lit(SIGNATURE)).alias("signature"), F.array_join(F.when(F.col("kind") == "variable", F.array().cast("array<string>")).otherwise(F.col("above")), ",").alias("decorators"), F.when(F.col("kind") == "method", seen).otherwise("default").alias("visibility"), F.col("t").startswith("async ").alias("is_async"))
 
 
 def typescript_symbols(ls: DataFrame) -> DataFrame:
@@ -90,15 +97,14 @@ def typescript_symbols(ls: DataFrame) -> DataFrame:
     t = F.regexp_replace("text", r"^\s+|\s+$", "")
     code = F.regexp_replace("text", "//.*$", "")
     net = F.regexp_count(code, F.lit(r"\{")) - F.regexp_count(code, F.lit(r"\}"))
-    d = ls.select("path", "line_no", "text", t.alias("t"), net.alias("net")).where("t <> ''")
+    d = _sized(ls).select("path", "line_no", "n_lines", "text", t.alias("t"), net.alias("net")).where("t <> ''")
     d = d.withColumn("depth", F.sum("net").over(_so_far("path"))).withColumn("comment", F.col("t").rlike(r"^(//|\*|/\*)"))
-    kind, name = F.lit(None).cast("string"), F.lit("")
+    found = F.lit(None).cast("struct<kind:string,name:string>")
     for k, p in reversed(_TS.items()):
         n = F.regexp_extract("t", p, 1)
-        hit = (n != "") & ~n.isin(*RESERVED)
-        kind, name = F.when(hit, "function" if k == "arrow" else k).otherwise(kind), F.when(hit, n).otherwise(name)
-    top = (_indent(F.col("text")) == 0) & ~F.col("comment")
-    d = d.withColumn("top", F.when(top, kind)).withColumn("top_name", F.when(top, name))
+        found = F.when((n != "") & ~n.isin(*RESERVED), F.struct(F.lit("function" if k == "arrow" else k).alias("kind"), n.alias("name"))).otherwise(found)
+    # only lines of the top level that are no comments are asked for declarations
+    d = d.withColumn("found", F.when(~F.col("text").rlike(r"^\s") & ~F.col("comment"), found)).withColumn("top", F.col("found.kind")).withColumn("top_name", F.col("found.name"))
     d = d.withColumn("holds", F.col("top").isin("class", "interface", "enum"))
     d = d.withColumn("owner", F.last(F.when(F.col("holds"), F.struct(F.col("line_no").alias("at"), (F.col("depth") - 1).alias("open"), F.col("top_name").alias("name"))), True).over(_so_far("path")))
     # inside an owner's lines, what stands behind the first that closes it is outside
@@ -109,17 +115,16 @@ def typescript_symbols(ls: DataFrame) -> DataFrame:
     before = F.substring_index("text", "(", 1)
     method = inside & ~F.col("comment") & (m != "") & ~m.isin(*RESERVED) & ~before.contains(".") & ~before.contains("=")
     d = d.withColumn("kind", F.when(F.col("top").isNotNull(), F.col("top")).when(method, "method")).where("kind is not null")
-    tops = d.where("kind <> 'method'").withColumn("next_line", _next(F.col("line_no"), "path")).join(_sizes(ls), "path")
-    end = F.coalesce(F.when(F.col("holds"), F.col("closed")), F.col("next_line") - 1, F.col("n_lines"))
-    done = lambda x, name_, end_, parent: x.select("path", name_.alias("name"), "kind", parent.alias("parent"), F.col("line_no").alias("start_line"), end_.alias("end_line"), F.left("t", F.lit(SIGNATURE)).alias("signature"), F.lit("").alias("decorators"), F.when(F.col("t").startswith("export"), "public").otherwise("default").alias("visibility"), F.col("t").rlike(r"\basync\b").alias("is_async"))
-    return done(tops, F.col("top_name"), end, F.lit(None).cast("string")).unionByName(done(d.where("kind = 'method'"), m, F.col("line_no") + METHOD_LINES, F.col("owner.name")))
+    d = d.withColumn("next_line", _next_top(F.col("line_no")))
+    is_method = F.col("kind") == "method"
+    end = F.when(is_method, F.col("line_no") + METHOD_LINES).otherwise(F.coalesce(F.when(F.col("holds"), F.col("closed")), F.col("next_line") - 1, F.col("n_lines")))
+    return d.select("path", F.when(is_method, m).otherwise(F.col("top_name")).alias("name"), "kind", F.when(is_method, F.col("owner.name")).alias("parent"), F.col("line_no").alias("start_line"), end.alias("end_line"), F.left("t", F.lit(SIGNATURE)).alias("signature"), F.lit("").alias("decorators"), F.when(F.col("t").startswith("export"), "public").otherwise("default").alias("visibility"), F.col("t").rlike(r"\basync\b").alias("is_async"))
 
 
 def symbols(files: DataFrame) -> DataFrame:
     """The symbol index of files (path, content): each language by its patterns."""
-    from lodestrata.operators.text import lines
-
-    ls = lines(files)
+    every = F.split("content", "\n", -1)
+    ls = files.select("path", F.size(every).cast("long").alias("n_lines"), F.posexplode(every).alias("i", "text")).select("path", (F.col("i") + 1).cast("long").alias("line_no"), "n_lines", "text")
     return python_symbols(ls.where(F.col("path").rlike(r"\.py$"))).unionByName(typescript_symbols(ls.where(F.col("path").rlike(r"\.(tsx?|jsx?|mjs)$"))))
 
 
@@ -132,6 +137,19 @@ def qualified(syms: DataFrame) -> DataFrame:
     return syms.withColumn("qualified_name", F.concat_ws(".", "parent", "name"))
 
 
+def resolved(asked: DataFrame, syms: DataFrame) -> DataFrame:
+    """(asked, path, start_line) of names (asked): a dotted name by its qualified name, else by its last part; of several the first in the files' order.
+
+    Symbols are made once and brought down to the first of each name before names meet: no name's bearers meet all that ask for it.
+    """
+    q = qualified(syms).select(F.explode(F.array(F.struct(F.col("qualified_name").alias("_k"), F.lit(0).alias("rank")), F.struct(F.col("name").alias("_k"), F.lit(1).alias("rank")))).alias("n"), "path", "start_line")
+    first = q.groupBy("n._k", "n.rank").agg(F.min(F.struct("path", "start_line")).alias("at"))
+    a = asked.select("asked").distinct()
+    a = a.select("asked", F.explode(F.array(F.struct(F.col("asked").alias("_k"), F.lit(0).alias("rank")), F.struct(F.substring_index("asked", ".", -1).alias("_k"), F.lit(1).alias("rank")))).alias("n")).select("asked", "n.*")
+    best = unbroadcast(a).join(unbroadcast(first), ["_k", "rank"]).groupBy("asked").agg(F.min(F.struct("rank", "at")).alias("b"))
+    return best.select("asked", "b.at.path", "b.at.start_line")
+
+
 def references(files: DataFrame, syms: DataFrame) -> DataFrame:
     """Where names of the index stand: identifiers of each line joined to the index's names; lines that define are definitions, lines that import are imports."""
     from lodestrata.operators.text import lines
@@ -155,7 +173,7 @@ def inferred_ends(syms: DataFrame, sizes: DataFrame) -> DataFrame:
 def read_symbol(syms: DataFrame, ls: DataFrame, before: int = 0, after: int = 0) -> DataFrame:
     """Lines of each symbol with some around it: path is the equal key, the lines are a range under it."""
     s = syms.select("path", "name", F.greatest(F.lit(1), F.col("start_line") - before).alias("lo"), (F.col("end_line") + after).alias("hi"))
-    return s.join(ls, "path").where(F.col("line_no").between(F.col("lo"), F.col("hi"))).select("path", "name", "line_no", "text")
+    return unbroadcast(s).join(unbroadcast(ls), "path").where(F.col("line_no").between(F.col("lo"), F.col("hi"))).select("path", "name", "line_no", "text")
 
 
 def shown_lines(slices: DataFrame, whole: int = 300, head: int = 50, tail: int = 30) -> DataFrame:
@@ -196,9 +214,9 @@ def json_sections(ls: DataFrame) -> DataFrame:
     """Keys of the root object with their lines, in files of three lines or more. Strings are taken out before the brackets are counted."""
     bare = F.regexp_replace("text", r'"(?:[^"\\]|\\.)*"', '""')
     net = F.regexp_count(bare, F.lit(r"[\[{]")) - F.regexp_count(bare, F.lit(r"[\]}]"))
-    d = ls.withColumn("before", F.coalesce(F.sum(net).over(Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    k = d.where("before = 1").select("path", "line_no", F.regexp_extract("text", r'^\s*"([^"]+)"\s*:', 1).alias("key")).where("key <> ''")
-    return k.withColumn("next", _next(F.col("line_no"), "path")).join(_sizes(ls).where("n_lines >= 3"), "path").select("path", "key", F.col("line_no").alias("start_line"), (F.coalesce("next", F.col("n_lines")) - 1).alias("end_line"))
+    d = _sized(ls).withColumn("before", F.coalesce(F.sum(net).over(Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    k = d.where("before = 1 and n_lines >= 3").select("path", "line_no", "n_lines", F.regexp_extract("text", r'^\s*"([^"]+)"\s*:', 1).alias("key")).where("key <> ''")
+    return k.withColumn("next", _next(F.col("line_no"), "path")).select("path", "key", F.col("line_no").alias("start_line"), (F.coalesce("next", F.col("n_lines")) - 1).alias("end_line"))
 
 
 def import_rows(ls: DataFrame) -> DataFrame:

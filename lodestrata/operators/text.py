@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.functions.exprs import token_estimate
+from lodestrata.plans.spread import unbroadcast
 
 #: Endings of code files.
 CODE_EXTENSIONS = (
@@ -53,7 +54,7 @@ def numbered(ls: DataFrame, width: int = 4) -> DataFrame:
 def head_tail(ls: DataFrame, head: int, tail: int) -> DataFrame:
     """The first and last lines of each file; all of a file that has no more. The files' line numbers come by a grouped count, not a window over lines."""
     n = ls.groupBy("path").agg(F.max("line_no").alias("n"))
-    return ls.join(n, "path").where((F.col("line_no") <= head) | (F.col("line_no") > F.col("n") - tail)).select("path", "line_no", "text")
+    return unbroadcast(ls).join(unbroadcast(n), "path").where((F.col("line_no") <= head) | (F.col("line_no") > F.col("n") - tail)).select("path", "line_no", "text")
 
 
 def directory_counts(files: DataFrame, depth: int = 5) -> DataFrame:
@@ -80,7 +81,7 @@ def markdown_sections(ls: DataFrame) -> DataFrame:
     after = Window.partitionBy("path").orderBy("line_no").rowsBetween(1, Window.unboundedFollowing)
     nexts = [F.when(F.col("level") >= k, F.min(F.when(F.col("level") == k, F.col("line_no"))).over(after)) for k in range(1, 7)]
     h = h.withColumn("next", F.least(*nexts))
-    return h.join(n, "path").select("path", "level", "title", F.col("line_no").alias("start_line"), F.coalesce(F.col("next") - 1, F.col("n_lines")).alias("end_line"))
+    return unbroadcast(h).join(unbroadcast(n), "path").select("path", "level", "title", F.col("line_no").alias("start_line"), F.coalesce(F.col("next") - 1, F.col("n_lines")).alias("end_line"))
 
 
 def yaml_sections(ls: DataFrame) -> DataFrame:
@@ -88,7 +89,7 @@ def yaml_sections(ls: DataFrame) -> DataFrame:
     n = ls.groupBy("path").agg(F.max("line_no").alias("n_lines"))
     k = ls.where(F.col("text").rlike("^[A-Za-z_][A-Za-z0-9_.-]*:")).select("path", "line_no", F.regexp_extract("text", "^([A-Za-z0-9_.-]+)", 1).alias("key"))
     nxt = F.lead("line_no").over(Window.partitionBy("path").orderBy("line_no"))
-    return k.withColumn("next", nxt).join(n, "path").select("path", "key", F.col("line_no").alias("start_line"), F.coalesce(F.col("next") - 1, F.col("n_lines")).alias("end_line"))
+    return unbroadcast(k.withColumn("next", nxt)).join(unbroadcast(n), "path").select("path", "key", F.col("line_no").alias("start_line"), F.coalesce(F.col("next") - 1, F.col("n_lines")).alias("end_line"))
 
 
 def find_section(sections: DataFrame, name: Column | str, title: str = "title") -> DataFrame:
@@ -101,7 +102,7 @@ def find_section(sections: DataFrame, name: Column | str, title: str = "title")
 def csv_rows(ls: DataFrame, start: int, end: int) -> DataFrame:
     """Rows start..end after the header, with the header; the count leaves out blank lines, the slice does not."""
     n = ls.groupBy("path").agg((F.count_if(F.trim("text") != "") - 1).alias("n_rows"))
-    return ls.where((F.col("line_no") == 1) | F.col("line_no").between(start + 1, end + 1)).join(n, "path").select("path", "line_no", "text", "n_rows")
+    return unbroadcast(ls.where((F.col("line_no") == 1) | F.col("line_no").between(start + 1, end + 1))).join(unbroadcast(n), "path").select("path", "line_no", "text", "n_rows")
 
 
 def toml_tables(ls: DataFrame) -> DataFrame:
@@ -132,8 +133,8 @@ def tiered(tiers: list[DataFrame]) -> DataFrame:
     every = tiers[0].withColumn("tier", F.lit(0))
     for k, d in enumerate(tiers[1:], 1):
         every = every.unionByName(d.withColumn("tier", F.lit(k)))
-    first = every.groupBy("path").agg(F.min("tier").alias("tier"))
-    return every.join(first, ["path", "tier"])
+    first = F.min("tier").over(Window.partitionBy("path"))  # the tiers are made once
+    return every.withColumn("_first", first).where("tier = _first").drop("_first")
 
 
 def marked_lines(ls: DataFrame) -> DataFrame:

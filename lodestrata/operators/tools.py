@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.operators import changes, graph, structure, telemetry, text
+from lodestrata.plans.spread import unbroadcast
 
 
 def session_report(calls: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def diff_report(parsed: DataFrame, symbols: DataFrame) -> DataFrame:
     h = changes.hunks(parsed)
     hit = changes.affected_symbols(h.select("path", "new_start", "new_count", (F.col("added") > 0).alias("has_added"), (F.col("removed") > 0).alias("has_removed")), symbols)
     names = hit.groupBy("path").agg(F.array_join(F.array_sort(F.collect_list(F.concat("name", F.lit(" "), "change"))), ",").alias("symbols"))
-    return changes.file_diffs(parsed).join(names, "path", "left").select("path", "added", "removed", "symbols")
+    return unbroadcast(changes.file_diffs(parsed)).join(unbroadcast(names), "path", "left").select("path", "added", "removed", "symbols")
 
 
 def area(files: DataFrame, folder: str) -> DataFrame:
