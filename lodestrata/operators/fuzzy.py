@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestrata.plans.spread import unbroadcast
+
 #: Characters of a gram, edits allowed, and what pads a name's ends.
 GRAM, EDITS, PAD = 3, 2, "\x02"
 #: Names of which a part of a gram's postings holds about so many: grams of more are dealt to several parts.
@@ -50,7 +52,7 @@ def name_index(names: DataFrame, edits: int = EDITS, most: int = POSTINGS) -> Da
     s = d.where(_short(F.col("name"), edits)).select(F.explode(_deletions(F.col("name"), edits)).alias("key"), F.lit(0).alias("nth"), "name")
     every = g.unionByName(s)
     parts = every.groupBy("key", "nth").agg(F.count("*").alias("df")).withColumn("parts", F.ceil(F.col("df") / most).cast("int"))
-    return every.join(parts, ["key", "nth"]).withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")).select("key", "nth", "part", "parts", "df", "name")
+    return unbroadcast(every).join(unbroadcast(parts), ["key", "nth"]).withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")).select("key", "nth", "part", "parts", "df", "name")
 
 
 def fuzzy_search(queries: DataFrame, index: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -62,11 +64,11 @@ def fuzzy_search(queries: DataFrame, index: DataFrame, edits: int = EDITS) -> Da
     # of a query's trigrams the rarest; those that no name has are the rarest of all. A query's are as many as its characters
     keys = index.select("key", "nth", "parts", "df").distinct()
     rare = Window.partitionBy("id", "query").orderBy(F.coalesce("df", F.lit(0)), "key", "nth")
-    grams_of = asked.join(keys, ["key", "nth"], "left").withColumn("_r", F.row_number().over(rare)).where((F.col("_r") <= GRAM * edits + 1) & F.col("df").isNotNull()).drop("_r")
-    asked = grams_of.unionByName(short.join(keys, ["key", "nth"]))
+    grams_of = asked.join(unbroadcast(keys), ["key", "nth"], "left").withColumn("_r", F.row_number().over(rare)).where((F.col("_r") <= GRAM * edits + 1) & F.col("df").isNotNull()).drop("_r")
+    asked = grams_of.unionByName(short.join(unbroadcast(keys), ["key", "nth"]))
     # a query goes to every part of its keys
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts", "df")
-    met = asked.join(index.select("key", "nth", "part", "name"), ["key", "nth", "part"]).where(F.abs(F.char_length("query") - F.char_length("name")) <= edits)
+    met = unbroadcast(asked).join(unbroadcast(index.select("key", "nth", "part", "name")), ["key", "nth", "part"]).where(F.abs(F.char_length("query") - F.char_length("name")) <= edits)
     return met.select("id", "query", "name").distinct().withColumn("distance", F.levenshtein("query", "name", edits)).where("distance >= 0")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from lodestrata.functions.exprs import token_estimate
 from lodestrata.plans.ranges import overlap_join
+from lodestrata.plans.spread import unbroadcast
 
 #: Endings that an import may leave out, in the order in which they are tried.
 ENDINGS = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".php", ".go", ".rs", ".java", ".kt", ".swift"]
@@ -93,7 +94,7 @@ def resolved_imports(imports: DataFrame, files: DataFrame, folders: bool = True)
     s = F.col("source")
     asked = imports.select("path", "source").distinct().where(s.startswith(".") | s.startswith("/"))
     asked = asked.withColumn("base", normal_path(F.when(s.startswith("/"), s).otherwise(F.concat(folder_of(p), F.lit("/"), s))))
-    return asked.join(known, "base").groupBy("path", "source").agg(F.min_by("target", "ord").alias("target"))
+    return unbroadcast(asked).join(unbroadcast(known), "base").groupBy("path", "source").agg(F.min_by("target", "ord").alias("target"))
 
 
 def paths_match(a: Column, b: Column) -> Column:
@@ -105,8 +106,8 @@ def matching_paths(left: DataFrame, right: DataFrame) -> DataFrame:
     """(a, b) of the paths a of left and b of right that match: each side's ends meet the other side's paths by equality, not every pair."""
     a, b = left.select(F.col("path").alias("a")).distinct(), right.select(F.col("path").alias("b")).distinct()
     ends = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c) + 1), lambda i: F.col(c).substr(i, F.length(c)))).alias("end")
-    x = a.select("a", ends("a")).join(b, F.col("end") == F.col("b")).select("a", "b")
-    y = b.select("b", ends("b")).join(a, F.col("end") == F.col("a")).select("a", "b")
+    x = unbroadcast(a.select("a", ends("a"))).join(unbroadcast(b), F.col("end") == F.col("b")).select("a", "b")
+    y = unbroadcast(b.select("b", ends("b"))).join(unbroadcast(a), F.col("end") == F.col("a")).select("a", "b")
     return x.unionByName(y).distinct()
 
 
