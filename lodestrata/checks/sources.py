@@ -91,9 +91,9 @@ def s19(spark, sf):
     head = F.concat(F.lit("---\nname: agent-"), k, F.lit('\ndescription: Use when asked to "find '), k, F.lit('". Agent'), k, F.lit(" searches. Not for writing tests\n---\nbody"))
     d = table(spark, sf, "supplier").select(F.when(F.col("s_suppkey") % 5 == 0, "no front matter").otherwise(head).alias("value"), "s_suppkey")
     at = scratch_path(spark, "agents")
-    d.withColumn("n", F.col("s_suppkey")).select("value", "n").write.partitionBy("n").text(at)
+    logs.file_each(d.select("value"), at)
     joined = lambda c: F.array_join(c, ",").alias(c)
-    return logs.agents(spark, f"{at}/*").select("name", joined("quoted"), joined("keywords"), joined("negative"))
+    return logs.agents(spark, at).select("name", joined("quoted"), joined("keywords"), joined("negative"))
 
 
 @query("s20_workflows", "SELECT 'w' || s_suppkey AS workflow_id, 'ship ' || s_suppkey AS goal, CAST(s_suppkey * 1000 AS BIGINT) AS budget_tokens, CAST(row_number() OVER (ORDER BY s_suppkey % 7 DESC, 'w' || s_suppkey) AS INTEGER) AS ord FROM supplier")
@@ -102,10 +102,10 @@ def s20(spark, sf):
     k = F.col("s_suppkey").cast("string")
     text = F.concat(F.lit('{\n "workflow_id": "w'), k, F.lit('",\n "goal": "ship '), k, F.lit('",\n "started_at": "2025-01-0'), (F.col("s_suppkey") % 7 + 1).cast("string"), F.lit('",\n "budget_tokens": '), (F.col("s_suppkey") * 1000).cast("string"), F.lit("\n}"))
     at = scratch_path(spark, "workflows")
-    table(spark, sf, "supplier").select(text.alias("value"), F.col("s_suppkey").alias("n")).write.partitionBy("n").text(at)
+    logs.file_each(table(spark, sf, "supplier").select(text.alias("value")), at)
     from pyspark.sql.window import Window
 
-    d = logs.workflows(spark, f"{at}/*")
+    d = logs.workflows(spark, at)
     return d.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("started_at"), "workflow_id"))).select("workflow_id", "goal", "budget_tokens", "ord")
 
 
