@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
+from lodestrata.plans.scratch import saved
 from lodestrata.runtime import ship
 
 #: Fixed value: how long a mark prepares a file's edits.
@@ -38,89 +39,105 @@ def _ms(t: dt.datetime) -> int:
     return round(t.timestamp() * 1000)
 
 
-class EditPrep(StatefulProcessor):
+class _Living(StatefulProcessor):
+    """A key's life ends so long after its newest event. Each call to the store is a message to the JVM: a batch reads and writes a
+    key's state once, and a timer that rings too early is set anew then, not at each batch."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl = ttl_ms
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.state.get()
+        if held is not None:
+            until = held[0] + self.ttl
+            if until > expiredTimerInfo.getExpiryTimeInMs():
+                self.handle.registerTimer(until)
+            else:
+                self._clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class EditPrep(_Living):
     """For each edit whether its file was marked less than the time to live before."""
 
     def __init__(self, ttl_ms: int = TTL_MS):
-        self.ttl = ttl_ms
+        super().__init__(ttl_ms)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.mark = handle.getValueState("mark", "ts long")
-        self.answered = handle.getMapState("answered", "event_id long", "ts long")
-
-    def _live_until(self, ts: int) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(ts + self.ttl)
+        self.state = handle.getValueState("state", "newest long, mark long")
+        self.answered = handle.getListState("answered", "event_id long")
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.mark.update((initialState.ts,))
-        self._live_until(initialState.ts)
+        self.state.update((initialState.ts, initialState.ts))
+        self.handle.registerTimer(initialState.ts + self.ttl)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        last = self.mark.get()[0] if self.mark.exists() else None
-        was, newest = last, None
+        held = self.state.get()
+        newest, last = held or (None, None)
+        seen = {e[0] for e in self.answered.get()} if held else set()
+        new = []
         for r in sorted(rows, key=lambda r: (r.at, not r.is_mark, r.event_id)):
-            ts = newest = _ms(r.at)
+            ts = _ms(r.at)
+            newest = ts if newest is None else max(newest, ts)
             if r.is_mark:
                 last = ts if last is None else max(last, ts)
-            elif not self.answered.containsKey((r.event_id,)):
-                self.answered.updateValue((r.event_id,), (ts,))
+            elif r.event_id not in seen:
+                seen.add(r.event_id)
+                new.append((r.event_id,))
                 yield Row(event_id=r.event_id, prepared=last is not None and 0 <= ts - last < self.ttl)
-        if last != was:
-            self.mark.update((last,))
+        if new:
+            self.answered.appendList(new)
         if newest is not None:
-            self._live_until(max(newest, last or newest))
+            self.state.update((newest, last))
+            if held is None:
+                self.handle.registerTimer(newest + self.ttl)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.mark.clear()
+    def _clear(self) -> None:
+        self.state.clear()
         self.answered.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
 
 
-class Registry(StatefulProcessor):
+class Registry(_Living):
     """What each load makes of a session's path: slots held and their tokens. A load replaces that of its kind and symbol; ranges share one slot.
 
     An event of the kind CHANGED, which a switch of branches brings for each file that differs, empties the path's slots.
     """
 
     def __init__(self, ttl_ms: int = REGISTRY_MS):
-        self.ttl = ttl_ms
+        super().__init__(ttl_ms)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.slots = handle.getMapState("slots", "slot string", "tokens long, at long, event_id long")
+        self.state = handle.getValueState("state", "newest long, slots array<struct<slot:string,tokens:long,at:long,event_id:long>>")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        newest = None
+        held = self.state.get()
+        newest, slots = (held[0], {v[0]: tuple(v[1:]) for v in held[1]}) if held else (None, {})
+        total = sum(v[0] for v in slots.values())
         for r in sorted(rows, key=lambda r: (r.at, r.event_id)):
             slot, ts = f"{r.kind}:{'' if r.kind == 'range' or r.symbol is None else r.symbol}", _ms(r.at)
-            newest = ts
+            newest = ts if newest is None else max(newest, ts)
             if r.kind == CHANGED:
-                for (slot,) in [k for k, v in list(self.slots.iterator()) if (v[1], v[2]) < (ts, r.event_id)]:
-                    self.slots.removeKey((slot,))
+                slots = {k: v for k, v in slots.items() if (v[1], v[2]) >= (ts, r.event_id)}
+                total = sum(v[0] for v in slots.values())
                 continue
-            held = self.slots.getValue((slot,)) if self.slots.containsKey((slot,)) else None
-            if held is not None and (held[1], held[2]) >= (ts, r.event_id):
+            was = slots.get(slot)
+            if was is not None and (was[1], was[2]) >= (ts, r.event_id):
                 continue  # a repeated event, or one that a later batch brings after its successor
-            self.slots.updateValue((slot,), (r.tokens, ts, r.event_id))
-            every = list(self.slots.values())
-            yield Row(event_id=r.event_id, n_slots=len(every), token_estimate=sum(v[0] for v in every))
+            total += r.tokens - (was[0] if was else 0)
+            slots[slot] = (r.tokens, ts, r.event_id)
+            yield Row(event_id=r.event_id, n_slots=len(slots), token_estimate=total)
         if newest is not None:
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(newest + self.ttl)
+            self.state.update((newest, [(k, *v) for k, v in slots.items()]))
+            if held is None:
+                self.handle.registerTimer(newest + self.ttl)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.slots.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
+    def _clear(self) -> None:
+        self.state.clear()
 
 
 def branch_switches(heads: DataFrame) -> DataFrame:
@@ -171,9 +188,11 @@ def run_to_end(out: DataFrame, path: str, checkpoint: str, partitions: int) -> N
         out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
-def by_slices(events: DataFrame, at: str, cuts: int, folder: str, operator: Callable[[DataFrame], DataFrame], partitions: int = 8) -> DataFrame:
-    """The rows of a streaming operator over a table that arrives in slices of time: a new run from the checkpoint for each slice."""
+def by_slices(events: DataFrame, at: str, cuts: int, folder: str, operator: Callable[[DataFrame], DataFrame], partitions: int | None = None) -> DataFrame:
+    """The rows of a streaming operator over a table that arrives in slices of time: a new run from the checkpoint for each slice. partitions: of the state; as many as there are cores, if none are given."""
     spark = events.sparkSession
+    partitions = partitions or max(8, spark.sparkContext.defaultParallelism)
+    events = saved(events, "events")  # what they are made of is made once, not for each slice
     lo, hi = events.agg(F.min(at), F.max(at)).first()
     if lo is None:  # one empty run
         lo = hi = dt.datetime(1970, 1, 1)

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lodestrata.streaming import ttl
@@ -82,3 +83,46 @@ def test_a_switch_of_branches_empties_what_differs(spark, tmp_path):
     for cuts in (1, 3):
         got = {r.event_id: (r.n_slots, r.token_estimate) for r in ttl.by_slices(d, "at", cuts, str(tmp_path / str(cuts)), ttl.registry_log, 2).collect()}
         assert got == {1: (1, 10), 2: (1, 5), 3: (1, 7), 4: (1, 3), 5: (2, 7), 6: (2, 9), 7: (2, 4)}
+
+
+class _Store:
+    """A store that counts what it is asked."""
+
+    def __init__(self):
+        self.calls, self.value, self.rows, self.timers = 0, None, [], []
+
+    def _count(self):
+        self.calls += 1
+        return self
+
+    def getValueState(self, *_):
+        return self
+
+    def getListState(self, *_):
+        return self
+
+    def update(self, v):
+        self._count().value = v
+
+    def appendList(self, new):
+        self._count().rows += new
+
+    def registerTimer(self, t):
+        self._count().timers.append(t)
+
+    def get(self):
+        self._count()
+        return self.value
+
+
+def test_a_batch_asks_the_store_few_times():
+    rows = [Row(session_id="s", path="a", at=_at(i), kind="symbol", symbol=f"y{i % 5}", tokens=i, event_id=i) for i in range(200)]
+    store, p = _Store(), ttl.Registry()
+    p.init(store)
+    assert [(r.n_slots, r.token_estimate) for r in p.handleInputRows(("s", "a"), iter(rows), None)][-1] == (5, 195 + 196 + 197 + 198 + 199)
+    assert store.calls <= 3
+    store, p = _Store(), ttl.EditPrep()
+    p.init(store)
+    edits = [Row(project="p", path="f", at=_at(i), is_mark=i == 0, event_id=i) for i in range(200)]
+    assert sum(r.prepared for r in p.handleInputRows(("p", "f"), iter(edits), None)) == 29
+    assert store.calls <= 4
