@@ -10,6 +10,7 @@ from lodestrata.operators import patterns as pt
 from lodestrata.operators import structure as st
 from lodestrata.operators.text import lines
 from lodestrata.plans.scratch import saved
+from lodestrata.plans.spread import spread, unbroadcast
 from lodestrata.sources.adapters import duck, per_customer, per_customer_sql, table, view
 
 PY = '''"""Doc."""
@@ -133,8 +134,10 @@ def _resolved(spark, sf):
 
 def _code_files(spark, sf):
     """A file of code for each order: its lines are an argument, one order in three calls something else, and a comment and a string hold calls that are none."""
-    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))), lambda y: y["l_quantity"].cast("int").cast("string")), ", ").alias("args"))
-    o = table(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    orders = table(spark, sf, "orders")
+    n = orders.count()
+    lines = spread(table(spark, sf, "lineitem"), "l_orderkey", rows=n).groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))), lambda y: y["l_quantity"].cast("int").cast("string")), ", ").alias("args"))
+    o = spread(orders, "o_orderkey", rows=n).join(unbroadcast(lines), F.col("o_orderkey") == F.col("l_orderkey"), "left")
     k, c = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
     call = F.when(F.col("o_orderkey") % 3 == 0, "sum").otherwise("total")
     text = F.concat(F.lit("// total(1)\nexport function o"), k, F.lit("() {\n  const t = "), call, F.lit("("), k, F.lit(", ["), F.coalesce("args", F.lit("")), F.lit("],\n    \"total(2)\", 'a)b');\n  if (t) { log("), call, F.lit("(t, "), c, F.lit(")) }\n}\n"))
@@ -163,10 +166,12 @@ def _class_files(spark, sf, php):
     else:
         one = F.concat(F.when(static, "\n    @staticmethod").otherwise("\n\n    @cached"), F.lit("\n    def "), F.when(F.col("l_partkey") % 2 == 0, "_").otherwise(""), F.lit("m"), n, F.lit("_"), p, F.lit("(self):\n        def inner(): pass\n        return 1"))
         head, tail = "import os\nclass C(B):\n    x = 1", "\nz = 1"
-    per = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", one.alias("t")))), lambda y: y["t"]), "").alias("t"), F.count("*").alias("m"), F.count_if(~static).alias("blank"))
+    n_files = table(spark, sf, "orders").count()
+    per = spread(table(spark, sf, "lineitem"), "l_orderkey", rows=n_files).groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", one.alias("t")))), lambda y: y["t"]), "").alias("t"), F.count("*").alias("m"), F.count_if(~static).alias("blank"))
     files = per.select(F.concat(F.lit("c"), F.col("l_orderkey").cast("string")).alias("path"), F.concat(F.lit(head), F.col("t"), F.lit(tail)).alias("content"))
     end = 4 + 3 * F.col("m") if php else 3 + 4 * F.col("m") + F.col("blank")
-    return files, per.select(F.concat(F.lit("c"), F.col("l_orderkey").cast("string")).alias("path"), F.lit("C").alias("name"), F.lit(2).alias("start_line"), end.alias("end_line"))
+    classes = per.select(F.concat(F.lit("c"), F.col("l_orderkey").cast("string")).alias("path"), F.lit("C").alias("name"), F.lit(2).alias("start_line"), end.alias("end_line"))
+    return spread(files, "path", rows=n_files), spread(classes, "path", rows=n_files)
 
 
 CLASS_LINES = "WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, row_number() OVER w AS i, count(*) OVER (PARTITION BY l_orderkey) AS m, sum(CASE WHEN l_partkey % 3 = 0 THEN 0 ELSE 1 END) OVER w AS b FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey ROWS UNBOUNDED PRECEDING))"

@@ -8,6 +8,7 @@ from lodestrata.checks.registry import query
 from lodestrata.functions import exprs as e
 from lodestrata.operators import notations as nt
 from lodestrata.operators import text as x
+from lodestrata.plans.spread import spread, unbroadcast
 from lodestrata.sources.adapters import duck, per_customer, per_customer_sql, table, view
 
 FILES = duck("files")
@@ -122,8 +123,10 @@ YAML_TAIL = "\nlast: |\n  text: inside\n  - item\nend: '#{id}'"
 
 def _yaml_files(spark, sf):
     line = F.format_string("\n  - n: %d\n    q%d: %d", F.col("l_linenumber").cast("int"), F.col("l_linenumber").cast("int"), F.col("l_quantity").cast("int"))
-    per = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", line.alias("t")))), lambda y: y["t"]), "").alias("t"))
-    o = table(spark, sf, "orders").join(per, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    orders = table(spark, sf, "orders")
+    n = orders.count()
+    per = spread(table(spark, sf, "lineitem"), "l_orderkey", rows=n).groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", line.alias("t")))), lambda y: y["t"]), "").alias("t"))
+    o = spread(orders, "o_orderkey", rows=n).join(unbroadcast(per), F.col("o_orderkey") == F.col("l_orderkey"), "left")
     text = F.concat(F.lit(YAML_HEAD), F.coalesce("t", F.lit("")), F.lit(YAML_TAIL))
     for k, v in (("{id}", "o_orderkey"), ("{state}", "o_orderstatus"), ("{cust}", "o_custkey")):
         text = F.replace(text, F.lit(k), F.col(v).cast("string"))

@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.plans.spread import unbroadcast
+
 #: What makes a method of Python and of PHP, and the first definition of a body, which gives its indent.
 PY_FIRST, PY_METHOD = r"^(\s+)def\s", r"^\s*def\s+(\w+)\s*\("
 PHP_FIRST, PHP_METHOD = r"^(\s+)(?:public|private|protected|static|\s)*function\s", r"^\s*(?:(public|private|protected)\s+)?(?:(static)\s+)?function\s+(\w+)\s*\("
@@ -41,7 +43,7 @@ def _starts(c: Column, lines: Column, first: str, method: str) -> Column:
 def _with_starts(files: DataFrame, classes: DataFrame, first: str, method: str) -> DataFrame:
     """A row for each class with methods: path, c, b (indent, at) and the lines of its file."""
     of = classes.groupBy("path").agg(F.collect_list(F.struct(F.col("name"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))).alias("cs"))
-    d = files.join(of, "path").select("path", F.split(F.coalesce("content", F.lit("")), "\n", -1).alias("lines"), "cs")
+    d = unbroadcast(files).join(unbroadcast(of), "path").select("path", F.split(F.coalesce("content", F.lit("")), "\n", -1).alias("lines"), "cs")
     d = d.withColumn("found", F.transform("cs", lambda c: F.struct(c.alias("c"), _starts(c, F.col("lines"), first, method).alias("b"))))
     return d.select("path", "lines", F.explode(F.filter("found", lambda f: F.size(f["b"]["at"]) > 0)).alias("f")).select("path", "lines", F.col("f.c").alias("c"), F.col("f.b").alias("b"))
 

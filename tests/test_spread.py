@@ -55,3 +55,13 @@ def test_a_name_of_many_bearers_meets_those_that_ask_for_it_once(spark):
     found = structure.resolved(asked, syms)
     assert _plan(found).count("Join") == 1
     assert sorted(map(tuple, found.collect())) == [("Engine.ready", "g", 3), ("Other.ready", "f0", 0), ("ready", "f0", 0)]
+
+
+def test_files_of_orders_are_dealt_by_their_number(spark, tmp_path):
+    """Each order's file is a row of some hundred bytes: one order is a row, whatever the bytes that its lines take."""
+    spark.range(70_000).selectExpr("id as o_orderkey", "id as o_custkey", "'F' as o_orderstatus").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(70_000).selectExpr("id as l_orderkey", "1 as l_linenumber", "2.0 as l_quantity", "id as l_partkey").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    for name in ("s06_yaml_outline", "p04_python_methods", "p05_php_methods"):
+        d = QUERIES[name](spark, str(tmp_path))
+        assert d.rdd.getNumPartitions() == parts_of(70_000) == 3, name
+        assert "Broadcast" not in _plan(d)
