@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.plans.scratch import saved
+from lodestrata.plans.spread import spread, unbroadcast
+from lodestrata.runtime import ship
 
 #: File endings of each language; an unknown language is taken as an ending itself.
 LANGUAGES = {
@@ -338,3 +343,116 @@ def top_ranked(ranks: DataFrame, k: int, digits: int = 6) -> DataFrame:
     order = [F.desc("score"), F.col("node")]
     r = r.withColumn("rank", F.row_number().over(Window.partitionBy("query", "_part").orderBy(*order))).where(F.col("rank") <= k).drop("_part")
     return r.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("rank") <= k)
+
+
+#: Edges of a neighbourhood that one task holds, steps before ranks are first asked for, and neighbourhoods of a task.
+WIDE, FIRST_STEPS, PER_TASK = 1 << 21, 4, 4
+
+
+def _certain(t: pa.Table, k: int, restart: float, digits: int, widest: int) -> pa.Table:
+    """The k best of one query by rounded score, with ties, from its neighbourhood (node, s, near, sizes); no rows if what lies beyond could change any.
+
+    Nodes of which no row tells the neighbours are the rim. Walks that never leave by it give the least that a score can be. A walk
+    that leaves and comes to a node adds at most the node's degree, times the most that leaves by an edge of the rim, times the chance
+    that a walk from the node leaves: walks back are as likely as walks there, but for the degrees.
+    """
+    node, near, sizes = t["node"].to_numpy(), *(t[c].combine_chunks() for c in ("near", "sizes"))
+    n_near = near.value_lengths().to_numpy(zero_copy_only=False)
+    ids, where = np.unique(np.concatenate([node, near.flatten().to_numpy()]), return_inverse=True)
+    n, at, to = len(ids), where[: len(node)], where[len(node) :]
+    d, told, s = np.zeros(n), np.zeros(n, bool), np.zeros(n)
+    d[to], told[at], s[at] = sizes.flatten().to_numpy(), True, t["s"].to_numpy() / t["s"].to_numpy().sum()
+    d[at] = n_near
+    a, back = np.repeat(at, n_near), ~told[to]
+    a, b = np.concatenate([a, to[back]]), np.concatenate([to, a[back]])
+    moved = lambda x: (1 - restart) * np.bincount(b, x[a], n)
+    x = restart * s
+    low = x
+    while x.sum() > 1e-14:
+        x = moved(x / d)
+        low = low + x
+    unknown = d - np.bincount(a, minlength=n)
+    rim, unit = unknown > 0, 10.0**digits
+    high, beyond = low, 0.0
+    if rim.any():
+        f = (1 - restart) * unknown / d
+        leaves = f
+        while f.max() > 1e-5:
+            f = moved(f) / d
+            leaves = leaves + f
+        leaves = leaves + f.max() * (1 - restart) / restart
+        most = (1 - restart) / restart * (low[rim] / d[rim]).max()
+        high, beyond = low + d * most * leaves, widest * most
+    # a ten-millionth of a unit for what sums of doubles lose
+    least, last = np.floor(low * unit + 0.5 - 1e-7), np.floor(high * unit + 0.5 + 1e-7)
+    kth = np.partition(least, n - k)[n - k] if n >= k else -1.0
+    best = last >= kth
+    if rim.any() and (n < k or (least[best] != last[best]).any() or np.floor(beyond * unit + 0.5 + 1e-7) >= kth):
+        best = np.zeros(n, bool)
+    return pa.table({"query": pa.array([t["query"][0].as_py()] * int(best.sum()), t["query"].type), "node": ids[best], "score": low[best]})
+
+
+def ranked_near(pairs: DataFrame, seeds: DataFrame, k: int, restart: float = RESTART, digits: int = 6, wide: int = WIDE) -> DataFrame:
+    """(query, node, score, rank): top_ranked(ranked()) in a graph of two kinds of nodes, whose edges (a, b) are followed both ways, without walks over all of it.
+
+    A query's neighbourhood grows by a step at a time until its k best are certain to all digits, or it is all that the query's walks
+    can reach; so what is joined grows with queries, not with queries times edges. Queries whose neighbourhood has more edges than a task
+    is to hold, or that begin at a node without edges, are walked over the whole graph by ranked(). No name is of both kinds.
+    """
+    spark = ship(pairs.sparkSession)
+    pairs = saved(pairs.select("a", "b").distinct(), "pairs")
+    # even numbers for a, odd ones for b
+    kinds = [pairs.groupBy(F.col(c).alias("name")).agg(F.count("*").cast("int").alias("d")).withColumn("kind", F.lit(i)) for i, c in enumerate("ab")]
+    nodes = saved(kinds[0].unionByName(kinds[1]).select((F.monotonically_increasing_id() * 2 + F.col("kind")).alias("node"), "kind", "name", "d"), "nodes")
+    e = pairs
+    for i, c in enumerate("ab"):
+        e = unbroadcast(e).join(unbroadcast(nodes.where(F.col("kind") == i).select(F.col("name").alias(c), F.col("node").alias(f"{c}_node"), F.col("d").alias(f"{c}_d"))), c)
+    e = saved(e.drop("a", "b"), "edges")
+    lists = [e.where(F.col(f"{c}_d") <= wide).groupBy(F.col(f"{c}_node").alias("node")).agg(F.collect_list(F.struct(F.col(f"{o}_node").alias("node"), F.col(f"{o}_d").alias("d"))).alias("l")) for c, o in ("ab", "ba")]
+    lists = saved(lists[0].unionByName(lists[1]).select("node", F.col("l.node").alias("near"), F.col("l.d").alias("sizes")), "lists")
+    # a table of their own, or Spark would ask of all nodes what the seeds' filters ask of seeds
+    s = saved(seeds.where("weight > 0").groupBy("query", F.col("node").alias("name")).agg(F.sum(F.col("weight").cast("double")).alias("s")), "seeds")
+    widest = nodes.agg(F.max("d")).first()[0] or 0
+    kind = dict(s.dtypes)["query"]
+
+    def certain(t: pa.Table) -> pa.Table:
+        return _certain(t, k, restart, digits, widest)
+
+    # n: edges of a query's neighbourhood so far; a seed without edges counts as too many
+    front = unbroadcast(s).join(unbroadcast(nodes), "name", "left").select("query", "node", F.coalesce("d", F.lit(wide + 1)).alias("d"), "s", F.lit(0).cast("long").alias("n"))
+    balls, found, far = [], [], []
+    for step in itertools.count(1):
+        front = front.withColumn("n", F.col("n") + F.sum("d").over(Window.partitionBy("query")))
+        both = unbroadcast(front.withColumn("_k", F.when(F.col("n") <= wide, F.col("node")))).join(unbroadcast(lists.withColumnRenamed("node", "_k")), "_k", "left")
+        ball = saved(both.select("query", "node", "s", "n", "near", "sizes"), "balls")
+        n, n_far = ball.agg(F.approx_count_distinct(F.when(F.col("n") <= wide, F.col("query"))), F.count_if(F.col("n") > wide)).first()
+        if n_far:
+            far.append(ball.where(F.col("n") > wide).select("query").distinct())
+        ball = ball.where(F.col("n") <= wide)
+        before, balls = balls[-1:], [*balls, ball]
+        if step >= FIRST_STEPS or not n:
+            every = balls[0]
+            for x in balls[1:]:
+                every = every.unionByName(x)
+            for x in far:
+                every = every.join(x, "query", "left_anti")
+            for x in found:
+                every = every.join(x, "query", "left_anti")
+            found.append(saved(spread(every, "query", rows=n, per_task=PER_TASK).groupBy("query").applyInArrow(certain, f"query {kind}, node long, score double"), "found"))
+        if not n:
+            break
+        # from one kind to the other and back: what a step finds was found two steps before, or is new
+        new = ball.join(found[-1], "query", "left_anti") if found else ball
+        new = new.select("query", "n", F.explode(F.arrays_zip("near", "sizes")).alias("x")).select("query", "n", F.col("x.near").alias("node"), F.col("x.sizes").alias("d")).distinct()
+        for x in before:
+            new = unbroadcast(new).join(unbroadcast(x.select("query", "node")), ["query", "node"], "left_anti")
+        front = new.withColumn("s", F.lit(0.0))
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    out = unbroadcast(out).join(unbroadcast(nodes.select("node", "name")), "node").select("query", F.col("name").alias("node"), "score")
+    if far:
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        for x in far:
+            out = out.unionByName(ranked(both, seeds.join(x, "query", "left_semi"), restart))
+    return top_ranked(out, k, digits)

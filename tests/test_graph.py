@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from lodestrata.operators import graph as g
+from lodestrata.queries import QUERIES
 
 
 def _edges(spark, pairs):
@@ -98,3 +99,38 @@ def test_ranks_of_many_queries(spark):
     for q in ("a", "b", "d"):
         mine = sorted(((-round(v, 6), n) for n, v in got[q].items()))[:3]
         assert [(r.node, r["rank"]) for r in sorted(best, key=lambda r: r["rank"]) if r["query"] == q] == [(n, i + 1) for i, (_, n) in enumerate(mine)]
+
+
+@pytest.mark.parametrize(("files", "wide"), [(40, 1 << 21), (3000, 1 << 21), (40, 60)])
+def test_near_ranks_are_the_ranks_of_the_whole_graph(spark, files, wide):
+    """On graphs that one neighbourhood fills, that it does not, and with neighbourhoods that are too wide for a task."""
+    rng = random.Random(files)
+    pairs = sorted({(f"s{rng.randint(0, files // 2)}", f"f{i}") for i in range(files) for _ in range(3)})
+    rows = [("one", "s1", 1.0), ("two", "s2", 1.0), ("two", "s3", 3.0), ("lost", "nowhere", 1.0), ("none", "s1", 0.0)]
+    graph, seeds = spark.createDataFrame(pairs, "a string, b string"), spark.createDataFrame(rows, "query string, node string, weight double")
+    got = sorted(map(tuple, g.ranked_near(graph, seeds, 7, 0.5, wide=wide).select("query", "rank", "node", "score").collect()))
+    nodes = {"one": {"s1": 1.0}, "two": {"s2": 1.0, "s3": 3.0}}
+    edges = [(a, b, 1.0) for a, b in pairs] + [(b, a, 1.0) for a, b in pairs]
+    at = {}
+    for a, b, _ in edges:
+        at.setdefault(a, []).append(b)
+    want = [("lost", 1, "nowhere", 1.0)]
+    for q, s in nodes.items():
+        start = {n: w / sum(s.values()) for n, w in s.items()}
+        x = start
+        for _ in range(45):
+            moved = {}
+            for n, v in x.items():
+                for m in at[n]:
+                    moved[m] = moved.get(m, 0.0) + v / len(at[n]) / 2
+            x = {n: moved.get(n, 0.0) + start.get(n, 0.0) / 2 for n in moved.keys() | start.keys()}
+        best = sorted((-int(v * 1e6 + 0.5), n) for n, v in x.items())[:7]
+        want += [(q, i + 1, n, -v / 1e6) for i, (v, n) in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_exploration_walks_no_whole_graph(spark, tmp_path, monkeypatch):
+    spark.range(4000).selectExpr("id % 1000 as l_orderkey", "cast(id % 7 as int) as l_linenumber", "(id * 7919) % 900 as l_partkey", "'N' as l_returnflag").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(g, "ranked", None)
+    rows = QUERIES["x07_ranked_exploration"](spark, str(tmp_path)).collect()
+    assert {r["query"] for r in rows} == {"s0", "s400", "s800"} and all(r["node"] == r["query"] for r in rows if r["rank"] == 1)
