@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.checks.registry import query
-from lodestrata.checks.structure import files as own_files
+from lodestrata.checks.structure import FILES, files as own_files
 from lodestrata.checks.telemetry import BUDGET, BURN, CALLS, EVENTS, INTENT_SQL, SAVED
 from lodestrata.functions import exprs as e
 from lodestrata.operators import changes, notations as nt, structure as st, text, tools as t
+from lodestrata.plans.spread import parts_of, spread
 from lodestrata.sources.adapters import duck, per_customer, per_customer_sql, table, view
 
 query("t13_session_report", f"""{CALLS} SELECT 'tool' AS section, tool AS key, count(*) AS n, {SAVED} AS value FROM tool_calls GROUP BY tool UNION ALL SELECT 'category', coalesce(savings_category, 'none'), count(*), {SAVED} FROM tool_calls GROUP BY 2
@@ -25,8 +26,9 @@ query("t19_diff_report", per_customer_sql("SELECT * FROM (VALUES ('src/user.ts',
 
 def _diff(spark, sf):
     raw = "diff --git a/c§/src/user.ts b/c§/src/user.ts\n--- a/src/user.ts\n+++ b/src/user.ts\n@@ -20,1 +20,2 @@\n-type Id = number;\n+type Id = string;\n+x\ndiff --git a/c§/new.py b/c§/new.py\nnew file mode 100644\n--- /dev/null\n+++ b/new.py\n@@ -0,0 +1 @@\n+x"
-    d = per_customer(spark, sf, [(1, raw)], "diff_id int, raw string", (), ("diff_id",)).select("diff_id", F.posexplode(F.split("raw", "\n", -1)).alias("line_no", "text"))
-    return t.diff_report(changes.parse_diff(d), st.symbols(own_files(spark, sf)))
+    n = table(spark, sf, "customer").count()
+    d = spread(per_customer(spark, sf, [(1, raw)], "diff_id int, raw string", (), ("diff_id",)), "diff_id", rows=n).select("diff_id", F.posexplode(F.split("raw", "\n", -1)).alias("line_no", "text"))
+    return t.diff_report(changes.parse_diff(d), st.symbols(own_files(spark, sf)), parts_of(n * len(FILES)))
 
 
 query("t20_area", "SELECT * FROM (VALUES ('external', 'os'), ('external', 'pkg.db'), ('internal', './store'), ('external', 'path')) t(section, item)")(lambda s, d: t.area(own_files(s, d), "c1/src"))

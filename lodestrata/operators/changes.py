@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.plans.ranges import overlap_join
-from lodestrata.plans.spread import unbroadcast
+from lodestrata.plans.spread import dealt, unbroadcast
 from lodestrata.sources.gittext import LOG_FIELD
 
 #: Commit classes by prefix, then by whole words, in the order in which they are tried.
@@ -143,12 +143,12 @@ def hunks(parsed: DataFrame) -> DataFrame:
     return g.select("diff_id", "path", "hunk_no", start.alias("new_start"), F.when(count == "", F.lit("1")).otherwise(count).cast("long").alias("new_count"), "added", "removed")
 
 
-def affected_symbols(hunks_: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Symbols that a hunk of their file touches. What kind of change it was is judged by all hunks of the file."""
-    of = hunks_.groupBy("path").agg(F.bool_or("has_added").alias("a"), F.bool_or("has_removed").alias("r"))
+def affected_symbols(hunks_: DataFrame, symbols: DataFrame, parts: int | None = None) -> DataFrame:
+    """Symbols that a hunk of their file touches. What kind of change it was is judged by all hunks of the file. parts: of how many tasks, if it is known; rows are then dealt by path."""
+    of = dealt(hunks_, parts, "path").groupBy("path").agg(F.bool_or("has_added").alias("a"), F.bool_or("has_removed").alias("r"))
     end = F.when(F.col("new_count") > 0, F.col("new_start") + F.col("new_count") - 1).otherwise(F.col("new_start"))
-    hit = overlap_join(symbols, hunks_.select("path", "new_start", end.alias("new_end")), ["path"], ("start_line", "end_line"), ("new_start", "new_end"))
-    one = hit.groupBy("path", "name").agg(F.min("new_start").alias("first_hunk"))
+    hit = overlap_join(symbols, hunks_.select("path", "new_start", end.alias("new_end")), ["path"], ("start_line", "end_line"), ("new_start", "new_end"), parts=parts)
+    one = dealt(hit, parts, "path").groupBy("path", "name").agg(F.min("new_start").alias("first_hunk"))
     kind = F.when(F.col("a") & ~F.col("r"), "ADDED").when(F.col("r") & ~F.col("a"), "REMOVED").otherwise("MODIFIED")
     return unbroadcast(one).join(unbroadcast(of), "path").select("path", "name", "first_hunk", kind.alias("change"))
 

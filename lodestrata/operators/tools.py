@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.operators import changes, graph, structure, telemetry, text
-from lodestrata.plans.spread import unbroadcast
+from lodestrata.plans.spread import dealt, unbroadcast
 
 
 def session_report(calls: DataFrame) -> DataFrame:
@@ -43,12 +43,12 @@ def directory_outline(files: DataFrame, symbols: DataFrame, depth: int = 2) -> D
     return files.select("path").join(n, "path", "left").groupBy(folder.alias("dir")).agg(F.count("*").alias("n_files"), F.coalesce(F.sum("s"), F.lit(0)).alias("n_symbols"))
 
 
-def diff_report(parsed: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Changed files of a diff with the symbols that its hunks touch."""
+def diff_report(parsed: DataFrame, symbols: DataFrame, parts: int | None = None) -> DataFrame:
+    """Changed files of a diff with the symbols that its hunks touch. parts: of how many tasks, if it is known."""
     h = changes.hunks(parsed)
-    hit = changes.affected_symbols(h.select("path", "new_start", "new_count", (F.col("added") > 0).alias("has_added"), (F.col("removed") > 0).alias("has_removed")), symbols)
+    hit = changes.affected_symbols(h.select("path", "new_start", "new_count", (F.col("added") > 0).alias("has_added"), (F.col("removed") > 0).alias("has_removed")), symbols, parts)
     names = hit.groupBy("path").agg(F.array_join(F.array_sort(F.collect_list(F.concat("name", F.lit(" "), "change"))), ",").alias("symbols"))
-    return unbroadcast(changes.file_diffs(parsed)).join(unbroadcast(names), "path", "left").select("path", "added", "removed", "symbols")
+    return unbroadcast(dealt(changes.file_diffs(parsed), parts, "path")).join(unbroadcast(names), "path", "left").select("path", "added", "removed", "symbols")
 
 
 def area(files: DataFrame, folder: str) -> DataFrame:

@@ -65,3 +65,9 @@ def test_files_of_orders_are_dealt_by_their_number(spark, tmp_path):
         d = QUERIES[name](spark, str(tmp_path))
         assert d.rdd.getNumPartitions() == parts_of(70_000) == 3, name
         assert "Broadcast" not in _plan(d)
+
+
+def test_a_report_of_diffs_is_dealt_by_rows(spark, many):
+    """No exchange is left to Spark, which deals by bytes: lines of diffs are few bytes."""
+    plan = _plan(QUERIES["t19_diff_report"](spark, many))
+    assert "Exchange" in plan and "ENSURE_REQUIREMENTS" not in plan
