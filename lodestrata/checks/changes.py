@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestrata.checks.registry import query
 from lodestrata.operators import changes as c
 from lodestrata.plans.scratch import scratch_path
+from lodestrata.plans.spread import spread
 from lodestrata.sources import gittext as g
 from lodestrata.sources.adapters import duck, per_customer, per_customer_sql, table, view
 
@@ -22,7 +23,7 @@ DIFFS = [
 
 
 def _parsed(spark, sf):
-    d = per_customer(spark, sf, DIFFS, "diff_id int, raw string", (), ("diff_id",))
+    d = spread(per_customer(spark, sf, DIFFS, "diff_id int, raw string", (), ("diff_id",)), "diff_id")
     return c.parse_diff(d.select("diff_id", F.posexplode(F.split("raw", "\n", -1)).alias("line_no", "text")))
 
 

@@ -8,6 +8,7 @@ from lodestrata.checks.registry import query
 from lodestrata.checks.structure import files as own_files
 from lodestrata.operators import changes, project as p, structure as st
 from lodestrata.operators.text import lines
+from lodestrata.plans.spread import spread
 from lodestrata.sources.adapters import duck, per_customer, per_customer_sql, table, view
 
 
@@ -93,7 +94,7 @@ CAPPED = [(1, 1, "small", 2, True, True), (1, 2, "large", 5, False, True), (1, 3
 def _capped(spark, sf):
     head = "diff --git a/{0} b/{0}\n--- a/{0}\n+++ b/{0}\n@@ -1 +1 @@\n"
     raw = head.format("small") + "-a\n+b\n" + head.format("large") + "+1\n+2\n+3\n+4\n 5\n" + "diff --git a/bin b/bin\nBinary files a/bin and b/bin differ\n" + head.format("late") + "+x\n" + head.format("last") + "+x"
-    ls = per_customer(spark, sf, [(1, raw)], "diff_id long, raw string", (), ("diff_id",)).select("diff_id", F.posexplode(F.split("raw", "\n", -1)).alias("line_no", "text"))
+    ls = spread(per_customer(spark, sf, [(1, raw)], "diff_id long, raw string", (), ("diff_id",)), "diff_id").select("diff_id", F.posexplode(F.split("raw", "\n", -1)).alias("line_no", "text"))
     parsed = changes.parse_diff(ls)
     return p.capped_diff(parsed, changes.file_diffs(parsed), None, 4, 4, 12)
 

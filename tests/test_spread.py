@@ -71,3 +71,9 @@ def test_a_report_of_diffs_is_dealt_by_rows(spark, many):
     """No exchange is left to Spark, which deals by bytes: lines of diffs are few bytes."""
     plan = _plan(QUERIES["t19_diff_report"](spark, many))
     assert "Exchange" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
+@pytest.mark.parametrize("name", ["c01_file_diffs", "c01_hunks"])
+def test_lines_of_diffs_are_dealt_by_rows(spark, many, name):
+    d = QUERIES[name](spark, many)
+    assert "ENSURE_REQUIREMENTS" not in _plan(d) and d.rdd.getNumPartitions() == parts_of(80_000) == 3
