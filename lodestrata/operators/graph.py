@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import itertools
+import functools
 import re
 
 import numpy as np
@@ -347,14 +347,19 @@ def top_ranked(ranks: DataFrame, k: int, digits: int = 6) -> DataFrame:
 
 #: Edges of a neighbourhood that one task holds, steps before ranks are first asked for, and neighbourhoods of a task.
 WIDE, FIRST_STEPS, PER_TASK = 1 << 21, 4, 4
+#: Nodes whose bounds are made close, one by one, in a round; more than these are left to the next.
+CLOSE = 64
 
 
-def _certain(t: pa.Table, k: int, restart: float, digits: int, widest: int) -> pa.Table:
-    """The k best of one query by rounded score, with ties, from its neighbourhood (node, s, near, sizes); no rows if what lies beyond could change any.
+def _certain(t: pa.Table, k: int, restart: float, digits: int, widest: int, wide: int = WIDE) -> pa.Table:
+    """The k best of one query by rounded score, with ties, from its neighbourhood (node, s, near, sizes). If what lies beyond could change
+    any, the nodes whose neighbours are to be read next, without a score, or a row without a node if these have more edges than wide.
 
     Nodes of which no row tells the neighbours are the rim. Walks that never leave by it give the least that a score can be. A walk
     that leaves and comes to a node adds at most the node's degree, times the most that leaves by an edge of the rim, times the chance
-    that a walk from the node leaves: walks back are as likely as walks there, but for the degrees.
+    that a walk from the node leaves: walks back are as likely as walks there, but for the degrees. For the nodes that this leaves open the
+    most is made closer: walks outside are a symmetric operator of bounded norm, so they add no more than the root of the sums of squares,
+    over the rim's unknown edges, of what leaves by an edge from the seeds and from the node.
     """
     node, near, sizes = t["node"].to_numpy(), *(t[c].combine_chunks() for c in ("near", "sizes"))
     n_near = near.value_lengths().to_numpy(zero_copy_only=False)
@@ -373,7 +378,11 @@ def _certain(t: pa.Table, k: int, restart: float, digits: int, widest: int) -> p
         low = low + x
     unknown = d - np.bincount(a, minlength=n)
     rim, unit = unknown > 0, 10.0**digits
-    high, beyond = low, 0.0
+    high, beyond, weight = low, 0.0, None
+    # a ten-millionth of a unit for what sums of doubles lose
+    least = np.floor(low * unit + 0.5 - 1e-7)
+    last_of = lambda x: np.floor(x * unit + 0.5 + 1e-7)
+    kth = np.partition(least, n - k)[n - k] if n >= k else -1.0
     if rim.any():
         f = (1 - restart) * unknown / d
         leaves = f
@@ -383,21 +392,51 @@ def _certain(t: pa.Table, k: int, restart: float, digits: int, widest: int) -> p
         leaves = leaves + f.max() * (1 - restart) / restart
         most = (1 - restart) / restart * (low[rim] / d[rim]).max()
         high, beyond = low + d * most * leaves, widest * most
-    # a ten-millionth of a unit for what sums of doubles lose
-    least, last = np.floor(low * unit + 0.5 - 1e-7), np.floor(high * unit + 0.5 + 1e-7)
-    kth = np.partition(least, n - k)[n - k] if n >= k else -1.0
+        # unknown edges from rim to rim add one step outside to two or more
+        kinds = np.unique(ids[rim] & 1)
+        factor = (1 - restart) / restart if len(kinds) > 1 else (1 - restart) ** 2 / restart
+        leaving = unknown * (low / d) ** 2
+        weight = leaving / leaving.sum()
+        open_ = np.flatnonzero((last_of(high) >= kth) & (last_of(high) != least))
+        if n >= k and len(open_) <= CLOSE:
+            high = high.copy()
+            for v in open_:
+                x = np.zeros(n)
+                x[v] = 1.0
+                y = x
+                while True:
+                    for _ in range(4):
+                        x = moved(x / d)
+                        y = y + x
+                    rest = np.sqrt((x * x / d).sum()) / restart
+                    norm = np.sqrt((unknown * (y / d) ** 2).sum())
+                    if rest <= norm / 100:
+                        break
+                high[v] = min(high[v], low[v] + d[v] * factor * np.sqrt(leaving.sum()) * (norm + rest))
+                if last_of(high[v]) != least[v]:
+                    weight = weight + unknown * (y / d) ** 2 / norm**2
+    last = last_of(high)
     best = last >= kth
-    if rim.any() and (n < k or (least[best] != last[best]).any() or np.floor(beyond * unit + 0.5 + 1e-7) >= kth):
-        best = np.zeros(n, bool)
-    return pa.table({"query": pa.array([t["query"][0].as_py()] * int(best.sum()), t["query"].type), "node": ids[best], "score": low[best]})
+    kind = t["query"].type
+    if rim.any() and (n < k or (least[best] != last[best]).any() or last_of(beyond) >= kth):
+        # of the rim what weighs most, until so little is left that the open ones may close; all bounds fall with it
+        short = ((least[best] + 1 - (low[best] * unit + 0.5)) / ((high[best] - low[best]) * unit + 1e-300)).min() if n >= k else 0.0
+        by = np.flatnonzero(rim)
+        by = by[np.argsort(-weight[by])]
+        left = 1 - np.cumsum(weight[by]) / weight.sum()
+        ask = by[: 1 + int((left > np.clip(short / 4, 0.01, 0.5)).sum())]
+        if d[at].sum() + d[ask].sum() > wide:
+            return pa.table({"query": t["query"][:1].combine_chunks(), "node": pa.array([None], pa.int64()), "score": pa.array([None], pa.float64())})
+        return pa.table({"query": pa.array([t["query"][0].as_py()] * len(ask), kind), "node": ids[ask], "score": pa.nulls(len(ask), pa.float64())})
+    return pa.table({"query": pa.array([t["query"][0].as_py()] * int(best.sum()), kind), "node": ids[best], "score": low[best]})
 
 
 def ranked_near(pairs: DataFrame, seeds: DataFrame, k: int, restart: float = RESTART, digits: int = 6, wide: int = WIDE) -> DataFrame:
     """(query, node, score, rank): top_ranked(ranked()) in a graph of two kinds of nodes, whose edges (a, b) are followed both ways, without walks over all of it.
 
-    A query's neighbourhood grows by a step at a time until its k best are certain to all digits, or it is all that the query's walks
-    can reach; so what is joined grows with queries, not with queries times edges. Queries whose neighbourhood has more edges than a task
-    is to hold, or that begin at a node without edges, are walked over the whole graph by ranked(). No name is of both kinds.
+    A query's neighbourhood grows by a few whole steps, then by the nodes of its rim that matter most, until its k best are certain to all digits, or it is
+    all that the query's walks can reach; so what is joined grows with queries, not with queries times edges. Queries whose neighbourhood has more edges than a
+    task is to hold, or that begin at a node without edges, are walked over the whole graph by ranked(). No name is of both kinds.
     """
     spark = ship(pairs.sparkSession)
     pairs = saved(pairs.select("a", "b").distinct(), "pairs")
@@ -416,40 +455,43 @@ def ranked_near(pairs: DataFrame, seeds: DataFrame, k: int, restart: float = RES
     kind = dict(s.dtypes)["query"]
 
     def certain(t: pa.Table) -> pa.Table:
-        return _certain(t, k, restart, digits, widest)
+        return _certain(t, k, restart, digits, widest, wide)
 
     # n: edges of a query's neighbourhood so far; a seed without edges counts as too many
     front = unbroadcast(s).join(unbroadcast(nodes), "name", "left").select("query", "node", F.coalesce("d", F.lit(wide + 1)).alias("d"), "s", F.lit(0).cast("long").alias("n"))
+    keyed = lists.withColumnRenamed("node", "_k")
     balls, found, far = [], [], []
-    for step in itertools.count(1):
+    for step in range(FIRST_STEPS):
         front = front.withColumn("n", F.col("n") + F.sum("d").over(Window.partitionBy("query")))
-        both = unbroadcast(front.withColumn("_k", F.when(F.col("n") <= wide, F.col("node")))).join(unbroadcast(lists.withColumnRenamed("node", "_k")), "_k", "left")
+        both = unbroadcast(front.withColumn("_k", F.when(F.col("n") <= wide, F.col("node")))).join(unbroadcast(keyed), "_k", "left")
         ball = saved(both.select("query", "node", "s", "n", "near", "sizes"), "balls")
-        n, n_far = ball.agg(F.approx_count_distinct(F.when(F.col("n") <= wide, F.col("query"))), F.count_if(F.col("n") > wide)).first()
+        n_far = ball.where(F.col("n") > wide).limit(1).count()
         if n_far:
             far.append(ball.where(F.col("n") > wide).select("query").distinct())
-        ball = ball.where(F.col("n") <= wide)
+            ball = ball.where(F.col("n") <= wide)
         before, balls = balls[-1:], [*balls, ball]
-        if step >= FIRST_STEPS or not n:
-            every = balls[0]
-            for x in balls[1:]:
-                every = every.unionByName(x)
-            for x in far:
-                every = every.join(x, "query", "left_anti")
-            for x in found:
-                every = every.join(x, "query", "left_anti")
-            found.append(saved(spread(every, "query", rows=n, per_task=PER_TASK).groupBy("query").applyInArrow(certain, f"query {kind}, node long, score double"), "found"))
+        if step < FIRST_STEPS - 1:
+            # from one kind to the other and back: what a step finds was found two steps before, or is new
+            new = ball.select("query", "n", F.explode(F.arrays_zip("near", "sizes")).alias("x")).select("query", "n", F.col("x.near").alias("node"), F.col("x.sizes").alias("d")).distinct()
+            for x in before:
+                new = unbroadcast(new).join(unbroadcast(x.select("query", "node")), ["query", "node"], "left_anti")
+            front = new.withColumn("s", F.lit(0.0))
+    every = functools.reduce(DataFrame.unionByName, [x.drop("n") for x in balls])
+    for x in far:
+        every = every.join(x, "query", "left_anti")
+    n = s.select("query").distinct().count()
+    while True:
+        told = saved(spread(every, "query", rows=n, per_task=PER_TASK).groupBy("query").applyInArrow(certain, f"query {kind}, node long, score double"), "found")
+        found.append(told.where("score is not null"))
+        asked = told.where("score is null and node is not null").select("query", "node")
+        if not told.where("node is null").isEmpty():
+            far.append(told.where("node is null").select("query"))
+        n = asked.agg(F.count_distinct("query")).first()[0]
         if not n:
             break
-        # from one kind to the other and back: what a step finds was found two steps before, or is new
-        new = ball.join(found[-1], "query", "left_anti") if found else ball
-        new = new.select("query", "n", F.explode(F.arrays_zip("near", "sizes")).alias("x")).select("query", "n", F.col("x.near").alias("node"), F.col("x.sizes").alias("d")).distinct()
-        for x in before:
-            new = unbroadcast(new).join(unbroadcast(x.select("query", "node")), ["query", "node"], "left_anti")
-        front = new.withColumn("s", F.lit(0.0))
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
+        more = saved(unbroadcast(asked.withColumnRenamed("node", "_k")).join(unbroadcast(keyed), "_k").select("query", F.col("_k").alias("node"), F.lit(0.0).alias("s"), "near", "sizes"), "balls")
+        every = every.join(asked.select("query").distinct(), "query", "left_semi").unionByName(more)
+    out = functools.reduce(DataFrame.unionByName, found)
     out = unbroadcast(out).join(unbroadcast(nodes.select("node", "name")), "node").select("query", F.col("name").alias("node"), "score")
     if far:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))

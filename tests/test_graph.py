@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestrata.operators import graph as g
@@ -134,3 +135,37 @@ def test_exploration_walks_no_whole_graph(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(g, "ranked", None)
     rows = QUERIES["x07_ranked_exploration"](spark, str(tmp_path)).collect()
     assert {r["query"] for r in rows} == {"s0", "s400", "s800"} and all(r["node"] == r["query"] for r in rows if r["rank"] == 1)
+
+
+def test_near_ranks_read_the_rim_that_matters():
+    """After four whole steps only nodes that could change the best are read, and what is said to be certain is."""
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 5000, 160_000) * 2, rng.integers(0, 40_000, 160_000) * 2 + 1
+    a, b = np.unique(np.stack([a, b]), axis=1)
+    a, b = np.concatenate([a, b]), np.concatenate([b, a])
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    d = np.bincount(a, minlength=80_002)
+    near = lambda v: b[np.searchsorted(a, v) : np.searchsorted(a, v, "right")]
+    read = []
+    for seed in (0, 400, 800, 1200):
+        x = want = 0.5 * (np.arange(len(d)) == seed)
+        for _ in range(45):
+            x = 0.5 * np.bincount(b, (x / np.maximum(d, 1))[a], len(d))
+            want = want + x
+        told = [seed]
+        for _ in range(3):
+            told = sorted(set(told).union(*(near(v).tolist() for v in told)))
+        while True:
+            lists = [near(v) for v in told]
+            t = pa.table({"query": ["q"] * len(told), "node": pa.array(told, pa.int64()), "s": [float(v == seed) for v in told], "near": pa.array(lists, pa.list_(pa.int64())), "sizes": pa.array([d[x] for x in lists], pa.list_(pa.int64()))})
+            got = g._certain(t, 20, 0.5, 6, int(d.max()))
+            if not got["score"].null_count:
+                break
+            assert not set(told) & set(got["node"].to_pylist())
+            told += got["node"].to_pylist()
+        read.append(sum(map(len, lists)))
+        best = np.floor(want * 1e6 + 0.5)
+        assert sorted(zip(got["node"].to_pylist(), np.floor(got["score"].to_numpy() * 1e6 + 0.5), strict=True)) == [(v, best[v]) for v in np.flatnonzero(best >= np.sort(best)[-20])]
+    assert np.mean(read) < len(a) / 2
+    assert g._certain(t.slice(0, 200), 20, 0.5, 6, int(d.max()), wide=300)["node"].to_pylist() == [None]
