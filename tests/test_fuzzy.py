@@ -38,3 +38,13 @@ def test_best_and_empty(spark):
     assert [(r.name, r.distance, r["rank"]) for r in fuzzy.best(fuzzy.fuzzy_search(q, index), 3).orderBy("rank").collect()] == [("parse", 0, 1), ("parsed", 1, 2), ("parser", 1, 3)]
     assert fuzzy.fuzzy_search(q.limit(0), index).count() == 0
     assert fuzzy.fuzzy_search(q, fuzzy.name_index(spark.createDataFrame([], "name string"))).count() == 0
+
+
+def test_names_that_begin_alike_share_no_key(spark):
+    """What all names have names no entries: a key's names are few, and the rows are those of all pairs."""
+    names = [f"Customer#{i:09d}" for i in range(3000)]
+    index = fuzzy.name_index(spark.createDataFrame([(n,) for n in names], "name string"))
+    assert index.groupBy("key").count().selectExpr("max(count)").first()[0] < 700
+    queries = [(1, "Customer#000000123"), (2, "Custmer#000002999"), (3, "ustomer#00000012"), (4, "Customer#000000123"), (5, "Customer")]
+    got = sorted((r.id, r.name, r.distance) for r in fuzzy.fuzzy_search(spark.createDataFrame(queries, "id int, query string"), index).collect())
+    assert got == sorted((i, n, d) for i, q in queries for n in names if (d := _distance(q, n)) <= 2)
