@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.checks.registry import query
 from lodestrata.plans.scratch import scratch_path
+from lodestrata.plans.spread import parts_of
 from lodestrata.sources import rotating
 from lodestrata.sources.adapters import duck, per_customer, per_customer_sql, table, view
 from lodestrata.streaming import state as t
@@ -94,7 +95,8 @@ def e05_stream(spark, sf):
     """What each load makes of its path's slots, by map state, in two runs from one checkpoint; no path's state ends meanwhile."""
     k = F.col("k")
     e = _events(spark, sf).select("session_id", F.col("file").alias("path"), F.timestamp_millis("ts").alias("at"), F.when(k % 3 == 0, "range").otherwise("symbol").alias("kind"), F.concat(F.lit("y"), (k % 4).cast("string")).alias("symbol"), k.alias("tokens"), "event_id")
-    return ttl.by_slices(e, "at", 2, scratch_path(spark, "registry"), lambda s: ttl.registry_log(s, 10_000 * 86_400_000))
+    buckets = parts_of(e.count(), ttl.PER_BUCKET)
+    return ttl.by_slices(e, "at", 2, scratch_path(spark, "registry"), lambda s: ttl.registry_log(s, 10_000 * 86_400_000, buckets=buckets))
 
 
 def _logged(spark, sf, **settings):
@@ -127,4 +129,5 @@ def e12(spark, sf):
     switches = ttl.branch_switches(heads)
     differ = loads.where(F.col("path").endswith("7")).select(F.lit("p").alias("project"), "path").distinct()
     gone = ttl.invalidations(switches, switches.select("project", "was", "now").join(differ, "project"), loads.select(F.lit("p").alias("project"), "session_id", "path"))
-    return ttl.by_slices(loads.unionByName(gone), "at", 2, scratch_path(spark, "switched"), lambda s: ttl.registry_log(s, 10_000 * 86_400_000))
+    buckets = parts_of(loads.count(), ttl.PER_BUCKET)
+    return ttl.by_slices(loads.unionByName(gone), "at", 2, scratch_path(spark, "switched"), lambda s: ttl.registry_log(s, 10_000 * 86_400_000, buckets=buckets))

@@ -8,10 +8,12 @@ at the end of a key's life clears its state once the watermark has passed, so st
 from __future__ import annotations
 
 import datetime as dt
+import json
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,8 @@ from lodestrata.runtime import ship
 TTL_MS = 30 * 60 * 1000
 #: How long a session's registry of a path lives without a load, and how late an event may come.
 REGISTRY_MS, LATE = 24 * 3600 * 1000, "10 minutes"
+#: Buckets of sessions' paths, and loads of one where their number is known before.
+BUCKETS, PER_BUCKET = 1 << 12, 1 << 10
 #: The kind of an event that says that a path's content is another now.
 CHANGED = "changed"
 #: Where state is kept: the operator needs a store with several states for each key.
@@ -104,7 +108,8 @@ class EditPrep(_Living):
 class Registry(_Living):
     """What each load makes of a session's path: slots held and their tokens. A load replaces that of its kind and symbol; ranges share one slot.
 
-    An event of the kind CHANGED, which a switch of branches brings for each file that differs, empties the path's slots.
+    An event of the kind CHANGED, which a switch of branches brings for each file that differs, empties the path's slots. Sessions' paths are
+    many and their events few, so those of a bucket share one state: each path lives and ends by itself, but the store is asked once for all of them.
     """
 
     def __init__(self, ttl_ms: int = REGISTRY_MS):
@@ -112,32 +117,73 @@ class Registry(_Living):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "newest long, slots array<struct<slot:string,tokens:long,at:long,event_id:long>>")
+        self.state = handle.getValueState("state", "paths string")  # JSON: [session, path, newest, [[slot, tokens, at, event id], ...]] of each
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+    def _held(self, timerValues) -> dict | None:
+        """(session, path) -> (newest, slots) of those that live; what ends before the watermark is gone, whether its timer has rung or not."""
         held = self.state.get()
-        newest, slots = (held[0], {v[0]: tuple(v[1:]) for v in held[1]}) if held else (None, {})
-        total = sum(v[0] for v in slots.values())
-        for r in sorted(rows, key=lambda r: (r.at, r.event_id)):
-            slot, ts = f"{r.kind}:{'' if r.kind == 'range' or r.symbol is None else r.symbol}", _ms(r.at)
-            newest = ts if newest is None else max(newest, ts)
-            if r.kind == CHANGED:
-                slots = {k: v for k, v in slots.items() if (v[1], v[2]) >= (ts, r.event_id)}
-                total = sum(v[0] for v in slots.values())
+        if held is None:
+            return None
+        now = 0 if timerValues is None else timerValues.getCurrentWatermarkInMs()
+        return {(s, p): (newest, {v[0]: tuple(v[1:]) for v in slots}) for s, p, newest, slots in json.loads(held[0]) if newest + self.ttl >= now}
+
+    def _hold(self, paths: dict) -> None:
+        self.state.update((json.dumps([(*k, newest, [(s, *v) for s, v in slots.items()]) for k, (newest, slots) in paths.items()]),))
+
+    def _end(self, paths: dict) -> int:
+        return min(newest for newest, _ in paths.values()) + self.ttl
+
+    def _answers(self, rows: Iterable[tuple], timerValues) -> list[tuple]:
+        """(event id, slots, tokens) of the loads (at, event id, session, path, kind, symbol, tokens, at in milliseconds)."""
+        held = self._held(timerValues)
+        paths, out = held or {}, []
+        totals = {k: sum(v[0] for v in slots.values()) for k, (_, slots) in paths.items()}
+        for _, event_id, session, p, kind, symbol, tokens, ts in sorted(rows, key=lambda r: r[:2]):
+            path, slot = (session, p), f"{kind}:{'' if kind == 'range' or symbol is None else symbol}"
+            newest, slots = paths.get(path, (ts, {}))
+            paths[path] = (max(newest, ts), slots)
+            if kind == CHANGED:
+                for k in [k for k, v in slots.items() if (v[1], v[2]) < (ts, event_id)]:
+                    del slots[k]
+                totals[path] = sum(v[0] for v in slots.values())
                 continue
             was = slots.get(slot)
-            if was is not None and (was[1], was[2]) >= (ts, r.event_id):
+            if was is not None and (was[1], was[2]) >= (ts, event_id):
                 continue  # a repeated event, or one that a later batch brings after its successor
-            total += r.tokens - (was[0] if was else 0)
-            slots[slot] = (r.tokens, ts, r.event_id)
-            yield Row(event_id=r.event_id, n_slots=len(slots), token_estimate=total)
-        if newest is not None:
-            self.state.update((newest, [(k, *v) for k, v in slots.items()]))
+            totals[path] = totals.get(path, 0) + tokens - (was[0] if was else 0)
+            slots[slot] = (tokens, ts, event_id)
+            out.append((event_id, len(slots), totals[path]))
+        if paths:
+            self._hold(paths)
             if held is None:
-                self.handle.registerTimer(newest + self.ttl)
+                self.handle.registerTimer(self._end(paths))
+        return out
 
-    def _clear(self) -> None:
-        self.state.clear()
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        for event_id, n, total in self._answers([(r.at, r.event_id, r.session_id, r.path, r.kind, r.symbol, r.tokens, _ms(r.at)) for r in rows], timerValues):
+            yield Row(event_id=event_id, n_slots=n, token_estimate=total)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        paths = self._held(timerValues)
+        if paths:
+            self._hold(paths)
+            # the clock may stand at the end of a path that is not over yet
+            self.handle.registerTimer(max(self._end(paths), expiredTimerInfo.getExpiryTimeInMs() + 1))
+        elif paths is not None:
+            self.state.clear()
+        return iter(())
+
+
+class RegistryFrames(Registry):
+    """The same over frames, which cost less than rows; `at` in microseconds."""
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        loads = [r for f in rows for r in zip(*(f[c].tolist() for c in ("at", "event_id", "session_id", "path", "kind", "symbol", "tokens")), strict=True)]
+        out = self._answers([(*r, round(r[0] / 1000)) for r in loads], timerValues)
+        yield pd.DataFrame(out, columns=["event_id", "n_slots", "token_estimate"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        return super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
 
 
 def branch_switches(heads: DataFrame) -> DataFrame:
@@ -160,11 +206,11 @@ def edits_prepared(events: DataFrame, ttl_ms: int = TTL_MS, late: str = LATE, ma
     return e.groupBy("project", "path").transformWithState(EditPrep(ttl_ms), "event_id long, prepared boolean", "Append", "EventTime", first)
 
 
-def registry_log(loads: DataFrame, ttl_ms: int = REGISTRY_MS, late: str = LATE) -> DataFrame:
-    """(event_id, n_slots, token_estimate) of the loads in a stream (session_id, path, at, kind, symbol, tokens, event_id)."""
+def registry_log(loads: DataFrame, ttl_ms: int = REGISTRY_MS, late: str = LATE, buckets: int = BUCKETS) -> DataFrame:
+    """(event_id, n_slots, token_estimate) of the loads in a stream (session_id, path, at, kind, symbol, tokens, event_id). buckets: in which sessions' paths share a state; as many for all of a checkpoint's life."""
     ship(loads.sparkSession)
-    e = loads.withWatermark("at", late).select("session_id", "path", "at", "kind", "symbol", "tokens", "event_id")
-    return e.groupBy("session_id", "path").transformWithState(Registry(ttl_ms), "event_id long, n_slots int, token_estimate long", "Append", "EventTime")
+    e = loads.withWatermark("at", late).select(F.pmod(F.xxhash64("session_id", "path"), F.lit(buckets)).alias("bucket"), "session_id", "path", F.unix_micros("at").alias("at"), "kind", "symbol", "tokens", "event_id")
+    return e.groupBy("bucket").transformWithStateInPandas(RegistryFrames(ttl_ms), "event_id long, n_slots int, token_estimate long", "Append", "EventTime")
 
 
 @contextmanager

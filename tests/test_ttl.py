@@ -126,3 +126,33 @@ def test_a_batch_asks_the_store_few_times():
     edits = [Row(project="p", path="f", at=_at(i), is_mark=i == 0, event_id=i) for i in range(200)]
     assert sum(r.prepared for r in p.handleInputRows(("p", "f"), iter(edits), None)) == 29
     assert store.calls <= 4
+
+
+class _Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+    def getExpiryTimeInMs(self):
+        return self.now
+
+
+def test_paths_of_a_bucket_share_a_state():
+    """The store is asked once for many sessions' paths; each holds its own slots, and ends by itself."""
+    rows = [Row(session_id=f"s{i % 50}", path=p, at=_at(i), kind="symbol", symbol=f"y{i // 50}", tokens=1, event_id=i) for i in range(100) for p in ("a", "b")]
+    ms = [ttl._ms(_at(i)) for i in range(101)]
+    store, p = _Store(), ttl.Registry(60_000)
+    store.clear = lambda: store.update(None)
+    p.init(store)
+    assert [(r.n_slots, r.token_estimate) for r in p.handleInputRows((0,), iter(rows), None)] == [(1 + i // 100,) * 2 for i in range(200)]
+    assert store.calls <= 3 and store.timers == [ms[50] + 60_000]
+    # all but the last session's paths are over, of which "a" is loaded again
+    frame = ttl.pd.DataFrame({"at": [ms[100] * 1000], "event_id": [200], "session_id": ["s49"], "path": ["a"], "kind": ["symbol"], "symbol": ["z"], "tokens": [5]})
+    p.__class__ = ttl.RegistryFrames
+    (out,) = p.handleInputRows((0,), iter([frame]), _Clock(ms[99]))
+    assert out.to_numpy().tolist() == [[200, 3, 7]]
+    assert list(p.handleExpiredTimer((0,), _Clock(ms[100] + 1), _Clock(ms[100] + 1))) == []
+    assert list(p._held(None)) == [("s49", "a")]
+    assert list(p.handleExpiredTimer((0,), _Clock(ms[100] + 60_001), _Clock(ms[100] + 60_001))) == [] and store.value is None
